@@ -109,3 +109,152 @@ COMPARE_DIGITS = {**{c: 9 for c in FE.COMPARE_FEATURES}, "INCOME_PER_PERSON": 6}
 @register("compare_features", COMPARE_DIGITS)
 def q_compare_features(spark, sf_dir):
     return FE.compare_frame(_t(spark, sf_dir).application())
+
+
+# ---------------------------------------------------------------- requests
+from riskmart.operators import decision as DC  # noqa: E402
+from riskmart.operators import scorecard as SC  # noqa: E402
+from riskmart.operators import validation as VA  # noqa: E402
+
+
+def scoring_base(spark, sf_dir) -> DataFrame:
+    """Valid applicant requests (defaults filled), enriched with the helper
+    values the scorecard and the decision read."""
+    return FE.enrich(VA.valid_requests(_t(spark, sf_dir).applicants()))
+
+
+@register("applicant_violations")
+def q_applicant_violations(spark, sf_dir):
+    checked = VA.prepare_requests(_t(spark, sf_dir).applicants())
+    return checked.select("applicant_id", F.explode(VA.VIOLATIONS).alias("rule"))
+
+
+@register("form_violations")
+def q_form_violations(spark, sf_dir):
+    checked = VA.prepare_requests(_t(spark, sf_dir).applicants(), profile="form")
+    return checked.select("applicant_id", F.explode(VA.VIOLATIONS).alias("rule"))
+
+
+@register("applicant_split")
+def q_applicant_split(spark, sf_dir):
+    checked = VA.prepare_requests(_t(spark, sf_dir).applicants())
+    n = F.size(VA.VIOLATIONS)
+    return checked.select("applicant_id",
+                          F.when(n == 0, "valid").otherwise("rejected").alias("status"),
+                          n.cast("int").alias("n_violations"))
+
+
+@register("normalised_applicants")
+def q_normalised_applicants(spark, sf_dir):
+    df = VA.normalise(VA.fill_defaults(_t(spark, sf_dir).applicants()), mode="form")
+    return df.select("applicant_id", "name", "family_members", "occupation", "employment_months")
+
+
+REQUEST_DIGITS = {"CREDIT_INCOME_RATIO": 9, "ANNUITY_INCOME_RATIO": 9, "AMT_ANNUITY": 6,
+                  "EMPLOYMENT_YEARS": 9, "EXT_SOURCE_MEAN": 9, "CHILDREN_RATIO": 9,
+                  "CREDIT_TERM": 9, "AGE_YEARS": 9}
+
+
+@register("request_features", REQUEST_DIGITS)
+def q_request_features(spark, sf_dir):
+    return FE.request_features(scoring_base(spark, sf_dir), parity=True)
+
+
+@register("logit_probability", {"logit": 9, "p": 9})
+def q_logit_probability(spark, sf_dir):
+    return SC.applicant_logit(scoring_base(spark, sf_dir)).select("applicant_id", "logit", "p")
+
+
+@register("scorecard")
+def q_scorecard(spark, sf_dir):
+    return SC.scorecard(scoring_base(spark, sf_dir), with_details=False).select(
+        "applicant_id", *SC.CRITERIA, "score")
+
+
+@register("scorecard_long", {"pct": 9})
+def q_scorecard_long(spark, sf_dir):
+    scored = SC.scorecard(scoring_base(spark, sf_dir), with_details=False)
+    return SC.criteria_long(scored).select("applicant_id", "step", "criterion", "title", "earned",
+                                           "max_points", "pct", "status")
+
+
+@register("grades_verdicts")
+def q_grades_verdicts(spark, sf_dir):
+    scored = SC.scorecard(scoring_base(spark, sf_dir), with_details=False)
+    return SC.grades_verdicts(scored).select("applicant_id", "score", "grade", "verdict",
+                                             "verdict_text")
+
+
+def scored_requests(spark, sf_dir) -> DataFrame:
+    """Valid requests with the closed-form default probability ``p``."""
+    return SC.applicant_logit(scoring_base(spark, sf_dir))
+
+
+@register("decisions")
+def q_decisions(spark, sf_dir):
+    p = F.col("p")
+    dec = DC.decision(p)
+    return scored_requests(spark, sf_dir).select(
+        "applicant_id", dec.alias("decision"), DC.confidence(dec, p).alias("confidence"),
+        DC.prob_default_pct(p).alias("prob_default"))
+
+
+@register("pricing", {"dti": 9})
+def q_pricing(spark, sf_dir):
+    p = F.col("p")
+    raw = DC.max_loan(p)
+    r = DC.rate(p)
+    return scored_requests(spark, sf_dir).select(
+        "applicant_id",
+        DC.round_even(raw, 0).cast("bigint").alias("max_eligible_amount"),
+        r.alias("interest_rate"),
+        F.concat(DC.py_float_text(r), F.lit("%")).alias("suggested_interest_rate"),
+        DC.round_even(DC.emi(raw, r, F.col("tenure_months")), 0).cast("bigint").alias("estimated_emi"),
+        DC.dti().alias("dti"))
+
+
+@register("reasons_long")
+def q_reasons_long(spark, sf_dir):
+    return DC.reasons_long(scored_requests(spark, sf_dir))
+
+
+@register("risk_bands", {"dti_pct": 1})
+def q_risk_bands(spark, sf_dir):
+    pct = DC.prob_default_pct(F.col("p"))
+    dti_pct = DC.round_even(DC.dti() * 100, 1)
+    return scored_requests(spark, sf_dir).select(
+        "applicant_id", pct.alias("prob_pct"), DC.risk_band(pct).alias("risk_band"),
+        dti_pct.alias("dti_pct"), DC.dti_flag(dti_pct).alias("dti_flag"))
+
+
+@register("cibil")
+def q_cibil(spark, sf_dir):
+    m = F.col("ext_source_mean")
+    form = DC.cibil(m, "truncate")
+    return scoring_base(spark, sf_dir).select(
+        "applicant_id", form.alias("cibil_form"), DC.cibil(m, "round").alias("cibil_browser"),
+        DC.cibil_band(form).alias("cibil_band"))
+
+
+@register("fallback_decisions")
+def q_fallback_decisions(spark, sf_dir):
+    out = DC.fallback_columns(scoring_base(spark, sf_dir))
+    return out.select("applicant_id", *[F.col(f"ml_{f}").alias(f) for f in
+                                        ["decision", "confidence", "prob_default",
+                                         "max_eligible_amount", "suggested_interest_rate",
+                                         "estimated_emi"]])
+
+
+@register("officer_notes")
+def q_officer_notes(spark, sf_dir):
+    out = DC.ml_columns(scored_requests(spark, sf_dir))
+    return out.select("applicant_id", F.col("ml_officer_note").alias("officer_note"),
+                      DC.decision_title(F.col("ml_decision")).alias("decision_title"),
+                      DC.decision_title(F.col("ml_decision"), "browser").alias("browser_title"),
+                      DC.confidence_label(F.col("ml_decision")).alias("confidence_label"))
+
+
+@register("decision_struct")
+def q_decision_struct(spark, sf_dir):
+    scored = SC.scorecard(scored_requests(spark, sf_dir), with_details=True)
+    return DC.decide(scored, has_model=True)

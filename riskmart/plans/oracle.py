@@ -149,3 +149,271 @@ FROM application"""
 
 sql("compare_features", f"""
 SELECT *, {as_select(feature_select('DAYS_EMPLOYMENT', True))} FROM ({COMPARE_BASE}) b""")
+
+
+# ---------------------------------------------------------------- requests
+from riskmart.schemas import (APPLICANT_DEFAULTS, CONDITION_TEXTS, FORM_OPTIONS,  # noqa: E402
+                              FORM_RANGES, LOGIT_COEFFICIENTS, LOGIT_INCOME_CLIP,
+                              LOGIT_INTERCEPT, REQUIRED_FIELDS, SERVICE_RANGES)
+
+
+def dbl(x) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def lit(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        return dbl(v)
+    return str(v)
+
+
+APPLICANT_COLS = ["applicant_id", "name", "age", "gender", "education", "family_status", "children",
+                  "family_members", "own_car", "own_realty", "income_type", "monthly_income",
+                  "occupation", "employment_months", "housing_type", "region_rating", "loan_amount",
+                  "loan_purpose", "tenure_months", "ext1", "ext2", "ext3"]
+
+REQ = "SELECT " + ", ".join(
+    f"coalesce({c}, {lit(APPLICANT_DEFAULTS[c])}) AS {c}" if c in APPLICANT_DEFAULTS else c
+    for c in APPLICANT_COLS) + " FROM applicants"
+
+
+def _violation_union(profile: str) -> str:
+    parts = [f"SELECT applicant_id, '{f}:required' AS rule FROM req WHERE {f} IS NULL"
+             for f in REQUIRED_FIELDS]
+    ranges = SERVICE_RANGES if profile == "service" else FORM_RANGES
+    for f, (lo, hi) in ranges.items():
+        if lo is not None:
+            parts.append(f"SELECT applicant_id, '{f}:min' FROM req WHERE {f} < {lit(lo)}")
+        if hi is not None:
+            parts.append(f"SELECT applicant_id, '{f}:max' FROM req WHERE {f} > {lit(hi)}")
+    if profile == "form":
+        for f, opts in FORM_OPTIONS.items():
+            parts.append(f"SELECT applicant_id, '{f}:option' FROM req WHERE {f} IS NOT NULL AND "
+                         f"{f} NOT IN ({', '.join(lit(o) for o in opts)})")
+    return "\nUNION ALL ".join(parts)
+
+
+REQ_CTES = {"req": REQ, "viol": _violation_union("service")}
+ENR = """
+SELECT *, (ext1 + ext2 + ext3) / 3 AS ext_source_mean, employment_months / 12 AS employment_years,
+ (loan_amount / greatest(tenure_months, 1)) / greatest(monthly_income, CAST(1.0 AS DOUBLE)) AS annuity_income_ratio
+FROM req WHERE NOT EXISTS (SELECT 1 FROM viol WHERE viol.applicant_id = req.applicant_id)"""
+BASE_CTES = {**REQ_CTES, "enr": ENR}
+
+sql("applicant_violations", "SELECT applicant_id, rule FROM viol", REQ_CTES)
+sql("form_violations", "SELECT applicant_id, rule FROM viol",
+    {"req": REQ, "viol": _violation_union("form")})
+sql("applicant_split", """
+SELECT r.applicant_id, CASE WHEN count(v.rule) = 0 THEN 'valid' ELSE 'rejected' END AS status,
+ CAST(count(v.rule) AS INTEGER) AS n_violations
+FROM req r LEFT JOIN viol v ON r.applicant_id = v.applicant_id GROUP BY r.applicant_id""", REQ_CTES)
+
+sql("normalised_applicants", """
+SELECT applicant_id, coalesce(nullif(name, ''), 'Applicant') AS name,
+ greatest(family_members, children + 1) AS family_members,
+ CASE WHEN income_type = 'Unemployed' OR monthly_income <= 0 THEN 'Unknown' ELSE occupation END AS occupation,
+ employment_months
+FROM req""", {"req": REQ})
+
+sql("request_features", """
+SELECT applicant_id, gender AS CODE_GENDER,
+ -CAST(trunc(age * 365) AS INTEGER) AS DAYS_BIRTH,
+ -CAST(trunc(employment_months / 12 * 365) AS INTEGER) AS DAYS_EMPLOYMENT,
+ children AS CNT_CHILDREN, family_members AS CNT_FAM_MEMBERS,
+ monthly_income * 12 AS AMT_INCOME_TOTAL, loan_amount AS AMT_CREDIT,
+ loan_amount / greatest(tenure_months, 1) AS AMT_ANNUITY,
+ loan_amount * CAST(0.85 AS DOUBLE) AS AMT_GOODS_PRICE,
+ ext1 AS EXT_SOURCE_1, ext2 AS EXT_SOURCE_2, ext3 AS EXT_SOURCE_3,
+ 'Cash loans' AS NAME_CONTRACT_TYPE, education AS NAME_EDUCATION_TYPE, income_type AS NAME_INCOME_TYPE,
+ housing_type AS NAME_HOUSING_TYPE, family_status AS NAME_FAMILY_STATUS,
+ own_car AS FLAG_OWN_CAR, own_realty AS FLAG_OWN_REALTY,
+ 1 AS FLAG_PHONE, 0 AS FLAG_EMAIL, 1 AS FLAG_WORK_PHONE, 1 AS FLAG_DOCUMENT_3,
+ 0 AS REG_CITY_NOT_WORK_CITY, 0 AS LIVE_CITY_NOT_WORK_CITY,
+ region_rating AS REGION_RATING_CLIENT, region_rating AS REGION_RATING_CLIENT_W_CITY,
+ CAST(0.025 AS DOUBLE) AS REGION_POPULATION_RELATIVE, occupation AS OCCUPATION_TYPE,
+ 'Business Entity Type 3' AS ORGANIZATION_TYPE,
+ loan_amount / (monthly_income * 12 + 1) AS CREDIT_INCOME_RATIO,
+ (loan_amount / greatest(tenure_months, 1)) / (monthly_income * 12 + 1) AS ANNUITY_INCOME_RATIO,
+ age AS AGE_YEARS, employment_months / 12 AS EMPLOYMENT_YEARS,
+ (ext1 + ext2 + ext3) / 3 AS EXT_SOURCE_MEAN,
+ children / greatest(family_members, 1) AS CHILDREN_RATIO,
+ loan_amount / (loan_amount / greatest(tenure_months, 1) + 1) AS CREDIT_TERM
+FROM enr""", BASE_CTES)
+
+
+def _logit_sql() -> str:
+    lo, hi = LOGIT_INCOME_CLIP
+    inc = f"least(greatest(monthly_income * 12, {dbl(lo)}), {dbl(hi)})"
+    terms = {
+        "ext1": "ext1", "ext2": "ext2", "ext3": "ext3",
+        "credit_income": f"(loan_amount / {inc})",
+        "annuity_income": f"((loan_amount / greatest(tenure_months, 1)) / {inc})",
+        "age_years": "age", "employment_years": "(employment_months / 12)",
+        "region_is_3": "CAST(region_rating = 3 AS DOUBLE)",
+        "is_unemployed": "CAST(income_type = 'Unemployed' AS DOUBLE)",
+        "is_higher_education": "CAST(education = 'Higher education' AS DOUBLE)",
+        "lives_with_parents": "CAST(housing_type = 'With parents' AS DOUBLE)",
+        "children": "CAST(children AS DOUBLE)",
+    }
+    z = dbl(LOGIT_INTERCEPT)
+    for name, coef in LOGIT_COEFFICIENTS:
+        z = f"({z} + {dbl(coef)} * {terms[name]})"
+    return z
+
+
+SCORED = f"SELECT *, {_logit_sql()} AS logit FROM enr"
+SCORED_P = "SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-logit)) AS p FROM scored0"
+SCORED_CTES = {**BASE_CTES, "scored0": SCORED, "scored": SCORED_P}
+
+sql("logit_probability", "SELECT applicant_id, logit, p FROM scored", SCORED_CTES)
+
+
+def _band(x: str, bands, weight: int, cmp: str) -> str:
+    op = ">=" if cmp == "ge" else "<="
+    whens = " ".join(f"WHEN {x} {op} {dbl(edge)} THEN {dbl(weight * share)}" for edge, share, _ in bands)
+    return f"CASE {whens} ELSE {dbl(0.0)} END"
+
+
+def _criteria_sql() -> dict:
+    from riskmart.schemas import (DTI_BANDS, EMPLOYMENT_EMPLOYED, EMPLOYMENT_SELF,
+                                  EMPLOYMENT_SHARES, EMPLOYMENT_TOP, EXT_SOURCE_BANDS,
+                                  INCOME_STABILITY_BANDS, REPAYMENT_REALTY_SHARE,
+                                  REPAYMENT_YEAR_BANDS, SCORE_WEIGHTS)
+    w = dict(SCORE_WEIGHTS)
+    years = "coalesce(CAST(employment_years AS DOUBLE), 0.0::DOUBLE)"
+    yb = " ".join(f"WHEN {years} >= {edge} THEN {dbl(w['repayment_history'] * s)}"
+                  for edge, s in REPAYMENT_YEAR_BANDS)
+    rep = (f"least(CASE {yb} ELSE 0.0::DOUBLE END + CASE WHEN coalesce(own_realty, 'N') = 'Y' "
+           f"THEN {dbl(w['repayment_history'] * REPAYMENT_REALTY_SHARE)} ELSE 0.0::DOUBLE END, "
+           f"{dbl(w['repayment_history'])})")
+    it = "lower(coalesce(income_type, ''))"
+    top, emp, slf = (w["employment_status"] * s for s in EMPLOYMENT_SHARES)
+    lst = lambda xs: ", ".join(lit(x) for x in xs)
+    es = (f"CASE WHEN {it} IN ({lst(EMPLOYMENT_TOP)}) THEN {dbl(top)} "
+          f"WHEN {it} IN ({lst(EMPLOYMENT_EMPLOYED)}) THEN {dbl(emp)} "
+          f"WHEN {it} = {lit(EMPLOYMENT_SELF)} THEN {dbl(slf)} ELSE 0.0::DOUBLE END")
+    return {
+        "ext_source_score": _band("coalesce(ext_source_mean, 0.5::DOUBLE)", EXT_SOURCE_BANDS,
+                                  w["ext_source_score"], "ge"),
+        "repayment_history": rep,
+        "income_stability": _band("coalesce(employment_months, 0)", INCOME_STABILITY_BANDS,
+                                  w["income_stability"], "ge"),
+        "debt_to_income": _band("coalesce(annuity_income_ratio, 1.0::DOUBLE) * 100", DTI_BANDS,
+                                w["debt_to_income"], "le"),
+        "employment_status": es,
+    }
+
+
+CRIT = _criteria_sql()
+CARD = ("SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in CRIT.items()) + " FROM enr")
+CARD_TOTAL = ("SELECT *, " + " + ".join(CRIT) + " AS score FROM card0")
+CARD_CTES = {**BASE_CTES, "card0": CARD, "card": CARD_TOTAL}
+
+sql("scorecard", "SELECT applicant_id, " + ", ".join(CRIT) + ", score FROM card", CARD_CTES)
+
+_TITLES = {"ext_source_score": "Ext Source Score", "repayment_history": "Repayment History",
+           "income_stability": "Income Stability", "debt_to_income": "Debt To Income",
+           "employment_status": "Employment Status"}
+_WEIGHTS = {"ext_source_score": 30, "repayment_history": 25, "income_stability": 20,
+            "debt_to_income": 15, "employment_status": 10}
+sql("scorecard_long", "SELECT *, CASE WHEN pct >= 80 THEN 'success' WHEN pct >= 40 THEN 'warning' "
+    "ELSE 'danger' END AS status FROM (" + "\nUNION ALL ".join(
+        f"SELECT applicant_id, {i + 1} AS step, '{c}' AS criterion, '{_TITLES[c]}' AS title, "
+        f"{c} AS earned, {_WEIGHTS[c]} AS max_points, {c} / {_WEIGHTS[c]} * 100 AS pct FROM card"
+        for i, c in enumerate(CRIT)) + ") s", CARD_CTES)
+
+sql("grades_verdicts", """
+SELECT applicant_id, score,
+ CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade,
+ CASE WHEN score >= 75 THEN 'LIKELY ELIGIBLE' WHEN score >= 50 THEN 'CONDITIONAL' ELSE 'LIKELY NOT ELIGIBLE' END AS verdict,
+ CASE WHEN score >= 75 THEN 'Strong profile. See ML decision below.'
+      WHEN score >= 50 THEN 'Mixed signals. See ML decision below.' ELSE 'Does not meet criteria.' END AS verdict_text
+FROM card""", CARD_CTES)
+
+DEC = ("CASE WHEN p >= 0.35::DOUBLE THEN 'REJECTED' WHEN p >= 0.21::DOUBLE THEN 'CONDITIONAL' "
+       "ELSE 'APPROVED' END")
+DEC_CTES = {**SCORED_CTES, "dec": f"SELECT *, {DEC} AS decision FROM scored"}
+
+sql("decisions", """
+SELECT applicant_id, decision,
+ round_even(CASE WHEN decision = 'APPROVED' THEN (1 - p) * 100 ELSE p * 100 END, 1) AS confidence,
+ round_even(p * 100, 2) AS prob_default
+FROM dec""", DEC_CTES)
+
+MAXLOAN = ("least(loan_amount, monthly_income * 12 * 5 * greatest(0.3::DOUBLE, 1.0::DOUBLE - p * 1.5::DOUBLE))")
+RATE = "round_even(8.5::DOUBLE + p * 12, 1)"
+PRICE = f"SELECT *, {MAXLOAN} AS max_loan, {RATE} AS interest_rate FROM dec"
+EMI = ("max_loan * (interest_rate / 100 / 12) * pow(1.0::DOUBLE + interest_rate / 100 / 12, "
+       "CAST(tenure_months AS DOUBLE)) / (pow(1.0::DOUBLE + interest_rate / 100 / 12, "
+       "CAST(tenure_months AS DOUBLE)) - 1)")
+DTI = "(loan_amount / greatest(tenure_months, 1)) / greatest(monthly_income, 1.0::DOUBLE)"
+PRICE_CTES = {**DEC_CTES, "priced": PRICE}
+
+sql("pricing", f"""
+SELECT applicant_id, CAST(round_even(max_loan, 0) AS BIGINT) AS max_eligible_amount,
+ interest_rate, CAST(interest_rate AS VARCHAR) || '%' AS suggested_interest_rate,
+ CAST(round_even({EMI}, 0) AS BIGINT) AS estimated_emi, {DTI} AS dti
+FROM priced""", PRICE_CTES)
+
+
+def _reason_sql() -> str:
+    emp_y = "(employment_months / 12)"
+    ext_mean = "((ext1 + ext2 + ext3) / 3)"
+    income = "(monthly_income * 12)"
+    strengths = [("ext", f"{ext_mean} >= 0.6::DOUBLE"), ("employment", f"{emp_y} >= 3"),
+                 ("income", f"{income} >= 500000"), ("dti", f"{DTI} <= 0.3::DOUBLE"),
+                 ("realty", "own_realty = 'Y'")]
+    risks = [("ext", f"{ext_mean} < 0.4::DOUBLE"), ("employment", f"{emp_y} < 1"),
+             ("dti", f"{DTI} > 0.4::DOUBLE"), ("credit", f"loan_amount > {income} * 4"),
+             ("children", "children >= 3")]
+    parts = []
+    for kind, items in (("strength", strengths), ("risk", risks)):
+        for i, (code, cond) in enumerate(items):
+            parts.append(f"SELECT applicant_id, '{kind}' AS kind, {i} AS ord, '{code}' AS reason "
+                         f"FROM dec WHERE {cond}")
+    cand = "\nUNION ALL ".join(parts)
+    ranked = ("SELECT applicant_id, kind, CAST(row_number() OVER (PARTITION BY applicant_id, kind "
+              "ORDER BY ord) AS INTEGER) AS position, reason FROM cand")
+    nones = ("SELECT d.applicant_id, k.kind, 1 AS position, 'none' AS reason FROM dec d "
+             "CROSS JOIN (VALUES ('strength'), ('risk')) k(kind) WHERE NOT EXISTS "
+             "(SELECT 1 FROM cand c WHERE c.applicant_id = d.applicant_id AND c.kind = k.kind)")
+    conds = "\nUNION ALL ".join(
+        f"SELECT applicant_id, 'condition', {i + 1}, {lit(t)} FROM dec WHERE decision <> 'REJECTED'"
+        for i, t in enumerate(CONDITION_TEXTS))
+    return (f"WITH cand AS ({cand}) SELECT * FROM ({ranked}) r WHERE position <= 3 "
+            f"UNION ALL {nones} UNION ALL {conds}")
+
+
+sql("reasons_long", f"SELECT * FROM ({_reason_sql()}) x", DEC_CTES)
+
+sql("risk_bands", f"""
+SELECT applicant_id, round_even(p * 100, 2) AS prob_pct,
+ CASE WHEN round_even(p * 100, 2) < 20 THEN 'low' WHEN round_even(p * 100, 2) < 40 THEN 'medium' ELSE 'high' END AS risk_band,
+ round_even({DTI} * 100, 1) AS dti_pct, round_even({DTI} * 100, 1) > 40 AS dti_flag
+FROM scored""", SCORED_CTES)
+
+sql("cibil", """
+SELECT applicant_id, CAST(trunc(300 + ext_source_mean * 600) AS INTEGER) AS cibil_form,
+ CAST(floor(300 + ext_source_mean * 600 + 0.5::DOUBLE) AS INTEGER) AS cibil_browser,
+ CASE WHEN CAST(trunc(300 + ext_source_mean * 600) AS INTEGER) >= 700 THEN 'good'
+      WHEN CAST(trunc(300 + ext_source_mean * 600) AS INTEGER) >= 550 THEN 'fair' ELSE 'poor' END AS cibil_band
+FROM enr""", BASE_CTES)
+
+sql("fallback_decisions", """
+SELECT applicant_id, 'CONDITIONAL' AS decision, 50.0::DOUBLE AS confidence, 50.0::DOUBLE AS prob_default,
+ CAST(trunc(loan_amount * 0.5::DOUBLE) AS BIGINT) AS max_eligible_amount, '12.0%' AS suggested_interest_rate,
+ CAST(trunc(loan_amount * 0.02::DOUBLE) AS BIGINT) AS estimated_emi
+FROM enr""", BASE_CTES)
+
+sql("officer_notes", """
+SELECT applicant_id,
+ 'Applicant has a ' || printf('%.1f', p * 100) || '% estimated default probability. ' ||
+ CASE decision WHEN 'APPROVED' THEN 'Application meets lending criteria.'
+   WHEN 'CONDITIONAL' THEN 'Application carries elevated risk.' ELSE 'Does not meet minimum risk thresholds.' END AS officer_note,
+ CASE decision WHEN 'APPROVED' THEN 'LOAN APPROVED' WHEN 'CONDITIONAL' THEN 'CONDITIONAL APPROVAL'
+   ELSE 'LOAN REJECTED' END AS decision_title,
+ 'LOAN ' || decision AS browser_title,
+ CASE WHEN decision = 'APPROVED' THEN 'Match' ELSE 'Risk' END AS confidence_label
+FROM dec""", DEC_CTES)
