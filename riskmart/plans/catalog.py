@@ -258,3 +258,68 @@ def q_officer_notes(spark, sf_dir):
 def q_decision_struct(spark, sf_dir):
     scored = SC.scorecard(scored_requests(spark, sf_dir), with_details=True)
     return DC.decide(scored, has_model=True)
+
+
+# ---------------------------------------------------------------- prep
+from riskmart.operators import prep as PR  # noqa: E402
+from riskmart.schemas import APPLICATION_SCHEMA, MART_CATEGORICAL  # noqa: E402
+
+MART_COLUMNS = ([f.name for f in APPLICATION_SCHEMA.fields] + RU.ROLLUP_COLS + FE.MART_FEATURES
+                + ["BUREAU_DEBT_RATIO"])
+MODEL_FEATURES = [c for c in MART_COLUMNS if c not in ("SK_ID_CURR", "TARGET")]
+
+
+def engineered_mart(spark, sf_dir) -> DataFrame:
+    return FE.engineer_features(RU.mart_from_tables(_t(spark, sf_dir)), "mart")
+
+
+def encoded_mart(spark, sf_dir, maps=None) -> DataFrame:
+    mart = engineered_mart(spark, sf_dir)
+    if maps is None:
+        maps = PR.code_maps(PR.fit_label_codes(mart, MART_CATEGORICAL))
+    return PR.apply_label_codes(mart, maps)
+
+
+@register("label_codes")
+def q_label_codes(spark, sf_dir):
+    return PR.fit_label_codes(_t(spark, sf_dir).application(), MART_CATEGORICAL)
+
+
+@register("encoded_application")
+def q_encoded_application(spark, sf_dir):
+    app = _t(spark, sf_dir).application()
+    maps = PR.code_maps(PR.fit_label_codes(app, MART_CATEGORICAL))
+    return PR.apply_label_codes(app, maps)
+
+
+@register("medians", {"median": 6})
+def q_medians(spark, sf_dir):
+    return PR.median_table(encoded_mart(spark, sf_dir), MODEL_FEATURES, exact=True)
+
+
+@register("imputed_application", {c: MART_DIGITS.get(c, 6) for c in MODEL_FEATURES})
+def q_imputed_application(spark, sf_dir):
+    enc = encoded_mart(spark, sf_dir)
+    meds = PR.fit_medians(enc, MODEL_FEATURES)
+    return PR.impute(enc, meds).select("SK_ID_CURR", "TARGET", *[c for c in MODEL_FEATURES
+                                                                 if meds.get(c) is not None])
+
+
+@register("split_sizes")
+def q_split_sizes(spark, sf_dir):
+    app = _t(spark, sf_dir).application()
+    sizes = PR.split_sizes(app)
+    alloc = spark.createDataFrame([(int(k), int(v[1]), int(v[2])) for k, v in sizes.items()],
+                                  "TARGET int, n_train bigint, n_test bigint")
+    return PR.class_counts(app).join(F.broadcast(alloc), "TARGET")   # one row per class
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    app = _t(spark, sf_dir).application().select("SK_ID_CURR", "TARGET")
+    return PR.stratified_split(app)
+
+
+@register("class_weights", {"balanced_weight": 9, "pos_weight": 9})
+def q_class_weights(spark, sf_dir):
+    return PR.class_weight_table(_t(spark, sf_dir).application())

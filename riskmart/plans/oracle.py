@@ -417,3 +417,70 @@ SELECT applicant_id,
  'LOAN ' || decision AS browser_title,
  CASE WHEN decision = 'APPROVED' THEN 'Match' ELSE 'Risk' END AS confidence_label
 FROM dec""", DEC_CTES)
+
+
+# ---------------------------------------------------------------- prep
+from riskmart.plans.catalog import MODEL_FEATURES  # noqa: E402
+from riskmart.schemas import MART_CATEGORICAL  # noqa: E402
+
+_APP_COLS = ["SK_ID_CURR", "TARGET", "CODE_GENDER", "DAYS_BIRTH", "DAYS_EMPLOYED", "CNT_CHILDREN",
+             "CNT_FAM_MEMBERS", "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE",
+             "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "NAME_CONTRACT_TYPE",
+             "NAME_EDUCATION_TYPE", "NAME_INCOME_TYPE", "NAME_HOUSING_TYPE", "NAME_FAMILY_STATUS",
+             "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "OCCUPATION_TYPE", "REGION_RATING_CLIENT"]
+_CATS = [c for c in MART_CATEGORICAL if c in _APP_COLS]
+
+sql("label_codes", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column, value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT coalesce({c}, 'nan') AS value FROM application) d" for c in _CATS))
+
+
+def _encode_select(src_cols: list[str]) -> str:
+    return ", ".join(
+        f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS INTEGER) AS {c}"
+        if c in _CATS else c for c in src_cols)
+
+
+sql("encoded_application", f"SELECT {_encode_select(_APP_COLS)} FROM application")
+
+_ENG = (f"SELECT *, {as_select(feature_select('DAYS_EMPLOYED', False))}, "
+        f"{ratio('BUREAU_CREDIT_SUM_DEBT', 'BUREAU_CREDIT_SUM')} AS BUREAU_DEBT_RATIO FROM ({MART}) m")
+_ENC_COLS = _APP_COLS + [c for c in MODEL_FEATURES if c not in _APP_COLS]
+ENC_CTES = {**ROLLUP_CTES, "eng": _ENG, "enc": f"SELECT {_encode_select(_ENC_COLS)} FROM eng"}
+
+sql("medians", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(median({c}) AS DOUBLE) AS median FROM enc" for c in MODEL_FEATURES),
+    ENC_CTES)
+
+_MEDS = "SELECT " + ", ".join(f"CAST(median({c}) AS DOUBLE) AS m_{c}" for c in MODEL_FEATURES) + " FROM enc"
+sql("imputed_application", "SELECT SK_ID_CURR, TARGET, " + ", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in MODEL_FEATURES) + " FROM enc CROSS JOIN meds",
+    {**ENC_CTES, "meds": _MEDS})
+
+_SIZES = """
+SELECT TARGET, n, n_train_floor, cont - n_train_floor AS frac,
+  n_train_total - sum(n_train_floor) OVER () AS need,
+  row_number() OVER (ORDER BY cont - n_train_floor DESC, TARGET) AS pri
+FROM (SELECT TARGET, n, n_train_total, n_train_total * n / total AS cont,
+        CAST(floor(n_train_total * n / total) AS BIGINT) AS n_train_floor
+      FROM (SELECT TARGET, count(*) AS n, sum(count(*)) OVER () AS total,
+              sum(count(*)) OVER () - CAST(ceil(0.2 * sum(count(*)) OVER ()) AS BIGINT) AS n_train_total
+            FROM application GROUP BY TARGET) c) f"""
+SIZES = ("SELECT TARGET, n, n_train_floor + CASE WHEN pri <= need THEN 1 ELSE 0 END AS n_train, "
+         "n - n_train_floor - CASE WHEN pri <= need THEN 1 ELSE 0 END AS n_test FROM sizes0")
+sql("split_sizes", "SELECT TARGET, n, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test "
+    "FROM sizes", {"sizes0": _SIZES, "sizes": SIZES})
+
+_H = "((((SK_ID_CURR % 2147483647) + 2147483647) % 2147483647 + 42) % 2147483647) * 48271 % 2147483647"
+sql("stratified_split", f"""
+SELECT SK_ID_CURR, TARGET, rk <= n_test AS is_test FROM (
+  SELECT a.SK_ID_CURR, a.TARGET, s.n_test,
+    row_number() OVER (PARTITION BY a.TARGET ORDER BY {_H}, a.SK_ID_CURR) AS rk
+  FROM application a JOIN sizes s ON a.TARGET = s.TARGET) r""", {"sizes0": _SIZES, "sizes": SIZES})
+
+sql("class_weights", """
+SELECT TARGET, n, CAST(total AS DOUBLE) / (k * n) AS balanced_weight,
+ CASE WHEN TARGET = 1 THEN CAST(neg AS DOUBLE) / NULLIF(pos, 0) ELSE 1.0::DOUBLE END AS pos_weight
+FROM (SELECT TARGET, count(*) AS n FROM application GROUP BY TARGET) c
+CROSS JOIN (SELECT count(*) AS total, count(DISTINCT TARGET) AS k,
+  count_if(TARGET = 0) AS neg, count_if(TARGET = 1) AS pos FROM application) t""")
