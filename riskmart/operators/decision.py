@@ -20,7 +20,9 @@ from riskmart.schemas import (BASE_RATE, CIBIL_BANDS, CIBIL_BASE, CIBIL_ELSE, CI
                               OFFICER_NOTE_PREFIX, RATE_SLOPE, RISK_BAND_EDGES, RISK_BAND_ELSE,
                               RISK_TEXTS, STRENGTH_TEXTS)
 
-P = F.col("p")
+
+def _p() -> Column:
+    return F.col("p")
 
 
 def _income() -> Column:
@@ -31,31 +33,36 @@ def _annuity() -> Column:
     return F.col("loan_amount") / F.greatest(F.col("tenure_months"), F.lit(1))
 
 
-def decision(p: Column = P, threshold: float = DEFAULT_THRESHOLD) -> Column:
+def decision(p: Column | None = None, threshold: float = DEFAULT_THRESHOLD) -> Column:
     """DEC-1."""
+    p = _p() if p is None else p
     return (F.when(p >= threshold, F.lit("REJECTED"))
              .when(p >= threshold * CONDITIONAL_FACTOR, F.lit("CONDITIONAL"))
              .otherwise(F.lit("APPROVED")))
 
 
-def confidence(dec: Column, p: Column = P) -> Column:
+def confidence(dec: Column, p: Column | None = None) -> Column:
     """DEC-2."""
+    p = _p() if p is None else p
     return round_even(F.when(dec == "APPROVED", (1 - p) * 100).otherwise(p * 100), 1)
 
 
-def prob_default_pct(p: Column = P) -> Column:
+def prob_default_pct(p: Column | None = None) -> Column:
     """DEC-3."""
+    p = _p() if p is None else p
     return round_even(p * 100, 2)
 
 
-def max_loan(p: Column = P) -> Column:
+def max_loan(p: Column | None = None) -> Column:
     """DEC-4 before rounding: min(credit, income * 5 * max(0.3, 1 - 1.5 p))."""
+    p = _p() if p is None else p
     mult = F.greatest(F.lit(MIN_LIMIT_MULTIPLIER), F.lit(1.0) - p * LIMIT_SLOPE)
     return F.least(F.col("loan_amount"), _income() * INCOME_LIMIT_MULTIPLE * mult)
 
 
-def rate(p: Column = P) -> Column:
+def rate(p: Column | None = None) -> Column:
     """DEC-5: rate in percent, one decimal."""
+    p = _p() if p is None else p
     return round_even(F.lit(BASE_RATE) + p * RATE_SLOPE, 1)
 
 
@@ -119,7 +126,7 @@ def reasons_long(df: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                  keys=("applicant_id",)) -> DataFrame:
     """One row per (applicant, kind, position): strengths, risks and the
     required documents, as codes (texts with numbers stay in ``decide``)."""
-    dec = decision(P, threshold)
+    dec = decision(_p(), threshold)
     conds = F.when(dec != "REJECTED", F.array(*[F.lit(c) for c in CONDITION_TEXTS])) \
         .otherwise(F.array().cast("array<string>"))
     parts = F.array(
@@ -140,11 +147,11 @@ def _helpers():
 def ml_columns(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """DEC-1..11 as flat columns (``ml_`` prefix)."""
     ext_mean, emp_y, income, d = _helpers()
-    dec = decision(P, threshold)
+    dec = decision(_p(), threshold)
     out = df.withColumns({
         "ml_decision": dec,
-        "ml_max_loan_raw": max_loan(P),
-        "ml_rate": rate(P),
+        "ml_max_loan_raw": max_loan(_p()),
+        "ml_rate": rate(_p()),
     })
     amount_raw = F.col("ml_max_loan_raw")
     return out.withColumns({
@@ -160,7 +167,7 @@ def ml_columns(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame
                                 F.array(*[F.lit(c) for c in CONDITION_TEXTS]))
         .otherwise(F.array().cast("array<string>")),
         "ml_officer_note": F.concat(
-            F.lit(OFFICER_NOTE_PREFIX.split("{")[0]), fixed(P * 100, 1),
+            F.lit(OFFICER_NOTE_PREFIX.split("{")[0]), fixed(_p() * 100, 1),
             F.lit(OFFICER_NOTE_PREFIX.split("}")[1]),
             F.when(F.col("ml_decision") == "APPROVED", F.lit(OFFICER_NOTE_ENDINGS["APPROVED"]))
              .when(F.col("ml_decision") == "CONDITIONAL", F.lit(OFFICER_NOTE_ENDINGS["CONDITIONAL"]))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskmart.session import ensure_checkpoint_dir
+
 PID = "_range_pid"
 
 
@@ -32,7 +34,13 @@ def prefix_sums(df: DataFrame, order_cols: list[str], weights: dict[str, str],
     ranked in an arbitrary but fixed order otherwise)."""
     groups, order = list(group_cols), list(order_cols)
     n = _partitions(df, num_partitions)
-    ranged = df.repartitionByRange(n, *groups, *order).withColumn(PID, F.spark_partition_id())
+    # The range bounds come from sampling, and spark_partition_id() is only
+    # meaningful for one evaluation of the exchange: both consumers below
+    # must see the same assignment, also when a lost executor forces a
+    # recomputation.  A reliable checkpoint (shared checkpoint folder) pins it.
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *groups, *order)
+              .withColumn(PID, F.spark_partition_id()).checkpoint(eager=True))
     local = Window.partitionBy(*groups, PID).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     with_local = ranged.withColumns({f"_loc_{o}": F.sum(w).over(local) for o, w in weights.items()})

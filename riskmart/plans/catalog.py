@@ -323,3 +323,56 @@ def q_stratified_split(spark, sf_dir):
 @register("class_weights", {"balanced_weight": 9, "pos_weight": 9})
 def q_class_weights(spark, sf_dir):
     return PR.class_weight_table(_t(spark, sf_dir).application())
+
+
+# ---------------------------------------------------------------- evaluation
+from functools import reduce as _reduce  # noqa: E402
+
+from riskmart.functions.nulls import row_mean  # noqa: E402
+from riskmart.operators import metrics as ME  # noqa: E402
+
+SCORE_DIGITS = 12
+
+
+def closed_form_scores(app: DataFrame) -> DataFrame:
+    """(scorer, SK_ID_CURR, TARGET, p) for three closed-form scorers of the
+    application rows: the logit formula, the rule scorecard's complement
+    and the mean external score's complement."""
+    logit = SC.mart_logit(app).select(F.lit("logit").alias("scorer"), "SK_ID_CURR", "TARGET", "p")
+    card = SC.scorecard(SC.mart_request_view(app), with_details=False).select(
+        F.lit("scorecard").alias("scorer"), "SK_ID_CURR", "TARGET",
+        (F.lit(1.0) - F.col("score") / 100).alias("p"))
+    ext = app.select(F.lit("external").alias("scorer"), "SK_ID_CURR", "TARGET",
+                     (F.lit(1.0) - F.coalesce(row_mean(FE.EXT), F.lit(0.5))).alias("p"))
+    parts = [logit, card, ext]
+    return _reduce(DataFrame.unionByName, parts).withColumn("p", F.bround("p", SCORE_DIGITS))
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    scored = SC.mart_logit(_t(spark, sf_dir).application())
+    return ME.confusion(scored)
+
+
+@register("roc_auc", {"roc_auc": 12})
+def q_roc_auc(spark, sf_dir):
+    scores = closed_form_scores(_t(spark, sf_dir).application())
+    return ME.roc_auc(scores, group_cols=("scorer",))
+
+
+@register("classification_report", {"precision": 9, "recall": 9, "f1": 9})
+def q_classification_report(spark, sf_dir):
+    scored = SC.mart_logit(_t(spark, sf_dir).application())
+    return ME.classification_report(scored)
+
+
+@register("leaderboard")
+def q_leaderboard(spark, sf_dir):
+    app = _t(spark, sf_dir).application()
+    split = PR.stratified_split(app)
+    test = closed_form_scores(split).join(split.where("is_test").select("SK_ID_CURR"), "SK_ID_CURR",
+                                          "left_semi")
+    rows = [ME.metrics_row(test.where(F.col("scorer") == s), s) for s in
+            ("logit", "scorecard", "external")]
+    board = ME.leaderboard(_reduce(DataFrame.unionByName, rows))
+    return board.drop("train_seconds")

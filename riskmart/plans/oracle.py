@@ -484,3 +484,94 @@ SELECT TARGET, n, CAST(total AS DOUBLE) / (k * n) AS balanced_weight,
 FROM (SELECT TARGET, count(*) AS n FROM application GROUP BY TARGET) c
 CROSS JOIN (SELECT count(*) AS total, count(DISTINCT TARGET) AS k,
   count_if(TARGET = 0) AS neg, count_if(TARGET = 1) AS pos FROM application) t""")
+
+
+# ---------------------------------------------------------------- evaluation
+def _logit_expr(terms: dict, inc: str) -> str:
+    z = dbl(LOGIT_INTERCEPT)
+    for name, coef in LOGIT_COEFFICIENTS:
+        z = f"({z} + {dbl(coef)} * {terms[name]})"
+    return z
+
+
+_INC = "least(greatest(AMT_INCOME_TOTAL, 15000.0::DOUBLE), 1500000.0::DOUBLE)"
+_EMP_Y = "CASE WHEN DAYS_EMPLOYED < 0 THEN -DAYS_EMPLOYED / 365 ELSE 0.0::DOUBLE END"
+_MART_TERMS = {
+    "ext1": "coalesce(EXT_SOURCE_1, 0.5::DOUBLE)", "ext2": "coalesce(EXT_SOURCE_2, 0.5::DOUBLE)",
+    "ext3": "coalesce(EXT_SOURCE_3, 0.5::DOUBLE)",
+    "credit_income": f"(AMT_CREDIT / {_INC})",
+    "annuity_income": f"(coalesce(AMT_ANNUITY, 0.0::DOUBLE) / {_INC})",
+    "age_years": "(-DAYS_BIRTH / 365)", "employment_years": f"({_EMP_Y})",
+    "region_is_3": "CAST(REGION_RATING_CLIENT = 3 AS DOUBLE)",
+    "is_unemployed": "CAST(NAME_INCOME_TYPE = 'Unemployed' AS DOUBLE)",
+    "is_higher_education": "CAST(NAME_EDUCATION_TYPE = 'Higher education' AS DOUBLE)",
+    "lives_with_parents": "CAST(NAME_HOUSING_TYPE = 'With parents' AS DOUBLE)",
+    "children": "CAST(CNT_CHILDREN AS DOUBLE)",
+}
+MLOGIT = (f"SELECT SK_ID_CURR, TARGET, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({_logit_expr(_MART_TERMS, _INC)}))) AS p "
+          "FROM application")
+_MREQ = f"""
+SELECT SK_ID_CURR, TARGET, {EXT_MEAN} AS ext_source_mean, {_EMP_Y} AS employment_years,
+ CAST(trunc(({_EMP_Y}) * 12) AS INTEGER) AS employment_months, FLAG_OWN_REALTY AS own_realty,
+ AMT_ANNUITY / greatest(AMT_INCOME_TOTAL / 12, 1.0::DOUBLE) AS annuity_income_ratio,
+ NAME_INCOME_TYPE AS income_type FROM application"""
+_MCARD = "SELECT SK_ID_CURR, TARGET, " + " + ".join(f"({v})" for v in CRIT.values()) + " AS score FROM mreq"
+SCORES = f"""
+SELECT scorer, SK_ID_CURR, TARGET, round_even(p, 12) AS p FROM (
+ SELECT 'logit' AS scorer, SK_ID_CURR, TARGET, p FROM mlogit
+ UNION ALL SELECT 'scorecard', SK_ID_CURR, TARGET, 1.0::DOUBLE - score / 100 FROM mcard
+ UNION ALL SELECT 'external', SK_ID_CURR, TARGET, 1.0::DOUBLE - coalesce({EXT_MEAN}, 0.5::DOUBLE) FROM application) u"""
+EVAL_CTES = {"mlogit": MLOGIT, "mreq": _MREQ, "mcard": _MCARD, "scores": SCORES}
+
+_CONF = """
+SELECT CAST(count_if(TARGET = 0 AND p < 0.35) AS BIGINT) AS tn, CAST(count_if(TARGET = 0 AND p >= 0.35) AS BIGINT) AS fp,
+ CAST(count_if(TARGET = 1 AND p < 0.35) AS BIGINT) AS fn, CAST(count_if(TARGET = 1 AND p >= 0.35) AS BIGINT) AS tp
+FROM {src}"""
+sql("confusion", _CONF.format(src="mlogit"), EVAL_CTES)
+
+_AUC = """
+SELECT {g}CAST(sum(pos * (coalesce(neg_before, 0) + neg / 2)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS roc_auc
+FROM (SELECT *, sum(neg) OVER (PARTITION BY {pg} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_before
+      FROM (SELECT {g}p AS s, count_if(TARGET = 1) AS pos, count_if(TARGET = 0) AS neg FROM {src} GROUP BY {g}p) a) b
+{gb}"""
+sql("roc_auc", _AUC.format(g="scorer, ", pg="scorer", src="scores", gb="GROUP BY scorer"), EVAL_CTES)
+
+
+def _div(a, b):
+    return f"coalesce(CAST({a} AS DOUBLE) / NULLIF({b}, 0), 0.0::DOUBLE)"
+
+
+_P0, _R0, _F0 = _div("tn", "tn + fn"), _div("tn", "tn + fp"), _div("2 * tn", "2 * tn + fn + fp")
+_P1, _R1, _F1 = _div("tp", "tp + fp"), _div("tp", "tp + fn"), _div("2 * tp", "2 * tp + fp + fn")
+sql("classification_report", f"""
+SELECT 1 AS row, 'Repaid' AS label, {_P0} AS precision, {_R0} AS recall, {_F0} AS f1, tn + fp AS support FROM conf
+UNION ALL SELECT 2, 'Default', {_P1}, {_R1}, {_F1}, fn + tp FROM conf
+UNION ALL SELECT 3, 'accuracy', NULL, NULL, {_div('tp + tn', 'tn + fp + fn + tp')}, tn + fp + fn + tp FROM conf
+UNION ALL SELECT 4, 'macro avg', ({_P0} + {_P1}) / 2, ({_R0} + {_R1}) / 2, ({_F0} + {_F1}) / 2, tn + fp + fn + tp FROM conf
+UNION ALL SELECT 5, 'weighted avg', {_div(f'{_P0} * (tn + fp) + {_P1} * (fn + tp)', 'tn + fp + fn + tp')},
+ {_div(f'{_R0} * (tn + fp) + {_R1} * (fn + tp)', 'tn + fp + fn + tp')},
+ {_div(f'{_F0} * (tn + fp) + {_F1} * (fn + tp)', 'tn + fp + fn + tp')}, tn + fp + fn + tp FROM conf""",
+    {**EVAL_CTES, "conf": _CONF.format(src="mlogit")})
+
+_TEST = f"""
+SELECT s.* FROM scores s JOIN (
+  SELECT SK_ID_CURR FROM (
+    SELECT a.SK_ID_CURR, z.n_test, row_number() OVER (PARTITION BY a.TARGET ORDER BY {_H}, a.SK_ID_CURR) AS rk
+    FROM application a JOIN sizes z ON a.TARGET = z.TARGET) r WHERE rk <= n_test) t USING (SK_ID_CURR)"""
+_MROW = f"""
+SELECT c.scorer AS model,
+ round_even({_div('2 * tp', '2 * tp + fp + fn')}, 4) AS f1_default,
+ round_even(({_div('2 * tn', '2 * tn + fn + fp')} + {_div('2 * tp', '2 * tp + fp + fn')}) / 2, 4) AS f1_macro,
+ round_even({_div(f"{_div('2 * tn', '2 * tn + fn + fp')} * (tn + fp) + {_div('2 * tp', '2 * tp + fp + fn')} * (fn + tp)", 'tn + fp + fn + tp')}, 4) AS f1_weighted,
+ round_even(a.roc_auc, 4) AS roc_auc,
+ round_even({_div('tp', 'tp + fp')}, 4) AS precision, round_even({_div('tp', 'tp + fn')}, 4) AS recall,
+ CAST(tp AS INTEGER) AS true_positives, CAST(fn AS INTEGER) AS false_negatives
+FROM (SELECT scorer, count_if(TARGET = 0 AND p < 0.35) AS tn, count_if(TARGET = 0 AND p >= 0.35) AS fp,
+        count_if(TARGET = 1 AND p < 0.35) AS fn, count_if(TARGET = 1 AND p >= 0.35) AS tp
+      FROM test GROUP BY scorer) c
+JOIN ({_AUC.format(g='scorer, ', pg='scorer', src='test', gb='GROUP BY scorer')}) a ON a.scorer = c.scorer"""
+sql("leaderboard", """
+SELECT *, CAST(row_number() OVER (ORDER BY f1_default DESC, model) AS INTEGER) AS rank,
+ CASE row_number() OVER (ORDER BY f1_default DESC, model) WHEN 1 THEN 'gold' WHEN 2 THEN 'silver'
+   WHEN 3 THEN 'bronze' END AS mark
+FROM mrow""", {**EVAL_CTES, "sizes0": _SIZES, "sizes": SIZES, "test": _TEST, "mrow": _MROW})
