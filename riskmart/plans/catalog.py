@@ -376,3 +376,117 @@ def q_leaderboard(spark, sf_dir):
             ("logit", "scorecard", "external")]
     board = ME.leaderboard(_reduce(DataFrame.unionByName, rows))
     return board.drop("train_seconds")
+
+
+# ---------------------------------------------------------------- models
+from riskmart.operators import models as MD  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf_dir, keys=tuple(MD.COMPARISON), fast=True):
+    """Fit once per (application, data folder, presets) and reuse: several
+    registered queries read the same fitted models."""
+    from riskmart.plans.training import train_and_compare
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(keys), fast)
+    if key not in _TRAINED:
+        _TRAINED[key] = train_and_compare(spark, _t(spark, sf_dir), list(keys), fast)
+    return _TRAINED[key]
+
+
+def _single_preset(spark, sf_dir, key):
+    board, _ = trained(spark, sf_dir, (key,), True)
+    return board.drop("rank", "mark", "error")
+
+
+@register("train_gbt_metrics")
+def q_train_gbt_metrics(spark, sf_dir):
+    return _single_preset(spark, sf_dir, "gbt_a")
+
+
+@register("train_rf_metrics")
+def q_train_rf_metrics(spark, sf_dir):
+    return _single_preset(spark, sf_dir, "random_forest")
+
+
+@register("train_lr_metrics")
+def q_train_lr_metrics(spark, sf_dir):
+    return _single_preset(spark, sf_dir, "logistic")
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    board, _ = trained(spark, sf_dir)
+    return board.drop("error")
+
+
+@register("model_info")
+def q_model_info(spark, sf_dir):
+    _, path = trained(spark, sf_dir)
+    return MD.model_info(MD.load_model(path) if path else None)
+
+
+@register("model_decisions")
+def q_model_decisions(spark, sf_dir):
+    from riskmart.plans.training import score_requests
+    _, path = trained(spark, sf_dir)
+    bundle = MD.load_model(path) if path else None
+    out = score_requests(_t(spark, sf_dir).applicants(), bundle)
+    return out.select("applicant_id", "pre_screening.score",
+                      *[F.col(f"ml_result.{f}").alias(f) for f in
+                        ("decision", "confidence", "prob_default", "max_eligible_amount",
+                         "suggested_interest_rate", "estimated_emi")])
+
+
+# ---------------------------------------------------------------- sources, sinks, streams
+from riskmart.session import scratch_path  # noqa: E402
+from riskmart.sources import readers as RD  # noqa: E402
+
+
+@register("csv_rollup_bureau", BUREAU_DIGITS)
+def q_csv_rollup_bureau(spark, sf_dir):
+    """SRC-2 end to end: the bureau view written as CSV (missing values as
+    the text NaN), read back with the explicit schema, rolled up."""
+    path = scratch_path(spark, "bureau-csv")
+    (_t(spark, sf_dir).bureau().write.option("header", True).option("nullValue", "NaN")
+     .mode("overwrite").csv(path))
+    return RU.rollup_bureau(RD.read_bureau(spark, path))
+
+
+@register("json_applicant_split")
+def q_json_applicant_split(spark, sf_dir):
+    """SRC-6 + VAL-2: requests as JSON text fields, read, coerced, checked."""
+    from riskmart.streaming.scoring import write_requests_json
+    path = scratch_path(spark, "applicants-json")
+    write_requests_json(_t(spark, sf_dir).applicants(), path)
+    checked = VA.prepare_requests(RD.read_applicants(spark, path))
+    n = F.size(VA.VIOLATIONS)
+    return checked.select("applicant_id",
+                          F.when(n == 0, "valid").otherwise("rejected").alias("status"),
+                          n.cast("int").alias("n_violations"))
+
+
+def _run_stream(spark, sf_dir) -> str:
+    from riskmart.streaming.scoring import score_stream, write_requests_json
+    base = scratch_path(spark, "score-stream")
+    write_requests_json(_t(spark, sf_dir).applicants(), f"{base}/in")
+    q = score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
+                     rejected_dir=f"{base}/rejected", scorer="logit")
+    q.awaitTermination()
+    return base
+
+
+@register("stream_decisions")
+def q_stream_decisions(spark, sf_dir):
+    base = _run_stream(spark, sf_dir)
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("applicant_id", F.col("ml_result.decision").alias("decision"),
+                      F.col("ml_result.confidence").alias("confidence"),
+                      F.col("ml_result.prob_default").alias("prob_default"))
+
+
+@register("stream_rejected")
+def q_stream_rejected(spark, sf_dir):
+    base = _run_stream(spark, sf_dir)
+    rej = spark.read.parquet(f"{base}/rejected")
+    return rej.select("applicant_id", F.size(VA.VIOLATIONS).cast("bigint").alias("n_violations"))

@@ -575,3 +575,11 @@ SELECT *, CAST(row_number() OVER (ORDER BY f1_default DESC, model) AS INTEGER) A
  CASE row_number() OVER (ORDER BY f1_default DESC, model) WHEN 1 THEN 'gold' WHEN 2 THEN 'silver'
    WHEN 3 THEN 'bronze' END AS mark
 FROM mrow""", {**EVAL_CTES, "sizes0": _SIZES, "sizes": SIZES, "test": _TEST, "mrow": _MROW})
+
+
+# ---------------------------------------------------------------- sources, sinks, streams
+SQL["csv_rollup_bureau"] = SQL["rollup_bureau"]
+SQL["json_applicant_split"] = SQL["applicant_split"]
+SQL["stream_decisions"] = SQL["decisions"]
+sql("stream_rejected", "SELECT applicant_id, count(*) AS n_violations FROM viol GROUP BY applicant_id",
+    REQ_CTES)
