@@ -48,9 +48,10 @@ def coerce(df: DataFrame) -> DataFrame:
             cols[f] = F.when(whole, d.cast("int"))
             bad.append(F.when(raw.isNotNull() & ~F.coalesce(whole, F.lit(False)),
                               F.lit(f"{f}:type")))
-    out = df.withColumns(cols) if cols else df
-    return out.withColumn("_type_errors", F.array_compact(F.array(*bad)) if bad
-                          else F.array().cast("array<string>"))
+    # One projection: the type checks must read the raw text columns.
+    cols["_type_errors"] = (F.array_compact(F.array(*bad)) if bad
+                            else F.array().cast("array<string>"))
+    return df.withColumns(cols)
 
 
 def _range_rules(ranges: dict, present: set) -> list[Column]:
