@@ -182,12 +182,14 @@ def with_weights(df: DataFrame, kind: str = "balanced", label: str = LABEL_COL,
 
 # ----------------------------------------------------------------- SPL-1
 MOD = 2147483647          # 2^31 - 1
-MULT = 48271              # multiplicative hash constant (minimal standard)
+MULT = 950706376          # Lehmer multiplier for 2^31-1 (Fishman-Moore optimal);
+                          # x * MULT < 2^62 stays exact in BIGINT arithmetic
 
 
 def split_hash(id_col: str = ID_COL, seed: int = SPLIT_SEED) -> Column:
-    """h in [0, 2^31-1): a fixed permutation of (id + seed) mod (2^31-1);
-    plain BIGINT arithmetic, the same in any SQL engine."""
+    """h in [0, 2^31-1): a fixed pseudo-random permutation of
+    (id + seed) mod (2^31-1) (one Lehmer step, so consecutive ids spread over
+    the whole range); plain BIGINT arithmetic, the same in any SQL engine."""
     return F.pmod(F.pmod(F.col(id_col), F.lit(MOD)) + seed, F.lit(MOD)) * MULT % MOD
 
 

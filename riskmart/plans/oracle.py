@@ -471,7 +471,7 @@ SIZES = ("SELECT TARGET, n, n_train_floor + CASE WHEN pri <= need THEN 1 ELSE 0
 sql("split_sizes", "SELECT TARGET, n, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test "
     "FROM sizes", {"sizes0": _SIZES, "sizes": SIZES})
 
-_H = "((((SK_ID_CURR % 2147483647) + 2147483647) % 2147483647 + 42) % 2147483647) * 48271 % 2147483647"
+_H = "((((SK_ID_CURR % 2147483647) + 2147483647) % 2147483647 + 42) % 2147483647) * 950706376 % 2147483647"
 sql("stratified_split", f"""
 SELECT SK_ID_CURR, TARGET, rk <= n_test AS is_test FROM (
   SELECT a.SK_ID_CURR, a.TARGET, s.n_test,
