@@ -21,10 +21,10 @@ def classify(p: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
 
 
 def confusion(df: DataFrame, label: str = LABEL_COL, prob: str = "p",
-              threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """EVL-3: one row (tn, fp, fn, tp)."""
+              threshold: float = DEFAULT_THRESHOLD, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """EVL-3: (tn, fp, fn, tp), one row (per group)."""
     y, yhat = F.col(label), classify(F.col(prob), threshold)
-    return df.agg(
+    return df.groupBy(*group_cols).agg(
         F.count_if((y == 0) & (yhat == 0)).alias("tn"), F.count_if((y == 0) & (yhat == 1)).alias("fp"),
         F.count_if((y == 1) & (yhat == 0)).alias("fn"), F.count_if((y == 1) & (yhat == 1)).alias("tp"))
 
@@ -111,6 +111,23 @@ def metrics_row(scored: DataFrame, model: str, label: str = LABEL_COL, prob: str
          .alias("train_seconds"))
 
 
+def metrics_table(scored: DataFrame, model_col: str = "model", label: str = LABEL_COL,
+                  prob: str = "p", threshold: float = DEFAULT_THRESHOLD,
+                  auc_digits: int | None = None) -> DataFrame:
+    """EVL-7 for many models at once: one pass of grouped counts and one
+    grouped AUC over the long (model, label, p) table; one row per model."""
+    g = (model_col,)
+    c = scores_from_counts(confusion(scored, label, prob, threshold, g))
+    auc = roc_auc(scored, label, prob, auc_digits, g)
+    return c.join(auc, model_col).select(   # one row per model on each side
+        F.col(model_col).alias("model"),
+        *[F.bround(x, 4).alias(x) for x in ("f1_default", "f1_macro", "f1_weighted")],
+        F.bround("roc_auc", 4).alias("roc_auc"),
+        F.bround("precision", 4).alias("precision"), F.bround("recall", 4).alias("recall"),
+        F.col("tp").cast("int").alias("true_positives"),
+        F.col("fn").cast("int").alias("false_negatives"))
+
+
 def leaderboard(metrics: DataFrame) -> DataFrame:
     """LDB-1/2: rank by F1 of the default class (descending, model name
     breaks ties) and mark the top three.  A metrics table has one row per

@@ -54,11 +54,11 @@ def fit_label_codes(df: DataFrame, cols: list[str],
 
 def code_maps(codes: DataFrame) -> dict[str, dict[str, int]]:
     """Collect the (bounded) code table to the driver, checking its size."""
-    n = codes.count()
-    if n > MAX_CODE_MAP:
-        raise ValueError(f"code table has {n} entries; too many categories to hold as a map")
+    rows = codes.limit(MAX_CODE_MAP + 1).collect()
+    if len(rows) > MAX_CODE_MAP:
+        raise ValueError("code table too large to hold as a map; use apply_label_codes_join")
     out: dict[str, dict[str, int]] = {}
-    for r in codes.collect():
+    for r in rows:
         out.setdefault(r["column"], {})[r["value"]] = r["code"]
     return out
 
@@ -122,8 +122,10 @@ def median_table(df: DataFrame, cols: list[str], exact: bool = True,
         med = lv.groupBy("column").agg(F.percentile_approx("value", 0.5, 10000).alias("median"))
         return names.join(med, "column", "left")
     counts = lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     ranked = prefix_sums(counts, ["value"], {"cum": "n"}, ("column",), num_partitions)
+    # totals from the ranked (checkpointed) table: the final job does not
+    # go back to the source rows
+    totals = ranked.groupBy("column").agg(F.max("cum_incl").alias("total"))
     # 0-based ranks of the two middle values.
     lo = F.floor((F.col("total") - 1) / 2)
     hi = F.ceil((F.col("total") - 1) / 2)

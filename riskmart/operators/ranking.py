@@ -12,6 +12,7 @@ distinct keys before ranking (medians, AUC) or rank unique keys.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,15 @@ def prefix_sums(df: DataFrame, order_cols: list[str], weights: dict[str, str],
     # meaningful for one evaluation of the exchange: both consumers below
     # must see the same assignment, also when a lost executor forces a
     # recomputation.  A reliable checkpoint (shared checkpoint folder) pins it.
+    # The input is cached for the two passes the eager checkpoint makes
+    # (range-bound sampling, then the write) and released right after.
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *groups, *order)
-              .withColumn(PID, F.spark_partition_id()).checkpoint(eager=True))
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = (src.repartitionByRange(n, *groups, *order)
+                  .withColumn(PID, F.spark_partition_id()).checkpoint(eager=True))
+    finally:
+        src.unpersist()
     local = Window.partitionBy(*groups, PID).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     with_local = ranged.withColumns({f"_loc_{o}": F.sum(w).over(local) for o, w in weights.items()})

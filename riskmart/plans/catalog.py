@@ -269,12 +269,16 @@ MART_COLUMNS = ([f.name for f in APPLICATION_SCHEMA.fields] + RU.ROLLUP_COLS + F
 MODEL_FEATURES = [c for c in MART_COLUMNS if c not in ("SK_ID_CURR", "TARGET")]
 
 
-def engineered_mart(spark, sf_dir) -> DataFrame:
-    return FE.engineer_features(RU.mart_from_tables(_t(spark, sf_dir)), "mart")
+def engineered_mart(spark, sf_dir, materialize: bool = False) -> DataFrame:
+    """The mart with FE-1..14; ``materialize`` cuts its lineage in the shared
+    checkpoint folder when several jobs read it (codes, medians, imputation)."""
+    from riskmart.session import materialize as _materialize
+    eng = FE.engineer_features(RU.mart_from_tables(_t(spark, sf_dir)), "mart")
+    return _materialize(eng, "feature-mart") if materialize else eng
 
 
 def encoded_mart(spark, sf_dir, maps=None) -> DataFrame:
-    mart = engineered_mart(spark, sf_dir)
+    mart = engineered_mart(spark, sf_dir, materialize=True)
     if maps is None:
         maps = PR.code_maps(PR.fit_label_codes(mart, MART_CATEGORICAL))
     return PR.apply_label_codes(mart, maps)
@@ -372,10 +376,8 @@ def q_leaderboard(spark, sf_dir):
     split = PR.stratified_split(app)
     test = closed_form_scores(split).join(split.where("is_test").select("SK_ID_CURR"), "SK_ID_CURR",
                                           "left_semi")
-    rows = [ME.metrics_row(test.where(F.col("scorer") == s), s) for s in
-            ("logit", "scorecard", "external")]
-    board = ME.leaderboard(_reduce(DataFrame.unionByName, rows))
-    return board.drop("train_seconds")
+    board = ME.leaderboard(ME.metrics_table(test, model_col="scorer"))
+    return board
 
 
 # ---------------------------------------------------------------- models

@@ -29,7 +29,7 @@ from riskmart.operators import rollups as RU
 from riskmart.operators import scorecard as SC
 from riskmart.operators import validation as VA
 from riskmart.schemas import DEFAULT_THRESHOLD, ID_COL, LABEL_COL, MART_CATEGORICAL
-from riskmart.session import ensure_checkpoint_dir, scratch_path
+from riskmart.session import materialize, scratch_path
 
 
 @dataclass
@@ -45,8 +45,7 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
     """Features, codes, split and imputation of the (rolled-up) mart."""
     # The feature mart feeds several jobs (split sizes, code maps, medians,
     # the fits): cut its lineage once in the shared checkpoint folder.
-    ensure_checkpoint_dir(mart.sparkSession)
-    eng = FE.engineer_features(mart, "mart").checkpoint(eager=True)
+    eng = materialize(FE.engineer_features(mart, "mart"), "feature-mart")
     split = PR.stratified_split(eng)
     fit_rows = split.where(~F.col("is_test")) if fit_scope == "train" else split
     maps = PR.code_maps(PR.fit_label_codes(fit_rows, MART_CATEGORICAL))

@@ -57,3 +57,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster: the checkpoint folder is the cluster's shared storage)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table in the shared checkpoint folder and
+    read it back: lineage is cut, later jobs read columns selectively, and a
+    lost executor re-reads the table instead of recomputing upstream."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
