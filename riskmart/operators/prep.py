@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from riskmart.operators.ranking import prefix_sums
 from riskmart.schemas import (ID_COL, LABEL_COL, MISSING_CATEGORY_TEXT, SPLIT_SEED, TEST_SHARE)
 
-MAX_CODE_MAP = 1_000_000    # distinct categories per column held as a literal map
+MAX_CODE_MAP = 10_000       # code-table rows held as literal maps in the plan
 MAX_CLASSES = 10_000
 
 
@@ -46,17 +46,23 @@ def fit_label_codes(df: DataFrame, cols: list[str],
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _as_label(c, missing_label).alias("value"))
                       for c in cols])
     distinct = df.select(F.inline(pairs)).distinct()
-    # One row per (column, distinct label): bounded by category cardinality.
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
-
-
-def code_maps(codes: DataFrame) -> dict[str, dict[str, int]]:
-    """Collect the (bounded) code table to the driver, checking its size."""
+    # Few labels (the usual case): one small window per column.  Many labels:
+    # distributed ranking, so no column's labels have to fit one task.
+    if distinct.limit(MAX_CODE_MAP + 1).count() <= MAX_CODE_MAP:
+        from pyspark.sql import Window
+        w = Window.partitionBy("column").orderBy("value")
+        return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    ones = distinct.withColumn("_one", F.lit(1))
+    ranked = prefix_sums(ones, ["value"], {"_rank": "_one"}, ("column",))
+    return ranked.select("column", "value", F.col("_rank_before").cast("int").alias("code"))
+
+
+def code_maps(codes: DataFrame) -> dict[str, dict[str, int]] | None:
+    """Collect the code table to the driver when it is small (checked);
+    None when it is too large (use ``apply_label_codes_join``)."""
     rows = codes.limit(MAX_CODE_MAP + 1).collect()
     if len(rows) > MAX_CODE_MAP:
-        raise ValueError("code table too large to hold as a map; use apply_label_codes_join")
+        return None
     out: dict[str, dict[str, int]] = {}
     for r in rows:
         out.setdefault(r["column"], {})[r["value"]] = r["code"]
@@ -79,7 +85,9 @@ def apply_label_codes(df: DataFrame, maps: dict[str, dict[str, int]],
 def apply_label_codes_join(df: DataFrame, codes: DataFrame, cols: list[str],
                            missing_label: str = MISSING_CATEGORY_TEXT) -> DataFrame:
     """ENC-2 as joins against the code table (for code tables too large to
-    hold as a literal map); unseen -> 0."""
+    hold as a literal map); unseen -> 0.  Whether a code table is broadcast
+    is left to the planner (AQE converts to a broadcast from the measured
+    size)."""
     out = df
     for c in [c for c in cols if c in df.columns]:
         m = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"),
@@ -91,6 +99,16 @@ def apply_label_codes_join(df: DataFrame, codes: DataFrame, cols: list[str],
     return out
 
 
+def encode(df: DataFrame, codes: DataFrame, cols: list[str],
+           missing_label: str = MISSING_CATEGORY_TEXT) -> tuple[DataFrame, dict | None]:
+    """ENC-2 with the cheaper form that fits: literal maps for small code
+    tables, joins otherwise.  Returns (encoded, maps or None)."""
+    maps = code_maps(codes)
+    if maps is not None:
+        return apply_label_codes(df, maps, missing_label), maps
+    return apply_label_codes_join(df, codes, cols, missing_label), None
+
+
 # ----------------------------------------------------------------- IMP
 def _numeric(df: DataFrame, cols: list[str]) -> list[str]:
     num = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,

@@ -49,9 +49,12 @@ def coerce(df: DataFrame) -> DataFrame:
             bad.append(F.when(raw.isNotNull() & ~F.coalesce(whole, F.lit(False)),
                               F.lit(f"{f}:type")))
     # One projection: the type checks must read the raw text columns.
-    cols["_type_errors"] = (F.array_compact(F.array(*bad)) if bad
-                            else F.array().cast("array<string>"))
-    return df.withColumns(cols)
+    errors = (F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>"))
+    if "_explicit_nulls" in df.columns:
+        errors = F.concat(F.col("_explicit_nulls"), errors)
+    cols["_type_errors"] = errors
+    out = df.withColumns(cols)
+    return out.drop("_explicit_nulls") if "_explicit_nulls" in df.columns else out
 
 
 def _range_rules(ranges: dict, present: set) -> list[Column]:

@@ -279,9 +279,9 @@ def engineered_mart(spark, sf_dir, materialize: bool = False) -> DataFrame:
 
 def encoded_mart(spark, sf_dir, maps=None) -> DataFrame:
     mart = engineered_mart(spark, sf_dir, materialize=True)
-    if maps is None:
-        maps = PR.code_maps(PR.fit_label_codes(mart, MART_CATEGORICAL))
-    return PR.apply_label_codes(mart, maps)
+    if maps is not None:
+        return PR.apply_label_codes(mart, maps)
+    return PR.encode(mart, PR.fit_label_codes(mart, MART_CATEGORICAL), MART_CATEGORICAL)[0]
 
 
 @register("label_codes")
@@ -292,8 +292,7 @@ def q_label_codes(spark, sf_dir):
 @register("encoded_application")
 def q_encoded_application(spark, sf_dir):
     app = _t(spark, sf_dir).application()
-    maps = PR.code_maps(PR.fit_label_codes(app, MART_CATEGORICAL))
-    return PR.apply_label_codes(app, maps)
+    return PR.encode(app, PR.fit_label_codes(app, MART_CATEGORICAL), MART_CATEGORICAL)[0]
 
 
 @register("medians", {"median": 6})

@@ -37,8 +37,9 @@ class Prepared:
     train: DataFrame
     test: DataFrame
     feature_cols: list[str]
-    code_maps: dict
+    code_maps: dict | None
     medians: dict
+    codes: DataFrame | None = None
 
 
 def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = True) -> Prepared:
@@ -48,8 +49,8 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
     eng = materialize(FE.engineer_features(mart, "mart"), "feature-mart")
     split = PR.stratified_split(eng)
     fit_rows = split.where(~F.col("is_test")) if fit_scope == "train" else split
-    maps = PR.code_maps(PR.fit_label_codes(fit_rows, MART_CATEGORICAL))
-    enc = PR.apply_label_codes(split, maps)
+    codes = PR.fit_label_codes(fit_rows, MART_CATEGORICAL)
+    enc, maps = PR.encode(split, codes, MART_CATEGORICAL)
     feats = PR.feature_columns(enc, exclude=(ID_COL, LABEL_COL, "is_test"))
     fit_enc = enc.where(~F.col("is_test")) if fit_scope == "train" else enc
     medians = PR.fit_medians(fit_enc, feats, exact=exact_medians)
@@ -57,7 +58,8 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
     feats = [c for c in feats if c in imputed.columns]
     imputed = imputed.select(ID_COL, LABEL_COL, "is_test", *feats)
     return Prepared(imputed.where(~F.col("is_test")).drop("is_test"),
-                    imputed.where(F.col("is_test")).drop("is_test"), feats, maps, medians)
+                    imputed.where(F.col("is_test")).drop("is_test"), feats, maps, medians,
+                    codes)
 
 
 def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: bool = False,
@@ -73,6 +75,8 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: boo
         best = best_rows[0]
         key = next(k for k in keys if MD.PRESETS[k].name == best["model"])
         path = save_to or scratch_path(spark, "model-bundle")
+        if prep.code_maps is None:            # too many labels for literal maps
+            prep.codes.write.mode("overwrite").parquet(f"{path}/codes")
         MD.save_model(models[key], {
             "feature_cols": prep.feature_cols,
             "code_maps": prep.code_maps,
@@ -88,6 +92,12 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: boo
     return board, path
 
 
+def bundle_path(bundle) -> str:
+    """Folder of a loaded bundle (the metadata was read from <path>/metadata)."""
+    files = bundle[1].inputFiles()
+    return files[0].rsplit("/metadata", 1)[0]
+
+
 def bundle_parts(bundle) -> tuple[PipelineModel, dict]:
     import json
     model, meta_df = bundle
@@ -112,7 +122,11 @@ def score_requests(requests: DataFrame, bundle=None, parity: bool = True,
     # scorecard has consumed them, so they go.
     carded = carded.drop("ext_source_mean", "employment_years", "annuity_income_ratio")
     feats = FE.request_features(carded, parity=parity, keep=carded.columns)
-    enc = PR.apply_label_codes(feats, meta["code_maps"])
+    if meta.get("code_maps"):
+        enc = PR.apply_label_codes(feats, meta["code_maps"])
+    else:
+        codes = feats.sparkSession.read.parquet(f"{bundle_path(bundle)}/codes")
+        enc = PR.apply_label_codes_join(feats, codes, MART_CATEGORICAL)
     aligned = FE.align_features(enc, meta["feature_cols"], keep=carded.columns)
     imputed = PR.impute(aligned, {c: meta["medians"].get(c) for c in meta["feature_cols"]},
                         drop_empty=False)

@@ -9,10 +9,11 @@ every field as text and coerced afterwards (browsers send "2" for ints).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskmart.functions.nulls import nan_to_null_all
 from riskmart.operators.validation import coerce
-from riskmart.schemas import (APPLICANT_RAW_SCHEMA, APPLICATION_SCHEMA, BUREAU_SCHEMA,
+from riskmart.schemas import (APPLICANT_DEFAULTS, APPLICANT_RAW_SCHEMA, APPLICATION_SCHEMA, BUREAU_SCHEMA,
                               INSTALLMENTS_SCHEMA, POS_CASH_SCHEMA, PREVIOUS_SCHEMA)
 
 FILE_NAMES = {
@@ -55,10 +56,23 @@ def read_pos_cash(spark: SparkSession, path: str) -> DataFrame:
     return read_csv_table(spark, path, POS_CASH_SCHEMA)
 
 
-def read_applicants(spark: SparkSession, path: str) -> DataFrame:
+def parse_requests(lines: DataFrame, text_col: str = "value") -> DataFrame:
+    """JSON request lines -> raw text fields, plus ``_explicit_nulls``: the
+    optional fields sent as an explicit ``null`` (the reference rejects
+    those; only an absent key takes the default).  Works on a stream too."""
+    parsed = lines.select(F.from_json(F.col(text_col), APPLICANT_RAW_SCHEMA).alias("r"),
+                          F.json_object_keys(F.col(text_col)).alias("_keys"))
+    flags = [F.when(F.array_contains("_keys", f) & F.col(f"r.{f}").isNull(), F.lit(f"{f}:null"))
+             for f in APPLICANT_DEFAULTS]
+    return parsed.select("r.*", F.array_compact(F.array(*flags)).alias("_explicit_nulls"))
+
+
+def read_applicants(spark: SparkSession, path: str, detect_explicit_null: bool = True) -> DataFrame:
     """SRC-6: request records (JSON lines), every field read as text, then
-    coerced; type errors are kept for ``violations``."""
-    return coerce(spark.read.schema(APPLICANT_RAW_SCHEMA).json(path))
+    coerced; type errors (and explicit nulls) are kept for ``violations``."""
+    if not detect_explicit_null:
+        return coerce(spark.read.schema(APPLICANT_RAW_SCHEMA).json(path))
+    return coerce(parse_requests(spark.read.text(path)))
 
 
 class LendingFiles:

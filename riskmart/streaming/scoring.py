@@ -17,6 +17,7 @@ from riskmart.operators import features as FE
 from riskmart.operators import scorecard as SC
 from riskmart.operators import validation as VA
 from riskmart.schemas import APPLICANT_RAW_SCHEMA
+from riskmart.sources.readers import parse_requests
 
 
 def decide_batch(requests: DataFrame, scorer: str = "logit", bundle=None) -> tuple[DataFrame, DataFrame]:
@@ -40,10 +41,11 @@ def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
                  rejected_dir: str | None = None, scorer: str = "logit", bundle=None,
                  available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the scoring stream; returns the ``StreamingQuery``."""
-    reader = spark.readStream.schema(APPLICANT_RAW_SCHEMA)
+    reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    requests = VA.coerce(reader.json(in_dir))
+    # raw JSON lines: explicit nulls are told apart from absent keys
+    requests = VA.coerce(parse_requests(reader.load(in_dir)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         decisions, rejected = decide_batch(batch, scorer, bundle)

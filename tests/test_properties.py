@@ -106,3 +106,19 @@ def test_class_weights(spark):
     w = {r.TARGET: r for r in PR.class_weight_table(df).collect()}
     assert w[0].balanced_weight == 8 / (2 * 6) and w[1].balanced_weight == 8 / (2 * 2)
     assert w[1].pos_weight == 3.0 and w[0].pos_weight == 1.0
+
+
+def test_label_codes_distributed_path_matches_window_path(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(f"v{rnd.randint(0, 300):03d}", rnd.choice(["x", "y", None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    small = {(r.column, r.value): r.code for r in PR.fit_label_codes(df, ["a", "b"]).collect()}
+    monkeypatch.setattr(PR, "MAX_CODE_MAP", 5)
+    codes = PR.fit_label_codes(df, ["a", "b"])
+    big = {(r.column, r.value): r.code for r in codes.collect()}
+    assert big == small
+    enc, maps = PR.encode(df, codes, ["a", "b"])
+    assert maps is None
+    want = PR.apply_label_codes(df, {c: {v: k for (cc, v), k in small.items() if cc == c}
+                                     for c in ("a", "b")})
+    assert sorted(map(tuple, enc.collect())) == sorted(map(tuple, want.collect()))

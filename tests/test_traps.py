@@ -121,3 +121,15 @@ def test_t22_truncation(spark):
 def test_clip_lower_null(spark):
     r = one(spark.range(1).select(clip_lower(F.lit(None).cast(T.DoubleType())).alias("c")))
     assert r.c is None
+
+
+def test_val1_explicit_null_rejected_absent_defaulted(spark, tmp_path):
+    from riskmart.sources.readers import read_applicants
+    p = tmp_path / "req.json"
+    p.write_text('{"applicant_id": 1, "name": "A", "age": "30", "monthly_income": 1000, '
+                 '"loan_amount": 5000, "gender": null}\n'
+                 '{"applicant_id": 2, "name": "B", "age": 30, "monthly_income": "1000", '
+                 '"loan_amount": 5000, "region_rating": "2"}\n')
+    rows = {r.applicant_id: r for r in VA.prepare_requests(read_applicants(spark, str(p))).collect()}
+    assert rows[1].violations == ["gender:null"]
+    assert rows[2].violations == [] and rows[2].gender == "M" and rows[2].region_rating == 2
