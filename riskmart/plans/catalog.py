@@ -396,7 +396,7 @@ def trained(spark, sf_dir, keys=tuple(MD.COMPARISON), fast=True):
 
 
 def _single_preset(spark, sf_dir, key):
-    board, _ = trained(spark, sf_dir, (key,), True)
+    board, _, _ = trained(spark, sf_dir, (key,), True)
     return board.drop("rank", "mark", "error")
 
 
@@ -417,20 +417,27 @@ def q_train_lr_metrics(spark, sf_dir):
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    board, _ = trained(spark, sf_dir)
+    board, _, _ = trained(spark, sf_dir)
     return board.drop("error")
 
 
+@register("best_model_report")
+def q_best_model_report(spark, sf_dir):
+    from riskmart.plans.training import best_model_report
+    board, path, prep = trained(spark, sf_dir)
+    return best_model_report(prep, path)
+
+
 @register("model_info")
 def q_model_info(spark, sf_dir):
-    _, path = trained(spark, sf_dir)
+    _, path, _ = trained(spark, sf_dir)
     return MD.model_info(MD.load_model(path) if path else None)
 
 
 @register("model_decisions")
 def q_model_decisions(spark, sf_dir):
     from riskmart.plans.training import score_requests
-    _, path = trained(spark, sf_dir)
+    _, path, _ = trained(spark, sf_dir)
     bundle = MD.load_model(path) if path else None
     out = score_requests(_t(spark, sf_dir).applicants(), bundle)
     return out.select("applicant_id", "pre_screening.score",
@@ -454,6 +461,22 @@ def q_csv_rollup_bureau(spark, sf_dir):
     return RU.rollup_bureau(RD.read_bureau(spark, path))
 
 
+@register("csv_feature_mart", MART_DIGITS)
+def q_csv_feature_mart(spark, sf_dir):
+    """SRC-1..5 end to end: the five lending views written as CSV files
+    under their usual file names, read back with explicit schemas (text NaN
+    -> NULL), rolled up and joined."""
+    base = scratch_path(spark, "lending-csv")
+    t = _t(spark, sf_dir)
+    views = {"application": t.application(), "bureau": t.bureau(),
+             "previous_application": t.previous_application(),
+             "installments_payments": t.installments_payments(),
+             "pos_cash_balance": t.pos_cash_balance()}
+    for key, df in views.items():
+        df.write.option("header", True).mode("overwrite").csv(f"{base}/{RD.FILE_NAMES[key]}.csv")
+    return RU.mart_from_tables(RD.LendingFiles(spark, base))
+
+
 @register("json_applicant_split")
 def q_json_applicant_split(spark, sf_dir):
     """SRC-6 + VAL-2: requests as JSON text fields, read, coerced, checked."""

@@ -579,6 +579,7 @@ FROM mrow""", {**EVAL_CTES, "sizes0": _SIZES, "sizes": SIZES, "test": _TEST, "mr
 
 # ---------------------------------------------------------------- sources, sinks, streams
 SQL["csv_rollup_bureau"] = SQL["rollup_bureau"]
+SQL["csv_feature_mart"] = SQL["feature_mart"]
 SQL["json_applicant_split"] = SQL["applicant_split"]
 SQL["stream_decisions"] = SQL["decisions"]
 sql("stream_rejected", "SELECT applicant_id, count(*) AS n_violations FROM viol GROUP BY applicant_id",

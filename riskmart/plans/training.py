@@ -30,6 +30,7 @@ from riskmart.operators import scorecard as SC
 from riskmart.operators import validation as VA
 from riskmart.schemas import DEFAULT_THRESHOLD, ID_COL, LABEL_COL, MART_CATEGORICAL
 from riskmart.session import materialize, scratch_path
+from riskmart.sources.sinks import write_comparison
 
 
 @dataclass
@@ -65,7 +66,7 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
 def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: bool = False,
                       fit_scope: str = "train", save_to: str | None = None):
     """MDL-10 + LDB + SNK-1/2: fit the presets, rank them, save the best.
-    Returns (leaderboard DataFrame, bundle path or None)."""
+    Returns (leaderboard DataFrame, bundle path or None, prepared frames)."""
     prep = prepare(RU.mart_from_tables(tables), fit_scope)
     metrics, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, keys, fast)
     board = ME.leaderboard(metrics.where(F.col("error").isNull())).cache()
@@ -89,7 +90,16 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: boo
             "algorithm": MD.PRESETS[key].learner,
             "n_train": prep.train.count(),
         }, path)
-    return board, path
+        write_comparison(board, f"{path}/comparison")        # SNK-2
+    return board, path, prep
+
+
+def best_model_report(prep: Prepared, path: str) -> DataFrame:
+    """LDB-3: the best model's test predictions, re-thresholded, as a
+    classification report."""
+    model, meta = bundle_parts(MD.load_model(path))
+    scored = MD.predict_default(model, prep.test.select(ID_COL, LABEL_COL, *meta["feature_cols"]))
+    return ME.classification_report(scored, threshold=meta.get("threshold") or DEFAULT_THRESHOLD)
 
 
 def bundle_path(bundle) -> str:

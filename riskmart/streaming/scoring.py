@@ -18,6 +18,7 @@ from riskmart.operators import scorecard as SC
 from riskmart.operators import validation as VA
 from riskmart.schemas import APPLICANT_RAW_SCHEMA
 from riskmart.sources.readers import parse_requests
+from riskmart.sources.sinks import write_decisions
 
 
 def decide_batch(requests: DataFrame, scorer: str = "logit", bundle=None) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +50,7 @@ def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 
     def write(batch: DataFrame, batch_id: int) -> None:
         decisions, rejected = decide_batch(batch, scorer, bundle)
-        decisions.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        write_decisions(decisions, f"{out_dir}/batch={batch_id}", mode="overwrite")   # SNK-3
         if rejected_dir:
             rejected.write.mode("overwrite").parquet(f"{rejected_dir}/batch={batch_id}")
 
