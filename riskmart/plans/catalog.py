@@ -337,15 +337,15 @@ from riskmart.operators import metrics as ME  # noqa: E402
 SCORE_DIGITS = 12
 
 
-def closed_form_scores(app: DataFrame) -> DataFrame:
-    """(scorer, SK_ID_CURR, TARGET, p) for three closed-form scorers of the
-    application rows: the logit formula, the rule scorecard's complement
-    and the mean external score's complement."""
-    logit = SC.mart_logit(app).select(F.lit("logit").alias("scorer"), "SK_ID_CURR", "TARGET", "p")
+def closed_form_scores(app: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(scorer, SK_ID_CURR, TARGET, p, *carry) for three closed-form scorers
+    of the application rows: the logit formula, the rule scorecard's
+    complement and the mean external score's complement."""
+    keep = ["SK_ID_CURR", "TARGET", *carry]
+    logit = SC.mart_logit(app).select(F.lit("logit").alias("scorer"), *keep, "p")
     card = SC.scorecard(SC.mart_request_view(app), with_details=False).select(
-        F.lit("scorecard").alias("scorer"), "SK_ID_CURR", "TARGET",
-        (F.lit(1.0) - F.col("score") / 100).alias("p"))
-    ext = app.select(F.lit("external").alias("scorer"), "SK_ID_CURR", "TARGET",
+        F.lit("scorecard").alias("scorer"), *keep, (F.lit(1.0) - F.col("score") / 100).alias("p"))
+    ext = app.select(F.lit("external").alias("scorer"), *keep,
                      (F.lit(1.0) - F.coalesce(row_mean(FE.EXT), F.lit(0.5))).alias("p"))
     parts = [logit, card, ext]
     return _reduce(DataFrame.unionByName, parts).withColumn("p", F.bround("p", SCORE_DIGITS))
@@ -372,9 +372,8 @@ def q_classification_report(spark, sf_dir):
 @register("leaderboard")
 def q_leaderboard(spark, sf_dir):
     app = _t(spark, sf_dir).application()
-    split = PR.stratified_split(app)
-    test = closed_form_scores(split).join(split.where("is_test").select("SK_ID_CURR"), "SK_ID_CURR",
-                                          "left_semi")
+    # the split flag travels with the rows: no join back to the split
+    test = closed_form_scores(PR.stratified_split(app), carry=("is_test",)).where("is_test")
     board = ME.leaderboard(ME.metrics_table(test, model_col="scorer"))
     return board
 

@@ -73,10 +73,11 @@ def score_stream_append(spark: SparkSession, in_dir: str, out_dir: str, checkpoi
             .trigger(availableNow=True).start())
 
 
-def write_requests_json(requests: DataFrame, path: str, files: int = 4) -> None:
+def write_requests_json(requests: DataFrame, path: str, files: int | None = None) -> None:
     """Write typed requests as JSON lines with every value as text (the
-    shape the service receives); ``files`` output files become stream
-    inputs."""
+    shape the service receives).  One file per partition; ``files`` spreads
+    the rows over that many files (small fixtures that should arrive as
+    several stream files)."""
     as_text = requests.select(*[F.col(c).cast("string").alias(c) if c != "applicant_id" else F.col(c)
                                 for c in requests.columns])
-    as_text.repartition(files).write.mode("overwrite").json(path)
+    (as_text.repartition(files) if files else as_text).write.mode("overwrite").json(path)
