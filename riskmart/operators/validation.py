@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.schemas import (APPLICANT_DEFAULTS, APPLICANT_FLOAT_FIELDS, APPLICANT_INT_FIELDS,
+from riskmart.schemas import (APPLICANT_DEFAULTS, BROWSER_RANGES, APPLICANT_FLOAT_FIELDS, APPLICANT_INT_FIELDS,
                               FORM_OPTIONS, FORM_RANGES, IRREGULAR_TENURE_RESET_MONTHS,
                               NAME_PLACEHOLDER, REQUIRED_FIELDS, SERVICE_RANGES,
                               UNKNOWN_OCCUPATION)
@@ -74,8 +74,9 @@ def violation_rules(df: DataFrame, profile: str = "service") -> list[Column]:
     present = set(df.columns)
     rules = [F.when(F.col(f).isNull(), F.lit(f"{f}:required"))
              for f in REQUIRED_FIELDS if f in present]
-    rules += _range_rules(SERVICE_RANGES if profile == "service" else FORM_RANGES, present)
-    if profile == "form":
+    ranges = {"service": SERVICE_RANGES, "form": FORM_RANGES, "browser": BROWSER_RANGES}[profile]
+    rules += _range_rules(ranges, present)
+    if profile in ("form", "browser"):
         rules += domain_rules(df)
     return rules
 
@@ -90,7 +91,8 @@ def domain_rules(df: DataFrame) -> list[Column]:
 def violations(df: DataFrame, profile: str = "service") -> DataFrame:
     """VAL-3 / VAL-5: add ``violations`` (array of rule codes, empty when the
     row is valid).  ``profile='form'`` applies the stricter form limits and
-    the option lists."""
+    the option lists, ``profile='browser'`` the browser form's limits (no
+    upper bound on income or amount) and the option lists."""
     arr = F.array_compact(F.array(*violation_rules(df, profile)))
     if "_type_errors" in df.columns:
         arr = F.concat(F.col("_type_errors"), arr)

@@ -135,6 +135,12 @@ def q_form_violations(spark, sf_dir):
     return checked.select("applicant_id", F.explode(VA.VIOLATIONS).alias("rule"))
 
 
+@register("browser_violations")
+def q_browser_violations(spark, sf_dir):
+    checked = VA.prepare_requests(_t(spark, sf_dir).applicants(), profile="browser")
+    return checked.select("applicant_id", F.explode(VA.VIOLATIONS).alias("rule"))
+
+
 @register("applicant_split")
 def q_applicant_split(spark, sf_dir):
     checked = VA.prepare_requests(_t(spark, sf_dir).applicants())

@@ -152,7 +152,8 @@ SELECT *, {as_select(feature_select('DAYS_EMPLOYMENT', True))} FROM ({COMPARE_BA
 
 
 # ---------------------------------------------------------------- requests
-from riskmart.schemas import (APPLICANT_DEFAULTS, CONDITION_TEXTS, FORM_OPTIONS,  # noqa: E402
+from riskmart.schemas import (APPLICANT_DEFAULTS, BROWSER_RANGES, CONDITION_TEXTS,  # noqa: E402
+                              FORM_OPTIONS,
                               FORM_RANGES, LOGIT_COEFFICIENTS, LOGIT_INCOME_CLIP,
                               LOGIT_INTERCEPT, REQUIRED_FIELDS, SERVICE_RANGES)
 
@@ -182,13 +183,13 @@ REQ = "SELECT " + ", ".join(
 def _violation_union(profile: str) -> str:
     parts = [f"SELECT applicant_id, '{f}:required' AS rule FROM req WHERE {f} IS NULL"
              for f in REQUIRED_FIELDS]
-    ranges = SERVICE_RANGES if profile == "service" else FORM_RANGES
+    ranges = {"service": SERVICE_RANGES, "form": FORM_RANGES, "browser": BROWSER_RANGES}[profile]
     for f, (lo, hi) in ranges.items():
         if lo is not None:
             parts.append(f"SELECT applicant_id, '{f}:min' FROM req WHERE {f} < {lit(lo)}")
         if hi is not None:
             parts.append(f"SELECT applicant_id, '{f}:max' FROM req WHERE {f} > {lit(hi)}")
-    if profile == "form":
+    if profile in ("form", "browser"):
         for f, opts in FORM_OPTIONS.items():
             parts.append(f"SELECT applicant_id, '{f}:option' FROM req WHERE {f} IS NOT NULL AND "
                          f"{f} NOT IN ({', '.join(lit(o) for o in opts)})")
@@ -205,6 +206,8 @@ BASE_CTES = {**REQ_CTES, "enr": ENR}
 sql("applicant_violations", "SELECT applicant_id, rule FROM viol", REQ_CTES)
 sql("form_violations", "SELECT applicant_id, rule FROM viol",
     {"req": REQ, "viol": _violation_union("form")})
+sql("browser_violations", "SELECT applicant_id, rule FROM viol",
+    {"req": REQ, "viol": _violation_union("browser")})
 sql("applicant_split", """
 SELECT r.applicant_id, CASE WHEN count(v.rule) = 0 THEN 'valid' ELSE 'rejected' END AS status,
  CAST(count(v.rule) AS INTEGER) AS n_violations

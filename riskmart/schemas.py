@@ -170,6 +170,19 @@ FORM_RANGES = {
     "ext3": (0.0, 1.0),
 }
 
+# Browser form limits (no upper limit for income or amount).
+BROWSER_RANGES = {
+    "age": (21, 70),
+    "children": (0, 10),
+    "family_members": (1, 15),
+    "monthly_income": (0, None),
+    "employment_months": (0, None),
+    "loan_amount": (10000, None),
+    "ext1": (0.0, 1.0),
+    "ext2": (0.0, 1.0),
+    "ext3": (0.0, 1.0),
+}
+
 # Options offered by the form for each field.
 FORM_OPTIONS = {
     "gender": ["M", "F"],
