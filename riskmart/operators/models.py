@@ -107,10 +107,16 @@ def predict_default(model: PipelineModel, df: DataFrame, out: str = "p") -> Data
         FEATURES_VEC, "rawPrediction", "probability", "prediction")
 
 
-def _weighted(train: DataFrame, weighting: str | None) -> tuple[DataFrame, str | None]:
+def _weighted(data: DataFrame, weighting: str | None,
+              fit_rows: DataFrame | None = None) -> tuple[DataFrame, str | None]:
+    """Attach class weights computed on ``fit_rows`` (default: ``data``)."""
     if not weighting:
-        return train, None
-    return PR.with_weights(train, weighting, LABEL_COL, "weight"), "weight"
+        return data, None
+    w = PR.class_weight_table(fit_rows if fit_rows is not None else data, LABEL_COL)
+    col = "balanced_weight" if weighting == "balanced" else "pos_weight"
+    # one row per class: broadcast
+    return data.join(F.broadcast(w.select(LABEL_COL, F.col(col).alias("weight"))), LABEL_COL,
+                     "left"), "weight"
 
 
 def _validation_slice(train: DataFrame, share: float = 0.1) -> DataFrame:
@@ -121,11 +127,19 @@ def _validation_slice(train: DataFrame, share: float = 0.1) -> DataFrame:
 
 
 def fit_preset(train: DataFrame, feature_cols: list[str], key: str, fast: bool = False,
-               seed: int = 42) -> tuple[PipelineModel, float]:
+               seed: int = 42, stop_on: DataFrame | None = None) -> tuple[PipelineModel, float]:
+    """Fit one preset.  Early-stopping presets hold out a validation slice of
+    the training rows; ``stop_on`` (parity) uses the given rows, e.g. the
+    test rows as the reference does, as the stopping set instead."""
     preset = PRESETS[key]
-    data, wcol = _weighted(train, preset.weighting)
-    if preset.early_stopping and preset.learner == "gbt":
-        data = _validation_slice(data)
+    if preset.early_stopping and preset.learner == "gbt" and stop_on is not None:
+        data = (train.withColumn("is_validation", F.lit(False))
+                .unionByName(stop_on.withColumn("is_validation", F.lit(True))))
+        data, wcol = _weighted(data, preset.weighting, fit_rows=train)
+    else:
+        data, wcol = _weighted(train, preset.weighting)
+        if preset.early_stopping and preset.learner == "gbt":
+            data = _validation_slice(data)
     n = data.count()
     learner = make_learner(preset, n, fast, seed, wcol)
     t0 = time.time()

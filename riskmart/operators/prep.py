@@ -286,13 +286,18 @@ def _cut(df: DataFrame, label: str, h: Column, targets: dict) -> dict:
 
 
 def stratified_split(df: DataFrame, label: str = LABEL_COL, test_share: float = TEST_SHARE,
-                     seed: int = SPLIT_SEED) -> DataFrame:
-    """SPL-1: add boolean ``is_test``; per class exactly the stratified
-    number of rows, chosen as the smallest split hashes (deterministic,
-    stable under re-partitioning and re-execution; no shuffle of the
-    table)."""
-    sizes = split_sizes(df, label, test_share)
+                     seed: int = SPLIT_SEED, mode: str = "exact") -> DataFrame:
+    """SPL-1: add boolean ``is_test``.
+
+    ``exact``: per class exactly the stratified number of rows, chosen as the
+    smallest split hashes (deterministic, stable under re-partitioning and
+    re-execution; a few small aggregates, no shuffle of the table).
+    ``bernoulli``: ``h < share * (2^31-1)`` per row, no job at all; sizes
+    are binomial around the target."""
     h = split_hash(ID_COL, seed)
+    if mode == "bernoulli":
+        return df.withColumn("is_test", h < int(test_share * MOD))
+    sizes = split_sizes(df, label, test_share)
     cuts = _cut(df, label, h, {k: v[2] for k, v in sizes.items()})
     cond = F.lit(False)
     for k, (h_cut, id_cut) in cuts.items():

@@ -122,3 +122,13 @@ def test_label_codes_distributed_path_matches_window_path(spark, monkeypatch):
     want = PR.apply_label_codes(df, {c: {v: k for (cc, v), k in small.items() if cc == c}
                                      for c in ("a", "b")})
     assert sorted(map(tuple, enc.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bernoulli_split_is_row_local(spark):
+    app = LendingTables(spark, SF_SMALL).application().select("SK_ID_CURR", "TARGET")
+    s = PR.stratified_split(app, mode="bernoulli")
+    n, k = app.count(), s.where("is_test").count()
+    assert 0 < k < n
+    again = {r.SK_ID_CURR for r in PR.stratified_split(app.repartition(3), mode="bernoulli")
+             .where("is_test").collect()}
+    assert again == {r.SK_ID_CURR for r in s.where("is_test").collect()}

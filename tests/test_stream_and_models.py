@@ -75,3 +75,9 @@ def test_comparison_csv(spark, tmp_path):
     write_comparison(leaderboard(m), str(tmp_path / "cmp"))
     back = spark.read.option("header", True).csv(str(tmp_path / "cmp")).collect()
     assert [r["Model"] for r in back] == ["b", "a"] and "F1 (Default)" in back[0].asDict()
+
+
+def test_early_stopping_on_test_rows_parity(spark):
+    prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
+    model, _ = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", fast=True, stop_on=prep.test)
+    assert MD.predict_default(model, prep.test).count() == prep.test.count()
