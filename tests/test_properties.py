@@ -132,3 +132,17 @@ def test_bernoulli_split_is_row_local(spark):
     again = {r.SK_ID_CURR for r in PR.stratified_split(app.repartition(3), mode="bernoulli")
              .where("is_test").collect()}
     assert again == {r.SK_ID_CURR for r in s.where("is_test").collect()}
+
+
+def test_median_methods_agree_and_narrow_levels(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    vals = np.concatenate([rnd.lognormal(10, 2, 3000), np.full(1500, 42.0), rnd.integers(0, 5, 800)])
+    rows = [(float(v), float(-v) if i % 3 else None) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    monkeypatch.setattr(PR, "NARROW_COLLECT", 10)      # force several narrowing levels
+    monkeypatch.setattr(PR, "NARROW_BUCKETS", 8)
+    narrow = PR.fit_medians(df, ["a", "b"], method="narrow")
+    rank = PR.fit_medians(df, ["a", "b"], method="rank")
+    assert narrow == rank
+    assert narrow["a"] == float(np.median(vals))
+    assert narrow["b"] == float(np.median([-v for i, v in enumerate(vals) if i % 3]))
