@@ -140,7 +140,7 @@ def fit_preset(train: DataFrame, feature_cols: list[str], key: str, fast: bool =
         data, wcol = _weighted(train, preset.weighting)
         if preset.early_stopping and preset.learner == "gbt":
             data = _validation_slice(data)
-    n = data.count()
+    n = data.count() if preset.learner == "lr" else 0      # only the L2 scaling needs n
     learner = make_learner(preset, n, fast, seed, wcol)
     t0 = time.time()
     model = pipeline(feature_cols, learner).fit(data)

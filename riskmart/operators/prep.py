@@ -391,7 +391,8 @@ def _cut(df: DataFrame, label: str, h: Column, targets: dict) -> dict:
 
 
 def stratified_split(df: DataFrame, label: str = LABEL_COL, test_share: float = TEST_SHARE,
-                     seed: int = SPLIT_SEED, mode: str = "exact") -> DataFrame:
+                     seed: int = SPLIT_SEED, mode: str = "exact",
+                     sizes: dict | None = None) -> DataFrame:
     """SPL-1: add boolean ``is_test``.
 
     ``exact``: per class exactly the stratified number of rows, chosen as the
@@ -402,7 +403,7 @@ def stratified_split(df: DataFrame, label: str = LABEL_COL, test_share: float =
     h = split_hash(ID_COL, seed)
     if mode == "bernoulli":
         return df.withColumn("is_test", h < int(test_share * MOD))
-    sizes = split_sizes(df, label, test_share)
+    sizes = sizes or split_sizes(df, label, test_share)
     cuts = _cut(df, label, h, {k: v[2] for k, v in sizes.items()})
     cond = F.lit(False)
     for k, (h_cut, id_cut) in cuts.items():

@@ -41,6 +41,7 @@ class Prepared:
     code_maps: dict | None
     medians: dict
     codes: DataFrame | None = None
+    n_train: int = 0
 
 
 def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = True) -> Prepared:
@@ -48,7 +49,8 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
     # The feature mart feeds several jobs (split sizes, code maps, medians,
     # the fits): cut its lineage once in the shared checkpoint folder.
     eng = materialize(FE.engineer_features(mart, "mart"), "feature-mart")
-    split = PR.stratified_split(eng)
+    sizes = PR.split_sizes(eng)                      # per class (n, n_train, n_test)
+    split = PR.stratified_split(eng, sizes=sizes)
     fit_rows = split.where(~F.col("is_test")) if fit_scope == "train" else split
     codes = PR.fit_label_codes(fit_rows, MART_CATEGORICAL)
     enc, maps = PR.encode(split, codes, MART_CATEGORICAL)
@@ -60,7 +62,7 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
     imputed = imputed.select(ID_COL, LABEL_COL, "is_test", *feats)
     return Prepared(imputed.where(~F.col("is_test")).drop("is_test"),
                     imputed.where(F.col("is_test")).drop("is_test"), feats, maps, medians,
-                    codes)
+                    codes, sum(v[1] for v in sizes.values()))
 
 
 def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: bool = False,
@@ -88,7 +90,7 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: boo
             "categorical": MART_CATEGORICAL,
             "best_model_name": best["model"],
             "algorithm": MD.PRESETS[key].learner,
-            "n_train": prep.train.count(),
+            "n_train": prep.n_train,
         }, path)
         write_comparison(board, f"{path}/comparison")        # SNK-2
     return board, path, prep
