@@ -98,17 +98,10 @@ def metrics_row(scored: DataFrame, model: str, label: str = LABEL_COL, prob: str
                 threshold: float = DEFAULT_THRESHOLD, train_seconds: float | None = None,
                 auc_digits: int | None = None) -> DataFrame:
     """EVL-7: one metrics row (4-digit scores, seconds to 1 digit)."""
-    c = scores_from_counts(confusion(scored, label, prob, threshold))
-    auc = roc_auc(scored, label, prob, auc_digits)
-    return c.crossJoin(auc).select(   # both sides are one row
-        F.lit(model).alias("model"),
-        *[F.bround(x, 4).alias(x) for x in ("f1_default", "f1_macro", "f1_weighted")],
-        F.bround("roc_auc", 4).alias("roc_auc"),
-        F.bround("precision", 4).alias("precision"), F.bround("recall", 4).alias("recall"),
-        F.col("tp").cast("int").alias("true_positives"),
-        F.col("fn").cast("int").alias("false_negatives"),
-        F.lit(None if train_seconds is None else round(train_seconds, 1)).cast("double")
-         .alias("train_seconds"))
+    tagged = scored.withColumn("_model", F.lit(model))
+    return metrics_table(tagged, "_model", label, prob, threshold, auc_digits).withColumn(
+        "train_seconds",
+        F.lit(None if train_seconds is None else round(train_seconds, 1)).cast("double"))
 
 
 def metrics_table(scored: DataFrame, model_col: str = "model", label: str = LABEL_COL,

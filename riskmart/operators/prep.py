@@ -284,16 +284,20 @@ def class_counts(df: DataFrame, label: str = LABEL_COL) -> DataFrame:
 
 def class_weight_table(df: DataFrame, label: str = LABEL_COL) -> DataFrame:
     """WGT-1 / WGT-2: balanced weight n / (k * n_class) and the
-    positive-class weight negatives / positives (1 for other classes)."""
-    counts = class_counts(df, label)
-    tot = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"),
-                     F.sum(F.when(F.col(label) == 0, F.col("n"))).alias("neg"),
-                     F.sum(F.when(F.col(label) == 1, F.col("n"))).alias("pos"))
-    return counts.crossJoin(tot).select(   # tot is one row
-        label, "n",
-        (F.col("total") / (F.col("k") * F.col("n"))).alias("balanced_weight"),
-        F.when(F.col(label) == 1, F.try_divide(F.col("neg"), F.col("pos")))
-         .otherwise(F.lit(1.0)).alias("pos_weight"))
+    positive-class weight negatives / positives (1 for other classes).
+    The per-class counts are one small aggregate (checked against
+    MAX_CLASSES); the weights are computed from them."""
+    rows = class_counts(df, label).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError("too many classes for class weights")
+    counts = {r[label]: r["n"] for r in rows}
+    total, k = sum(counts.values()), len(counts)
+    neg, pos = counts.get(0), counts.get(1)
+    out = [(y, n, total / (k * n), (neg / pos if (y == 1 and neg is not None and pos) else
+                                    None if y == 1 else 1.0)) for y, n in sorted(counts.items())]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.sparkSession.createDataFrame(
+        out, f"{label} {types[label]}, n bigint, balanced_weight double, pos_weight double")
 
 
 def with_weights(df: DataFrame, kind: str = "balanced", label: str = LABEL_COL,
