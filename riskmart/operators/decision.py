@@ -74,7 +74,7 @@ def emi(amount: Column, rate_pct: Column, n: Column) -> Column:
     return F.when(m > 0, amount * m * g / (g - 1)).otherwise(amount / n)
 
 
-def dti(df_cols=None) -> Column:
+def dti() -> Column:
     """DEC-7: monthly instalment over monthly income (min 1)."""
     return _annuity() / F.greatest(F.col("monthly_income"), F.lit(1.0))
 
