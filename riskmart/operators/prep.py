@@ -130,16 +130,22 @@ NARROW_COLLECT = 2_000     # finish on the driver once a target's range holds th
 
 
 def _median_by_narrowing(lv: DataFrame, cols: list[str]) -> dict:
-    """Exact medians by range narrowing: per level, one scan of the values
-    and a count / min / max per equal-width bucket of the current range (at
-    most NARROW_BUCKETS rows per target reach the driver); the range shrinks
-    to the bucket holding the target rank.  A target is finished when its
-    range holds one distinct value, or at most NARROW_COLLECT values, which
-    are then fetched and ranked.  No shuffle larger than the bucket table."""
+    """Exact medians by range narrowing.
+
+    Per level: one scan of the values in each open target's current range,
+    a count / min / max per equal-width bucket (NARROW_BUCKETS per target),
+    and a running count over the buckets of each target (a window over at
+    most NARROW_BUCKETS rows) that picks the bucket holding the target rank;
+    only that one row per target reaches the driver.  The range shrinks to
+    the bucket's [min, max].  A target is finished when its range holds one
+    distinct value, or at most NARROW_COLLECT values, which are then ranked
+    the same way (a window over at most NARROW_COLLECT distinct values).
+    No shuffle larger than the bucket table."""
+    from pyspark.sql import Window
     spark = lv.sparkSession
     stats = {r["column"]: r for r in lv.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
-    # task: (column, 0-based rank) -> [lo, hi, below]
+    # (column, 0-based rank) -> [lo, hi, values below lo]
     tasks, found = {}, {}
     for c in cols:
         st = stats.get(c)
@@ -147,8 +153,26 @@ def _median_by_narrowing(lv: DataFrame, cols: list[str]) -> dict:
             continue
         for k in {(st["n"] - 1) // 2, st["n"] // 2}:
             tasks[(c, k)] = [st["lo"], st["hi"], 0]
+
+    def in_ranges(spec: dict) -> tuple[list, DataFrame]:
+        ids = list(spec)
+        ranges = spark.createDataFrame(
+            [(i, c, float(spec[(c, k)][0]), float(spec[(c, k)][1]), int(k - spec[(c, k)][2]))
+             for i, (c, k) in enumerate(ids)],
+            "task int, column string, lo double, hi double, need bigint")
+        # ranges: one row per open target, so the broadcast is bounded
+        return ids, (lv.join(F.broadcast(ranges), "column")
+                     .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))))
+
+    def pick(grouped: DataFrame, order: str) -> list:
+        w = Window.partitionBy("task").orderBy(order).rowsBetween(Window.unboundedPreceding,
+                                                                  Window.currentRow)
+        ranked = grouped.withColumn("cum", F.sum("n").over(w))
+        return ranked.where((F.col("cum") - F.col("n") <= F.col("need"))
+                            & (F.col("need") < F.col("cum"))).collect()
+
     while tasks:
-        todo, fetch = {}, {}
+        todo = {}
         for key, (lo, hi, below) in tasks.items():
             if lo == hi:
                 found[key] = lo
@@ -156,53 +180,26 @@ def _median_by_narrowing(lv: DataFrame, cols: list[str]) -> dict:
                 todo[key] = (lo, hi, below)
         if not todo:
             break
-        ids = list(todo)
-        ranges = spark.createDataFrame(
-            [(i, c, float(todo[(c, k)][0]), float(todo[(c, k)][1])) for i, (c, k) in enumerate(ids)],
-            "task int, column string, lo double, hi double")
+        ids, rows = in_ranges(todo)
         width = (F.col("hi") - F.col("lo")) / NARROW_BUCKETS
         bucket = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(NARROW_BUCKETS - 1))
-        # ranges: one row per open target, so the broadcast is bounded
-        hist = (lv.join(F.broadcast(ranges), "column")
-                .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-                .groupBy("task", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("bmin"),
-                     F.max("value").alias("bmax")).collect())
-        by_task: dict = {}
-        for r in hist:
-            by_task.setdefault(r["task"], []).append((r["b"], r["n"], r["bmin"], r["bmax"]))
-        nxt = {}
-        for i, key in enumerate(ids):
-            lo, hi, below = todo[key]
-            acc = below
-            for b, n, bmin, bmax in sorted(by_task.get(i, [])):
-                if acc + n > key[1]:
-                    if bmin == bmax:
-                        found[key] = bmin
-                    elif n <= NARROW_COLLECT:
-                        fetch[key] = (bmin, bmax, acc)
-                    else:
-                        nxt[key] = [bmin, bmax, acc]
-                    break
-                acc += n
+        hist = rows.groupBy("task", "need", bucket.alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("bmin"), F.max("value").alias("bmax"))
+        nxt, fetch = {}, {}
+        for r in pick(hist, "b"):
+            key = ids[r["task"]]
+            below = todo[key][2] + r["cum"] - r["n"]
+            if r["bmin"] == r["bmax"]:
+                found[key] = r["bmin"]
+            elif r["n"] <= NARROW_COLLECT:
+                fetch[key] = (r["bmin"], r["bmax"], below)
+            else:
+                nxt[key] = [r["bmin"], r["bmax"], below]
         if fetch:
-            fids = list(fetch)
-            franges = spark.createDataFrame(
-                [(i, c, float(fetch[(c, k)][0]), float(fetch[(c, k)][1])) for i, (c, k) in enumerate(fids)],
-                "task int, column string, lo double, hi double")
-            rows = (lv.join(F.broadcast(franges), "column")
-                    .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-                    .groupBy("task", "value").agg(F.count(F.lit(1)).alias("n")).collect())
-            vals: dict = {}
-            for r in rows:
-                vals.setdefault(r["task"], []).append((r["value"], r["n"]))
-            for i, key in enumerate(fids):
-                acc = fetch[key][2]
-                for v, n in sorted(vals.get(i, [])):
-                    if acc + n > key[1]:
-                        found[key] = v
-                        break
-                    acc += n
+            fids, frows = in_ranges(fetch)
+            counts = frows.groupBy("task", "need", "value").agg(F.count(F.lit(1)).alias("n"))
+            for r in pick(counts, "value"):
+                found[fids[r["task"]]] = r["value"]
         tasks = nxt
     out = {}
     for c in cols:
@@ -210,8 +207,7 @@ def _median_by_narrowing(lv: DataFrame, cols: list[str]) -> dict:
         if st is None or st["n"] == 0:
             out[c] = None
             continue
-        a, b = found[(c, (st["n"] - 1) // 2)], found[(c, st["n"] // 2)]
-        out[c] = (a + b) / 2
+        out[c] = (found[(c, (st["n"] - 1) // 2)] + found[(c, st["n"] // 2)]) / 2
     return out
 
 
