@@ -147,6 +147,14 @@ def fit_preset(train: DataFrame, feature_cols: list[str], key: str, fast: bool =
     return model, time.time() - t0
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Training rows over at least as many partitions as the cluster has
+    task slots (iterative learners run one task per partition and pass);
+    large inputs already have more partitions and are left as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
                    keys: list[str] = COMPARISON, fast: bool = False,
                    threshold: float = DEFAULT_THRESHOLD):
@@ -154,7 +162,7 @@ def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
     rows, one metrics row per preset; a failing preset gives an error row
     and the loop goes on.  Returns (metrics DataFrame, {key: model})."""
     spark = train.sparkSession
-    train = train.persist()
+    train = spread(train).persist()
     test = test.persist()
     rows, models = [], {}
     try:
