@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.functions.text import fixed, py_float_text, round_even
+from riskmart.functions.text import py_float_text, render, round_even
 from riskmart.operators.scorecard import path_array, results_map, weights_map
-from riskmart.schemas import (BASE_RATE, CIBIL_BANDS, CIBIL_BASE, CIBIL_ELSE, CIBIL_SPAN,
+from riskmart.schemas import (BASE_RATE, BROWSER_TITLE_PREFIX, CIBIL_BANDS, CONFIDENCE_LABELS, CIBIL_BASE, CIBIL_ELSE, CIBIL_SPAN,
                               CONDITION_TEXTS, CONDITIONAL_FACTOR, DECISION_TITLES,
                               DEFAULT_THRESHOLD, DTI_FLAG_PCT, FALLBACK, INCOME_LIMIT_MULTIPLE,
                               LIMIT_SLOPE, MIN_LIMIT_MULTIPLIER, OFFICER_NOTE_ENDINGS,
@@ -86,10 +86,9 @@ def _first3(items: list[Column], none_text: str) -> Column:
 
 def strength_items(ext_mean: Column, emp_y: Column, income: Column, d: Column) -> list[Column]:
     t = STRENGTH_TEXTS
-    emp_text = t["employment"].split("{")[0]
     return [
         F.when(ext_mean >= 0.6, F.lit(t["ext"])),
-        F.when(emp_y >= 3, F.concat(F.lit(emp_text), fixed(emp_y, 1), F.lit(" yrs)"))),
+        F.when(emp_y >= 3, render(t["employment"], years=emp_y)),
         F.when(income >= 500000, F.lit(t["income"])),
         F.when(d <= 0.3, F.lit(t["dti"])),
         F.when(F.col("own_realty") == "Y", F.lit(t["realty"])),
@@ -98,11 +97,10 @@ def strength_items(ext_mean: Column, emp_y: Column, income: Column, d: Column) -
 
 def risk_items(ext_mean: Column, emp_y: Column, income: Column, d: Column) -> list[Column]:
     t = RISK_TEXTS
-    dti_text = t["dti"].split("{")[0]
     return [
         F.when(ext_mean < 0.4, F.lit(t["ext"])),
         F.when(emp_y < 1, F.lit(t["employment"])),
-        F.when(d > 0.4, F.concat(F.lit(dti_text), fixed(d * 100, 1), F.lit("%)"))),
+        F.when(d > 0.4, render(t["dti"], pct=d * 100)),
         F.when(F.col("loan_amount") > income * 4, F.lit(t["credit"])),
         F.when(F.col("children") >= 3, F.lit(t["children"])),
     ]
@@ -167,8 +165,7 @@ def ml_columns(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame
                                 F.array(*[F.lit(c) for c in CONDITION_TEXTS]))
         .otherwise(F.array().cast("array<string>")),
         "ml_officer_note": F.concat(
-            F.lit(OFFICER_NOTE_PREFIX.split("{")[0]), fixed(_p() * 100, 1),
-            F.lit(OFFICER_NOTE_PREFIX.split("}")[1]),
+            render(OFFICER_NOTE_PREFIX, pct=_p() * 100),
             F.when(F.col("ml_decision") == "APPROVED", F.lit(OFFICER_NOTE_ENDINGS["APPROVED"]))
              .when(F.col("ml_decision") == "CONDITIONAL", F.lit(OFFICER_NOTE_ENDINGS["CONDITIONAL"]))
              .otherwise(F.lit(OFFICER_NOTE_ENDINGS["REJECTED"]))),
@@ -244,11 +241,11 @@ def cibil_band(score: Column) -> Column:
 def decision_title(dec: Column, mode: str = "form") -> Column:
     """DEC-15: banner title; the browser prints ``LOAN <decision>``."""
     if mode == "browser":
-        return F.concat(F.lit("LOAN "), dec)
+        return F.concat(F.lit(BROWSER_TITLE_PREFIX), dec)
     return (F.when(dec == "APPROVED", F.lit(DECISION_TITLES["APPROVED"]))
              .when(dec == "CONDITIONAL", F.lit(DECISION_TITLES["CONDITIONAL"]))
              .otherwise(F.lit(DECISION_TITLES["REJECTED"])))
 
 
 def confidence_label(dec: Column) -> Column:
-    return F.when(dec == "APPROVED", F.lit("Match")).otherwise(F.lit("Risk"))
+    return F.when(dec == "APPROVED", F.lit(CONFIDENCE_LABELS[0])).otherwise(F.lit(CONFIDENCE_LABELS[1]))

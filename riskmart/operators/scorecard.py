@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.functions.text import fixed
+from riskmart.functions.text import render
+from riskmart.schemas import CRITERION_DETAILS as D
 from riskmart.schemas import (DTI_BANDS, DTI_ELSE, EMPLOYMENT_EMPLOYED, EMPLOYMENT_SELF,
                               EMPLOYMENT_SHARES, EMPLOYMENT_TOP, EXT_SOURCE_BANDS,
                               EXT_SOURCE_ELSE, GRADE_EDGES, GRADE_ELSE, INCOME_STABILITY_BANDS,
@@ -53,7 +54,7 @@ def criterion_columns() -> dict[str, tuple[Column, Column]]:
     w = WEIGHT["ext_source_score"]
     out["ext_source_score"] = _banded(
         i["m"], EXT_SOURCE_BANDS, w, EXT_SOURCE_ELSE, "ge",
-        lambda lab: F.concat(lab, F.lit(" ("), fixed(i["m"], 2), F.lit(")")))
+        lambda lab: render(D["ext_source_score"], band=lab, mean=i["m"]))
     w = WEIGHT["repayment_history"]
     yrs = None
     for edge, share in REPAYMENT_YEAR_BANDS:
@@ -63,25 +64,25 @@ def criterion_columns() -> dict[str, tuple[Column, Column]]:
                                              ).otherwise(F.lit(0.0))
     out["repayment_history"] = (
         F.least(sc, F.lit(float(w))),
-        F.concat(fixed(i["years"], 1), F.lit(" yrs employment, realty="), i["own"]))
+        render(D["repayment_history"], years=i["years"], own=i["own"]))
     w = WEIGHT["income_stability"]
     out["income_stability"] = _banded(
         i["months"], INCOME_STABILITY_BANDS, w, INCOME_STABILITY_ELSE, "ge",
-        lambda lab: F.concat(lab, F.lit(" ("), i["months"].cast("string"), F.lit(" months)")))
+        lambda lab: render(D["income_stability"], band=lab, months=i["months"]))
     w = WEIGHT["debt_to_income"]
     out["debt_to_income"] = _banded(
         i["dti"], DTI_BANDS, w, DTI_ELSE, "le",
-        lambda lab: F.concat(lab, F.lit(" ("), fixed(i["dti"], 1), F.lit("%)")))
+        lambda lab: render(D["debt_to_income"], band=lab, dti=i["dti"]))
     w = WEIGHT["employment_status"]
     top, emp, slf = (float(w * s) for s in EMPLOYMENT_SHARES)
     it = i["it"]
     out["employment_status"] = (
         F.when(it.isin(*EMPLOYMENT_TOP), F.lit(top)).when(it.isin(*EMPLOYMENT_EMPLOYED), F.lit(emp))
          .when(it == EMPLOYMENT_SELF, F.lit(slf)).otherwise(F.lit(0.0)),
-        F.when(it.isin(*EMPLOYMENT_TOP), F.concat(F.lit("Stable ("), it, F.lit(")")))
-         .when(it.isin(*EMPLOYMENT_EMPLOYED), F.concat(F.lit("Employed ("), it, F.lit(")")))
-         .when(it == EMPLOYMENT_SELF, F.lit("Self-employed"))
-         .otherwise(F.concat(F.lit("Other ("), it, F.lit(")"))))
+        F.when(it.isin(*EMPLOYMENT_TOP), render(D["employment_status_top"], it=it))
+         .when(it.isin(*EMPLOYMENT_EMPLOYED), render(D["employment_status_employed"], it=it))
+         .when(it == EMPLOYMENT_SELF, render(D["employment_status_self"]))
+         .otherwise(render(D["employment_status_other"], it=it)))
     return out
 
 

@@ -241,6 +241,18 @@ EMPLOYMENT_EMPLOYED = ["working", "commercial associate"]
 EMPLOYMENT_SELF = "self-employed"
 EMPLOYMENT_SHARES = (1.0, 0.8, 0.6)
 
+# Detail text of each criterion (Python format strings).
+CRITERION_DETAILS = {
+    "ext_source_score": "{band} ({mean:.2f})",
+    "repayment_history": "{years:.1f} yrs employment, realty={own}",
+    "income_stability": "{band} ({months} months)",
+    "debt_to_income": "{band} ({dti:.1f}%)",
+    "employment_status_top": "Stable ({it})",
+    "employment_status_employed": "Employed ({it})",
+    "employment_status_self": "Self-employed",
+    "employment_status_other": "Other ({it})",
+}
+
 # Grade and verdict edges (display layer).
 GRADE_EDGES = [(80, "A"), (65, "B"), (50, "C")]
 GRADE_ELSE = "D"
@@ -264,7 +276,7 @@ GOODS_PRICE_SHARE = 0.85
 
 STRENGTH_TEXTS = {
     "ext": "Strong external credit score",
-    "employment": "Stable employment ({:.1f} yrs)",
+    "employment": "Stable employment ({years:.1f} yrs)",
     "income": "High annual income",
     "dti": "Manageable Debt-to-Income (DTI) ratio",
     "realty": "Owns property (collateral)",
@@ -273,14 +285,14 @@ STRENGTH_TEXTS = {
 RISK_TEXTS = {
     "ext": "Low external credit score",
     "employment": "Very short employment history",
-    "dti": "High Debt-to-Income (DTI) ratio ({:.1f}%)",
+    "dti": "High Debt-to-Income (DTI) ratio ({pct:.1f}%)",
     "credit": "Loan amount very high vs income",
     "children": "High number of dependents",
     "none": "No major risk factors identified",
 }
 CONDITION_TEXTS = ["Submit last 3 months salary slips", "KYC documents required",
                    "ITR for last 2 years (if self-employed)"]
-OFFICER_NOTE_PREFIX = "Applicant has a {:.1f}% estimated default probability. "
+OFFICER_NOTE_PREFIX = "Applicant has a {pct:.1f}% estimated default probability. "
 OFFICER_NOTE_ENDINGS = {
     "APPROVED": "Application meets lending criteria.",
     "CONDITIONAL": "Application carries elevated risk.",
@@ -291,6 +303,8 @@ DECISION_TITLES = {
     "CONDITIONAL": "CONDITIONAL APPROVAL",
     "REJECTED": "LOAN REJECTED",
 }
+BROWSER_TITLE_PREFIX = "LOAN "
+CONFIDENCE_LABELS = ("Match", "Risk")     # approved, otherwise
 RISK_BAND_EDGES = [(20, "low"), (40, "medium")]
 RISK_BAND_ELSE = "high"
 DTI_FLAG_PCT = 40
