@@ -157,17 +157,27 @@ def spread(df: DataFrame) -> DataFrame:
 
 def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
                    keys: list[str] = COMPARISON, fast: bool = False,
-                   threshold: float = DEFAULT_THRESHOLD):
+                   threshold: float = DEFAULT_THRESHOLD, fitted: dict | None = None):
     """MDL-10: fit each preset on the cached training rows, score the test
     rows, one metrics row per preset; a failing preset gives an error row
-    and the loop goes on.  Returns (metrics DataFrame, {key: model})."""
+    and the loop goes on.  ``fitted`` (key -> (model, row)) reuses fits of
+    the same rows made earlier.  Returns (metrics DataFrame, {key: model})."""
     spark = train.sparkSession
-    train = spread(train).persist()
-    test = test.persist()
+    fitted = {} if fitted is None else fitted
+    todo = [k for k in keys if k not in fitted]
+    if todo:
+        train = spread(train).persist()
+        test = test.persist()
     rows, models = [], {}
     try:
         for key in keys:
             name = PRESETS[key].name
+            if key in fitted:
+                model, row = fitted[key]
+                rows.append(row)
+                if model is not None:
+                    models[key] = model
+                continue
             try:
                 model, secs = fit_preset(train, feature_cols, key, fast)
                 scored = predict_default(model, test)
@@ -175,11 +185,13 @@ def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
                 row["error"] = None
                 models[key] = model
             except Exception as e:  # noqa: BLE001 - keep comparing the other presets
-                row = {"model": name, "error": f"{type(e).__name__}: {str(e)[:200]}"}
+                model, row = None, {"model": name, "error": f"{type(e).__name__}: {str(e)[:200]}"}
+            fitted[key] = (model, row)
             rows.append(row)
     finally:
-        train.unpersist()
-        test.unpersist()
+        if todo:
+            train.unpersist()
+            test.unpersist()
     schema = ("model string, f1_default double, f1_macro double, f1_weighted double, "
               "roc_auc double, precision double, recall double, true_positives int, "
               "false_negatives int, train_seconds double, error string")

@@ -388,15 +388,25 @@ def q_leaderboard(spark, sf_dir):
 from riskmart.operators import models as MD  # noqa: E402
 
 _TRAINED: dict = {}
+_PREPARED: dict = {}
+_FITTED: dict = {}
 
 
 def trained(spark, sf_dir, keys=tuple(MD.COMPARISON), fast=True):
     """Fit once per (application, data folder, presets) and reuse: several
-    registered queries read the same fitted models."""
-    from riskmart.plans.training import train_and_compare
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(keys), fast)
+    registered queries read the same fitted models, and all of them share
+    one prepared split and one fit per preset."""
+    from riskmart.operators import rollups as _RU
+    from riskmart.plans.training import prepare, train_and_compare
+    app_id = spark.sparkContext.applicationId
+    key = (app_id, sf_dir, tuple(keys), fast)
     if key not in _TRAINED:
-        _TRAINED[key] = train_and_compare(spark, _t(spark, sf_dir), list(keys), fast)
+        pkey = (app_id, sf_dir)
+        if pkey not in _PREPARED:
+            _PREPARED[pkey] = prepare(_RU.mart_from_tables(_t(spark, sf_dir)))
+        fitted = _FITTED.setdefault((app_id, sf_dir, fast), {})
+        _TRAINED[key] = train_and_compare(spark, _t(spark, sf_dir), list(keys), fast,
+                                          prep=_PREPARED[pkey], fitted=fitted)
     return _TRAINED[key]
 
 

@@ -66,11 +66,14 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
 
 
 def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: bool = False,
-                      fit_scope: str = "train", save_to: str | None = None):
+                      fit_scope: str = "train", save_to: str | None = None,
+                      prep: Prepared | None = None, fitted: dict | None = None):
     """MDL-10 + LDB + SNK-1/2: fit the presets, rank them, save the best.
+    ``prep`` / ``fitted`` reuse a prepared split and earlier fits on it.
     Returns (leaderboard DataFrame, bundle path or None, prepared frames)."""
-    prep = prepare(RU.mart_from_tables(tables), fit_scope)
-    metrics, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, keys, fast)
+    prep = prep or prepare(RU.mart_from_tables(tables), fit_scope)
+    metrics, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, keys, fast,
+                                        fitted=fitted)
     board = ME.leaderboard(metrics.where(F.col("error").isNull())).cache()
     path = None
     best_rows = ME.best(board).collect()
