@@ -334,7 +334,7 @@ def approximate_mode(counts: dict, n_draws: int) -> dict:
 def split_sizes(df: DataFrame, label: str = LABEL_COL, test_share: float = TEST_SHARE) -> dict:
     """Per-class (n, n_train, n_test) following the stratified rule:
     n_test = ceil(share * n), classes allocated by ``approximate_mode``."""
-    rows = class_counts(df, label).collect()
+    rows = class_counts(df, label).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError("too many classes for a stratified split")
     counts = {r[label]: r["n"] for r in rows}
@@ -383,10 +383,19 @@ def _cut(df: DataFrame, label: str, h: Column, targets: dict) -> dict:
     cuts = {k: (-1, None) for k in targets}
     for k, s in state.items():
         h_cut = s["prefix"]
-        # rows sharing the cut hash: ids congruent mod 2^31-1, a tiny set
-        ids = sorted(r["_id"] for r in base.where((F.col("_y") == F.lit(k)) & (F.col("_h") == h_cut))
-                     .select("_id").collect())
-        cuts[k] = (h_cut, ids[s["need"] - 1])
+        # rows sharing the cut hash: ids congruent mod 2^31-1, a handful of
+        # distinct ids; counted per id, so a duplicated id is one row here
+        per_id = sorted((r["_id"], r["n"]) for r in
+                        base.where((F.col("_y") == F.lit(k)) & (F.col("_h") == h_cut))
+                        .groupBy("_id").agg(F.count(F.lit(1)).alias("n")).collect())
+        acc = 0
+        for i, n in per_id:
+            acc += n
+            if acc >= s["need"]:
+                # with a duplicated id the whole group is taken (the only
+                # case where the class total can exceed its exact size)
+                cuts[k] = (h_cut, i)
+                break
     return cuts
 
 

@@ -146,3 +146,16 @@ def test_median_methods_agree_and_narrow_levels(spark, monkeypatch):
     assert narrow == rank
     assert narrow["a"] == float(np.median(vals))
     assert narrow["b"] == float(np.median([-v for i, v in enumerate(vals) if i % 3]))
+
+
+def test_split_with_a_hot_duplicated_id(spark):
+    # one id holding a third of the rows: the split still runs on bounded
+    # collects and keeps every row
+    rows = [(7, 0)] * 300 + [(i, i % 2) for i in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "SK_ID_CURR long, TARGET int")
+    s = PR.stratified_split(df)
+    assert s.count() == len(rows)
+    sizes = PR.split_sizes(df)
+    got = {r.TARGET: r.n for r in s.where("is_test").groupBy("TARGET").agg(F.count("*").alias("n")).collect()}
+    for k, (_, _, n_test) in sizes.items():
+        assert got.get(k, 0) >= n_test
