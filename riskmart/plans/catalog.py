@@ -236,10 +236,10 @@ def q_risk_bands(spark, sf_dir):
 @register("cibil")
 def q_cibil(spark, sf_dir):
     m = F.col("ext_source_mean")
-    form = DC.cibil(m, "truncate")
+    browser = DC.cibil(m, "round")
     return scoring_base(spark, sf_dir).select(
-        "applicant_id", form.alias("cibil_form"), DC.cibil(m, "round").alias("cibil_browser"),
-        DC.cibil_band(form).alias("cibil_band"))
+        "applicant_id", DC.cibil(m, "truncate").alias("cibil_form"), browser.alias("cibil_browser"),
+        DC.cibil_band(browser).alias("cibil_band"))
 
 
 @register("fallback_decisions")

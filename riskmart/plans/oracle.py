@@ -400,8 +400,9 @@ FROM scored""", SCORED_CTES)
 sql("cibil", """
 SELECT applicant_id, CAST(trunc(300 + ext_source_mean * 600) AS INTEGER) AS cibil_form,
  CAST(floor(300 + ext_source_mean * 600 + 0.5::DOUBLE) AS INTEGER) AS cibil_browser,
- CASE WHEN CAST(trunc(300 + ext_source_mean * 600) AS INTEGER) >= 700 THEN 'good'
-      WHEN CAST(trunc(300 + ext_source_mean * 600) AS INTEGER) >= 550 THEN 'fair' ELSE 'poor' END AS cibil_band
+ CASE WHEN CAST(floor(300 + ext_source_mean * 600 + 0.5::DOUBLE) AS INTEGER) >= 700 THEN 'success'
+      WHEN CAST(floor(300 + ext_source_mean * 600 + 0.5::DOUBLE) AS INTEGER) >= 550 THEN 'warning'
+      ELSE 'danger' END AS cibil_band
 FROM enr""", BASE_CTES)
 
 sql("fallback_decisions", """

@@ -309,8 +309,8 @@ RISK_BAND_EDGES = [(20, "low"), (40, "medium")]
 RISK_BAND_ELSE = "high"
 DTI_FLAG_PCT = 40
 CIBIL_BASE, CIBIL_SPAN = 300, 600
-CIBIL_BANDS = [(700, "good"), (550, "fair")]
-CIBIL_ELSE = "poor"
+CIBIL_BANDS = [(700, "success"), (550, "warning")]   # display class of the rounded score
+CIBIL_ELSE = "danger"
 
 # Fallback response when no model is loaded.
 FALLBACK = {
