@@ -159,3 +159,13 @@ def test_split_with_a_hot_duplicated_id(spark):
     got = {r.TARGET: r.n for r in s.where("is_test").groupBy("TARGET").agg(F.count("*").alias("n")).collect()}
     for k, (_, _, n_test) in sizes.items():
         assert got.get(k, 0) >= n_test
+
+
+def test_roc_auc_equals_mllib_exact_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    scores = C.closed_form_scores(LendingTables(spark, SF_SMALL).application())
+    ours = {r.scorer: r.roc_auc for r in ME.roc_auc(scores, group_cols=("scorer",)).collect()}
+    ev = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="TARGET", numBins=0)
+    for scorer, auc in ours.items():
+        part = scores.where(F.col("scorer") == scorer).withColumn("TARGET", F.col("TARGET").cast("double"))
+        assert abs(ev.evaluate(part) - auc) < 1e-12, scorer
