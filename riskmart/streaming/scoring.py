@@ -16,7 +16,6 @@ from riskmart.operators import decision as DC
 from riskmart.operators import features as FE
 from riskmart.operators import scorecard as SC
 from riskmart.operators import validation as VA
-from riskmart.schemas import APPLICANT_RAW_SCHEMA
 from riskmart.sources.readers import parse_requests
 from riskmart.sources.sinks import write_decisions
 
@@ -63,7 +62,7 @@ def score_stream_append(spark: SparkSession, in_dir: str, out_dir: str, checkpoi
                         scorer: str = "logit"):
     """STR-1 without side output: the decision rows appended to a parquet
     sink (file sink, exactly-once through its commit log)."""
-    requests = VA.coerce(spark.readStream.schema(APPLICANT_RAW_SCHEMA).json(in_dir))
+    requests = VA.coerce(parse_requests(spark.readStream.format("text").load(in_dir)))
     valid = VA.split_valid(VA.prepare_requests(requests))[0].drop(VA.VIOLATIONS)
     carded = SC.scorecard(FE.enrich(valid), with_details=True)
     out = DC.decide(SC.applicant_logit(carded) if scorer == "logit" else carded,

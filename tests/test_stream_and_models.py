@@ -81,3 +81,14 @@ def test_early_stopping_on_test_rows_parity(spark):
     prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
     model, _ = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", fast=True, stop_on=prep.test)
     assert MD.predict_default(model, prep.test).count() == prep.test.count()
+
+
+def test_append_stream_equals_batch(spark, tmp_path):
+    from riskmart.streaming.scoring import score_stream_append
+    apps = LendingTables(spark, SF_SMALL).applicants()
+    base = str(tmp_path)
+    write_requests_json(apps, f"{base}/in", files=2)
+    q = score_stream_append(spark, f"{base}/in", f"{base}/out", f"{base}/ck")
+    q.awaitTermination()
+    batch, _ = decide_batch(apps)
+    assert _flat(spark.read.parquet(f"{base}/out")) == _flat(batch)
