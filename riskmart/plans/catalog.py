@@ -8,13 +8,25 @@ that summation order does not show in the value hash.
 
 from __future__ import annotations
 
+from functools import reduce as _reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskmart.functions.nulls import row_mean
+from riskmart.operators import decision as DC
 from riskmart.operators import features as FE
+from riskmart.operators import metrics as ME
+from riskmart.operators import models as MD
+from riskmart.operators import prep as PR
 from riskmart.operators import rollups as RU
+from riskmart.operators import scorecard as SC
+from riskmart.operators import validation as VA
 from riskmart.operators.profile import profile_tables
+from riskmart.schemas import APPLICATION_SCHEMA, MART_CATEGORICAL
+from riskmart.session import scratch_path
+from riskmart.sources import readers as RD
 from riskmart.sources.adapter import LendingTables
 
 REGISTRY: dict = {}
@@ -112,9 +124,6 @@ def q_compare_features(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- requests
-from riskmart.operators import decision as DC  # noqa: E402
-from riskmart.operators import scorecard as SC  # noqa: E402
-from riskmart.operators import validation as VA  # noqa: E402
 
 
 def scoring_base(spark, sf_dir) -> DataFrame:
@@ -267,8 +276,6 @@ def q_decision_struct(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- prep
-from riskmart.operators import prep as PR  # noqa: E402
-from riskmart.schemas import APPLICATION_SCHEMA, MART_CATEGORICAL  # noqa: E402
 
 MART_COLUMNS = ([f.name for f in APPLICATION_SCHEMA.fields] + RU.ROLLUP_COLS + FE.MART_FEATURES
                 + ["BUREAU_DEBT_RATIO"])
@@ -335,10 +342,7 @@ def q_class_weights(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- evaluation
-from functools import reduce as _reduce  # noqa: E402
 
-from riskmart.functions.nulls import row_mean  # noqa: E402
-from riskmart.operators import metrics as ME  # noqa: E402
 
 SCORE_DIGITS = 12
 
@@ -385,7 +389,6 @@ def q_leaderboard(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- models
-from riskmart.operators import models as MD  # noqa: E402
 
 _TRAINED: dict = {}
 _PREPARED: dict = {}
@@ -462,8 +465,6 @@ def q_model_decisions(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sources, sinks, streams
-from riskmart.session import scratch_path  # noqa: E402
-from riskmart.sources import readers as RD  # noqa: E402
 
 
 @register("csv_rollup_bureau", BUREAU_DIGITS)

@@ -8,7 +8,10 @@ follow the Spark side exactly (``plans.catalog.ROUNDING``).
 from __future__ import annotations
 
 from riskmart.plans.adapter_sql import round_sql, with_views
-from riskmart.plans.catalog import ROUNDING
+from riskmart.plans.catalog import MODEL_FEATURES, ROUNDING
+from riskmart.schemas import (APPLICANT_DEFAULTS, BROWSER_RANGES, CONDITION_TEXTS, FORM_OPTIONS,
+                              FORM_RANGES, LOGIT_COEFFICIENTS, LOGIT_INCOME_CLIP, LOGIT_INTERCEPT,
+                              MART_CATEGORICAL, REQUIRED_FIELDS, SERVICE_RANGES)
 
 SQL: dict[str, str] = {}
 
@@ -152,10 +155,6 @@ SELECT *, {as_select(feature_select('DAYS_EMPLOYMENT', True))} FROM ({COMPARE_BA
 
 
 # ---------------------------------------------------------------- requests
-from riskmart.schemas import (APPLICANT_DEFAULTS, BROWSER_RANGES, CONDITION_TEXTS,  # noqa: E402
-                              FORM_OPTIONS,
-                              FORM_RANGES, LOGIT_COEFFICIENTS, LOGIT_INCOME_CLIP,
-                              LOGIT_INTERCEPT, REQUIRED_FIELDS, SERVICE_RANGES)
 
 
 def dbl(x) -> str:
@@ -424,8 +423,6 @@ FROM dec""", DEC_CTES)
 
 
 # ---------------------------------------------------------------- prep
-from riskmart.plans.catalog import MODEL_FEATURES  # noqa: E402
-from riskmart.schemas import MART_CATEGORICAL  # noqa: E402
 
 _APP_COLS = ["SK_ID_CURR", "TARGET", "CODE_GENDER", "DAYS_BIRTH", "DAYS_EMPLOYED", "CNT_CHILDREN",
              "CNT_FAM_MEMBERS", "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE",
