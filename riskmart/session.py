@@ -39,7 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) is a fresh folder created and registered.
+    in local mode (tests) is a fresh folder created and registered; on a
+    cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to the other executors
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         conf_dir = os.path.join(tempfile.gettempdir(), f"riskmart-ckpt-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
