@@ -433,6 +433,14 @@ def q_train_lr_metrics(spark, sf_dir):
     return _single_preset(spark, sf_dir, "logistic")
 
 
+@register("train_mart_presets")
+def q_train_mart_presets(spark, sf_dir):
+    """MDL-1..3: the real-data trainer's presets (early-stopped main booster
+    and its fallback), fast budget, ranked."""
+    board, _, _ = trained(spark, sf_dir, ("gbt_main", "gbt_fallback"), True)
+    return board.drop("error")
+
+
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
     board, _, _ = trained(spark, sf_dir)
