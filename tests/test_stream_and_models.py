@@ -92,3 +92,19 @@ def test_append_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch, _ = decide_batch(apps)
     assert _flat(spark.read.parquet(f"{base}/out")) == _flat(batch)
+
+
+def test_model_scored_stream_equals_batch(spark, tmp_path):
+    from riskmart.plans.training import train_and_compare
+    tables = LendingTables(spark, SF_SMALL)
+    board, path, _ = train_and_compare(spark, tables, ["gbt_d"], fast=True,
+                                       save_to=str(tmp_path / "bundle"))
+    assert board.count() == 1 and os.path.isdir(str(tmp_path / "bundle" / "comparison"))
+    bundle = MD.load_model(path)
+    apps = tables.applicants()
+    base = str(tmp_path)
+    write_requests_json(apps, f"{base}/in", files=2)
+    q = score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ck", scorer="model", bundle=bundle)
+    q.awaitTermination()
+    streamed = spark.read.parquet(f"{base}/out").drop("batch")
+    assert _flat(streamed) == _flat(score_requests(apps, bundle))
