@@ -169,3 +169,21 @@ def test_roc_auc_equals_mllib_exact_evaluator(spark):
     for scorer, auc in ours.items():
         part = scores.where(F.col("scorer") == scorer).withColumn("TARGET", F.col("TARGET").cast("double"))
         assert abs(ev.evaluate(part) - auc) < 1e-12, scorer
+
+
+def test_label_codes_agree_with_string_indexer_alphabet_order(spark):
+    from pyspark.ml.feature import StringIndexer
+    rows = [("b",), ("Z",), ("a",), ("b",), ("Secondary",), ("Academic degree",)]
+    df = spark.createDataFrame(rows, "c string")
+    ours = PR.code_maps(PR.fit_label_codes(df, ["c"]))["c"]
+    model = StringIndexer(inputCol="c", outputCol="i", stringOrderType="alphabetAsc").fit(df)
+    theirs = {label: i for i, label in enumerate(model.labels)}
+    assert ours == theirs
+
+
+def test_approximate_medians_close_to_exact(spark):
+    rnd = np.random.default_rng(4)
+    vals = rnd.normal(100, 15, 5000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    approx = PR.fit_medians(df, ["x"], exact=False)["x"]
+    assert abs(approx - float(np.median(vals))) < 1.0
