@@ -141,3 +141,22 @@ def test_mean_of_three_edge_follows_float_arithmetic(spark):
     # (0.7 + 0.7 + 0.7) / 3 is just below 0.7 in binary floating point, so
     # the rule gives the "Good" band, exactly as the reference computes it.
     assert card(spark, ext1=0.7, ext2=0.7, ext3=0.7).ext_source_score == 22.5
+
+
+def test_no_strengths_text(spark):
+    df = FE.enrich(applicant(spark, ext1=0.45, ext2=0.45, ext3=0.45, employment_months=18,
+                             monthly_income=20000.0, loan_amount=600000.0, tenure_months=60,
+                             own_realty="N")).withColumn("p", F.lit(0.1))
+    r = one(DC.ml_columns(df))
+    assert r.ml_key_strengths == ["No major strengths identified"]
+    assert r.ml_key_risks == ["High Debt-to-Income (DTI) ratio (50.0%)"]   # 600000 < 4 x 240000
+
+
+def test_t21_request_features_parity_switch(spark):
+    df = applicant(spark, children=2, family_members=2)
+    par = one(FE.request_features(df, parity=True))
+    new = one(FE.request_features(df, parity=False))
+    assert par.CHILDREN_RATIO == 1.0                  # children / max(family, 1)
+    assert abs(new.CHILDREN_RATIO - 2 / 3) < 1e-15    # children / (family + 1), as in training
+    assert "DAYS_EMPLOYED" not in par.asDict() and new.DAYS_EMPLOYED == new.DAYS_EMPLOYMENT
+    assert new.INCOME_PER_PERSON == 600000.0 / 3
