@@ -67,11 +67,15 @@ def parse_requests(lines: DataFrame, text_col: str = "value") -> DataFrame:
     return parsed.select("r.*", F.array_compact(F.array(*flags)).alias("_explicit_nulls"))
 
 
-def read_applicants(spark: SparkSession, path: str, detect_explicit_null: bool = True) -> DataFrame:
+def read_applicants(spark: SparkSession, path: str, detect_explicit_null: bool = True,
+                    multiline: bool = False) -> DataFrame:
     """SRC-6: request records (JSON lines), every field read as text, then
-    coerced; type errors (and explicit nulls) are kept for ``violations``."""
-    if not detect_explicit_null:
-        return coerce(spark.read.schema(APPLICANT_RAW_SCHEMA).json(path))
+    coerced; type errors (and explicit nulls) are kept for ``violations``.
+    ``multiline=True`` reads files holding one JSON document (or array of
+    documents) each; explicit nulls cannot be told from absent keys then."""
+    if multiline or not detect_explicit_null:
+        return coerce(spark.read.schema(APPLICANT_RAW_SCHEMA).option("multiLine", multiline)
+                      .json(path))
     return coerce(parse_requests(spark.read.text(path)))
 
 

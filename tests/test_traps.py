@@ -133,3 +133,14 @@ def test_val1_explicit_null_rejected_absent_defaulted(spark, tmp_path):
     rows = {r.applicant_id: r for r in VA.prepare_requests(read_applicants(spark, str(p))).collect()}
     assert rows[1].violations == ["gender:null"]
     assert rows[2].violations == [] and rows[2].gender == "M" and rows[2].region_rating == 2
+
+
+def test_multiline_json_requests(spark, tmp_path):
+    from riskmart.sources.readers import read_applicants
+    p = tmp_path / "reqs.json"
+    p.write_text('[{"applicant_id": 1, "name": "A", "age": 30, "monthly_income": 1000,\n'
+                 '  "loan_amount": 5000},\n {"applicant_id": 2, "name": "B", "age": "17",\n'
+                 '  "monthly_income": 1000, "loan_amount": 5000}]')
+    rows = {r.applicant_id: r for r in
+            VA.prepare_requests(read_applicants(spark, str(p), multiline=True)).collect()}
+    assert rows[1].violations == [] and rows[2].violations == ["age:min"]
