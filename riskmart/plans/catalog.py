@@ -514,13 +514,23 @@ def q_json_applicant_split(spark, sf_dir):
                           n.cast("int").alias("n_violations"))
 
 
+_STREAMS: dict = {}
+
+
 def _run_stream(spark, sf_dir) -> str:
+    """Run the scoring stream over the applicants once per (application,
+    data folder); the decisions and the rejected side output are two
+    registered queries over the same run."""
     from riskmart.streaming.scoring import score_stream, write_requests_json
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STREAMS:
+        return _STREAMS[key]
     base = scratch_path(spark, "score-stream")
     write_requests_json(_t(spark, sf_dir).applicants(), f"{base}/in")
     q = score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
                      rejected_dir=f"{base}/rejected", scorer="logit")
     q.awaitTermination()
+    _STREAMS[key] = base
     return base
 
 
