@@ -242,3 +242,12 @@ def mart_request_view(mart: DataFrame) -> DataFrame:
         "annuity_income_ratio": F.col("AMT_ANNUITY") / F.greatest(F.col("AMT_INCOME_TOTAL") / 12, F.lit(1.0)),
         "income_type": F.col("NAME_INCOME_TYPE"),
     })
+
+
+def score_text(score: Column, mode: str = "form") -> Column:
+    """Whole-number score as displayed: the form prints half-even
+    (``f"{x:.0f}"``), the browser half-up (``toFixed(0)``); 82.5 shows as 82
+    and 83.  Display only: the engine keeps the unrounded score."""
+    if mode == "browser":
+        return F.floor(score + 0.5).cast("bigint").cast("string")
+    return F.bround(score, 0).cast("bigint").cast("string")

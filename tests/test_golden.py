@@ -160,3 +160,10 @@ def test_t21_request_features_parity_switch(spark):
     assert abs(new.CHILDREN_RATIO - 2 / 3) < 1e-15    # children / (family + 1), as in training
     assert "DAYS_EMPLOYED" not in par.asDict() and new.DAYS_EMPLOYED == new.DAYS_EMPLOYMENT
     assert new.INCOME_PER_PERSON == 600000.0 / 3
+
+
+def test_t16_score_display_form_and_browser(spark):
+    df = spark.createDataFrame([(82.5,), (75.5,), (100.0,)], "score double")
+    got = [(r.f, r.b) for r in df.select(SC.score_text(F.col("score")).alias("f"),
+                                         SC.score_text(F.col("score"), "browser").alias("b")).collect()]
+    assert got == [("82", "83"), ("76", "76"), ("100", "100")]
