@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskmart.llm import lines
+from riskmart.llm import lines, near
 
 QUERIES = {
+    "op2_ngram_jaccard_join": near.op2_ngram_jaccard_join,
     "op7_line_dedup": lines.op7_line_dedup,
 }
 
