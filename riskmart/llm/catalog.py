@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from riskmart.llm import lines, near
+from riskmart.llm import lines, near, tokens, urls
 
 QUERIES = {
     "op2_ngram_jaccard_join": near.op2_ngram_jaccard_join,
+    "op4_token_counts": tokens.op4_token_counts,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_url_filters": urls.op8_url_filters,
 }
 
 SQL = {
     "op7_line_dedup": lines.SQL7,
+    "op8_url_filters": urls.SQL8,
 }
