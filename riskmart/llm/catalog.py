@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from riskmart.llm import lines, near, tokens, urls
+from riskmart.llm import chat, lines, near, tokens, urls, vptree
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_ngram_jaccard_join": near.op2_ngram_jaccard_join,
     "op4_token_counts": tokens.op4_token_counts,
+    "op6_vp_tree": vptree.op6_vp_tree,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_url_filters": urls.op8_url_filters,
 }
 
 SQL = {
+    "op1_chat_formatting": chat.SQL1,
     "op7_line_dedup": lines.SQL7,
     "op8_url_filters": urls.SQL8,
 }
