@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from riskmart.llm import chat, lines, near, tokens, urls, vptree
+from riskmart.llm import chat, lines, near, quality, tokens, toxicity, urls, vptree
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_ngram_jaccard_join": near.op2_ngram_jaccard_join,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_vp_tree": vptree.op6_vp_tree,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_url_filters": urls.op8_url_filters,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
