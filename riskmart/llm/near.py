@@ -4,21 +4,23 @@ A document is the set of its distinct word 5-grams; two sets link when
 100 * intersection >= 75 * union.  Sets that are equal are one node (its id
 is a 64-bit fingerprint of the set), so copies never meet as pairs.
 
-1. ``profile``: set size, fingerprint and a hashed bitmap for each document,
-   and a fixed-size table of counts over hash cells of all n-grams.
+1. ``profile``: set size and fingerprint of each document, and a fixed-size
+   table of counts over hash cells of all n-grams.
 2. ``tiles``: linked sets of size n share one of their first
    n - ceil(0.75 n) + 1 n-grams in any order common to all sets.  The order
    puts rare cells first, which keeps widespread passages out of the tiles.
    A tile holds the nodes that share such an n-gram, by size.  Tiles of very
    frequent cells are salted over several tasks.
 3. ``star``: in each band of sizes (largest at most 1 / 0.75 of the smallest)
-   of a tile, the smallest member is paired with the others.  Bitmaps bound
-   the overlap from above (each differing bit is an element that only one of
-   the sets has); pairs that may pass are verified exactly on sorted arrays.
+   of a tile, the smallest member is paired with the others.  Hashed bitmaps
+   bound the overlap from above (each differing bit is an element that only
+   one of the sets has); pairs that may pass are verified on sorted arrays.
 4. ``rest``: in tiles whose members are not yet in one component, every
    member outside the tile's largest component meets all members, in blocks.
-   Round one verifies the most alike member of each other component, round
-   two whatever is still open, so no link between components is lost.
+   Here the bitmaps hold only n-grams that two such nodes share; the others
+   count in full, so the bound is close.  Round one verifies the most alike
+   member of each other component, round two all that probes left open may
+   still meet, so no link between components is lost.
 
 Hashes have 64 bits; equal hashes count as equal n-grams.
 
@@ -93,10 +95,10 @@ def fingerprints(h, lo, hi) -> np.ndarray:
     return fp.view(np.int64)
 
 
-def bitmap(h: np.ndarray) -> bytes:
+def bitmap(h: np.ndarray, n: int) -> bytes:
     """Bits that the elements' hashes name; as many as the next power of two
-    of the size, 64 to 65,536."""
-    bits = min(65536, max(64, 1 << (len(h) - 1).bit_length()))
+    of n, 64 to 65,536."""
+    bits = min(65536, max(64, 1 << (int(n) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(h >> U64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -122,13 +124,12 @@ def profiler(k: int):
                 yield pa.record_batch({
                     "doc_id": ids.slice(i, j - i), "n": pa.array(hi - lo, pa.int64()),
                     "fp": pa.array(fingerprints(h, lo, hi), pa.int64()),
-                    "bm": pa.array([bitmap(h[a:z]) if z > a else None for a, z in zip(lo, hi)], pa.binary()),
-                    "slice": pa.nulls(j - i, pa.int32())})
+                    "cells": pa.nulls(j - i, pa.binary()), "slice": pa.nulls(j - i, pa.int32())})
         parts = np.split(cells, SLICES)
         some = [i for i in range(SLICES) if parts[i].any()]
         nul = pa.nulls(len(some), pa.int64())
         yield pa.record_batch({"doc_id": nul, "n": nul, "fp": nul,
-                               "bm": pa.array([parts[i].tobytes() for i in some], pa.binary()),
+                               "cells": pa.array([parts[i].tobytes() for i in some], pa.binary()),
                                "slice": pa.array(some, pa.int32())})
     return run
 
@@ -140,7 +141,7 @@ def add_slices(batches):
             own = np.frombuffer(x, np.uint32).astype(np.uint64)
             sums[s] = sums[s] + own if s in sums else own
     yield pa.record_batch({"slice": pa.array(list(sums), pa.int32()),
-                           "bm": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+                           "cells": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
 
 # -- tiles -----------------------------------------------------------------
@@ -156,6 +157,35 @@ def salts_of(count: np.ndarray, mean: float) -> np.ndarray:
     return (over // TILE).astype(np.int64) + 1
 
 
+def packed(to: np.ndarray, buckets: int, key, fp, n):
+    """Postings as one row a bucket: keys by node, nodes, sizes, run lengths."""
+    order = np.lexsort((fp, to))
+    to, key, fp, n = to[order], key[order], fp[order], n[order]
+    lo, hi = T.group_bounds(to, buckets)
+    rows, out = [i for i in range(buckets) if hi[i] > lo[i]], []
+    for i in rows:
+        f = fp[lo[i]:hi[i]]
+        at = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+        out.append((key[lo[i]:hi[i]].tobytes(), f[at].tobytes(), n[lo[i]:hi[i]][at].astype(np.uint32).tobytes(),
+                    np.diff(np.append(at, len(f))).astype(np.uint32).tobytes()))
+    return pa.record_batch({"bucket": pa.array(rows, pa.int32()),
+                            **{c: pa.array([p[x] for p in out], pa.binary()) for x, c in enumerate(("key", "fp", "n", "len"))}})
+
+
+def unpacked(batches):
+    """The postings of all rows of a task, by key: (key, node, size)."""
+    key, fp, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for b in batches:
+        for k, f, s, c in zip(*(x.to_pylist() for x in b.columns[1:])):
+            c = np.frombuffer(c, np.uint32)
+            key.append(np.frombuffer(k, np.uint64))
+            fp.append(np.repeat(np.frombuffer(f, np.int64), c))
+            n.append(np.repeat(np.frombuffer(s, np.uint32), c))
+    key, fp, n = np.concatenate(key), np.concatenate(fp), np.concatenate(n)
+    order = np.argsort(key, kind="stable")
+    return key[order], fp[order], n[order]
+
+
 def poster(cells, buckets: int, k: int, percent: int):
     def run(batches):
         count = cells.value
@@ -167,21 +197,8 @@ def poster(cells, buckets: int, k: int, percent: int):
         def flush():
             key, fp, n = (np.concatenate(x) for x in zip(*held))
             salt = salts_of(count[cell_of(key)], mean)
-            salt = (T.mix(fp.view(np.uint64)) % salt.astype(np.uint64)).astype(np.int64)
-            to = (T.mix(key + salt.astype(np.uint64)) % U64(buckets)).astype(np.int64)
-            order = np.lexsort((fp, to))
-            to, key, fp, n = to[order], key[order], fp[order], n[order]
-            lo, hi = T.group_bounds(to, buckets)
-            rows = [i for i in range(buckets) if hi[i] > lo[i]]
-            packed = []
-            for i in rows:
-                f = fp[lo[i]:hi[i]]
-                at = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-                packed.append((key[lo[i]:hi[i]].tobytes(), f[at].tobytes(), n[lo[i]:hi[i]][at].astype(np.uint32).tobytes(),
-                               np.diff(np.append(at, len(f))).astype(np.uint32).tobytes()))
-            return pa.record_batch({"bucket": pa.array(rows, pa.int32()),
-                                    **{c: pa.array([p[x] for p in packed], pa.binary())
-                                       for x, c in enumerate(("key", "fp", "n", "len"))}})
+            salt = T.mix(fp.view(np.uint64)) % salt.astype(np.uint64)
+            return packed((T.mix(key + salt) % U64(buckets)).astype(np.int64), buckets, key, fp, n)
 
         for b in batches:
             texts = T.as_bytes(b.column(0))
@@ -212,19 +229,10 @@ def tiler(cells):
     """Postings of a bucket: the nodes of every n-gram that at least two nodes
     share, or that other tasks may hold too (salt of several)."""
     def run(batches):
-        key, fp, n = [], [], []
-        for b in batches:
-            for k, f, s, c in zip(*(x.to_pylist() for x in b.columns[1:])):
-                c = np.frombuffer(c, np.uint32)
-                key.append(np.frombuffer(k, np.uint64))
-                fp.append(np.repeat(np.frombuffer(f, np.int64), c))
-                n.append(np.repeat(np.frombuffer(s, np.uint32), c))
-        if not key:
-            return
         count = cells.value
-        key, fp, n = np.concatenate(key), np.concatenate(fp), np.concatenate(n)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, fp, n = unpacked(batches)
+        if not len(key):
+            return
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(at, len(key)))
         hot = salts_of(count[cell_of(key[at])], float(count.mean())) > 1
@@ -232,15 +240,14 @@ def tiler(cells):
         for a, m, is_hot in zip(at.tolist(), length.tolist(), hot.tolist()):
             if m < 2 and not is_hot:
                 continue
-            own = order[a:a + m]
-            f, first = np.unique(fp[own], return_index=True)
+            f, first = np.unique(fp[a:a + m], return_index=True)
             if len(f) < 2 and not is_hot:
                 continue
             if not is_hot:
                 if (same := f.tobytes()) in lists:
                     continue
                 lists.add(same)
-            s = n[own][first]
+            s = n[a:a + m][first]
             by = np.lexsort((f, s))
             out.append((int(key[a].view(np.int64)), is_hot, f[by], s[by]))
             if len(out) >= 4096:
@@ -331,66 +338,120 @@ def setter(k: int):
             for i, j in T.pieces(texts):
                 h, lo, hi = shingle_sets(texts[i:j], k)
                 own = np.flatnonzero(fingerprints(h, lo, hi) == want[i:j])
-                yield pa.record_batch({"fp": pa.array(want[i:j][own], pa.int64()),
+                yield pa.record_batch({"fp": pa.array(want[i:j][own], pa.int64()), "n": pa.array((hi - lo)[own], pa.int64()),
+                                       "bm": pa.array([bitmap(h[lo[r]:hi[r]], hi[r] - lo[r]) for r in own], pa.binary()),
                                        "x": pa.array([h[lo[r]:hi[r]].tobytes() for r in own], pa.binary())})
     return run
 
 
+def dealer(buckets: int):
+    """The n-grams of nodes as postings, all of them."""
+    def run(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            size = [len(x) for x in sets]
+            if size:
+                key, fp = np.concatenate(sets), np.repeat(b.column(0).to_numpy(), size)
+                yield packed((T.mix(key) % U64(buckets)).astype(np.int64), buckets, key, fp, np.repeat(size, size))
+    return run
+
+
+def sharer(batches):
+    """By node, the n-grams of a bucket that another node has too."""
+    key, fp, n = unpacked(batches)
+    if not len(key):
+        return
+    same = key[1:] == key[:-1]
+    both = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    key, fp, n = key[both], fp[both], n[both]
+    order = np.argsort(fp, kind="stable")
+    key, fp, n = key[order], fp[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))[:len(fp)]
+    for i in range(0, len(at), 4096):
+        cut = [*at[i:i + 4097].tolist(), len(fp)][:len(at[i:i + 4096]) + 1]
+        yield pa.record_batch({"fp": pa.array(fp[at[i:i + 4096]], pa.int64()), "n": pa.array(n[at[i:i + 4096]].astype(np.int64)),
+                               "own": pa.array([key[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())})
+
+
+def signer(percent: int):
+    """Shared count and bitmap of the shared n-grams; nodes that share too
+    little for any link are left out."""
+    def run(batches):
+        for b in batches:
+            fp, n, own = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            own = [np.concatenate([np.frombuffer(y, np.uint64) for y in x]) for x in own]
+            s = np.array([len(x) for x in own], np.int64)
+            ok = np.flatnonzero(100 * s >= percent * n)
+            yield pa.record_batch({"fp": pa.array(fp[ok], pa.int64()), "n": pa.array(n[ok], pa.int64()), "s": pa.array(s[ok], pa.int64()),
+                                   "bm": pa.array([bitmap(own[i], 2 * int(n[i])) for i in ok], pa.binary())})
+    return run
+
+
 def prober(percent: int, best_only: bool):
     """Rows by (tile, block), members before probes: candidate pairs of
-    different components.  ``best_only``: for each probe and component, the
-    member whose bitmap differs least."""
-    def pairs(members, probe):
-        f, c, n, maps = members
-        widths = [len(x) // 8 for x in maps]
-        for pf, pc, pn, pb, minor in probe:
-            own = [i for i in range(len(f)) if c[i] != pc and 100 * min(n[i], pn) >= percent * max(n[i], pn)]
-            if not own:
+    different components (probe, member).  ``best_only``: for each probe and
+    component the member with the least bound of the difference, and whether
+    there are more."""
+    def block_of(rows):
+        f, c, n, s = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        words = np.array([len(r[4]) // 8 for r in rows], np.int64)
+        maps = {w: (own := np.flatnonzero(words == w), np.frombuffer(b"".join(rows[i][4] for i in own), np.uint64).reshape(len(own), w))
+                for w in np.unique(words).tolist()}
+        return f, c, n, s, maps
+
+    def pairs(members, pf, pc, pn, ps, pb):
+        f, c, n, s, maps = members
+        x = np.frombuffer(pb, np.uint64)
+        for w, (own, rows) in maps.items():
+            near = (c[own] != pc) & (100 * np.minimum(n[own], pn) >= percent * np.maximum(n[own], pn))
+            alone = n[own] - s[own] + pn - ps
+            near &= may_link(n[own], pn, alone, percent)
+            if not near.any():
                 continue
-            x = np.frombuffer(pb, np.uint64)
-            diff = np.zeros(len(own), np.int64)
-            for w in {widths[i] for i in own}:
-                m = min(w, len(x))
-                at = [k for k, i in enumerate(own) if widths[i] == w]
-                block = np.frombuffer(b"".join(maps[own[k]] for k in at), np.uint64).reshape(len(at), -1, m)
-                diff[at] = np.bitwise_count(np.bitwise_or.reduce(block, axis=1) ^ fold(x, m)).sum(axis=1)
-            own = np.array(own)
+            own, rows, alone = own[near], rows[near], alone[near]
+            m = min(w, len(x))
+            diff = alone + np.bitwise_count(np.bitwise_or.reduce(rows.reshape(len(own), -1, m), axis=1) ^ fold(x, m)).sum(axis=1)
             ok = may_link(n[own], pn, diff, percent)
-            own, diff = own[ok], diff[ok]
-            if best_only:
-                own = own[np.lexsort((f[own], diff))]
-                own = own[np.unique(c[own], return_index=True)[1]]
-            for i in own.tolist():
-                yield (min(pf, int(f[i])), max(pf, int(f[i])))
+            yield own[ok], diff[ok]
 
     def run(batches):
-        at, members, arrays, out = None, [], None, set()
+        at, rows, members, out = None, [], None, {}
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("tile", "block", "kind", "fp", "comp", "n", "bm"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("tile", "block", "kind", "fp", "comp", "n", "s", "bm"))):
                 if r[:2] != at:
-                    at, members, arrays = r[:2], [], None
+                    at, rows, members = r[:2], [], None
                 if r[2] == 0:
-                    members.append(r[3:])
+                    rows.append(r[3:])
+                    continue
+                members = members or block_of(rows)
+                found = list(pairs(members, *r[3:]))
+                if not found:
+                    continue
+                own, diff = (np.concatenate(v) for v in zip(*found))
+                if best_only and len(own):
+                    comp = members[1][own]
+                    own = own[np.lexsort((members[0][own], diff, comp))]
+                    own, many = own[(first := np.unique(np.sort(comp), return_index=True, return_counts=True))[1]], first[2] > 1
                 else:
-                    if arrays is None:
-                        f, c, n, maps = zip(*members) if members else ((), (), (), ())
-                        arrays = np.array(f, np.int64), np.array(c, np.int64), np.array(n, np.int64), maps
-                    out.update(pairs(arrays, [(*r[3:], None)]))
+                    many = np.zeros(len(own), bool)
+                for y, more in zip(members[0][own].tolist(), many.tolist()):
+                    out[r[3], y] = out.get((r[3], y), False) or more
             if len(out) >= 1 << 16:
                 yield _pairs(out)
-                out = set()
+                out = {}
         yield _pairs(out)
     return run
 
 
 def _pairs(out):
-    out = sorted(out)
-    return pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+    return pa.record_batch({"x": pa.array([k[0] for k in out], pa.int64()), "y": pa.array([k[1] for k in out], pa.int64()),
+                            "more": pa.array(list(out.values()), pa.bool_())})
 
 
 # -- the join --------------------------------------------------------------
 
-PROFILE = "doc_id long, n long, fp long, bm binary, slice int"
+PROFILE = "doc_id long, n long, fp long, cells binary, slice int"
+POSTINGS = "bucket int, key binary, fp binary, n binary, len binary"
 
 
 class Join:
@@ -399,31 +460,33 @@ class Join:
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark = docs.sparkSession
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.buckets = k, percent, partitions(self.spark)
         self.docs = docs
         both = written(docs.mapInArrow(profiler(k), PROFILE), "profile")
         self.rows = both.where("slice IS NULL").select("doc_id", "n", "fp")
-        self.nodes = written(both.where("slice IS NULL AND n > 0").groupBy("fp").agg(
-            F.first("n").alias("n"), F.first("bm").alias("bm"),
-            F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "nodes")
-        parts = (both.where("slice IS NOT NULL").select("slice", "bm").repartition(SLICES, "slice")
-                 .mapInArrow(add_slices, "slice int, bm binary").collect())     # 2^CELL_BITS counts in all
+        parts = (both.where("slice IS NOT NULL").select("slice", "cells").repartition(SLICES, "slice")
+                 .mapInArrow(add_slices, "slice int, cells binary").collect())     # 2^CELL_BITS counts in all
         cells = np.zeros(1 << CELL_BITS, np.uint64)
         for r in parts:
             width = len(cells) // SLICES
-            cells[r.slice * width:(r.slice + 1) * width] = np.frombuffer(r.bm, np.uint64)
+            cells[r.slice * width:(r.slice + 1) * width] = np.frombuffer(r.cells, np.uint64)
         self.cells = self.spark.sparkContext.broadcast(cells)
+        posts = docs.select("text").mapInArrow(poster(self.cells, self.buckets, k, percent), POSTINGS)
+        self.tiles = written(posts.repartition(self.buckets, "bucket").mapInArrow(
+            tiler(self.cells), "tile long, hot boolean, fps array<long>, ns array<long>"), "tiles")
+        self.sets = written(self._sets(), "sets")
+        self.signed = None
+
+    def _sets(self) -> DataFrame:
+        """(fp, n, bm, x) of the nodes in tiles, each from one document."""
+        want = self.tiles.select(F.explode("fps").alias("fp")).distinct()
+        rep = (self.rows.where("n > 0").groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")).join(want, "fp"))
+        texts = self.docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text")
+        return (texts.join(rep, "rep").select("text", "fp").mapInArrow(setter(self.k), "fp long, n long, bm binary, x binary")
+                .dropDuplicates(["fp"]))
 
-    def tiles(self) -> DataFrame:
-        buckets = partitions(self.spark)
-        posts = self.docs.select("text").mapInArrow(poster(self.cells, buckets, self.k, self.percent),
-                                                    "bucket int, key binary, fp binary, n binary, len binary")
-        found = posts.repartition(buckets, "bucket").mapInArrow(
-            tiler(self.cells), "tile long, hot boolean, fps array<long>, ns array<long>")
-        return written(found, "tiles")
-
-    def star(self, tiles: DataFrame) -> DataFrame:
-        got = written(tiles.mapInArrow(starrer(self.percent), "a long, b long, tile long"), "star")
+    def star(self) -> DataFrame:
+        got = written(self.tiles.mapInArrow(starrer(self.percent), "a long, b long, tile long"), "star")
         lead = got.where("tile IS NOT NULL").select("tile", F.col("a").alias("fp"))
         first = lead.groupBy("tile").agg(F.min("fp").alias("m"))
         across = lead.join(first, "tile").where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b"))
@@ -431,55 +494,60 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link: by the bitmaps' bound, then exactly."""
-        side = lambda s: self.nodes.select(F.col("fp").alias(s), F.col("n").alias(f"{s}n"), F.col("bm").alias(f"{s}bm"))
-        may = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "abm", "bbm")
+        side = lambda s, *cs: self.sets.select(F.col("fp").alias(s), *[F.col(c).alias(s + c) for c in cs])
+        may = written(pairs.join(side("a", "n", "bm"), "a").join(side("b", "n", "bm"), "b").select("a", "b", "an", "bn", "abm", "bbm")
                       .mapInArrow(bounder(self.percent), "a long, b long"), "may")
-        want = (may.select(F.col("a").alias("fp")).union(may.select(F.col("b").alias("fp"))).distinct()
-                .join(self.nodes.select("fp", "rep"), "fp"))
-        texts = self.docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text")
-        sets = written(texts.join(want, "rep").select("text", "fp").mapInArrow(setter(self.k), "fp long, x binary")
-                       .dropDuplicates(["fp"]), "sets")
-        x = lambda s: sets.select(F.col("fp").alias(s), F.col("x").alias(f"{s}x"))
-        return written(may.join(x("a"), "a").join(x("b"), "b").select("a", "b", "ax", "bx")
+        return written(may.join(side("a", "x"), "a").join(side("b", "x"), "b").select("a", "b", "ax", "bx")
                        .mapInArrow(verifier(self.percent), "a long, b long"), "links")
 
-    def rest(self, tiles: DataFrame, roots: DataFrame, best_only: bool) -> DataFrame:
-        """Candidate pairs between different components that share a tile."""
-        member = (tiles.select("tile", F.explode("fps").alias("fp")).distinct()
+    def rest(self, roots: DataFrame, only: DataFrame | None) -> DataFrame:
+        """(x, y, more): candidate pairs between different components that
+        share a tile; of the probes in ``only`` all, else the best."""
+        member = (self.tiles.select("tile", F.explode("fps").alias("fp")).distinct()
                   .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                   .select("tile", "fp", F.coalesce("root", "fp").alias("comp")))
         size = member.groupBy("tile", "comp").agg(F.count("*").alias("c"))
         mixed = (size.groupBy("tile").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("k"))
-                 .where("k > 1").select("tile", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("s")))
-        member = written(member.join(mixed, "tile").join(self.nodes.select("fp", "n", "bm"), "fp"), "mixed")
-        here = member.select("tile", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int").alias("block"), F.lit(0).alias("kind"),
-                             "fp", "comp", "n", "bm")
-        probe = (member.where("comp <> main")
-                 .select("tile", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("block"), F.lit(1).alias("kind"),
-                         "fp", "comp", "n", "bm"))
+                 .where("k > 1").select("tile", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("s_")))
+        member = written(member.join(mixed, "tile"), "mixed")
+        if self.signed is None:
+            posts = (member.select("fp").distinct().join(self.sets.select("fp", "x"), "fp")
+                     .mapInArrow(dealer(self.buckets), POSTINGS))
+            shared = posts.repartition(self.buckets, "bucket").mapInArrow(sharer, "fp long, n long, own binary")
+            self.signed = written(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("own").alias("own"))
+                                  .mapInArrow(signer(self.percent), "fp long, n long, s long, bm binary"), "signed")
+        probe = member.where("comp <> main") if only is None else member.join(only, "fp", "left_semi")
+        sent = F.explode(F.sequence(F.lit(0), F.col("s_") - 1)).alias("block")
+        probe = probe.join(self.signed, "fp").select("tile", sent, F.lit(1).alias("kind"), "fp", "comp", "n", "s", "bm")
+        here = (member.join(probe.select("tile").distinct(), "tile", "left_semi").join(self.signed, "fp")
+                .select("tile", F.pmod(F.xxhash64("fp"), F.col("s_")).cast("int").alias("block"), F.lit(0).alias("kind"),
+                        "fp", "comp", "n", "s", "bm"))
         return (here.union(probe).repartition("tile", "block").sortWithinPartitions("tile", "block", "kind")
-                .mapInArrow(prober(self.percent, best_only), "a long, b long").distinct())
+                .mapInArrow(prober(self.percent, only is None), "x long, y long, more boolean")
+                .groupBy("x", "y").agg(F.max("more").alias("more")))
 
 
 def linked(docs: DataFrame, k: int, percent: int):
     """(rows: doc_id, n, fp of every document; roots: node, root of the nodes
     that link with another)."""
     job = Join(docs, k, percent)
-    tiles = job.tiles()
-    tried = written(job.star(tiles), "tried")
+    tried = written(job.star(), "tried")
     links = job.verified(tried)
     roots = written(components(links), "roots")
-    for best_only in (True, False):
-        more = written(job.rest(tiles, roots, best_only).join(tried, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            if best_only:
-                continue    # the best are tried; others may be open
-            break
-        found = job.verified(more)
-        tried = tried.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = written(components(links), "roots")
+    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    best = written(job.rest(roots, None), "best")
+    new = best.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.union(job.verified(new))
+    roots = written(components(links), "roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    left = (best.where("more").join(of("x"), "x", "left").join(of("y"), "y", "left")
+            .where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select(F.col("x").alias("fp")).distinct())
+    left = written(left, "left")
+    if not left.isEmpty():
+        tried = tried.union(best.select(*pair).distinct())
+        new = job.rest(roots, left).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+        links = links.union(job.verified(new))
+        roots = written(components(links), "roots")
     return job.rows, roots
 
 

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+import riskmart
 from riskmart.session import ensure_checkpoint_dir
 
+_sent: set = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: their Python
+    need not have it installed.  Spark's own file distribution carries it."""
+    app = spark.sparkContext.applicationId
+    if app in _sent:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(riskmart.__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="riskmart-"), "riskmart.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "riskmart")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _sent.add(app)
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches count rows, not bytes: with Spark's default of 10,000
     rows a batch of long texts could outgrow a worker.  A session that sets
-    its own value keeps it."""
+    its own value keeps it.  Also sends the package to the executors."""
+    send_package(spark)
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, str(rows))
 
