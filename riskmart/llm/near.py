@@ -12,10 +12,11 @@ is a 64-bit fingerprint of the set), so copies never meet as pairs.
    A tile holds the nodes that share such an n-gram, by size.  Tiles of very
    frequent cells are salted over several tasks.
 3. ``star``: in each band of sizes (largest at most 1 / 0.75 of the smallest)
-   of a tile, the smallest member is paired with the others.  Hashed bitmaps
+   of a tile, the smallest member is paired with the others; in a tile of at
+   most FEW members all are.  Hashed bitmaps
    bound the overlap from above (each differing bit is an element that only
    one of the sets has); pairs that may pass are verified on sorted arrays.
-4. ``rest``: in tiles whose members are not yet in one component, every
+4. ``rest``: in larger tiles whose members are not yet in one component, every
    member outside the tile's largest component meets all members, in blocks.
    Here the bitmaps hold only n-grams that two such nodes share; the others
    count in full, so the bound is close.  Round one verifies the most alike
@@ -46,6 +47,7 @@ PERCENT = 75
 CELL_BITS = 20
 SLICES = 64
 TILE = 4096          # members of a hot tile that one task takes
+FEW = 8              # members of a tile up to which all its pairs are tried at once
 BLOCK = 2048         # members that a probe meets at a time
 FLUSH = 1 << 21      # postings held before they are dealt out
 NO_ID = -(1 << 63)
@@ -266,19 +268,21 @@ def _tiles(out):
 
 
 def starrer(percent: int):
-    """Pairs (smallest of the band, member) of each tile; a hot tile also
-    tells its bands' smallest, to be paired with those of its other parts."""
+    """Pairs (smallest of the band, member) of each tile, all pairs of small
+    ones; a hot tile also tells its bands' smallest, to be paired with those
+    of its other parts."""
     def run(batches):
         for b in batches:
             a, z, lead, tile = [], [], [], []
             for t, hot, f, n in zip(*(b.column(c).to_pylist() for c in ("tile", "hot", "fps", "ns"))):
                 f, n, i = np.array(f, np.int64), np.array(n, np.int64), 0
+                every = len(f) <= FEW and not hot
                 while i < len(f):
                     j = int(np.searchsorted(n * percent, n[i] * 100, side="right"))
                     a.append(np.full(j - i - 1, f[i])), z.append(f[i + 1:j])
                     if hot:
                         lead.append(f[i]), tile.append(t)
-                    i = j
+                    i = i + 1 if every else j
             a, z = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*z, np.zeros(0, np.int64)])
             pair = np.unique(np.stack([np.minimum(a, z), np.maximum(a, z)], axis=1), axis=0)
             yield pa.record_batch({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64()),
@@ -503,7 +507,7 @@ class Join:
     def rest(self, roots: DataFrame, only: DataFrame | None) -> DataFrame:
         """(x, y, more): candidate pairs between different components that
         share a tile; of the probes in ``only`` all, else the best."""
-        member = (self.tiles.select("tile", F.explode("fps").alias("fp")).distinct()
+        member = (self.tiles.where((F.size("fps") > FEW) | F.col("hot")).select("tile", F.explode("fps").alias("fp")).distinct()
                   .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                   .select("tile", "fp", F.coalesce("root", "fp").alias("comp")))
         size = member.groupBy("tile", "comp").agg(F.count("*").alias("c"))
