@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskmart.llm import chat, lines, near, quality, tokens, toxicity, urls, vptree
+from riskmart.llm import chat, decontaminate, lines, near, quality, tokens, toxicity, urls, vptree
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_ngram_jaccard_join": near.op2_ngram_jaccard_join,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_vp_tree": vptree.op6_vp_tree,
