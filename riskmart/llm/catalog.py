@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskmart.llm import chat, decontaminate, lines, near, quality, tokens, toxicity, urls, vptree
+from riskmart.llm import chat, decontaminate, lines, near, pieces, quality, tokens, toxicity, urls, vptree
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_vp_tree": vptree.op6_vp_tree,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_url_filters": urls.op8_url_filters,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

@@ -209,18 +209,44 @@ def leaks(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", i
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    shards = max(1, -(-items.count() // shard_items))
     out = None
-    for s in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()    # about SHARD_ITEMS
-        index = spark.sparkContext.broadcast(Index(sorted((-1 if r.item_id is None else r.item_id, (r.text or "").encode())
-                                                          for r in own)))
+    for index in indexes(spark, items, item_col, item_text, shard_items):
         got = rows.mapInArrow(_asker(index), OUT)
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def indexes(spark, items: DataFrame, item_col="item_id", item_text="text", shard_items: int = SHARD_ITEMS):
+    """The broadcast index of each shard of the items."""
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    shards = max(1, -(-items.count() // shard_items))
+    for s in range(shards):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()    # about SHARD_ITEMS
+        yield spark.sparkContext.broadcast(Index(sorted((-1 if r.item_id is None else r.item_id, (r.text or "").encode())
+                                                        for r in own)))
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", item_text="text",
+               shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    at = docs.columns.index(text_col)
+
+    def keeper(index):
+        def keep(batches):
+            for b in batches:
+                texts = T.as_bytes(b.column(at))
+                clean = np.ones(len(texts), bool)
+                for i, j in T.pieces(texts, PIECE):
+                    clean[[i + r[0] for r in index.value.search(texts[i:j])]] = False
+                yield b.filter(pa.array(clean))
+        return keep
+    for index in indexes(spark, items, item_col, item_text, shard_items):
+        docs = docs.mapInArrow(keeper(index), docs.schema)
+    return docs
+
+
 def _asker(index):
     def run(batches):
         for b in batches:

@@ -248,9 +248,10 @@ def rewrite(texts: list, lines, drop: np.ndarray):
 
 
 def _output(b, n, gone, kept):
+    carried = [b.column(i) for i, c in enumerate(b.schema.names) if c == "_row"]
     return pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                            pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())],
-                           names=[b.schema.names[0], "n_lines", "n_dropped", "kept"])
+                            pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), *carried],
+                           names=[b.schema.names[0], "n_lines", "n_dropped", "kept", *["_row"] * len(carried)])
 
 
 def local_prober(index, shards: int, min_points: int):
@@ -345,23 +346,43 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_points=MI
                 broadcast_bytes=BROADCAST_BYTES, shards: int | None = None) -> DataFrame:
     """(id, n_lines, n_dropped, kept): each document without the lines that
     at least ``min_docs`` documents hold, except in the last holder."""
-    spark = docs.sparkSession
-    shards = shards or partitions(spark)
+    shards = shards or partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _probed(rows, rows, "", min_points, min_docs, broadcast_bytes, shards)
+
+
+def drop_lines(docs: DataFrame, id_col="doc_id", text_col="text", length_col="n_chars", min_points=MIN_POINTS,
+               min_docs=MIN_DOCS, broadcast_bytes=BROADCAST_BYTES, shards: int | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, with the kept text and its length."""
+    shards = shards or partitions(docs.sparkSession)
+    key, other = F.col(id_col).cast("long").alias("doc_id"), [c for c in docs.columns if c != text_col]
+    row = F.struct(*other)
+    rows = docs.select(key, F.col(text_col).alias("text"))
+    out = _probed(rows, docs.select(key, F.col(text_col).alias("text"), row.alias("_row")),
+                  f", _row {docs.select(row.alias('r')).schema['r'].dataType.simpleString()}",
+                  min_points, min_docs, broadcast_bytes, shards)
+    new = {text_col: F.col("kept"), length_col: F.length("kept").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
+def _probed(rows: DataFrame, wide: DataFrame, more: str, min_points, min_docs, broadcast_bytes, shards) -> DataFrame:
+    """Index of ``rows`` (doc_id, text), probed by ``wide``, which may carry
+    a struct _row."""
+    spark = rows.sparkSession
     index = written(line_index(rows, "doc_id", "text", min_points, min_docs, shards), "lines")
     size = index.agg(F.sum(F.length("levels") + F.length("fp") + F.length("n") + F.length("top"))).first()[0] or 0
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])
-        return rows.mapInArrow(local_prober(held, shards, min_points), "doc_id long, " + OUT)
+        return wide.mapInArrow(local_prober(held, shards, min_points), "doc_id long, " + OUT + more)
     probes = rows.mapInArrow(prober_rows(shards, min_points), PROBE)
     nothing = F.lit(None).cast("binary")
     arrays = index.select("shard", nothing.alias("h"), "fp", nothing.alias("id"), "levels", "n", "top",
                           F.lit(0).alias("kind"))
     hits = (probes.unionByName(arrays).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
             .mapInArrow(answer, "_id long, _hits binary").groupBy("_id").agg(F.collect_list("_hits").alias("_hits")))
-    found = rows.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(hits, "_id", "left")
-    return (found.select("doc_id", "text", "_hits")
-            .mapInArrow(applier(min_points), "doc_id long, " + OUT))
+    found = wide.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(hits, "_id", "left")
+    return (found.select("doc_id", "text", "_hits", *["_row"] * bool(more))
+            .mapInArrow(applier(min_points), "doc_id long, " + OUT + more))
 
 
 def op7_line_dedup(spark, sf_dir) -> DataFrame:

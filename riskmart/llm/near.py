@@ -569,6 +569,14 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", k: int
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, without documents of which a linked
+    one has a smaller id; rows with a null id stay."""
+    found = jaccard_components(docs, id_col, text_col, k, percent)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def op2_ngram_jaccard_join(spark, sf_dir) -> DataFrame:
     """Operator 2 over all documents (contract columns)."""
     return jaccard_components(table(spark, sf_dir, "documents"))

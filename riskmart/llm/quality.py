@@ -241,6 +241,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+REJECT = 0.2             # score below which the filter lets a document go
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", least: float = REJECT,
+              sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``least``."""
+    spark = docs.sparkSession
+    vectors = spark.sparkContext.broadcast(word_vectors(docs, text_col))
+    model = spark.sparkContext.broadcast(fit(docs, labels, vectors, ~held_out_ids(F.col("doc_id")), id_col, text_col,
+                                             sample=sample))
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.value.scores(pool(T.as_bytes(b.column(at)), vectors.value)) >= least, pa.bool_()))
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_quality_classifier(spark, sf_dir) -> DataFrame:
     """Operator 5 over all documents (contract columns)."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
