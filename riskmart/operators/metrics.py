@@ -3,7 +3,7 @@
 Input is a scored frame (label, probability).  Counts are one global
 aggregate (partial per task); the exact ROC-AUC groups by distinct score
 first and ranks the distinct scores with distributed prefix sums, so no
-task ever holds more than one range partition of distinct scores.
+task ever holds more than one bucket of distinct scores.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def roc_auc(df: DataFrame, label: str = LABEL_COL, prob: str = "p", digits: int
     g = list(group_cols)
     by_score = df.groupBy(*g, s.alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    ranked = prefix_sums(by_score, ["_s"], {"neg": "_neg"}, tuple(g), num_partitions)
+    ranked = prefix_sums(by_score, "_s", {"neg": "_neg"}, tuple(g), num_partitions)
     return ranked.groupBy(*g).agg(
         F.try_divide(F.sum(F.col("_pos") * (F.col("neg_before") + F.col("_neg") / 2)),
                      F.sum("_pos").cast("double") * F.sum("_neg")).alias("roc_auc"))

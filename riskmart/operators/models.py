@@ -4,8 +4,7 @@
 The reference trains three third-party boosters, a forest, a boosting
 learner and a logistic regression on one machine.  Here they are presets of
 MLlib learners, fitted as distributed jobs on the executors; presets differ
-in rounds, depth, sampling and class weighting.  A ``fast`` budget keeps the
-same presets with few rounds for verification runs.
+in rounds, depth, sampling and class weighting.
 """
 
 from __future__ import annotations
@@ -13,18 +12,21 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmart.operators import metrics as M
 from riskmart.operators import prep as PR
-from riskmart.schemas import DEFAULT_THRESHOLD, LABEL_COL
+from riskmart.schemas import DEFAULT_THRESHOLD, ID_COL, LABEL_COL
 
 FEATURES_VEC = "features"
 
@@ -63,23 +65,13 @@ PRESETS = {
                                                         elasticNetParam=0.0), "balanced"),
 }
 COMPARISON = ["gbt_a", "gbt_b", "gbt_c", "random_forest", "gbt_d", "logistic"]
-FAST_CAPS = {"maxIter": 10, "numTrees": 20}
+TRAIN_PARTITIONS = 8       # of the training rows, by a hash of the id; state more for large tables
 
 
-def budget(preset: Preset, fast: bool) -> dict:
-    p = dict(preset.params)
-    if fast:
-        for k, cap in FAST_CAPS.items():
-            if k in p and preset.learner != "lr":
-                p[k] = min(p[k], cap)
-        if preset.learner == "lr":
-            p["maxIter"] = min(p["maxIter"], 50)
-    return p
-
-
-def make_learner(preset: Preset, n_rows: int, fast: bool = False, seed: int = 42,
-                 weight_col: str | None = None):
-    p = budget(preset, fast)
+def make_learner(preset: Preset, n_rows: int, seed: int = 42, weight_col: str | None = None,
+                 overrides: dict | None = None):
+    """The preset's learner; ``overrides`` replaces single parameters."""
+    p = {**preset.params, **{k: v for k, v in (overrides or {}).items() if k in preset.params}}
     common = dict(featuresCol=FEATURES_VEC, labelCol=LABEL_COL)
     if weight_col:
         common["weightCol"] = weight_col
@@ -126,8 +118,8 @@ def _validation_slice(train: DataFrame, share: float = 0.1) -> DataFrame:
     return train.withColumn("is_validation", h < int(share * PR.MOD))
 
 
-def fit_preset(train: DataFrame, feature_cols: list[str], key: str, fast: bool = False,
-               seed: int = 42, stop_on: DataFrame | None = None) -> tuple[PipelineModel, float]:
+def fit_preset(train: DataFrame, feature_cols: list[str], key: str, seed: int = 42, stop_on: DataFrame | None = None,
+               overrides: dict | None = None) -> tuple[PipelineModel, float]:
     """Fit one preset.  Early-stopping presets hold out a validation slice of
     the training rows; ``stop_on`` (parity) uses the given rows, e.g. the
     test rows as the reference does, as the stopping set instead."""
@@ -141,57 +133,48 @@ def fit_preset(train: DataFrame, feature_cols: list[str], key: str, fast: bool =
         if preset.early_stopping and preset.learner == "gbt":
             data = _validation_slice(data)
     n = data.count() if preset.learner == "lr" else 0      # only the L2 scaling needs n
-    learner = make_learner(preset, n, fast, seed, wcol)
+    learner = make_learner(preset, n, seed, wcol, overrides)
     t0 = time.time()
     model = pipeline(feature_cols, learner).fit(data)
     return model, time.time() - t0
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Training rows over at least as many partitions as the cluster has
-    task slots (iterative learners run one task per partition and pass);
-    large inputs already have more partitions and are left as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+def dealt(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Training rows dealt by the id over a stated number of partitions:
+    learners sample per partition, so the same table gives the same model on
+    any cluster."""
+    return df.repartition(partitions, ID_COL).sortWithinPartitions(ID_COL)
 
 
 def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
-                   keys: list[str] = COMPARISON, fast: bool = False,
-                   threshold: float = DEFAULT_THRESHOLD, fitted: dict | None = None):
+                   keys: list[str] = COMPARISON, threshold: float = DEFAULT_THRESHOLD,
+                   overrides: dict | None = None, partitions: int = TRAIN_PARTITIONS, parallelism: int = 6):
     """MDL-10: fit each preset on the cached training rows, score the test
     rows, one metrics row per preset; a failing preset gives an error row
-    and the loop goes on.  ``fitted`` (key -> (model, row)) reuses fits of
-    the same rows made earlier.  Returns (metrics DataFrame, {key: model})."""
+    and the loop goes on.  Returns (metrics DataFrame, {key: model})."""
     spark = train.sparkSession
-    fitted = {} if fitted is None else fitted
-    todo = [k for k in keys if k not in fitted]
-    if todo:
-        train = spread(train).persist()
-        test = test.persist()
+    train, test = dealt(train, partitions).persist(), test.persist()
     rows, models = [], {}
+
+    def one(key):
+        name = PRESETS[key].name
+        try:
+            model, secs = fit_preset(train, feature_cols, key, overrides=overrides)
+            row = M.metrics_row(predict_default(model, test), name, train_seconds=secs).collect()[0].asDict()
+            return key, model, row | {"error": None}
+        except Exception as e:  # noqa: BLE001 - keep comparing the other presets
+            return key, None, {"model": name, "error": f"{type(e).__name__}: {e}"}
     try:
-        for key in keys:
-            name = PRESETS[key].name
-            if key in fitted:
-                model, row = fitted[key]
+        train.count(), test.count()
+        # boosting rounds are many short jobs: presets side by side fill the gaps
+        with ThreadPool(min(parallelism, len(keys))) as pool:
+            for key, model, row in pool.map(inheritable_thread_target(spark)(one), keys, chunksize=1):
                 rows.append(row)
                 if model is not None:
                     models[key] = model
-                continue
-            try:
-                model, secs = fit_preset(train, feature_cols, key, fast)
-                scored = predict_default(model, test)
-                row = M.metrics_row(scored, name, train_seconds=secs).collect()[0].asDict()
-                row["error"] = None
-                models[key] = model
-            except Exception as e:  # noqa: BLE001 - keep comparing the other presets
-                model, row = None, {"model": name, "error": f"{type(e).__name__}: {str(e)[:200]}"}
-            fitted[key] = (model, row)
-            rows.append(row)
     finally:
-        if todo:
-            train.unpersist()
-            test.unpersist()
+        train.unpersist()
+        test.unpersist()
     schema = ("model string, f1_default double, f1_macro double, f1_weighted double, "
               "roc_auc double, precision double, recall double, true_positives int, "
               "false_negatives int, train_seconds double, error string")
@@ -210,15 +193,17 @@ def save_model(model: PipelineModel, meta: dict, path: str) -> None:
 
 
 def load_model(path: str):
-    """SRC-7: (pipeline, metadata DataFrame), or None when the bundle is
-    missing or unreadable (the caller then uses the fallback decision)."""
+    """SRC-7: (pipeline, metadata DataFrame), or None where there is no
+    bundle (the caller then uses the fallback decision).  Any other failure
+    to read raises."""
     spark = SparkSession.getActiveSession()
     try:
-        model = PipelineModel.load(f"{path}/pipeline")
         meta = spark.read.json(f"{path}/metadata")
-        return model, meta
-    except Exception:  # noqa: BLE001
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return PipelineModel.load(f"{path}/pipeline"), meta
 
 
 def model_info(bundle) -> DataFrame:

@@ -3,8 +3,7 @@ imputation, the stratified split and class weights (SEL, ENC, IMP, SPL,
 WGT, AGG-5, AGG-6).
 
 Everything that sees all rows runs as Spark aggregates; only bounded
-results reach the driver: code maps (one entry per distinct category),
-per-class counts, and per-column medians.
+results reach the driver: per-class counts and per-column medians.
 """
 
 from __future__ import annotations
@@ -12,16 +11,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskmart.operators.ranking import prefix_sums
 from riskmart.schemas import (ID_COL, LABEL_COL, MISSING_CATEGORY_TEXT, SPLIT_SEED, TEST_SHARE)
+from riskmart.session import materialize
 
-MAX_CODE_MAP = 10_000       # code-table rows held as literal maps in the plan
-MAX_CLASSES = 10_000
+PREFIX = 3                  # characters of a label that pick its ranking group
 
 
 # ----------------------------------------------------------------- SEL-1
@@ -46,49 +43,25 @@ def fit_label_codes(df: DataFrame, cols: list[str],
         return df.sparkSession.createDataFrame([], schema)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _as_label(c, missing_label).alias("value"))
                       for c in cols])
-    distinct = df.select(F.inline(pairs)).distinct()
-    # Few labels (the usual case): one small window per column.  Many labels:
-    # distributed ranking, so no column's labels have to fit one task.
-    if distinct.limit(MAX_CODE_MAP + 1).count() <= MAX_CODE_MAP:
-        from pyspark.sql import Window
-        w = Window.partitionBy("column").orderBy("value")
-        return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
-    ones = distinct.withColumn("_one", F.lit(1))
-    ranked = prefix_sums(ones, ["value"], {"_rank": "_one"}, ("column",))
-    return ranked.select("column", "value", F.col("_rank_before").cast("int").alias("code"))
-
-
-def code_maps(codes: DataFrame) -> dict[str, dict[str, int]] | None:
-    """Collect the code table to the driver when it is small (checked);
-    None when it is too large (use ``apply_label_codes_join``)."""
-    rows = codes.limit(MAX_CODE_MAP + 1).collect()
-    if len(rows) > MAX_CODE_MAP:
-        return None
-    out: dict[str, dict[str, int]] = {}
-    for r in rows:
-        out.setdefault(r["column"], {})[r["value"]] = r["code"]
-    return out
-
-
-def apply_label_codes(df: DataFrame, maps: dict[str, dict[str, int]],
+    # Ranked in two levels, so no task has to hold all labels of a column:
+    # inside the labels of one beginning, then by the counts of the
+    # beginnings before it (a beginning sorts as its labels do).
+    distinct = df.select(F.inline(pairs)).distinct().withColumn("_p", F.substring("value", 1, PREFIX))
+    inside = Window.partitionBy("column", "_p").orderBy("value")
+    before = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = distinct.groupBy("column", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("column", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    return (distinct.withColumn("_k", F.row_number().over(inside) - 1).join(starts, ["column", "_p"])
+            .select("column", "value", (F.col("_at") + F.col("_k")).cast("int").alias("code")))
+
+
+def apply_label_codes(df: DataFrame, codes: DataFrame, cols: list[str],
                       missing_label: str = MISSING_CATEGORY_TEXT) -> DataFrame:
-    """ENC-2: replace each categorical by its code; an unseen label gets 0
-    (the code of the first label), as the scoring service does."""
-    cols = {}
-    for c, m in maps.items():
-        if c not in df.columns:
-            continue
-        lit_map = F.create_map(*[x for k, v in sorted(m.items()) for x in (F.lit(k), F.lit(v))])
-        cols[c] = F.coalesce(F.element_at(lit_map, _as_label(c, missing_label)), F.lit(0)).cast("int")
-    return df.withColumns(cols) if cols else df
-
-
-def apply_label_codes_join(df: DataFrame, codes: DataFrame, cols: list[str],
-                           missing_label: str = MISSING_CATEGORY_TEXT) -> DataFrame:
-    """ENC-2 as joins against the code table (for code tables too large to
-    hold as a literal map); unseen -> 0.  Whether a code table is broadcast
-    is left to the planner (AQE converts to a broadcast from the measured
-    size)."""
+    """ENC-2: replace each categorical by its code, one join per column with
+    the code table; an unseen label gets 0 (the code of the first label), as
+    the scoring service does.  ``codes`` should be a written table: the
+    planner then knows its size and broadcasts it where it is small, so the
+    rows are not shuffled; beyond that AQE splits a hot label's partition."""
     out = df
     for c in [c for c in cols if c in df.columns]:
         m = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"),
@@ -97,17 +70,14 @@ def apply_label_codes_join(df: DataFrame, codes: DataFrame, cols: list[str],
                .join(m, on=f"_v_{c}", how="left")
                .withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.lit(0)).cast("int"))
                .drop(f"_v_{c}", f"_c_{c}"))
-    return out
+    return out.select(*df.columns)
 
 
 def encode(df: DataFrame, codes: DataFrame, cols: list[str],
-           missing_label: str = MISSING_CATEGORY_TEXT) -> tuple[DataFrame, dict | None]:
-    """ENC-2 with the cheaper form that fits: literal maps for small code
-    tables, joins otherwise.  Returns (encoded, maps or None)."""
-    maps = code_maps(codes)
-    if maps is not None:
-        return apply_label_codes(df, maps, missing_label), maps
-    return apply_label_codes_join(df, codes, cols, missing_label), None
+           missing_label: str = MISSING_CATEGORY_TEXT) -> tuple[DataFrame, DataFrame]:
+    """ENC-2 with a code table that is written first: (encoded, code table)."""
+    codes = materialize(codes, "label-codes")
+    return apply_label_codes(df, codes, cols, missing_label), codes
 
 
 # ----------------------------------------------------------------- IMP
@@ -118,148 +88,65 @@ def _numeric(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if isinstance(types[c], num)]
 
 
-def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value) pairs of the non-missing values, as doubles."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                      for c in cols])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-
-NARROW_BUCKETS = 1024      # buckets per column and narrowing level
-NARROW_COLLECT = 2_000     # finish on the driver once a target's range holds this few values
-
-
-def _median_by_narrowing(lv: DataFrame, cols: list[str]) -> dict:
-    """Exact medians by range narrowing.
-
-    Per level: one scan of the values in each open target's current range,
-    a count / min / max per equal-width bucket (NARROW_BUCKETS per target),
-    and a running count over the buckets of each target (a window over at
-    most NARROW_BUCKETS rows) that picks the bucket holding the target rank;
-    only that one row per target reaches the driver.  The range shrinks to
-    the bucket's [min, max].  A target is finished when its range holds one
-    distinct value, or at most NARROW_COLLECT values, which are then ranked
-    the same way (a window over at most NARROW_COLLECT distinct values).
-    No shuffle larger than the bucket table."""
-    from pyspark.sql import Window
-    spark = lv.sparkSession
-    stats = {r["column"]: r for r in lv.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
-    # (column, 0-based rank) -> [lo, hi, values below lo]
-    tasks, found = {}, {}
-    for c in cols:
-        st = stats.get(c)
-        if st is None or st["n"] == 0:
-            continue
-        for k in {(st["n"] - 1) // 2, st["n"] // 2}:
-            tasks[(c, k)] = [st["lo"], st["hi"], 0]
-
-    def in_ranges(spec: dict) -> tuple[list, DataFrame]:
-        ids = list(spec)
-        ranges = spark.createDataFrame(
-            [(i, c, float(spec[(c, k)][0]), float(spec[(c, k)][1]), int(k - spec[(c, k)][2]))
-             for i, (c, k) in enumerate(ids)],
-            "task int, column string, lo double, hi double, need bigint")
-        # ranges: one row per open target, so the broadcast is bounded
-        return ids, (lv.join(F.broadcast(ranges), "column")
-                     .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))))
-
-    def pick(grouped: DataFrame, order: str) -> list:
-        w = Window.partitionBy("task").orderBy(order).rowsBetween(Window.unboundedPreceding,
-                                                                  Window.currentRow)
-        ranked = grouped.withColumn("cum", F.sum("n").over(w))
-        return ranked.where((F.col("cum") - F.col("n") <= F.col("need"))
-                            & (F.col("need") < F.col("cum"))).collect()
-
-    while tasks:
-        todo = {}
-        for key, (lo, hi, below) in tasks.items():
-            if lo == hi:
-                found[key] = lo
-            else:
-                todo[key] = (lo, hi, below)
-        if not todo:
-            break
-        ids, rows = in_ranges(todo)
-        width = (F.col("hi") - F.col("lo")) / NARROW_BUCKETS
-        bucket = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(NARROW_BUCKETS - 1))
-        hist = rows.groupBy("task", "need", bucket.alias("b")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("value").alias("bmin"), F.max("value").alias("bmax"))
-        nxt, fetch = {}, {}
-        for r in pick(hist, "b"):
-            key = ids[r["task"]]
-            below = todo[key][2] + r["cum"] - r["n"]
-            if r["bmin"] == r["bmax"]:
-                found[key] = r["bmin"]
-            elif r["n"] <= NARROW_COLLECT:
-                fetch[key] = (r["bmin"], r["bmax"], below)
-            else:
-                nxt[key] = [r["bmin"], r["bmax"], below]
-        if fetch:
-            fids, frows = in_ranges(fetch)
-            counts = frows.groupBy("task", "need", "value").agg(F.count(F.lit(1)).alias("n"))
-            for r in pick(counts, "value"):
-                found[fids[r["task"]]] = r["value"]
-        tasks = nxt
-    out = {}
-    for c in cols:
-        st = stats.get(c)
-        if st is None or st["n"] == 0:
-            out[c] = None
-            continue
-        out[c] = (found[(c, (st["n"] - 1) // 2)] + found[(c, st["n"] // 2)]) / 2
-    return out
+ACCURACY = 10_000          # of the approximate quantiles that bracket a median
 
 
-def median_table(df: DataFrame, cols: list[str], exact: bool = True,
-                 num_partitions: int | None = None, method: str = "narrow") -> DataFrame:
-    """AGG-6: (column, median) for each column; a column with no value gets
-    NULL.  Exact medians average the one or two middle values, as numpy
-    does:
+def _value(c: str) -> Column:
+    """A column as double, NaN as missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def _middle(a: Column, b: Column) -> Column:
+    """Mean of two values, also where their sum is out of range."""
+    mean = (a + b) / 2
+    return F.when((F.abs(mean) == float("inf")) & (F.abs(a) < float("inf")) & (F.abs(b) < float("inf")),
+                  a / 2 + b / 2).otherwise(mean)
 
-    * ``narrow`` (default): range narrowing, a few scans with bucket-sized
-      aggregates, no large shuffle;
-    * ``rank``: value counts -> distributed running counts
-      (``prefix_sums``) -> the middle values.
 
-    ``exact=False``: ``percentile_approx`` (bounded memory per column)."""
+def median_table(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+    """AGG-6: (column, median) for each column; a column with no value gets
+    NULL.  The mean of the one or two middle values, as numpy does.
+
+    Three steps, no arithmetic on the values: one wide aggregate brackets
+    every median by approximate quantiles on either side of 0.5 whose error
+    is known; a second counts the values below each bracket; the values
+    inside, about 4 in ACCURACY of all, are counted by value and ranked per
+    column.  A bracket that misses is widened to all values.
+    ``exact=False``: the approximate quantile itself."""
     cols = _numeric(df, cols)
     spark = df.sparkSession
-    names = spark.createDataFrame([(c,) for c in cols], "column string")
+    schema = "column string, median double"
     if not cols:
-        return names.withColumn("median", F.lit(None).cast("double"))
-    lv = long_values(df, cols)
+        return spark.createDataFrame([], schema)
+    near = 2 / ACCURACY
+    got = df.agg(*[F.struct(F.count(_value(c)).alias("n"), F.min(_value(c)).alias("lo"), F.max(_value(c)).alias("hi"),
+                            F.percentile_approx(_value(c), [0.5 - near, 0.5, 0.5 + near], ACCURACY).alias("q")).alias(c)
+                   for c in cols]).first()
     if not exact:
-        med = lv.groupBy("column").agg(F.percentile_approx("value", 0.5, 10000).alias("median"))
-        return names.join(med, "column", "left")
-    if method == "narrow":
-        lv = lv.persist(StorageLevel.MEMORY_AND_DISK)   # re-read by every level
-        try:
-            meds = _median_by_narrowing(lv, cols)
-        finally:
-            lv.unpersist()
-        return spark.createDataFrame([(c, meds[c]) for c in cols], "column string, median double")
-    counts = lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(counts, ["value"], {"cum": "n"}, ("column",), num_partitions)
-    # totals from the ranked (checkpointed) table: the final job does not
-    # go back to the source rows
-    totals = ranked.groupBy("column").agg(F.max("cum_incl").alias("total"))
-    # 0-based ranks of the two middle values.
-    lo = F.floor((F.col("total") - 1) / 2)
-    hi = F.ceil((F.col("total") - 1) / 2)
-    hits = (ranked.join(F.broadcast(totals), "column")   # one row per column
-            .where(((F.col("cum_before") <= lo) & (lo < F.col("cum_incl")))
-                   | ((F.col("cum_before") <= hi) & (hi < F.col("cum_incl")))))
-    mids = hits.groupBy("column").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    med = mids.select("column", ((F.col("a") + F.col("b")) / 2).alias("median"))
-    return names.join(med, "column", "left")
-
-
-def fit_medians(df: DataFrame, cols: list[str], exact: bool = True,
-                method: str = "narrow") -> dict[str, float | None]:
+        return spark.createDataFrame([(c, got[c].q[1] if got[c].q else None) for c in cols], schema)
+    spans = {c: (got[c].n, got[c].q[0], got[c].q[2]) for c in cols if got[c].n}
+    found: dict = {}
+    while spans:
+        below = df.agg(*[F.count_if(_value(c) < lo).alias(c) for c, (_, lo, _) in spans.items()]).first()
+        inside = F.array(*[F.struct(F.lit(c).alias("column"),
+                                    F.when((_value(c) >= lo) & (_value(c) <= hi), _value(c)).alias("value"))
+                           for c, (_, lo, hi) in spans.items()])
+        counts = df.select(F.inline(inside)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        need = spark.createDataFrame([(c, (n - 1) // 2 - below[c], n // 2 - below[c]) for c, (n, _, _) in spans.items()],
+                                     "column string, k1 long, k2 long")
+        upto = F.sum("n").over(Window.partitionBy("column").orderBy("value"))
+        hit = lambda k: F.max(F.when((F.col("upto") - F.col("n") <= F.col(k)) & (F.col(k) < F.col("upto")), F.col("value")))
+        rows = (counts.withColumn("upto", upto).join(F.broadcast(need), "column")          # one row a column
+                .groupBy("column").agg(hit("k1").alias("a"), hit("k2").alias("b"))
+                .select("column", "a", "b", _middle(F.col("a"), F.col("b")).alias("median")).collect())
+        found |= {r.column: r.median for r in rows if r.a is not None and r.b is not None}
+        spans = {c: (n, got[c].lo, got[c].hi) for c, (n, _, _) in spans.items() if c not in found}
+    return spark.createDataFrame([(c, found.get(c)) for c in cols], schema)
+
+
+def fit_medians(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, float | None]:
     """IMP-1: per-column medians on the driver (one value per column)."""
-    rows = median_table(df, cols, exact, method=method).collect()
-    return {r["column"]: r["median"] for r in rows}
+    return {r["column"]: r["median"] for r in median_table(df, cols, exact).collect()}
 
 
 def impute(df: DataFrame, medians: dict[str, float | None], drop_empty: bool = True) -> DataFrame:
@@ -281,12 +168,9 @@ def class_counts(df: DataFrame, label: str = LABEL_COL) -> DataFrame:
 def class_weight_table(df: DataFrame, label: str = LABEL_COL) -> DataFrame:
     """WGT-1 / WGT-2: balanced weight n / (k * n_class) and the
     positive-class weight negatives / positives (1 for other classes).
-    The per-class counts are one small aggregate (checked against
-    MAX_CLASSES); the weights are computed from them."""
-    rows = class_counts(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for class weights")
-    counts = {r[label]: r["n"] for r in rows}
+    The per-class counts are one small aggregate; rows without a label
+    count for no class."""
+    counts = {r[label]: r["n"] for r in class_counts(df.where(F.col(label).isNotNull()), label).collect()}
     total, k = sum(counts.values()), len(counts)
     neg, pos = counts.get(0), counts.get(1)
     out = [(y, n, total / (k * n), (neg / pos if (y == 1 and neg is not None and pos) else
@@ -311,11 +195,15 @@ MULT = 950706376          # Lehmer multiplier for 2^31-1 (Fishman-Moore optimal)
                           # x * MULT < 2^62 stays exact in BIGINT arithmetic
 
 
+NO_ID = -1                # what a NULL id counts as
+
+
 def split_hash(id_col: str = ID_COL, seed: int = SPLIT_SEED) -> Column:
     """h in [0, 2^31-1): a fixed pseudo-random permutation of
     (id + seed) mod (2^31-1) (one Lehmer step, so consecutive ids spread over
-    the whole range); plain BIGINT arithmetic, the same in any SQL engine."""
-    return F.pmod(F.pmod(F.col(id_col), F.lit(MOD)) + seed, F.lit(MOD)) * MULT % MOD
+    the whole range); plain BIGINT arithmetic, the same in any SQL engine.
+    A NULL id counts as NO_ID."""
+    return F.pmod(F.pmod(F.coalesce(F.col(id_col), F.lit(NO_ID)), F.lit(MOD)) + seed, F.lit(MOD)) * MULT % MOD
 
 
 def approximate_mode(counts: dict, n_draws: int) -> dict:
@@ -334,10 +222,7 @@ def approximate_mode(counts: dict, n_draws: int) -> dict:
 def split_sizes(df: DataFrame, label: str = LABEL_COL, test_share: float = TEST_SHARE) -> dict:
     """Per-class (n, n_train, n_test) following the stratified rule:
     n_test = ceil(share * n), classes allocated by ``approximate_mode``."""
-    rows = class_counts(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for a stratified split")
-    counts = {r[label]: r["n"] for r in rows}
+    counts = {r[label]: r["n"] for r in class_counts(df.where(F.col(label).isNotNull()), label).collect()}
     n = sum(counts.values())
     n_test = math.ceil(test_share * n)
     train = approximate_mode(counts, n - n_test)
@@ -352,7 +237,7 @@ def _cut(df: DataFrame, label: str, h: Column, targets: dict) -> dict:
     the cut hash value is ordered by id."""
     levels = [(20, 11), (9, 11), (0, 9)]      # (shift, bits) from high to low
     state = {k: {"prefix": 0, "need": t} for k, t in targets.items() if t > 0}
-    base = df.select(F.col(label).alias("_y"), h.alias("_h"), F.col(ID_COL).alias("_id"))
+    base = df.select(F.col(label).alias("_y"), h.alias("_h"), F.coalesce(F.col(ID_COL), F.lit(NO_ID)).alias("_id"))
     high = 31
     for shift, bits in levels:
         if not state:
@@ -408,7 +293,9 @@ def stratified_split(df: DataFrame, label: str = LABEL_COL, test_share: float =
     smallest split hashes (deterministic, stable under re-partitioning and
     re-execution; a few small aggregates, no shuffle of the table).
     ``bernoulli``: ``h < share * (2^31-1)`` per row, no job at all; sizes
-    are binomial around the target."""
+    are binomial around the target.
+
+    A row without a label has a NULL ``is_test``: it is in neither part."""
     h = split_hash(ID_COL, seed)
     if mode == "bernoulli":
         return df.withColumn("is_test", h < int(test_share * MOD))
@@ -418,9 +305,9 @@ def stratified_split(df: DataFrame, label: str = LABEL_COL, test_share: float =
     for k, (h_cut, id_cut) in cuts.items():
         if h_cut < 0:
             continue
-        in_k = (F.col(label) == F.lit(k)) & ((h < h_cut) | ((h == h_cut) & (F.col(ID_COL) <= id_cut)))
+        in_k = (F.col(label) == F.lit(k)) & ((h < h_cut) | ((h == h_cut) & (F.coalesce(F.col(ID_COL), F.lit(NO_ID)) <= id_cut)))
         cond = cond | in_k
-    return df.withColumn("is_test", cond)
+    return df.withColumn("is_test", F.when(F.col(label).isNotNull(), cond))
 
 
 def train_test(df: DataFrame, label: str = LABEL_COL, test_share: float = TEST_SHARE,

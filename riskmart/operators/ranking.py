@@ -2,23 +2,20 @@
 
 ``prefix_sums`` gives every row the running total of a weight in a global
 order (optionally per group).  A plain ``Window.orderBy`` without a
-partition key moves the whole table into one task; here the rows are
-range-partitioned on the order key first, each range partition computes its
-local running sum, and the partition totals (a table of
-``groups x partitions`` rows, bounded by the partition count we choose) give
-the offsets.  A hot value cannot form a hot group: callers aggregate to
-distinct keys before ranking (medians, AUC) or rank unique keys.
+partition key moves the whole table into one task; here one aggregate gives
+approximate quantiles as cut points, every row's bucket is the number of cut
+points below it (a plain expression, the same whenever it is evaluated), the
+windows run inside a bucket, and the bucket totals give the offsets.  A hot
+value cannot form a hot group: callers aggregate to distinct keys before
+ranking.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmart.session import ensure_checkpoint_dir
-
-PID = "_range_pid"
+BUCKET = "_rank_bucket"
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -27,38 +24,34 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def prefix_sums(df: DataFrame, order_cols: list[str], weights: dict[str, str],
-                group_cols: tuple[str, ...] = (), num_partitions: int | None = None) -> DataFrame:
+def cut_points(df: DataFrame, col: str, buckets: int) -> list[float]:
+    """At most ``buckets - 1`` values that part ``col`` into runs of like size."""
+    shares = [i / buckets for i in range(1, buckets)]
+    if not shares:
+        return []
+    got = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, max(1000, 10 * buckets))).first()[0]
+    return sorted(set(got or []))
+
+
+def prefix_sums(df: DataFrame, order_col: str, weights: dict[str, str], group_cols: tuple[str, ...] = (),
+                num_partitions: int | None = None) -> DataFrame:
     """Add ``<out>_incl`` / ``<out>_before`` running sums of each weight
-    column (``weights = {out_name: weight_col}``) in ``order_cols`` order
-    within ``group_cols``.  Keys must be unique within a group (ties are
-    ranked in an arbitrary but fixed order otherwise)."""
-    groups, order = list(group_cols), list(order_cols)
-    n = _partitions(df, num_partitions)
-    # The range bounds come from sampling, and spark_partition_id() is only
-    # meaningful for one evaluation of the exchange: both consumers below
-    # must see the same assignment, also when a lost executor forces a
-    # recomputation.  A reliable checkpoint (shared checkpoint folder) pins it.
-    # The input is cached for the two passes the eager checkpoint makes
-    # (range-bound sampling, then the write) and released right after.
-    ensure_checkpoint_dir(df.sparkSession)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ranged = (src.repartitionByRange(n, *groups, *order)
-                  .withColumn(PID, F.spark_partition_id()).checkpoint(eager=True))
-    finally:
-        src.unpersist()
-    local = Window.partitionBy(*groups, PID).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    with_local = ranged.withColumns({f"_loc_{o}": F.sum(w).over(local) for o, w in weights.items()})
-    totals = ranged.groupBy(*groups, PID).agg(*[F.sum(w).alias(f"_tot_{o}") for o, w in weights.items()])
-    before = Window.partitionBy(*groups).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, PID, *[
-        F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in weights])
-    # offsets has at most (#groups x n) rows: n is the partition count chosen
-    # above, so the broadcast side is bounded by construction.
-    joined = with_local.join(F.broadcast(offsets), on=[*groups, PID], how="inner")
-    out = joined.withColumns({f"{o}_incl": F.col(f"_off_{o}") + F.col(f"_loc_{o}")
-                              for o in weights})
+    column (``weights = {out_name: weight_col}``) by the numeric
+    ``order_col`` within ``group_cols``.  Keys must be unique within a group."""
+    groups = list(group_cols)
+    cuts = cut_points(df, order_col, _partitions(df, num_partitions))
+    value = F.col(order_col).cast("double")
+    below = F.lit(0)
+    if cuts:
+        below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))
+    rows = df.withColumn(BUCKET, below)
+    local = Window.partitionBy(*groups, BUCKET).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumns({f"_loc_{o}": F.sum(w).over(local) for o, w in weights.items()})
+    totals = rows.groupBy(*groups, BUCKET).agg(*[F.sum(w).alias(f"_tot_{o}") for o, w in weights.items()])
+    before = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, BUCKET, *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_off_{o}")
+                                               for o in weights])
+    out = ranked.join(offsets, on=[*groups, BUCKET])       # both sides are dealt by these keys
+    out = out.withColumns({f"{o}_incl": F.col(f"_off_{o}") + F.col(f"_loc_{o}") for o in weights})
     out = out.withColumns({f"{o}_before": F.col(f"{o}_incl") - F.col(w) for o, w in weights.items()})
-    return out.drop(PID, *[f"_loc_{o}" for o in weights], *[f"_off_{o}" for o in weights])
+    return out.drop(BUCKET, *[f"_loc_{o}" for o in weights], *[f"_off_{o}" for o in weights])

@@ -17,6 +17,7 @@ from riskmart.schemas import (APPLICANT_DEFAULTS, BROWSER_RANGES, APPLICANT_FLOA
                               UNKNOWN_OCCUPATION)
 
 VIOLATIONS = "violations"
+LARGEST = 2.0 ** 53      # amounts are whole numbers in the answer; beyond this a double skips some
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -30,15 +31,26 @@ def fill_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+def finite(c: Column) -> Column:
+    """Neither missing, NaN nor infinite (NaN sorts above all numbers)."""
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
 def coerce(df: DataFrame) -> DataFrame:
     """VAL-2: text fields -> numbers.  Int fields accept whole numbers
-    written as text or as floats; anything else becomes NULL and is reported
-    as ``<field>:type`` by ``violations``."""
+    written as text or as floats; anything else, and a number that is not
+    finite, becomes NULL and is reported as ``<field>:type`` by
+    ``violations``.  So is an ``applicant_id`` that is no whole number."""
     cols, bad = {}, []
+    if "applicant_id" in df.columns:
+        raw = F.col("applicant_id")
+        cols["applicant_id"] = raw.cast("string").try_cast("bigint")
+        bad.append(F.when(raw.isNotNull() & cols["applicant_id"].isNull(), F.lit("applicant_id:type")))
     for f in APPLICANT_FLOAT_FIELDS:
         if f in df.columns:
             raw = F.col(f)
-            cols[f] = raw.cast("string").try_cast("double")
+            d = raw.cast("string").try_cast("double")
+            cols[f] = F.when(finite(d), d)
             bad.append(F.when(raw.isNotNull() & cols[f].isNull(), F.lit(f"{f}:type")))
     for f in APPLICANT_INT_FIELDS:
         if f in df.columns:
@@ -58,15 +70,18 @@ def coerce(df: DataFrame) -> DataFrame:
 
 
 def _range_rules(ranges: dict, present: set) -> list[Column]:
+    """A value breaks a limit unless it surely keeps it, so NaN breaks all.
+    Numbers that a whole-number result cannot hold break ``:max``."""
     rules = []
     for field, (lo, hi) in ranges.items():
         if field not in present:
             continue
-        c = F.col(field)
+        c = F.col(field).cast("double")
+        keeps = lambda test: test & ~F.isnan(c)
         if lo is not None:
-            rules.append(F.when(c < lo, F.lit(f"{field}:min")))
-        if hi is not None:
-            rules.append(F.when(c > hi, F.lit(f"{field}:max")))
+            rules.append(F.when(c.isNotNull() & ~keeps(c >= lo), F.lit(f"{field}:min")))
+        rules.append(F.when(c.isNotNull() & ~keeps((c <= hi) if hi is not None else (F.abs(c) < LARGEST)),
+                            F.lit(f"{field}:max")))
     return rules
 
 

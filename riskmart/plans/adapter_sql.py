@@ -83,14 +83,14 @@ SELECT o_custkey AS SK_ID_CURR, o_orderkey AS SK_ID_BUREAU, o_totalprice AS AMT_
  CAST(CASE WHEN o_orderpriority='1-URGENT' THEN o_orderkey%60 ELSE 0 END AS INTEGER) AS CREDIT_DAY_OVERDUE,
  CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'F' THEN 'Closed' ELSE 'Sold' END AS CREDIT_ACTIVE,
  {DAYS.format(x='o_orderdate')} AS DAYS_CREDIT
-FROM orders WHERE o_custkey%10<>3"""
+FROM orders"""
 
 PREVIOUS = f"""
 SELECT o_custkey AS SK_ID_CURR, o_orderkey AS SK_ID_PREV,
  CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'P' THEN 'Refused' ELSE 'Canceled' END AS NAME_CONTRACT_STATUS,
  o_totalprice AS AMT_CREDIT, CASE WHEN o_orderkey%8=0 THEN NULL ELSE o_totalprice/24 END AS AMT_ANNUITY,
  {DAYS.format(x='o_orderdate')} AS DAYS_DECISION
-FROM orders WHERE o_custkey%10<>4"""
+FROM orders"""
 
 INSTALLMENTS = f"""
 SELECT o_custkey AS SK_ID_CURR, l_orderkey AS SK_ID_PREV, l_extendedprice AS AMT_INSTALMENT,
@@ -98,14 +98,14 @@ SELECT o_custkey AS SK_ID_CURR, l_orderkey AS SK_ID_PREV, l_extendedprice AS AMT
  {DAYS.format(x='l_shipdate')} AS DAYS_INSTALMENT,
  CAST(CASE WHEN l_linenumber=7 THEN NULL
    ELSE {DAYS.format(x='l_shipdate')} + CAST(l_quantity AS INT) - 25 END AS INTEGER) AS DAYS_ENTRY_PAYMENT
-FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE o_custkey%10<>6"""
+FROM lineitem JOIN orders ON l_orderkey=o_orderkey"""
 
 POS_CASH = """
 SELECT o_custkey AS SK_ID_CURR, l_orderkey AS SK_ID_PREV, CAST(-l_linenumber AS INTEGER) AS MONTHS_BALANCE,
  l_quantity AS CNT_INSTALMENT,
  CAST(CASE WHEN l_returnflag='R' THEN l_partkey%40 ELSE 0 END AS INTEGER) AS SK_DPD,
  CAST(CASE WHEN l_returnflag='R' AND l_linestatus='F' THEN l_partkey%10 ELSE 0 END AS INTEGER) AS SK_DPD_DEF
-FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE o_custkey%10<>7"""
+FROM lineitem JOIN orders ON l_orderkey=o_orderkey"""
 
 VIEWS = {
     "application": APPLICATION,
@@ -125,8 +125,13 @@ def with_views(body: str, extra: dict | None = None) -> str:
 
 
 def round_sql(inner: str, digits: dict[str, int]) -> str:
-    """Round the named double columns half-even (Spark ``bround`` partner)."""
+    """Round the named double columns as ``catalog.rounded`` does."""
     if not digits:
         return inner
-    rep = ", ".join(f"round_even({c}, {d}) AS {c}" for c, d in digits.items())
+
+    def one(c, d):
+        if d > 6:
+            return f"round_even({c}, {d})"
+        return f"floor((round_even({c} * 1e{d + 3}, 0) + 500) / 1000) / 1e{d}"
+    rep = ", ".join(f"{one(c, d)} AS {c}" for c, d in digits.items())
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) AS r"

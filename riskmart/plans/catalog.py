@@ -41,12 +41,18 @@ def register(name: str, digits: dict[str, int] | None = None):
     return deco
 
 
+def rounded(c: str, digits: int):
+    """Up to six digits are reached by way of whole numbers with three more:
+    the order of a sum moves a value by far less, so a mean that lies on a
+    tie rounds (up) alike in any engine.  Beyond six: half-even."""
+    if digits > 6:
+        return F.bround(F.col(c), digits)
+    return F.floor((F.rint(F.col(c) * 10.0 ** (digits + 3)) + 500) / 1000) / 10.0 ** digits
+
+
 def finish(name: str, df: DataFrame) -> DataFrame:
-    """Apply the query's rounding spec (bround = half-even)."""
-    spec = ROUNDING.get(name, {})
-    if not spec:
-        return df
-    return df.withColumns({c: F.bround(F.col(c), d) for c, d in spec.items()})
+    """Apply the query's rounding spec."""
+    return df.withColumns({c: rounded(c, d) for c, d in ROUNDING.get(name, {}).items()})
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +110,7 @@ def q_feature_mart(spark, sf_dir):
     return RU.mart_from_tables(_t(spark, sf_dir))
 
 
-FEATURE_DIGITS = {**{c: 9 for c in FE.MART_FEATURES}, "INCOME_PER_PERSON": 6,
+FEATURE_DIGITS = {**MART_DIGITS, **{c: 9 for c in FE.MART_FEATURES}, "INCOME_PER_PERSON": 6,
                   "BUREAU_DEBT_RATIO": 9}
 
 
@@ -112,7 +118,7 @@ FEATURE_DIGITS = {**{c: 9 for c in FE.MART_FEATURES}, "INCOME_PER_PERSON": 6,
 def q_engineered_features(spark, sf_dir):
     mart = RU.mart_from_tables(_t(spark, sf_dir))
     return FE.engineer_features(mart, "mart").select(
-        "SK_ID_CURR", *FE.MART_FEATURES, "BUREAU_DEBT_RATIO")
+        "SK_ID_CURR", *RU.ROLLUP_COLS, *FE.MART_FEATURES, "BUREAU_DEBT_RATIO")
 
 
 COMPARE_DIGITS = {**{c: 9 for c in FE.COMPARE_FEATURES}, "INCOME_PER_PERSON": 6}
@@ -159,6 +165,19 @@ def q_applicant_split(spark, sf_dir):
                           n.cast("int").alias("n_violations"))
 
 
+@register("normalised_forms", {"income_number": 2})
+def q_normalised_forms(spark, sf_dir):
+    """NRM-2, 3 and 6 on what a form sends: tenure as years, the flag of an
+    irregular tenure, amounts as text that need not be a number."""
+    a = _t(spark, sf_dir).applicants().withColumn("employment_years", F.col("employment_months") / 12)
+    a = a.withColumn("irregular_tenure", F.col("applicant_id") % 6 == 0)
+    text = F.when(F.col("applicant_id") % 11 == 0, F.lit("about")).otherwise(F.col("monthly_income").cast("string"))
+    form, browser = (VA.normalise(a, mode).select("applicant_id", F.col("employment_months").alias(f"months_{mode}"))
+                     for mode in ("form", "browser"))
+    return (form.join(browser, "applicant_id")
+            .join(a.select("applicant_id", VA.number_or_zero(text).alias("income_number")), "applicant_id"))
+
+
 @register("normalised_applicants")
 def q_normalised_applicants(spark, sf_dir):
     df = VA.normalise(VA.fill_defaults(_t(spark, sf_dir).applicants()), mode="form")
@@ -290,10 +309,8 @@ def engineered_mart(spark, sf_dir, materialize: bool = False) -> DataFrame:
     return _materialize(eng, "feature-mart") if materialize else eng
 
 
-def encoded_mart(spark, sf_dir, maps=None) -> DataFrame:
+def encoded_mart(spark, sf_dir) -> DataFrame:
     mart = engineered_mart(spark, sf_dir, materialize=True)
-    if maps is not None:
-        return PR.apply_label_codes(mart, maps)
     return PR.encode(mart, PR.fit_label_codes(mart, MART_CATEGORICAL), MART_CATEGORICAL)[0]
 
 
@@ -390,32 +407,14 @@ def q_leaderboard(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-_TRAINED: dict = {}
-_PREPARED: dict = {}
-_FITTED: dict = {}
-
-
-def trained(spark, sf_dir, keys=tuple(MD.COMPARISON), fast=True):
-    """Fit once per (application, data folder, presets) and reuse: several
-    registered queries read the same fitted models, and all of them share
-    one prepared split and one fit per preset."""
-    from riskmart.operators import rollups as _RU
-    from riskmart.plans.training import prepare, train_and_compare
-    app_id = spark.sparkContext.applicationId
-    key = (app_id, sf_dir, tuple(keys), fast)
-    if key not in _TRAINED:
-        pkey = (app_id, sf_dir)
-        if pkey not in _PREPARED:
-            _PREPARED[pkey] = prepare(_RU.mart_from_tables(_t(spark, sf_dir)))
-        fitted = _FITTED.setdefault((app_id, sf_dir, fast), {})
-        _TRAINED[key] = train_and_compare(spark, _t(spark, sf_dir), list(keys), fast,
-                                          prep=_PREPARED[pkey], fitted=fitted)
-    return _TRAINED[key]
+def trained(spark, sf_dir, keys=tuple(MD.COMPARISON)):
+    """Prepare, fit and rank the presets, at their full budgets."""
+    from riskmart.plans.training import train_and_compare
+    return train_and_compare(spark, _t(spark, sf_dir), list(keys))
 
 
 def _single_preset(spark, sf_dir, key):
-    board, _, _ = trained(spark, sf_dir, (key,), True)
-    return board.drop("rank", "mark", "error")
+    return trained(spark, sf_dir, (key,))[0].drop("rank", "mark")
 
 
 @register("train_gbt_metrics")
@@ -436,34 +435,36 @@ def q_train_lr_metrics(spark, sf_dir):
 @register("train_mart_presets")
 def q_train_mart_presets(spark, sf_dir):
     """MDL-1..3: the real-data trainer's presets (early-stopped main booster
-    and its fallback), fast budget, ranked."""
-    board, _, _ = trained(spark, sf_dir, ("gbt_main", "gbt_fallback"), True)
-    return board.drop("error")
+    and its fallback), ranked."""
+    return trained(spark, sf_dir, ("gbt_main", "gbt_fallback"))[0]
 
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    board, _, _ = trained(spark, sf_dir)
-    return board.drop("error")
+    return trained(spark, sf_dir)[0]
+
+
+#: Queries about one saved bundle train the preset that is done soonest.
+BUNDLE = ("logistic",)
 
 
 @register("best_model_report")
 def q_best_model_report(spark, sf_dir):
     from riskmart.plans.training import best_model_report
-    board, path, prep = trained(spark, sf_dir)
+    _, path, prep = trained(spark, sf_dir, BUNDLE)
     return best_model_report(prep, path)
 
 
 @register("model_info")
 def q_model_info(spark, sf_dir):
-    _, path, _ = trained(spark, sf_dir)
+    _, path, _ = trained(spark, sf_dir, BUNDLE)
     return MD.model_info(MD.load_model(path) if path else None)
 
 
 @register("model_decisions")
 def q_model_decisions(spark, sf_dir):
     from riskmart.plans.training import score_requests
-    _, path, _ = trained(spark, sf_dir)
+    _, path, _ = trained(spark, sf_dir, BUNDLE)
     bundle = MD.load_model(path) if path else None
     out = score_requests(_t(spark, sf_dir).applicants(), bundle)
     return out.select("applicant_id", "pre_screening.score",
@@ -475,12 +476,20 @@ def q_model_decisions(spark, sf_dir):
 # ---------------------------------------------------------------- sources, sinks, streams
 
 
+def as_exported(df: DataFrame) -> DataFrame:
+    """A table as another tool may export it: the columns in another order,
+    one more column, whole numbers printed like -1180.0."""
+    cols = [(F.col(f.name).cast("double") if isinstance(f.dataType, T.IntegerType) else F.col(f.name)).alias(f.name)
+            for f in reversed(df.schema.fields)]
+    return df.select(*cols[:2], F.lit("x").alias("EXPORT_NOTE"), *cols[2:])
+
+
 @register("csv_rollup_bureau", BUREAU_DIGITS)
 def q_csv_rollup_bureau(spark, sf_dir):
     """SRC-2 end to end: the bureau view written as CSV (missing values as
-    the text NaN), read back with the explicit schema, rolled up."""
+    the text NaN), read back by header names, rolled up."""
     path = scratch_path(spark, "bureau-csv")
-    (_t(spark, sf_dir).bureau().write.option("header", True).option("nullValue", "NaN")
+    (as_exported(_t(spark, sf_dir).bureau()).write.option("header", True).option("nullValue", "NaN")
      .mode("overwrite").csv(path))
     return RU.rollup_bureau(RD.read_bureau(spark, path))
 
@@ -488,7 +497,7 @@ def q_csv_rollup_bureau(spark, sf_dir):
 @register("csv_feature_mart", MART_DIGITS)
 def q_csv_feature_mart(spark, sf_dir):
     """SRC-1..5 end to end: the five lending views written as CSV files
-    under their usual file names, read back with explicit schemas (text NaN
+    under their usual file names, read back by header names (text NaN
     -> NULL), rolled up and joined."""
     base = scratch_path(spark, "lending-csv")
     t = _t(spark, sf_dir)
@@ -497,8 +506,8 @@ def q_csv_feature_mart(spark, sf_dir):
              "installments_payments": t.installments_payments(),
              "pos_cash_balance": t.pos_cash_balance()}
     for key, df in views.items():
-        df.write.option("header", True).mode("overwrite").csv(f"{base}/{RD.FILE_NAMES[key]}.csv")
-    return RU.mart_from_tables(RD.LendingFiles(spark, base))
+        as_exported(df).write.option("header", True).mode("overwrite").csv(f"{base}/{RD.FILE_NAMES[key]}.csv")
+    return RU.mart_from_tables(RD.LendingFiles(spark, base)).drop("EXPORT_NOTE")
 
 
 @register("json_applicant_split")
@@ -514,23 +523,14 @@ def q_json_applicant_split(spark, sf_dir):
                           n.cast("int").alias("n_violations"))
 
 
-_STREAMS: dict = {}
-
-
 def _run_stream(spark, sf_dir) -> str:
-    """Run the scoring stream over the applicants once per (application,
-    data folder); the decisions and the rejected side output are two
-    registered queries over the same run."""
+    """Run the scoring stream over the applicants; returns its folder."""
     from riskmart.streaming.scoring import score_stream, write_requests_json
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _STREAMS:
-        return _STREAMS[key]
     base = scratch_path(spark, "score-stream")
     write_requests_json(_t(spark, sf_dir).applicants(), f"{base}/in")
     q = score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
                      rejected_dir=f"{base}/rejected", scorer="logit")
     q.awaitTermination()
-    _STREAMS[key] = base
     return base
 
 

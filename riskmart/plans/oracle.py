@@ -7,6 +7,7 @@ follow the Spark side exactly (``plans.catalog.ROUNDING``).
 
 from __future__ import annotations
 
+from riskmart.operators.rollups import ROLLUP_COLS
 from riskmart.plans.adapter_sql import round_sql, with_views
 from riskmart.plans.catalog import MODEL_FEATURES, ROUNDING
 from riskmart.schemas import (APPLICANT_DEFAULTS, BROWSER_RANGES, CONDITION_TEXTS, FORM_OPTIONS,
@@ -138,7 +139,7 @@ def as_select(d: dict) -> str:
 
 
 sql("engineered_features", f"""
-SELECT SK_ID_CURR, {as_select(feature_select('DAYS_EMPLOYED', False))},
+SELECT SK_ID_CURR, {', '.join(ROLLUP_COLS)}, {as_select(feature_select('DAYS_EMPLOYED', False))},
  {ratio('BUREAU_CREDIT_SUM_DEBT', 'BUREAU_CREDIT_SUM')} AS BUREAU_DEBT_RATIO
 FROM ({MART}) m""", ROLLUP_CTES)
 
@@ -219,6 +220,12 @@ SELECT applicant_id, coalesce(nullif(name, ''), 'Applicant') AS name,
  employment_months
 FROM req""", {"req": REQ})
 
+sql("normalised_forms", """
+SELECT applicant_id, CASE WHEN applicant_id % 6 = 0 THEN 0 ELSE CAST(trunc(employment_months / 12 * 12) AS INTEGER) END AS months_form,
+ CASE WHEN applicant_id % 6 = 0 THEN 0 ELSE CAST(floor(employment_months / 12 * 12 + 0.5) AS INTEGER) END AS months_browser,
+ CASE WHEN applicant_id % 11 = 0 THEN 0.0 ELSE coalesce(monthly_income, 0.0) END AS income_number
+FROM req""", {"req": REQ})
+
 sql("request_features", """
 SELECT applicant_id, gender AS CODE_GENDER,
  -CAST(trunc(age * 365) AS INTEGER) AS DAYS_BIRTH,

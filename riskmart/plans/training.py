@@ -4,8 +4,8 @@ Training: mart -> features -> label codes -> stratified split -> medians ->
 imputation -> MLlib presets -> metrics -> leaderboard -> saved bundle.
 Scoring: requests -> defaults/validation -> scorecard -> scoring row ->
 codes (unseen -> 0) -> alignment -> imputation -> model probability ->
-decision.  Both are DataFrame plans; only bounded objects (code maps,
-medians, per-class counts, metric rows) are collected.
+decision.  Both are DataFrame plans; only bounded objects (medians,
+per-class counts, metric rows) are collected; the code table stays a table.
 
 ``fit_scope='train'`` (default) fits codes and medians on the training rows
 only; ``fit_scope='all'`` fits them on every row before the split, as the
@@ -38,9 +38,8 @@ class Prepared:
     train: DataFrame
     test: DataFrame
     feature_cols: list[str]
-    code_maps: dict | None
+    codes: DataFrame
     medians: dict
-    codes: DataFrame | None = None
     n_train: int = 0
 
 
@@ -53,7 +52,7 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
     split = PR.stratified_split(eng, sizes=sizes)
     fit_rows = split.where(~F.col("is_test")) if fit_scope == "train" else split
     codes = PR.fit_label_codes(fit_rows, MART_CATEGORICAL)
-    enc, maps = PR.encode(split, codes, MART_CATEGORICAL)
+    enc, codes = PR.encode(split, codes, MART_CATEGORICAL)
     feats = PR.feature_columns(enc, exclude=(ID_COL, LABEL_COL, "is_test"))
     fit_enc = enc.where(~F.col("is_test")) if fit_scope == "train" else enc
     medians = PR.fit_medians(fit_enc, feats, exact=exact_medians)
@@ -61,31 +60,30 @@ def prepare(mart: DataFrame, fit_scope: str = "train", exact_medians: bool = Tru
     feats = [c for c in feats if c in imputed.columns]
     imputed = imputed.select(ID_COL, LABEL_COL, "is_test", *feats)
     return Prepared(imputed.where(~F.col("is_test")).drop("is_test"),
-                    imputed.where(F.col("is_test")).drop("is_test"), feats, maps, medians,
-                    codes, sum(v[1] for v in sizes.values()))
+                    imputed.where(F.col("is_test")).drop("is_test"), feats, codes, medians,
+                    sum(v[1] for v in sizes.values()))
 
 
-def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: bool = False,
-                      fit_scope: str = "train", save_to: str | None = None,
-                      prep: Prepared | None = None, fitted: dict | None = None):
+def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fit_scope: str = "train",
+                      save_to: str | None = None, overrides: dict | None = None):
     """MDL-10 + LDB + SNK-1/2: fit the presets, rank them, save the best.
-    ``prep`` / ``fitted`` reuse a prepared split and earlier fits on it.
-    Returns (leaderboard DataFrame, bundle path or None, prepared frames)."""
-    prep = prep or prepare(RU.mart_from_tables(tables), fit_scope)
-    metrics, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, keys, fast,
-                                        fitted=fitted)
-    board = ME.leaderboard(metrics.where(F.col("error").isNull())).cache()
+    ``overrides`` replaces learner parameters (tests).  A preset that fails
+    keeps its row, without rank, with the error.  Returns (leaderboard
+    DataFrame, bundle path or None, prepared frames)."""
+    prep = prepare(RU.mart_from_tables(tables), fit_scope)
+    metrics, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, keys, overrides=overrides)
+    ranked = ME.leaderboard(metrics.where(F.col("error").isNull()))
+    failed = metrics.where(F.col("error").isNotNull())
+    board = materialize(ranked.unionByName(failed, allowMissingColumns=True), "leaderboard")
     path = None
     best_rows = ME.best(board).collect()
     if best_rows:
         best = best_rows[0]
         key = next(k for k in keys if MD.PRESETS[k].name == best["model"])
         path = save_to or scratch_path(spark, "model-bundle")
-        if prep.code_maps is None:            # too many labels for literal maps
-            prep.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        prep.codes.write.mode("overwrite").parquet(f"{path}/codes")
         MD.save_model(models[key], {
             "feature_cols": prep.feature_cols,
-            "code_maps": prep.code_maps,
             "medians": prep.medians,
             "auc_score": best["roc_auc"],
             "f1_score": best["f1_default"],
@@ -95,7 +93,7 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fast: boo
             "algorithm": MD.PRESETS[key].learner,
             "n_train": prep.n_train,
         }, path)
-        write_comparison(board, f"{path}/comparison")        # SNK-2
+        write_comparison(board.where(F.col("error").isNull()), f"{path}/comparison")        # SNK-2
     return board, path, prep
 
 
@@ -117,16 +115,16 @@ def bundle_parts(bundle) -> tuple[PipelineModel, dict]:
     import json
     model, meta_df = bundle
     meta = meta_df.collect()[0].asDict()          # one metadata row
-    for k in ("code_maps", "medians"):
-        if isinstance(meta.get(k), str):
-            meta[k] = json.loads(meta[k])
+    if isinstance(meta.get("medians"), str):
+        meta["medians"] = json.loads(meta["medians"])
     return model, meta
 
 
-def score_requests(requests: DataFrame, bundle=None, parity: bool = True,
+def score_requests(requests: DataFrame, bundle=None, parity: bool = False,
                    threshold: float | None = None) -> DataFrame:
     """DEC-17 for a table of requests: the nested response per valid
-    request; with no bundle, the fallback decision (DEC-16)."""
+    request; with no bundle, the fallback decision (DEC-16).  ``parity``
+    leaves features at 0 that the scoring service leaves so."""
     valid = FE.enrich(VA.valid_requests(requests))
     carded = SC.scorecard(valid, with_details=True)
     if bundle is None:
@@ -137,11 +135,8 @@ def score_requests(requests: DataFrame, bundle=None, parity: bool = True,
     # scorecard has consumed them, so they go.
     carded = carded.drop("ext_source_mean", "employment_years", "annuity_income_ratio")
     feats = FE.request_features(carded, parity=parity, keep=carded.columns)
-    if meta.get("code_maps"):
-        enc = PR.apply_label_codes(feats, meta["code_maps"])
-    else:
-        codes = feats.sparkSession.read.parquet(f"{bundle_path(bundle)}/codes")
-        enc = PR.apply_label_codes_join(feats, codes, MART_CATEGORICAL)
+    codes = feats.sparkSession.read.parquet(f"{bundle_path(bundle)}/codes")
+    enc = PR.apply_label_codes(feats, codes, MART_CATEGORICAL)
     aligned = FE.align_features(enc, meta["feature_cols"], keep=carded.columns)
     imputed = PR.impute(aligned, {c: meta["medians"].get(c) for c in meta["feature_cols"]},
                         drop_empty=False)

@@ -105,9 +105,7 @@ APPLICANT_SCHEMA = T.StructType([
 
 # Raw request records are read with every field as text (browsers send "2"
 # for int fields); coercion happens afterwards with try_cast.
-APPLICANT_RAW_SCHEMA = T.StructType(
-    [T.StructField(f.name, T.LongType() if f.name == "applicant_id" else T.StringType())
-     for f in APPLICANT_SCHEMA.fields])
+APPLICANT_RAW_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in APPLICANT_SCHEMA.fields])
 
 APPLICANT_INT_FIELDS = ["children", "family_members", "employment_months",
                         "region_rating", "tenure_months"]

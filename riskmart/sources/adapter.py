@@ -126,7 +126,7 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
-    return o.where(ck % 10 != 3).select(
+    return o.select(
         ck.alias("SK_ID_CURR"),
         ok.alias("SK_ID_BUREAU"),
         F.col("o_totalprice").alias("AMT_CREDIT_SUM"),
@@ -142,7 +142,7 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
 def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
-    return o.where(ck % 10 != 4).select(
+    return o.select(
         ck.alias("SK_ID_CURR"),
         ok.alias("SK_ID_PREV"),
         F.when(F.col("o_orderstatus") == "F", "Approved").when(F.col("o_orderstatus") == "P", "Refused")
@@ -153,15 +153,14 @@ def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines_with_customer(spark: SparkSession, sf_dir: str, skip_digit: int) -> DataFrame:
+def _lines_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    o = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-         .where(F.col("o_custkey") % 10 != skip_digit))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner")
 
 
 def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _lines_with_customer(spark, sf_dir, 6)
+    j = _lines_with_customer(spark, sf_dir)
     seventh = F.col("l_linenumber") == 7
     return j.select(
         F.col("o_custkey").alias("SK_ID_CURR"),
@@ -177,7 +176,7 @@ def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pos_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _lines_with_customer(spark, sf_dir, 7)
+    j = _lines_with_customer(spark, sf_dir)
     returned = F.col("l_returnflag") == "R"
     return j.select(
         F.col("o_custkey").alias("SK_ID_CURR"),

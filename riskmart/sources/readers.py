@@ -1,21 +1,25 @@
 """Readers for the lending tables (SRC-1..7).
 
-CSV files are read with an explicit schema (no inference pass, stable
-types); a text ``NaN`` parses as a NaN double in Spark, so floating columns
-are normalised to NULL at the scan.  Request records are JSON read with
-every field as text and coerced afterwards (browsers send "2" for ints).
+CSV columns are found by the names in the file's header, whatever their
+order; cells are read as text and converted, so a whole number written as
+``-1180.0`` stays whole and the text ``NaN`` is missing.  A file without a
+required column is refused.  Request records are JSON read with every field
+as text and coerced afterwards (browsers send "2" for ints).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmart.functions.nulls import nan_to_null_all
 from riskmart.operators.validation import coerce
 from riskmart.schemas import (APPLICANT_DEFAULTS, APPLICANT_RAW_SCHEMA, APPLICATION_SCHEMA, BUREAU_SCHEMA,
                               INSTALLMENTS_SCHEMA, POS_CASH_SCHEMA, PREVIOUS_SCHEMA)
 
+RAW_TEXT = "_request"
+
 FILE_NAMES = {
     "application": "application_train",
     "bureau": "bureau",
@@ -25,15 +29,58 @@ FILE_NAMES = {
 }
 
 
-def read_csv_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("nanValue", "NaN").csv(path))
-    return nan_to_null_all(df)
+def csv_text(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All columns as text under the header's names.  Files of a folder whose
+    headers differ, and a missing required column, raise."""
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    return raw
+
+
+def cell(name: str, kind: T.DataType) -> Column:
+    """One text cell as its type; NULL where it does not parse."""
+    text = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, T.StringType):
+        return F.col(f"`{name}`")
+    number = F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        whole = F.when(number == F.floor(number), number).cast("string").try_cast("decimal(38,0)")
+        return F.coalesce(text.try_cast(kind), whole.try_cast(kind))
+    return number
+
+
+def bad_cells(spark: SparkSession, path: str, schema) -> DataFrame:
+    """(column, n): cells of typed columns that hold a text which is neither
+    a value of the type nor missing."""
+    def bad(f):
+        text = F.trim(F.col(f"`{f.name}`"))
+        return F.count_if((text != "") & (F.lower(text) != "nan") & cell(f.name, f.dataType).isNull())
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    counts = csv_text(spark, path, schema).agg(*[bad(f).alias(f.name) for f in typed])
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("n")) for f in typed])
+    return counts.select(F.inline(pairs)).where("n > 0")
+
+
+def read_csv_table(spark: SparkSession, path: str, schema, further: bool = False) -> DataFrame:
+    """The schema's columns, typed.  ``further`` keeps the file's other
+    columns after them: as numbers where every cell is one, else as text."""
+    raw = csv_text(spark, path, schema)
+    known = [f.name for f in schema.fields]
+    more = [c for c in raw.columns if c not in known] if further else []
+    numeric = {}
+    if more:
+        one = lambda c: F.trim(F.col(f"`{c}`"))
+        numeric = raw.agg(*[F.bool_and((one(c) == "") | one(c).try_cast("double").isNotNull()).alias(c)
+                            for c in more]).first().asDict()
+    return raw.select(*[cell(f.name, f.dataType).alias(f.name) for f in schema.fields],
+                      *[(cell(c, T.DoubleType()) if numeric[c] else F.col(f"`{c}`")).alias(c) for c in more])
 
 
 def read_applications(spark: SparkSession, path: str, schema=APPLICATION_SCHEMA) -> DataFrame:
-    """SRC-1.  Pass a wider schema to keep further columns as features."""
-    return read_csv_table(spark, path, schema)
+    """SRC-1: every column of the file is kept as a feature."""
+    return read_csv_table(spark, path, schema, further=True)
 
 
 def read_bureau(spark: SparkSession, path: str) -> DataFrame:
@@ -59,12 +106,15 @@ def read_pos_cash(spark: SparkSession, path: str) -> DataFrame:
 def parse_requests(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """JSON request lines -> raw text fields, plus ``_explicit_nulls``: the
     optional fields sent as an explicit ``null`` (the reference rejects
-    those; only an absent key takes the default).  Works on a stream too."""
-    parsed = lines.select(F.from_json(F.col(text_col), APPLICANT_RAW_SCHEMA).alias("r"),
+    those; only an absent key takes the default) and ``_request``, the line
+    itself, so that a rejected request can be found again.  A line that is no
+    JSON object breaks the rule ``request:json``.  Works on a stream too."""
+    parsed = lines.select(F.col(text_col).alias(RAW_TEXT), F.from_json(F.col(text_col), APPLICANT_RAW_SCHEMA).alias("r"),
                           F.json_object_keys(F.col(text_col)).alias("_keys"))
     flags = [F.when(F.array_contains("_keys", f) & F.col(f"r.{f}").isNull(), F.lit(f"{f}:null"))
              for f in APPLICANT_DEFAULTS]
-    return parsed.select("r.*", F.array_compact(F.array(*flags)).alias("_explicit_nulls"))
+    broken = F.when(F.col("_keys").isNull(), F.lit("request:json"))
+    return parsed.select("r.*", RAW_TEXT, F.array_compact(F.array(broken, *flags)).alias("_explicit_nulls"))
 
 
 def read_applicants(spark: SparkSession, path: str, detect_explicit_null: bool = True,
@@ -90,7 +140,7 @@ class LendingFiles:
         path = f"{self.folder}/{FILE_NAMES[key]}.{self.fmt}"
         if self.fmt == "parquet":
             return nan_to_null_all(self.spark.read.schema(schema).parquet(path))
-        return read_csv_table(self.spark, path, schema)
+        return read_csv_table(self.spark, path, schema, further=key == "application")
 
     def application(self) -> DataFrame:
         return self._read("application", APPLICATION_SCHEMA)

@@ -20,21 +20,24 @@ from riskmart.sources.readers import parse_requests
 from riskmart.sources.sinks import write_decisions
 
 
-def decide_batch(requests: DataFrame, scorer: str = "logit", bundle=None) -> tuple[DataFrame, DataFrame]:
-    """(decisions, rejected) for one batch of typed requests.
-
-    ``scorer``: 'logit' (closed-form probability), 'model' (``bundle``) or
-    'fallback' (no model)."""
-    checked = VA.prepare_requests(requests)
-    valid, rejected = VA.split_valid(checked)
-    valid = valid.drop(VA.VIOLATIONS)
+def decide_valid(valid: DataFrame, scorer: str = "logit", bundle=None) -> DataFrame:
+    """The decisions of checked requests.  ``scorer``: 'logit' (closed-form
+    probability), 'model' (``bundle``) or 'fallback' (no model)."""
     if scorer == "model":
         from riskmart.plans.training import score_requests
-        return score_requests(valid, bundle), rejected
+        if bundle is None:
+            raise ValueError("scorer 'model' needs a bundle")
+        return score_requests(valid, bundle)
     carded = SC.scorecard(FE.enrich(valid), with_details=True)
     if scorer == "fallback":
-        return DC.decide(carded, has_model=False), rejected
-    return DC.decide(SC.applicant_logit(carded), has_model=True), rejected
+        return DC.decide(carded, has_model=False)
+    return DC.decide(SC.applicant_logit(carded), has_model=True)
+
+
+def decide_batch(requests: DataFrame, scorer: str = "logit", bundle=None) -> tuple[DataFrame, DataFrame]:
+    """(decisions, rejected) for one batch of typed requests."""
+    valid, rejected = VA.split_valid(VA.prepare_requests(requests))
+    return decide_valid(valid.drop(VA.VIOLATIONS), scorer, bundle), rejected
 
 
 def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
@@ -48,10 +51,15 @@ def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     requests = VA.coerce(parse_requests(reader.load(in_dir)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decisions, rejected = decide_batch(batch, scorer, bundle)
-        write_decisions(decisions, f"{out_dir}/batch={batch_id}", mode="overwrite")   # SNK-3
-        if rejected_dir:
-            rejected.write.mode("overwrite").parquet(f"{rejected_dir}/batch={batch_id}")
+        checked = VA.prepare_requests(batch).persist()       # parsed and checked once for both outputs
+        try:
+            valid, rejected = VA.split_valid(checked)
+            decisions = decide_valid(valid.drop(VA.VIOLATIONS), scorer, bundle)
+            write_decisions(decisions, f"{out_dir}/batch={batch_id}", mode="overwrite")   # SNK-3
+            if rejected_dir:
+                rejected.write.mode("overwrite").parquet(f"{rejected_dir}/batch={batch_id}")
+        finally:
+            checked.unpersist()
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -59,15 +67,12 @@ def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 
 
 def score_stream_append(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                        scorer: str = "logit"):
+                        scorer: str = "logit", bundle=None):
     """STR-1 without side output: the decision rows appended to a parquet
     sink (file sink, exactly-once through its commit log)."""
     requests = VA.coerce(parse_requests(spark.readStream.format("text").load(in_dir)))
     valid = VA.split_valid(VA.prepare_requests(requests))[0].drop(VA.VIOLATIONS)
-    carded = SC.scorecard(FE.enrich(valid), with_details=True)
-    out = DC.decide(SC.applicant_logit(carded) if scorer == "logit" else carded,
-                    has_model=scorer == "logit")
-    return (out.writeStream.format("parquet").option("path", out_dir)
+    return (decide_valid(valid, scorer, bundle).writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
 
