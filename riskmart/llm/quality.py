@@ -224,6 +224,11 @@ def held_out_ids(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def held_out_rows(docs: DataFrame, id_col="doc_id") -> DataFrame:
+    """The ids of rows that no label is learnt from."""
+    return docs.where(held_out_ids(F.col(id_col))).select(id_col)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     spark = docs.sparkSession
