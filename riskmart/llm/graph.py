@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskmart.llm.spark import written
@@ -14,25 +14,27 @@ def components(edges: DataFrame) -> DataFrame:
     (Kiveris et al., "Connected components in MapReduce and beyond", 2014)
     until nothing changes; every step's edges are a written table.
     """
-    spark = edges.sparkSession
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = _state(e)
+    e, state = _table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e, _ = _table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = (e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                          F.struct("u", F.col("m").alias("v")))).alias("s"))
              .select("s.*").where("u <> v").distinct())
-        e = written(e, "cc")
-        last, state = state, _state(e)
+        last = state
+        e, state = _table(e)
         if state == last:
             break
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _state(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return r[0], r[1]
+def _table(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, their number and a sum of their hashes,
+    seen while writing."""
+    seen = Observation()
+    table = written(e.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")), "cc")
+    got = seen.get
+    return table, (got["n"], got["h"])

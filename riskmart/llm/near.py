@@ -4,8 +4,8 @@ A document is the set of its distinct word 5-grams; two sets link when
 100 * intersection >= 75 * union.  Sets that are equal are one node (its id
 is a 64-bit fingerprint of the set), so copies never meet as pairs.
 
-1. ``profile``: set size and fingerprint of each document, and a fixed-size
-   table of counts over hash cells of all n-grams.
+1. ``profile``: set size, fingerprint and hashed bitmap of each document, and
+   a fixed-size table of counts over hash cells of all n-grams.
 2. ``tiles``: linked sets of size n share one of their first
    n - ceil(0.75 n) + 1 n-grams in any order common to all sets.  The order
    puts rare cells first, which keeps widespread passages out of the tiles.
@@ -20,7 +20,8 @@ is a 64-bit fingerprint of the set), so copies never meet as pairs.
    member outside the tile's largest component meets all members, in blocks.
    Here the bitmaps hold only n-grams that two such nodes share; the others
    count in full, so the bound is close.  Round one verifies the most alike
-   member of each other component, round two all that probes left open may
+   member of another component, round two, for members that may have more,
+   the most alike of each other component, round three all that these may
    still meet, so no link between components is lost.
 
 Hashes have 64 bits; equal hashes count as equal n-grams.
@@ -49,7 +50,8 @@ SLICES = 64
 TILE = 4096          # members of a hot tile that one task takes
 FEW = 8              # members of a tile up to which all its pairs are tried at once
 BLOCK = 2048         # members that a probe meets at a time
-FLUSH = 1 << 21      # postings held before they are dealt out
+WANTED = 1 << 20     # wanted ids (16 bytes each) up to which they go to every task
+FLUSH = 1 << 20      # postings held before they are dealt out
 NO_ID = -(1 << 63)
 U64 = np.uint64
 _STEP = T.mix(np.arange(1, 65, dtype=np.uint64)) | U64(1)
@@ -126,11 +128,12 @@ def profiler(k: int):
                 yield pa.record_batch({
                     "doc_id": ids.slice(i, j - i), "n": pa.array(hi - lo, pa.int64()),
                     "fp": pa.array(fingerprints(h, lo, hi), pa.int64()),
+                    "bm": pa.array([bitmap(h[a:z], z - a) if z > a else None for a, z in zip(lo, hi)], pa.binary()),
                     "cells": pa.nulls(j - i, pa.binary()), "slice": pa.nulls(j - i, pa.int32())})
         parts = np.split(cells, SLICES)
         some = [i for i in range(SLICES) if parts[i].any()]
         nul = pa.nulls(len(some), pa.int64())
-        yield pa.record_batch({"doc_id": nul, "n": nul, "fp": nul,
+        yield pa.record_batch({"doc_id": nul, "n": nul, "fp": nul, "bm": pa.nulls(len(some), pa.binary()),
                                "cells": pa.array([parts[i].tobytes() for i in some], pa.binary()),
                                "slice": pa.array(some, pa.int32())})
     return run
@@ -342,8 +345,7 @@ def setter(k: int):
             for i, j in T.pieces(texts):
                 h, lo, hi = shingle_sets(texts[i:j], k)
                 own = np.flatnonzero(fingerprints(h, lo, hi) == want[i:j])
-                yield pa.record_batch({"fp": pa.array(want[i:j][own], pa.int64()), "n": pa.array((hi - lo)[own], pa.int64()),
-                                       "bm": pa.array([bitmap(h[lo[r]:hi[r]], hi[r] - lo[r]) for r in own], pa.binary()),
+                yield pa.record_batch({"fp": pa.array(want[i:j][own], pa.int64()),
                                        "x": pa.array([h[lo[r]:hi[r]].tobytes() for r in own], pa.binary())})
     return run
 
@@ -365,6 +367,10 @@ def sharer(batches):
     key, fp, n = unpacked(batches)
     if not len(key):
         return
+    order = np.lexsort((fp, key))
+    key, fp, n = key[order], fp[order], n[order]
+    once = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))      # a node may come twice
+    key, fp, n = key[once], fp[once], n[once]
     same = key[1:] == key[:-1]
     both = np.concatenate((same, [False])) | np.concatenate(([False], same))
     key, fp, n = key[both], fp[both], n[both]
@@ -391,11 +397,11 @@ def signer(percent: int):
     return run
 
 
-def prober(percent: int, best_only: bool):
+def prober(percent: int, mode: str):
     """Rows by (tile, block), members before probes: candidate pairs of
-    different components (probe, member).  ``best_only``: for each probe and
-    component the member with the least bound of the difference, and whether
-    there are more."""
+    different components (probe, member).  ``mode``: "one", the member with
+    the least bound of the difference; "each", such a member of each
+    component; "all".  And whether the probe may meet more."""
     def block_of(rows):
         f, c, n, s = (np.array([r[i] for r in rows], np.int64) for i in range(4))
         words = np.array([len(r[4]) // 8 for r in rows], np.int64)
@@ -432,12 +438,12 @@ def prober(percent: int, best_only: bool):
                 if not found:
                     continue
                 own, diff = (np.concatenate(v) for v in zip(*found))
-                if best_only and len(own):
-                    comp = members[1][own]
-                    own = own[np.lexsort((members[0][own], diff, comp))]
-                    own, many = own[(first := np.unique(np.sort(comp), return_index=True, return_counts=True))[1]], first[2] > 1
-                else:
-                    many = np.zeros(len(own), bool)
+                group = members[1][own] if mode == "each" else np.zeros(len(own), np.int64)
+                own = own[np.lexsort((members[0][own], diff, group))]
+                many = np.zeros(len(own), bool)
+                if mode != "all" and len(own):
+                    _, first, size = np.unique(np.sort(group), return_index=True, return_counts=True)
+                    own, many = own[first], size > 1
                 for y, more in zip(members[0][own].tolist(), many.tolist()):
                     out[r[3], y] = out.get((r[3], y), False) or more
             if len(out) >= 1 << 16:
@@ -454,7 +460,7 @@ def _pairs(out):
 
 # -- the join --------------------------------------------------------------
 
-PROFILE = "doc_id long, n long, fp long, cells binary, slice int"
+PROFILE = "doc_id long, n long, fp long, bm binary, cells binary, slice int"
 POSTINGS = "bucket int, key binary, fp binary, n binary, len binary"
 
 
@@ -468,6 +474,8 @@ class Join:
         self.docs = docs
         both = written(docs.mapInArrow(profiler(k), PROFILE), "profile")
         self.rows = both.where("slice IS NULL").select("doc_id", "n", "fp")
+        self.nodes = written(both.where("slice IS NULL AND n > 0").groupBy("fp").agg(
+            F.first("n").alias("n"), F.first("bm").alias("bm"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "nodes")
         parts = (both.where("slice IS NOT NULL").select("slice", "cells").repartition(SLICES, "slice")
                  .mapInArrow(add_slices, "slice int, cells binary").collect())     # 2^CELL_BITS counts in all
         cells = np.zeros(1 << CELL_BITS, np.uint64)
@@ -478,16 +486,19 @@ class Join:
         posts = docs.select("text").mapInArrow(poster(self.cells, self.buckets, k, percent), POSTINGS)
         self.tiles = written(posts.repartition(self.buckets, "bucket").mapInArrow(
             tiler(self.cells), "tile long, hot boolean, fps array<long>, ns array<long>"), "tiles")
-        self.sets = written(self._sets(), "sets")
-        self.signed = None
-
-    def _sets(self) -> DataFrame:
-        """(fp, n, bm, x) of the nodes in tiles, each from one document."""
-        want = self.tiles.select(F.explode("fps").alias("fp")).distinct()
-        rep = (self.rows.where("n > 0").groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")).join(want, "fp"))
+        self.large = self.tiles.where((F.size("fps") > FEW) | F.col("hot"))
+        self.sets = self.signed = None
+
+    def _sets(self, may: DataFrame) -> DataFrame:
+        """(fp, x) of the nodes to compare exactly, each from one document:
+        those of the pairs at hand and of the larger tiles."""
+        want = (may.select(F.col("a").alias("fp")).union(may.select(F.col("b").alias("fp")))
+                .union(self.large.select(F.explode("fps").alias("fp"))).distinct())
+        want = written(want.join(self.nodes.select("fp", "rep"), "fp"), "want")
+        if want.count() <= WANTED:
+            want = F.broadcast(want)
         texts = self.docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text")
-        return (texts.join(rep, "rep").select("text", "fp").mapInArrow(setter(self.k), "fp long, n long, bm binary, x binary")
-                .dropDuplicates(["fp"]))
+        return texts.join(want, "rep").select("text", "fp").mapInArrow(setter(self.k), "fp long, x binary")
 
     def star(self) -> DataFrame:
         got = written(self.tiles.mapInArrow(starrer(self.percent), "a long, b long, tile long"), "star")
@@ -498,16 +509,19 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link: by the bitmaps' bound, then exactly."""
-        side = lambda s, *cs: self.sets.select(F.col("fp").alias(s), *[F.col(c).alias(s + c) for c in cs])
-        may = written(pairs.join(side("a", "n", "bm"), "a").join(side("b", "n", "bm"), "b").select("a", "b", "an", "bn", "abm", "bbm")
+        node = lambda s: self.nodes.select(F.col("fp").alias(s), F.col("n").alias(s + "n"), F.col("bm").alias(s + "bm"))
+        may = written(pairs.join(node("a"), "a").join(node("b"), "b").select("a", "b", "an", "bn", "abm", "bbm")
                       .mapInArrow(bounder(self.percent), "a long, b long"), "may")
-        return written(may.join(side("a", "x"), "a").join(side("b", "x"), "b").select("a", "b", "ax", "bx")
+        if self.sets is None:
+            self.sets = written(self._sets(may), "sets")
+        full = lambda s: self.sets.select(F.col("fp").alias(s), F.col("x").alias(s + "x"))
+        return written(may.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ax", "bx")
                        .mapInArrow(verifier(self.percent), "a long, b long"), "links")
 
-    def rest(self, roots: DataFrame, only: DataFrame | None) -> DataFrame:
+    def rest(self, roots: DataFrame, mode: str, only: DataFrame | None) -> DataFrame:
         """(x, y, more): candidate pairs between different components that
-        share a tile; of the probes in ``only`` all, else the best."""
-        member = (self.tiles.where((F.size("fps") > FEW) | F.col("hot")).select("tile", F.explode("fps").alias("fp")).distinct()
+        share a tile, of the probes in ``only`` (else of all)."""
+        member = (self.large.select("tile", F.explode("fps").alias("fp")).distinct()
                   .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                   .select("tile", "fp", F.coalesce("root", "fp").alias("comp")))
         size = member.groupBy("tile", "comp").agg(F.count("*").alias("c"))
@@ -527,7 +541,7 @@ class Join:
                 .select("tile", F.pmod(F.xxhash64("fp"), F.col("s_")).cast("int").alias("block"), F.lit(0).alias("kind"),
                         "fp", "comp", "n", "s", "bm"))
         return (here.union(probe).repartition("tile", "block").sortWithinPartitions("tile", "block", "kind")
-                .mapInArrow(prober(self.percent, only is None), "x long, y long, more boolean")
+                .mapInArrow(prober(self.percent, mode), "x long, y long, more boolean")
                 .groupBy("x", "y").agg(F.max("more").alias("more")))
 
 
@@ -538,20 +552,19 @@ def linked(docs: DataFrame, k: int, percent: int):
     tried = written(job.star(), "tried")
     links = job.verified(tried)
     roots = written(components(links), "roots")
-    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    best = written(job.rest(roots, None), "best")
-    new = best.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(job.verified(new))
-    roots = written(components(links), "roots")
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    left = (best.where("more").join(of("x"), "x", "left").join(of("y"), "y", "left")
-            .where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select(F.col("x").alias("fp")).distinct())
-    left = written(left, "left")
-    if not left.isEmpty():
-        tried = tried.union(best.select(*pair).distinct())
-        new = job.rest(roots, left).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-        links = links.union(job.verified(new))
-        roots = written(components(links), "roots")
+    only = None
+    for mode in ("one", "each", "all"):
+        new = written(job.rest(roots, mode, only), "rest")
+        pairs = new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = job.verified(pairs.join(tried, ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = written(components(links), "roots")
+        # a probe stays open for the next round if it may meet more than was tried
+        only = written(new.where("more").select(F.col("x").alias("fp")).distinct(), "open")
+        if only.isEmpty():
+            break
+        tried = tried.union(pairs)
     return job.rows, roots
 
 
