@@ -38,7 +38,7 @@ from riskmart.llm.spark import bounded_batches, public_tokenizer, table
 
 SIGN = "▁"
 UNKNOWN_PENALTY = 10.0    # fixed value: what an unknown character scores below the worst piece
-KNOWN_BITS = 20           # table of known words, as a power of two
+KNOWN_BITS = 22           # table of known words, as a power of two
 POOL = 1 << 24            # ids kept for known words
 PAIRS_BITS = 20           # table of known neighbours, as a power of two
 CELLS = 1 << 21           # (word, position) cells of a Viterbi batch

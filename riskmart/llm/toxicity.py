@@ -15,7 +15,9 @@ toxic from the value of w.x that best parts the two kinds of the fitted rows
 Features enter when toxic documents hold them far more often than chance says.
 
 The fit sees at most SAMPLE labelled rows (smallest hash of the id) that
-``learn`` admits; scoring covers all documents in one pass.
+``learn`` admits: Spark counts their features, the few markers and which
+document holds them reach the driver.  Scoring covers all documents in one
+pass.
 
 Defined cases: null and empty texts have no features and get the severity of
 such; labels that repeat a doc_id are averaged, null ones left out; without
@@ -96,8 +98,17 @@ class Ordinal:
         return np.concatenate((p[1], p[1] + np.cumsum(np.exp(p[2]))))
 
 
+def is_marker(n, t, share: float):
+    """Column or array test: the feature's ``t`` toxic documents of ``n`` are
+    at least half, and by chance (``share`` of all) come with exp(-SURE)."""
+    expected = n * share
+    log = F.log if isinstance(n, Column) else np.log
+    return (t >= 0.5 * n) & (t * log(t / expected) - t + expected >= SURE)
+
+
 class Model:
-    """Weights by feature id (0: not used), and the thresholds."""
+    """Weights by feature id (0: not used), and the thresholds.  ``docs``
+    holds each fitted document's marker features."""
 
     def __init__(self, docs: list, toxic: np.ndarray, grades: int = GRADES):
         self.weights, self.cuts = np.zeros(1 << BITS, np.float32), np.full(grades - 1, 50.0)
@@ -106,18 +117,9 @@ class Model:
         if n:
             rate = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3))
             self.cuts = np.log((1 - rate) / rate) + np.arange(grades - 1.0)
-        if not n or toxic.min() == toxic.max():
+        if not n or toxic.min() == toxic.max() or not any(map(len, docs)):
             return
-        size = np.array([len(d) for d in docs])
-        doc, feat = np.repeat(np.arange(n), size), np.concatenate(docs)
-        df, t = np.bincount(feat, minlength=1 << BITS), np.bincount(feat[toxic[doc] > 0], minlength=1 << BITS)
-        expected = df * toxic.mean()
-        rare = t * np.log(np.maximum(t, 1) / np.maximum(expected, 1e-9)) - t + expected      # -log of the chance
-        marker = (t >= 0.5 * df) & (rare >= SURE)
-        if not marker.any():
-            return
-        own = marker[feat]
-        doc, feat = doc[own], feat[own]
+        doc, feat = np.repeat(np.arange(n), [len(d) for d in docs]), np.concatenate(docs)
         name, feat = np.unique(feat, return_inverse=True)
         held = np.bincount(doc, minlength=n)
         edges = np.quantile(held[toxic > 0], np.arange(1, grades - 1) / (grades - 1))
@@ -128,8 +130,8 @@ class Model:
         order = np.argsort(z, kind="stable")
         gain = np.cumsum(np.where(toxic[order] > 0, -1 / (toxic > 0).sum(), 1 / (toxic == 0).sum()))
         gain[:-1][z[order][1:] == z[order][:-1]] = -np.inf      # no cut between equal values
-        k = int(np.argmax(gain[:-1])) if n > 1 else 0
-        self.least = float(z[order[k]] + z[order[min(k + 1, n - 1)]]) / 2
+        k = int(np.argmax(gain[:-1]))
+        self.least = float(z[order[k]] + z[order[k + 1]]) / 2
 
     def logits(self, texts: list) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -156,18 +158,35 @@ def distinct_features(texts: list) -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", text_col="text", label_col="toxic",
         sample: int = SAMPLE) -> Model:
+    spark = docs.sparkSession
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(learn)
              .groupBy("doc_id").agg(F.avg("y").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
 
-    def features(batches):
+    def tally(batches):
         for b in batches:
             found = distinct_features(T.as_bytes(b.column(1)))
+            toxic = np.repeat(np.array(b.column(2).to_pylist()) >= 0.5, [len(x) for x in found])
+            name, at, n = np.unique(np.concatenate([*found, np.zeros(0, np.int32)]), return_inverse=True, return_counts=True)
+            yield pa.record_batch({"feature": pa.array(name, pa.int32()), "n": pa.array(n, pa.int64()),
+                                   "t": pa.array(np.bincount(at, toxic, minlength=len(name)).astype(np.int64))})
+
+    rows = rows.select("doc_id", "text", "y")
+    total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("y") >= 0.5).cast("int")), F.lit(0)).alias("t")).first()
+    markers = np.zeros(0, np.int32)
+    if 0 < total.t < total.n:
+        counts = rows.mapInArrow(tally, "feature int, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+        got = counts.where("t > 0").where(is_marker(F.col("n"), F.col("t"), total.t / total.n)).select("feature").collect()
+        markers = np.sort(np.array([r.feature for r in got], np.int32))
+    wanted = spark.sparkContext.broadcast(markers)
+
+    def features(batches):
+        for b in batches:
+            found = [np.intersect1d(x, wanted.value) for x in distinct_features(T.as_bytes(b.column(1)))]
             yield pa.record_batch({"doc_id": b.column(0), "y": b.column(2), "x": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y double, x binary").collect(),
-                 key=lambda r: (r.doc_id, r.x))[:2 * sample]
+    got = sorted(rows.mapInArrow(features, "doc_id long, y double, x binary").collect(), key=lambda r: (r.doc_id, r.x))[:2 * sample]
     return Model([np.frombuffer(r.x, np.int32) for r in got], np.array([float(r.y >= 0.5) for r in got]))
 
 
