@@ -58,9 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never machine-local
-    on a cluster: the checkpoint folder is the cluster's shared storage)."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    on a cluster: the checkpoint folder is the cluster's shared storage).  It
+    goes when the application ends."""
+    sc = spark.sparkContext
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return path
 
 
 def materialize(df, name: str):

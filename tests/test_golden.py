@@ -49,12 +49,12 @@ def test_all_best_and_all_worst(spark):
     assert worst.score == 0.0 and worst.grade == "D" and worst.verdict == "LIKELY NOT ELIGIBLE"
 
 
-@pytest.mark.parametrize("months,points", [(36, 20.0), (12, 14.0), (6, 8.0), (5, 0.0)])
+@pytest.mark.parametrize("months,points", [(37, 20.0), (36, 20.0), (35, 14.0), (12, 14.0), (11, 8.0), (6, 8.0), (5, 0.0), (0, 0.0)])
 def test_tenure_edges(spark, months, points):
     assert card(spark, employment_months=months).income_stability == points
 
 
-@pytest.mark.parametrize("mean,points", [(0.7, 30.0), (0.55, 22.5), (0.4, 13.5), (0.399, 0.0)])
+@pytest.mark.parametrize("mean,points", [(0.701, 30.0), (0.7, 30.0), (0.699, 22.5), (0.55, 22.5), (0.549, 13.5), (0.4, 13.5), (0.399, 0.0)])
 def test_ext_edges(spark, mean, points):
     df = spark.createDataFrame([(mean, 0.0, "N", 0, 1.0, "")],
                                "ext_source_mean double, employment_years double, own_realty string, "
@@ -167,3 +167,29 @@ def test_t16_score_display_form_and_browser(spark):
     got = [(r.f, r.b) for r in df.select(SC.score_text(F.col("score")).alias("f"),
                                          SC.score_text(F.col("score"), "browser").alias("b")).collect()]
     assert got == [("82", "83"), ("76", "76"), ("100", "100")]
+
+
+# Worked by hand: stability of the repayment criterion by years in work and own home.
+@pytest.mark.parametrize("months,home,points", [(60, "Y", 25.0), (60, "N", 15.0), (59, "N", 10.0), (24, "N", 10.0), (23, "N", 5.0),
+                                                (12, "N", 5.0), (11, "N", 0.0), (11, "Y", 10.0), (24, "Y", 20.0)])
+def test_repayment_edges(spark, months, home, points):
+    assert card(spark, employment_months=months, own_realty=home).repayment_history == points
+
+
+# Worked by hand: annual income 600,000; the limit is five incomes, less 1.5 p, at least 0.3 of it.
+@pytest.mark.parametrize("p,amount,rate", [(0.0, 3000000, "8.5%"), (0.1, 2550000, "9.7%"), (0.2, 2100000, "10.9%"), (0.6, 900000, "15.7%"),
+                                           (1.0, 900000, "20.5%")])
+def test_limit_and_rate_by_probability(spark, p, amount, rate):
+    r = one(DC.ml_columns(FE.enrich(applicant(spark, loan_amount=9000000.0)).withColumn("p", F.lit(p))))
+    assert (r.ml_max_eligible_amount, r.ml_suggested_interest_rate) == (amount, rate)
+
+
+# Worked by hand: each risk just inside and just outside its limit (income 50,000 a month, 60 months).
+@pytest.mark.parametrize("over,code", [({"ext1": 0.39, "ext2": 0.39, "ext3": 0.39}, "ext"), ({"employment_months": 11}, "employment"),
+                                       ({"loan_amount": 1200001.0}, "dti"), ({"children": 3}, "children"),
+                                       ({"loan_amount": 2400001.0, "tenure_months": 360}, "credit")])
+def test_risk_edges(spark, over, code):
+    codes = lambda **o: one(FE.enrich(applicant(spark, **o)).select(DC.reason_codes("risk").alias("c"))).c
+    inside = {"ext1": 0.41, "ext2": 0.41, "ext3": 0.41, "employment_months": 12, "loan_amount": 1200000.0, "children": 2}
+    assert codes(**over) == [code]
+    assert codes(**{k: inside.get(k, v) for k, v in over.items()}) == ["none"]

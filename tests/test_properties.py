@@ -38,6 +38,19 @@ def test_decision_monotone_in_p(spark):
     assert got == sorted(got)
 
 
+def test_emi_repays_the_loan(spark):
+    """The instalments, discounted month by month, are worth the loan."""
+    from riskmart.operators.decision import emi
+    loans = [(500000.0, 9.7, 60), (1000.0, 20.5, 12), (90000.0, 15.7, 360), (1.0, 8.5, 1)]
+    df = spark.createDataFrame(loans, "a double, r double, n int")
+    for r in df.select("a", "r", "n", emi(F.col("a"), F.col("r"), F.col("n")).alias("e")).collect():
+        worth, rest = 0.0, 1.0
+        for _ in range(r.n):
+            rest /= 1 + r.r / 1200
+            worth += r.e * rest
+        assert abs(worth - r.a) < 1e-6 * r.a
+
+
 def test_emi_covers_amount(spark):
     from riskmart.operators.decision import emi
     df = spark.createDataFrame([(500000.0, 9.7, 60), (1000.0, 20.5, 12), (90000.0, 15.7, 360)],
@@ -50,7 +63,7 @@ def test_prefix_sums_match_cumsum(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), float(i), rnd.randint(0, 5)) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, k double, w long")
-    out = prefix_sums(df, ["k"], {"c": "w"}, ("g",), num_partitions=7).toPandas()
+    out = prefix_sums(df, "k", {"c": "w"}, ("g",), num_partitions=7).toPandas()
     for g, part in out.groupby("g"):
         part = part.sort_values("k")
         assert (part.c_incl.values == part.w.cumsum().values).all()
@@ -108,20 +121,21 @@ def test_class_weights(spark):
     assert w[1].pos_weight == 3.0 and w[0].pos_weight == 1.0
 
 
-def test_label_codes_distributed_path_matches_window_path(spark, monkeypatch):
+def codes_of(codes):
+    return {(r.column, r.value): r.code for r in codes.collect()}
+
+
+def test_label_codes_rank_all_labels(spark):
     rnd = random.Random(2)
-    rows = [(f"v{rnd.randint(0, 300):03d}", rnd.choice(["x", "y", None])) for _ in range(800)]
+    rows = [(rnd.choice(["", "é", "ab", "abc", "Abcd"]) + f"v{rnd.randint(0, 300):03d}", rnd.choice(["x", "y", None])) for _ in range(800)]
     df = spark.createDataFrame(rows, "a string, b string")
-    small = {(r.column, r.value): r.code for r in PR.fit_label_codes(df, ["a", "b"]).collect()}
-    monkeypatch.setattr(PR, "MAX_CODE_MAP", 5)
     codes = PR.fit_label_codes(df, ["a", "b"])
-    big = {(r.column, r.value): r.code for r in codes.collect()}
-    assert big == small
-    enc, maps = PR.encode(df, codes, ["a", "b"])
-    assert maps is None
-    want = PR.apply_label_codes(df, {c: {v: k for (cc, v), k in small.items() if cc == c}
-                                     for c in ("a", "b")})
-    assert sorted(map(tuple, enc.collect())) == sorted(map(tuple, want.collect()))
+    want = {("a", v): k for k, v in enumerate(sorted({a for a, _ in rows}, key=str.encode))}
+    want |= {("b", v): k for k, v in enumerate(["nan", "x", "y"])}
+    assert codes_of(codes) == want
+    enc, table = PR.encode(df, codes, ["a", "b"])
+    assert codes_of(table) == want and enc.columns == ["a", "b"]
+    assert sorted(map(tuple, enc.collect())) == sorted((want["a", a], want["b", b or "nan"]) for a, b in rows)
 
 
 def test_bernoulli_split_is_row_local(spark):
@@ -134,18 +148,29 @@ def test_bernoulli_split_is_row_local(spark):
     assert again == {r.SK_ID_CURR for r in s.where("is_test").collect()}
 
 
-def test_median_methods_agree_and_narrow_levels(spark, monkeypatch):
+def test_medians_match_numpy_on_hard_columns(spark):
     rnd = np.random.default_rng(9)
-    vals = np.concatenate([rnd.lognormal(10, 2, 3000), np.full(1500, 42.0), rnd.integers(0, 5, 800)])
-    rows = [(float(v), float(-v) if i % 3 else None) for i, v in enumerate(vals)]
-    df = spark.createDataFrame(rows, "a double, b double")
-    monkeypatch.setattr(PR, "NARROW_COLLECT", 10)      # force several narrowing levels
-    monkeypatch.setattr(PR, "NARROW_BUCKETS", 8)
-    narrow = PR.fit_medians(df, ["a", "b"], method="narrow")
-    rank = PR.fit_medians(df, ["a", "b"], method="rank")
-    assert narrow == rank
-    assert narrow["a"] == float(np.median(vals))
-    assert narrow["b"] == float(np.median([-v for i, v in enumerate(vals) if i % 3]))
+    big, inf, tiny = 1.5e308, float("inf"), 4.9e-324
+    cols = {"a": [*rnd.lognormal(10, 2, 3000), *[42.0] * 1500, *rnd.integers(0, 5, 801)],
+            "b": [-big, big, -1.5e308, 1.5e308], "c": [inf, 1.0, -inf], "d": [0.0, tiny, tiny, 0.0, tiny], "e": [big, big],
+            "f": [float("nan"), 3.0, None], "g": [inf, inf, inf, 1.0]}
+    n = max(map(len, cols.values()))
+    rows = [tuple(None if i >= len(v) or v[i] is None else float(v[i]) for v in cols.values()) for i in range(n)]
+    got = PR.fit_medians(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5), list(cols))
+    for c, v in cols.items():
+        own = sorted(float(x) for x in v if x is not None and x == x)
+        m, k = own[(len(own) - 1) // 2], own[len(own) // 2]
+        assert got[c] == (m if m == k else m / 2 + k / 2), c
+
+
+def test_split_without_id_or_label(spark):
+    rows = [(i, i % 2) for i in range(100)] + [(None, 0)] * 3 + [(200, None)] * 4
+    df = spark.createDataFrame(rows, "SK_ID_CURR long, TARGET int")
+    s = PR.stratified_split(df)
+    assert s.where("is_test IS NULL").count() == 4 and s.where("TARGET IS NULL AND is_test IS NOT NULL").count() == 0
+    assert s.where("SK_ID_CURR IS NULL").select("is_test").distinct().count() == 1
+    assert s.where("is_test").count() >= -(-103 // 5)
+    assert {r.TARGET for r in PR.class_weight_table(df).collect()} == {0, 1}
 
 
 def test_split_with_a_hot_duplicated_id(spark):
@@ -175,7 +200,7 @@ def test_label_codes_agree_with_string_indexer_alphabet_order(spark):
     from pyspark.ml.feature import StringIndexer
     rows = [("b",), ("Z",), ("a",), ("b",), ("Secondary",), ("Academic degree",)]
     df = spark.createDataFrame(rows, "c string")
-    ours = PR.code_maps(PR.fit_label_codes(df, ["c"]))["c"]
+    ours = {v: k for (_, v), k in codes_of(PR.fit_label_codes(df, ["c"])).items()}
     model = StringIndexer(inputCol="c", outputCol="i", stringOrderType="alphabetAsc").fit(df)
     theirs = {label: i for i, label in enumerate(model.labels)}
     assert ours == theirs

@@ -13,6 +13,9 @@ from riskmart.sources.adapter import LendingTables
 from riskmart.streaming.scoring import decide_batch, score_stream, write_requests_json
 
 
+FEW = {"maxIter": 4}        # rounds in tests; the presets have budgets of their own
+
+
 def _flat(df):
     return sorted((r.applicant_id, r.ml_result.decision, r.ml_result.confidence,
                    r.ml_result.estimated_emi, tuple(r.ml_result.key_risks), r.pre_screening.score)
@@ -35,11 +38,11 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_fit_save_load_predict(spark, tmp_path):
     prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
-    model, secs = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", fast=True)
+    model, secs = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", overrides=FEW)
     p1 = MD.predict_default(model, prep.test).select("SK_ID_CURR", "p")
     path = str(tmp_path / "bundle")
-    MD.save_model(model, {"feature_cols": prep.feature_cols, "code_maps": prep.code_maps,
-                          "medians": prep.medians, "auc_score": 0.5, "threshold": 0.35,
+    prep.codes.write.parquet(f"{path}/codes")
+    MD.save_model(model, {"feature_cols": prep.feature_cols, "medians": prep.medians, "auc_score": 0.5, "threshold": 0.35,
                           "algorithm": "gbt", "best_model_name": "GBT (main)"}, path)
     bundle = MD.load_model(path)
     assert bundle is not None
@@ -58,7 +61,7 @@ def test_fit_save_load_predict(spark, tmp_path):
 def test_fallback_preset_and_logistic(spark):
     prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)), fit_scope="all")
     board, models = MD.compare_models(prep.train, prep.test, prep.feature_cols,
-                                      ["gbt_fallback", "logistic"], fast=True)
+                                      ["gbt_fallback", "logistic"], overrides=FEW)
     rows = board.collect()
     assert len(rows) == 2 and all(r.error is None for r in rows)
     assert all(0.0 <= r.roc_auc <= 1.0 for r in rows)
@@ -79,7 +82,7 @@ def test_comparison_csv(spark, tmp_path):
 
 def test_early_stopping_on_test_rows_parity(spark):
     prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
-    model, _ = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", fast=True, stop_on=prep.test)
+    model, _ = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", overrides=FEW, stop_on=prep.test)
     assert MD.predict_default(model, prep.test).count() == prep.test.count()
 
 
@@ -97,7 +100,7 @@ def test_append_stream_equals_batch(spark, tmp_path):
 def test_model_scored_stream_equals_batch(spark, tmp_path):
     from riskmart.plans.training import train_and_compare
     tables = LendingTables(spark, SF_SMALL)
-    board, path, _ = train_and_compare(spark, tables, ["gbt_d"], fast=True,
+    board, path, _ = train_and_compare(spark, tables, ["gbt_d"], overrides=FEW,
                                        save_to=str(tmp_path / "bundle"))
     assert board.count() == 1 and os.path.isdir(str(tmp_path / "bundle" / "comparison"))
     bundle = MD.load_model(path)
@@ -108,3 +111,21 @@ def test_model_scored_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     streamed = spark.read.parquet(f"{base}/out").drop("batch")
     assert _flat(streamed) == _flat(score_requests(apps, bundle))
+
+
+def test_failing_preset_keeps_its_row(spark, monkeypatch):
+    prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
+    monkeypatch.setitem(MD.PRESETS, "gbt_c", MD.Preset("Broken", "none"))
+    board, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, ["gbt_c", "gbt_d"], overrides=FEW)
+    rows = {r.model: r for r in board.collect()}
+    assert "ValueError" in rows["Broken"].error and rows["Gradient Boosting"].error is None and set(models) == {"gbt_d"}
+
+
+def test_other_read_failures_are_not_hidden(spark, tmp_path):
+    import pytest
+    (tmp_path / "metadata").mkdir()
+    (tmp_path / "metadata" / "part-0.json").write_text("{}")
+    with pytest.raises(Exception):
+        MD.load_model(str(tmp_path))
+    with pytest.raises(ValueError):
+        decide_batch(LendingTables(spark, SF_SMALL).applicants(), scorer="model")

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import pytest
+
 from conftest import one
 from riskmart.functions.nulls import (clip_lower, nan_to_null_all, negative_days_to_years,
                                       row_max, row_mean, row_min, safe_div)
@@ -58,13 +60,13 @@ def test_t5_clip_keeps_missing(spark):
 
 def test_t6_t7_t8_label_codes(spark):
     df = spark.createDataFrame([("b",), ("Z",), (None,), ("a",)], "c string")
-    maps = PR.code_maps(PR.fit_label_codes(df, ["c"]))
-    assert maps["c"] == {"Z": 0, "a": 1, "b": 2, "nan": 3}                        # T6, T7
+    codes = PR.fit_label_codes(df, ["c"])
+    assert {r.value: r.code for r in codes.collect()} == {"Z": 0, "a": 1, "b": 2, "nan": 3}     # T6, T7
     new = spark.createDataFrame([("a",), ("never seen",)], "c string")
-    assert [r.c for r in PR.apply_label_codes(new, maps).collect()] == [1, 0]      # T8
-    assert PR.apply_label_codes(new, maps).schema["c"].metadata == {}              # T9
-    intended = PR.code_maps(PR.fit_label_codes(df, ["c"], missing_label="Unknown"))
-    assert "Unknown" in intended["c"]
+    assert sorted(r.c for r in PR.apply_label_codes(new, codes, ["c"]).collect()) == [0, 1]      # T8
+    assert PR.apply_label_codes(new, codes, ["c"]).schema["c"].metadata == {}                    # T9
+    intended = PR.fit_label_codes(df, ["c"], missing_label="Unknown")
+    assert "Unknown" in {r.value for r in intended.collect()}
 
 
 def test_t10_exact_median(spark):
@@ -144,3 +146,67 @@ def test_multiline_json_requests(spark, tmp_path):
     rows = {r.applicant_id: r for r in
             VA.prepare_requests(read_applicants(spark, str(p), multiline=True)).collect()}
     assert rows[1].violations == [] and rows[2].violations == ["age:min"]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    from riskmart.sources import readers as RD
+    path = str(tmp_path / "p.csv")
+    with open(path, "w") as f:
+        f.write("SK_ID_PREV,SK_ID_CURR,NOTE,AMT_ANNUITY,DAYS_DECISION,NAME_CONTRACT_STATUS,AMT_CREDIT\n"
+                "9007199254740993,1,x,12.5,-1180.0,Approved,NaN\n7,2.0,y,,bad,Refused,100\n")
+    rows = {r.SK_ID_CURR: r for r in RD.read_previous_applications(spark, path).collect()}
+    assert rows[1].SK_ID_PREV == 9007199254740993 and rows[1].DAYS_DECISION == -1180 and rows[1].AMT_CREDIT is None
+    assert rows[2].SK_ID_PREV == 7 and rows[2].DAYS_DECISION is None and rows[2].AMT_ANNUITY is None
+    assert "NOTE" not in rows[1].asDict()
+    bad = RD.bad_cells(spark, path, RD.PREVIOUS_SCHEMA).collect()
+    assert [(r.column, r.n) for r in bad] == [("DAYS_DECISION", 1)]
+    with open(str(tmp_path / "q.csv"), "w") as f:
+        f.write("SK_ID_PREV,SK_ID_CURR\n1,2\n")
+    with pytest.raises(ValueError, match="NAME_CONTRACT_STATUS"):
+        RD.read_previous_applications(spark, str(tmp_path / "q.csv"))
+
+
+def test_further_columns_stay_features(spark, tmp_path):
+    from riskmart.schemas import APPLICATION_SCHEMA
+    from riskmart.sources import readers as RD
+    names = [f.name for f in APPLICATION_SCHEMA.fields]
+    path = str(tmp_path / "a.csv")
+    with open(path, "w") as f:
+        f.write(",".join(["OWN_CAR_AGE", "WALLSMATERIAL_MODE", *names]) + "\n" + "3.5,Panel," + ",".join("1" for _ in names) + "\n")
+    df = RD.read_applications(spark, path)
+    assert df.columns[-2:] == ["OWN_CAR_AGE", "WALLSMATERIAL_MODE"]
+    assert dict(df.dtypes)["OWN_CAR_AGE"] == "double" and dict(df.dtypes)["WALLSMATERIAL_MODE"] == "string"
+
+
+@pytest.mark.parametrize("value", ["NaN", "Infinity", "-Infinity", "1e20", "abc"])
+def test_odd_amounts_are_rejected_and_harm_no_other(spark, tmp_path, value):
+    import json
+    from riskmart.sources.readers import read_applicants
+    from riskmart.streaming.scoring import decide_batch
+    good = {"applicant_id": 1, "name": "A", "age": "35", "monthly_income": "50000", "loan_amount": "500000"}
+    lines = [json.dumps(good), json.dumps({**good, "applicant_id": 2, "monthly_income": value}),
+             json.dumps({**good, "applicant_id": 3, "loan_amount": value}), json.dumps({**good, "applicant_id": "x7"}), "{broken"]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    decided, rejected = decide_batch(read_applicants(spark, str(tmp_path / "r.json")))
+    assert [r.applicant_id for r in decided.collect()] == [1]
+    rows = {r["_request"]: r.violations for r in rejected.collect()}
+    assert set(rows) == set(lines[1:])
+    assert "applicant_id:type" in rows[lines[3]] and "request:json" in rows[lines[4]]
+
+
+def test_stream_survives_an_odd_request(spark, tmp_path):
+    import json
+    from riskmart.streaming.scoring import score_stream
+    good = {"applicant_id": 1, "name": "A", "age": "35", "monthly_income": "50000", "loan_amount": "500000"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r.json").write_text("\n".join([json.dumps(good), json.dumps({**good, "loan_amount": "NaN"}), "no json"]))
+    score_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "rej")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert {r["_request"] for r in spark.read.parquet(str(tmp_path / "rej")).collect()} == {json.dumps({**good, "loan_amount": "NaN"}), "no json"}
+
+
+def test_nan_breaks_every_limit(spark):
+    from conftest import applicant
+    from riskmart.operators import validation as VA
+    row = VA.prepare_requests(applicant(spark, monthly_income=float("nan"), ext1=float("nan"))).first()
+    assert {"monthly_income:min", "monthly_income:max", "ext1:min", "ext1:max"} <= set(row.violations)
