@@ -99,10 +99,14 @@ def fingerprints(h, lo, hi) -> np.ndarray:
     return fp.view(np.int64)
 
 
+def bits_of(n: np.ndarray) -> np.ndarray:
+    """The next power of two of each n, 64 to 65,536."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64, 65536)
+
+
 def bitmap(h: np.ndarray, n: int) -> bytes:
-    """Bits that the elements' hashes name; as many as the next power of two
-    of n, 64 to 65,536."""
-    bits = min(65536, max(64, 1 << (int(n) - 1).bit_length()))
+    """Bits that the elements' hashes name, ``bits_of(n)`` of them."""
+    bits = int(bits_of(np.array([n]))[0])
     out = np.zeros(bits, np.uint8)
     out[(h >> U64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -177,13 +181,13 @@ def packed(to: np.ndarray, buckets: int, key, fp, n):
                             **{c: pa.array([p[x] for p in out], pa.binary()) for x, c in enumerate(("key", "fp", "n", "len"))}})
 
 
-def unpacked(batches):
+def unpacked(batches, kind=np.uint64):
     """The postings of all rows of a task, by key: (key, node, size)."""
-    key, fp, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    key, fp, n = [np.zeros(0, kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for b in batches:
         for k, f, s, c in zip(*(x.to_pylist() for x in b.columns[1:])):
             c = np.frombuffer(c, np.uint32)
-            key.append(np.frombuffer(k, np.uint64))
+            key.append(np.frombuffer(k, kind))
             fp.append(np.repeat(np.frombuffer(f, np.int64), c))
             n.append(np.repeat(np.frombuffer(s, np.uint32), c))
     key, fp, n = np.concatenate(key), np.concatenate(fp), np.concatenate(n)
@@ -351,36 +355,42 @@ def setter(k: int):
 
 
 def dealer(buckets: int):
-    """The n-grams of nodes as postings, all of them."""
+    """The n-grams of nodes as postings, by 32 bits of the hash: two that
+    agree in them only make the bound a little weaker."""
     def run(batches):
         for b in batches:
             sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
             size = [len(x) for x in sets]
             if size:
                 key, fp = np.concatenate(sets), np.repeat(b.column(0).to_numpy(), size)
-                yield packed((T.mix(key) % U64(buckets)).astype(np.int64), buckets, key, fp, np.repeat(size, size))
+                to = (T.mix(key) % U64(buckets)).astype(np.int64)
+                yield packed(to, buckets, (key >> U64(32)).astype(np.uint32), fp, np.repeat(size, size))
     return run
 
 
 def sharer(batches):
-    """By node, the n-grams of a bucket that another node has too."""
-    key, fp, n = unpacked(batches)
+    """By node, the n-grams of a bucket that another node has too, as bits
+    of the node's bitmap."""
+    key, fp, n = unpacked(batches, np.uint32)
     if not len(key):
         return
     order = np.lexsort((fp, key))
     key, fp, n = key[order], fp[order], n[order]
-    once = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))      # a node may come twice
-    key, fp, n = key[once], fp[once], n[once]
-    same = key[1:] == key[:-1]
-    both = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    key, fp, n = key[both], fp[both], n[both]
+    start = np.concatenate(([True], key[1:] != key[:-1]))
+    other = np.concatenate(([False], fp[1:] != fp[:-1])) & ~start                # a node may come twice
+    run = np.cumsum(start) - 1
+    shared = np.bincount(run, other, minlength=run[-1] + 1)[run] > 0
+    once = start | other
+    key, fp, n = key[shared & once], fp[shared & once], n[shared & once]
     order = np.argsort(fp, kind="stable")
     key, fp, n = key[order], fp[order], n[order]
+    bits = (key & (bits_of(2 * n.astype(np.int64)) - 1).astype(np.uint32)).astype(np.uint16)
     at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))[:len(fp)]
+    cut = [*at.tolist(), len(fp)]
     for i in range(0, len(at), 4096):
-        cut = [*at[i:i + 4097].tolist(), len(fp)][:len(at[i:i + 4096]) + 1]
-        yield pa.record_batch({"fp": pa.array(fp[at[i:i + 4096]], pa.int64()), "n": pa.array(n[at[i:i + 4096]].astype(np.int64)),
-                               "own": pa.array([key[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())})
+        own = at[i:i + 4096]
+        yield pa.record_batch({"fp": pa.array(fp[own], pa.int64()), "n": pa.array(n[own].astype(np.int64)),
+                               "own": pa.array([bits[cut[k]:cut[k + 1]].tobytes() for k in range(i, i + len(own))], pa.binary())})
 
 
 def signer(percent: int):
@@ -389,11 +399,16 @@ def signer(percent: int):
     def run(batches):
         for b in batches:
             fp, n, own = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            own = [np.concatenate([np.frombuffer(y, np.uint64) for y in x]) for x in own]
+            own = [np.frombuffer(b"".join(x), np.uint16) for x in own]
             s = np.array([len(x) for x in own], np.int64)
             ok = np.flatnonzero(100 * s >= percent * n)
+            maps = []
+            for i in ok.tolist():
+                out = np.zeros(int(bits_of(2 * n[i:i + 1])[0]), np.uint8)
+                out[own[i]] = 1
+                maps.append(np.packbits(out, bitorder="little").tobytes())
             yield pa.record_batch({"fp": pa.array(fp[ok], pa.int64()), "n": pa.array(n[ok], pa.int64()), "s": pa.array(s[ok], pa.int64()),
-                                   "bm": pa.array([bitmap(own[i], 2 * int(n[i])) for i in ok], pa.binary())})
+                                   "bm": pa.array(maps, pa.binary())})
     return run
 
 
@@ -514,7 +529,9 @@ class Join:
                       .mapInArrow(bounder(self.percent), "a long, b long"), "may")
         if self.sets is None:
             self.sets = written(self._sets(may), "sets")
-        full = lambda s: self.sets.select(F.col("fp").alias(s), F.col("x").alias(s + "x"))
+        ids = written(may.select(F.col("a").alias("fp")).union(may.select(F.col("b").alias("fp"))).distinct(), "ids")
+        sets = self.sets.join(F.broadcast(ids) if ids.count() <= WANTED else ids, "fp", "left_semi")
+        full = lambda s: sets.select(F.col("fp").alias(s), F.col("x").alias(s + "x"))
         return written(may.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ax", "bx")
                        .mapInArrow(verifier(self.percent), "a long, b long"), "links")
 
