@@ -30,7 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last:
             break
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return few(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), state[0])
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of about ``rows`` ids in as few partitions as it needs."""
+    return df.coalesce(2 * (1 + rows // PART))
 
 
 def _table(e: DataFrame, about: int | None = None) -> tuple[DataFrame, tuple]:
@@ -38,7 +43,7 @@ def _table(e: DataFrame, about: int | None = None) -> tuple[DataFrame, tuple]:
     seen while writing.  ``about``: how many edges to expect."""
     seen = Observation()
     if about is not None:
-        e = e.coalesce(2 * (1 + about // PART))
+        e = few(e, about)
     table = written(e.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")), "cc")
     got = seen.get
     return table, (got["n"], got["h"])

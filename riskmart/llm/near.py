@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.llm import text as T
-from riskmart.llm.graph import components
+from riskmart.llm.graph import components, few
 from riskmart.llm.spark import bounded_batches, partitions, table, written
 
 K = 5
@@ -529,8 +529,11 @@ class Join:
                       .mapInArrow(bounder(self.percent), "a long, b long"), "may")
         if self.sets is None:
             self.sets = written(self._sets(may), "sets")
-        ids = written(may.select(F.col("a").alias("fp")).union(may.select(F.col("b").alias("fp"))).distinct(), "ids")
-        sets = self.sets.join(F.broadcast(ids) if ids.count() <= WANTED else ids, "fp", "left_semi")
+        n = may.count()
+        if not n:
+            return may
+        ids = may.select(F.col("a").alias("fp")).union(may.select(F.col("b").alias("fp"))).distinct()
+        sets = self.sets.join(F.broadcast(few(ids, 2 * n)) if 2 * n <= WANTED else ids, "fp", "left_semi")
         full = lambda s: sets.select(F.col("fp").alias(s), F.col("x").alias(s + "x"))
         return written(may.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ax", "bx")
                        .mapInArrow(verifier(self.percent), "a long, b long"), "links")
@@ -572,13 +575,14 @@ def linked(docs: DataFrame, k: int, percent: int):
     only = None
     for mode in ("one", "each", "all"):
         new = written(job.rest(roots, mode, only), "rest")
-        pairs = new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        n = new.count()
+        pairs = few(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n)
         found = job.verified(pairs.join(tried, ["a", "b"], "left_anti"))
         if not found.isEmpty():
             links = links.union(found)
             roots = written(components(links), "roots")
         # a probe stays open for the next round if it may meet more than was tried
-        only = written(new.where("more").select(F.col("x").alias("fp")).distinct(), "open")
+        only = written(few(new.where("more").select(F.col("x").alias("fp")).distinct(), n), "open")
         if only.isEmpty():
             break
         tried = tried.union(pairs)
