@@ -19,10 +19,11 @@ is a 64-bit fingerprint of the set), so copies never meet as pairs.
 4. ``rest``: in larger tiles whose members are not yet in one component, every
    member outside the tile's largest component meets all members, in blocks.
    Here the bitmaps hold only n-grams that two such nodes share; the others
-   count in full, so the bound is close.  Round one verifies the most alike
-   member of another component, round two, for members that may have more,
-   the most alike of each other component, round three all that these may
-   still meet, so no link between components is lost.
+   count in full, so the bound is close.  Round one, over the tiles of one in
+   FIRST n-grams, verifies the most alike member of another component and so
+   joins most of what belongs together; round two, over all tiles, the most
+   alike of each other component; round three, for members that may have more,
+   all that these may still meet, so no link between components is lost.
 
 Hashes have 64 bits; equal hashes count as equal n-grams.
 
@@ -49,6 +50,7 @@ CELL_BITS = 20
 SLICES = 64
 TILE = 4096          # members of a hot tile that one task takes
 FEW = 8              # members of a tile up to which all its pairs are tried at once
+FIRST = 16           # one in so many tiles serves the first residual round
 BLOCK = 2048         # members that a probe meets at a time
 WANTED = 1 << 20     # wanted ids (16 bytes each) up to which they go to every task
 FLUSH = 1 << 20      # postings held before they are dealt out
@@ -535,29 +537,34 @@ class Join:
         ids = may.select(F.col("a").alias("fp")).union(may.select(F.col("b").alias("fp"))).distinct()
         sets = self.sets.join(F.broadcast(few(ids, 2 * n)) if 2 * n <= WANTED else ids, "fp", "left_semi")
         full = lambda s: sets.select(F.col("fp").alias(s), F.col("x").alias(s + "x"))
-        return written(may.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ax", "bx")
+        pairs = F.broadcast(may) if n <= WANTED else may
+        return written(pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ax", "bx")
                        .mapInArrow(verifier(self.percent), "a long, b long"), "links")
 
     def rest(self, roots: DataFrame, mode: str, only: DataFrame | None) -> DataFrame:
         """(x, y, more): candidate pairs between different components that
         share a tile, of the probes in ``only`` (else of all)."""
-        member = (self.large.select("tile", F.explode("fps").alias("fp")).distinct()
+        large = self.large.where(F.pmod("tile", F.lit(FIRST)) == 0) if mode == "one" else self.large
+        member = (large.select("tile", F.explode("fps").alias("fp")).distinct()
                   .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                   .select("tile", "fp", F.coalesce("root", "fp").alias("comp")))
         size = member.groupBy("tile", "comp").agg(F.count("*").alias("c"))
         mixed = (size.groupBy("tile").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("k"))
                  .where("k > 1").select("tile", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("s_")))
         member = written(member.join(mixed, "tile"), "mixed")
-        if self.signed is None:
+        if mode == "one":
+            signed = self.nodes.select("fp", "n", F.col("n").alias("s"), "bm")       # as if all were shared
+        elif self.signed is None:
             posts = (member.select("fp").distinct().join(self.sets.select("fp", "x"), "fp")
                      .mapInArrow(dealer(self.buckets), POSTINGS))
             shared = posts.repartition(self.buckets, "bucket").mapInArrow(sharer, "fp long, n long, own binary")
             self.signed = written(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("own").alias("own"))
                                   .mapInArrow(signer(self.percent), "fp long, n long, s long, bm binary"), "signed")
+        signed = signed if mode == "one" else self.signed
         probe = member.where("comp <> main") if only is None else member.join(only, "fp", "left_semi")
         sent = F.explode(F.sequence(F.lit(0), F.col("s_") - 1)).alias("block")
-        probe = probe.join(self.signed, "fp").select("tile", sent, F.lit(1).alias("kind"), "fp", "comp", "n", "s", "bm")
-        here = (member.join(probe.select("tile").distinct(), "tile", "left_semi").join(self.signed, "fp")
+        probe = probe.join(signed, "fp").select("tile", sent, F.lit(1).alias("kind"), "fp", "comp", "n", "s", "bm")
+        here = (member.join(probe.select("tile").distinct(), "tile", "left_semi").join(signed, "fp")
                 .select("tile", F.pmod(F.xxhash64("fp"), F.col("s_")).cast("int").alias("block"), F.lit(0).alias("kind"),
                         "fp", "comp", "n", "s", "bm"))
         return (here.union(probe).repartition("tile", "block").sortWithinPartitions("tile", "block", "kind")
@@ -581,11 +588,13 @@ def linked(docs: DataFrame, k: int, percent: int):
         if not found.isEmpty():
             links = links.union(found)
             roots = written(components(links), "roots")
-        # a probe stays open for the next round if it may meet more than was tried
+        tried = tried.union(pairs)
+        if mode == "one":
+            continue                       # the other tiles' members are all still open
+        # a probe stays open for the last round if it may meet more than was tried
         only = written(few(new.where("more").select(F.col("x").alias("fp")).distinct(), n), "open")
         if only.isEmpty():
             break
-        tried = tried.union(pairs)
     return job.rows, roots
 
 
