@@ -445,7 +445,7 @@ def q_compare_models(spark, sf_dir):
 
 
 #: Queries about one saved bundle train the preset that is done soonest.
-BUNDLE = ("logistic",)
+BUNDLE = ("random_forest",)
 
 
 @register("best_model_report")
