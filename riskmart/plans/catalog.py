@@ -444,27 +444,23 @@ def q_compare_models(spark, sf_dir):
     return trained(spark, sf_dir)[0]
 
 
-#: Queries about one saved bundle train the preset that is done soonest.
-BUNDLE = ("random_forest",)
-
-
 @register("best_model_report")
 def q_best_model_report(spark, sf_dir):
     from riskmart.plans.training import best_model_report
-    _, path, prep = trained(spark, sf_dir, BUNDLE)
+    _, path, prep = trained(spark, sf_dir)
     return best_model_report(prep, path)
 
 
 @register("model_info")
 def q_model_info(spark, sf_dir):
-    _, path, _ = trained(spark, sf_dir, BUNDLE)
+    _, path, _ = trained(spark, sf_dir)
     return MD.model_info(MD.load_model(path) if path else None)
 
 
 @register("model_decisions")
 def q_model_decisions(spark, sf_dir):
     from riskmart.plans.training import score_requests
-    _, path, _ = trained(spark, sf_dir, BUNDLE)
+    _, path, _ = trained(spark, sf_dir)
     bundle = MD.load_model(path) if path else None
     out = score_requests(_t(spark, sf_dir).applicants(), bundle)
     return out.select("applicant_id", "pre_screening.score",

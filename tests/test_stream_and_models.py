@@ -129,3 +129,26 @@ def test_other_read_failures_are_not_hidden(spark, tmp_path):
         MD.load_model(str(tmp_path))
     with pytest.raises(ValueError):
         decide_batch(LendingTables(spark, SF_SMALL).applicants(), scorer="model")
+
+
+def test_bundle_queries_use_the_best_of_all_presets(spark, monkeypatch):
+    """The report, the info and the decisions come from the leaderboard's first model."""
+    from riskmart.plans import training as TR
+    train, tables, seen = TR.train_and_compare, LendingTables(spark, SF_SMALL), []
+    board, path, prep = train(spark, tables, overrides=FEW | {"numTrees": 4})
+    names = {MD.PRESETS[k].name for k in MD.COMPARISON}
+    assert {r.model for r in board.collect()} == names
+    best = board.where("rank = 1").collect()[0]
+
+    def once(spark, tables, keys=MD.COMPARISON, **more):
+        seen.append(list(keys))
+        return (board, path, prep) if list(keys) == MD.COMPARISON else train(spark, tables, keys, overrides=FEW | {"numTrees": 4})
+    monkeypatch.setattr(TR, "train_and_compare", once)
+    info = C.run("model_info", spark, SF_SMALL).collect()[0]
+    assert (info.best_model_name, info.auc_score) == (best.model, best.roc_auc)
+    report = C.run("best_model_report", spark, SF_SMALL).collect()
+    assert report == TR.best_model_report(prep, path).collect()
+    got = C.run("model_decisions", spark, SF_SMALL).select("applicant_id", "prob_default").collect()
+    want = score_requests(tables.applicants(), MD.load_model(path)).select("applicant_id", "ml_result.prob_default").collect()
+    assert sorted(got) == sorted(want)
+    assert seen == [MD.COMPARISON] * 3
