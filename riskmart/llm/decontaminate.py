@@ -1,13 +1,14 @@
 """Operator 3, benchmark decontamination: an inverted index of the test items
 with block maxima, asked by every passage of every document.
 
-Items (or their segments of at most SEGMENT words) are indexed with BM25
-impacts divided by the item's score for its own text, so one threshold, a
-share of that score, holds for all.  Items of like vocabulary order lie in
-blocks; for every term the index keeps the largest impact in each block.
+Items are indexed with BM25 impacts divided by the item's score for its own
+text, so one threshold, a share of that score, holds for all.  An item of more
+than SEGMENT words is searched by segments of like length, each with a share
+of its own; the item's score is that of its best segment.  Items of like
+vocabulary order lie in blocks; for every term the index keeps the largest impact in each block.
 
 A document's passages are windows of two strides of words, one starting at
-every stride; a stride is as long as the longest item, so every item that a
+every stride; a stride is as long as the longest item or segment, so every one that a
 document holds lies whole in a window.  As in block-max WAND, terms are
 parted by their bounds: a block's cheap terms together stay below CHEAP times
 the threshold, so a window goes on for a block only where the block maxima of
@@ -16,9 +17,9 @@ each stride, two strides a window), then where the block maxima of all its
 distinct terms do, and only there items are scored exactly.  All items at or above the threshold
 are retrieved; nothing is cut to the best few.
 
-Each hit is verified on the words around the window: of the item's question
-(all but its last sentence) and of its answer (the last sentence) given
-shares of the word trigrams must occur.
+Each hit is verified on the words around the window, widened by the length of
+the whole item: of the item's question (all but its last sentence) and of its
+answer (the last sentence) given shares of the word trigrams must occur.
 
 The index goes to every task; items are dealt into shards of at most
 SHARD_ITEMS by the hash of their id, each with statistics of its own and one
@@ -44,7 +45,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6          # share of the item's score for its own text
 QUESTION = 0.6           # share of the question's trigrams
 ANSWER = 0.6             # share of the answer's trigrams
-SEGMENT = 128            # words of an indexed item at most
+SEGMENT = 128            # words of an indexed item at most; longer ones in equal segments
 LEAST_STRIDE = 32
 BLOCK = 8                # items of a block
 CHEAP = 0.5              # of the threshold that a block's cheap terms may hold
@@ -92,12 +93,12 @@ class Index:
             q, a = (words([x])[0] for x in question_and_answer(text))
             if not len(q) or not len(a):
                 q = a = h
-            for i in range(0, len(h), SEGMENT):
-                seg = h[i:i + SEGMENT] if len(h) > SEGMENT else h
-                if len(h) > SEGMENT:
-                    q = a = seg                         # a segment stands for itself
+            if not len(h):
+                continue
+            whole = (grams(q), min(3, len(q))), (grams(a), min(3, len(a))), len(h)
+            for seg in np.array_split(h, -(-len(h) // SEGMENT)):    # for the search only
                 terms, tf = np.unique(seg, return_counts=True)
-                self.ids.append(item), self.parts.append(((grams(q), min(3, len(q))), (grams(a), min(3, len(a))), len(seg)))
+                self.ids.append(item), self.parts.append(whole)
                 sets.append(terms), tfs.append(tf)
         n = len(sets)
         self.vocab, df = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
@@ -109,7 +110,7 @@ class Index:
             at = np.searchsorted(self.vocab, terms)
             impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
             rows.append((at, impact / impact.sum()))
-        self.stride = max([LEAST_STRIDE, *(p[2] for p in self.parts)])
+        self.stride = max([LEAST_STRIDE, *(int(t.sum()) for t in tfs)])
         # blocks of items whose rarest terms are alike
         order = sorted(range(n), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), i))
         self.blocks, t_of, b_of, v_of, self.cheap = [], [], [], [], []
@@ -177,10 +178,13 @@ class Index:
             for c in np.flatnonzero(score >= THRESHOLD - 1e-9).tolist():
                 item = int(own[c])
                 q, ans, size = self.parts[item]
+                key, top = (d, self.ids[item]), min(1.0, float(score[c]))
+                if hits.get(key, (0.0,)) >= (top, 1.0, 1.0):
+                    continue                              # as by the item's other segments
                 near = h[max(int(lo[d]), a - size):min(int(hi[d]), z + size)]
                 share = [float(np.isin(x, grams(near, n)).mean()) for x, n in (q, ans)]
                 if share[0] >= QUESTION and share[1] >= ANSWER:
-                    key, new = (d, self.ids[item]), (min(1.0, float(score[c])), *share)
+                    new = (top, *share)
                     hits[key] = max(hits.get(key, new), new)
         return [(*k, *v) for k, v in hits.items()]
 

@@ -82,3 +82,22 @@ def test_edge_cases(spark):
     assert {(7, 4), (8, 4), (14, 5)} <= got and not any(d in (2, 3, 4) for d, _ in got)
     assert dc.leaks(docs(spark), bench_table(spark, items).limit(0)).count() == 0
     assert dc.leaks(docs(spark).limit(0), bench_table(spark, items)).count() == 0
+
+
+@pytest.mark.parametrize("size", [128, 129, 130, 257])
+def test_long_items_are_verified_whole(spark, size):
+    """Segments find, but only the whole item's question and answer count."""
+    item = [f"q{i}" for i in range(size - 6)] + [f"a{i}" for i in range(6)]
+    text = " ".join(item[:-6]) + ". " + " ".join(item[-6:]) + "."
+    other = [f"x{i}" for i in range(300)]
+    rows = [(1, " ".join(other[:150]) + " " + text + " " + " ".join(other)), (2, text),
+            (3, " ".join(other + item[-1:] + other)), (4, " ".join(other + item[-2:])),           # the last words
+            (5, " ".join(other + item[:-6] + other)),                                              # no answer
+            (6, " ".join(other + item[-6:] + other)),                                              # no question
+            (7, " ".join(item[:size // 3] + other + item[-6:])),                                   # a third of the question
+            (8, " ".join(other))]
+    got = {r.doc_id: r for r in dc.leaks(docs(spark, rows), bench_table(spark, [(9, text)])).collect()}
+    assert set(got) == {1, 2}
+    assert all((r.score, r.question_overlap, r.answer_overlap) == pytest.approx((1, 1, 1)) for r in got.values())
+    kept = dc.drop_leaks(docs(spark, rows), bench_table(spark, [(9, text)]))
+    assert {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 7, 8}
