@@ -21,9 +21,10 @@ Each hit is verified on the words around the window, widened by the length of
 the whole item: of the item's question (all but its last sentence) and of its
 answer (the last sentence) given shares of the word trigrams must occur.
 
-The index goes to every task; items are dealt into shards of at most
-SHARD_ITEMS by the hash of their id, each with statistics of its own and one
-pass over the documents, so no broadcast grows with the benchmark.
+The index goes to every task; distinct items are dealt by their hash into
+shards of about SHARD_ITEMS items and SHARD_BYTES of text at most, each with
+statistics of its own and one pass over the documents, so no broadcast grows
+with the benchmark.
 
 Defined cases: null or wordless items match nothing, nor do null or wordless
 texts; words are runs of letters, digits and bytes beyond ASCII with A-Z
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.llm import text as T
-from riskmart.llm.spark import bounded_batches, table
+from riskmart.llm.spark import bounded_batches, table, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6          # share of the item's score for its own text
@@ -50,6 +51,7 @@ LEAST_STRIDE = 32
 BLOCK = 8                # items of a block
 CHEAP = 0.5              # of the threshold that a block's cheap terms may hold
 SHARD_ITEMS = 2_000
+SHARD_BYTES = 4 << 20    # of their text
 PIECE = 2 << 20
 U64 = np.uint64
 _PART = np.zeros(256, dtype=bool)
@@ -222,8 +224,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", i
 
 def indexes(spark, items: DataFrame, item_col="item_id", item_text="text", shard_items: int = SHARD_ITEMS):
     """The broadcast index of each shard of the items."""
-    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    shards = max(1, -(-items.count() // shard_items))
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).distinct()
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    shards = max(1, -(-total.n // shard_items), -(-total.b // SHARD_BYTES))
+    if shards > 1:
+        items = written(items, "items")
     for s in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()    # about SHARD_ITEMS
         yield spark.sparkContext.broadcast(Index(sorted((-1 if r.item_id is None else r.item_id, (r.text or "").encode())

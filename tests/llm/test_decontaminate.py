@@ -101,3 +101,14 @@ def test_long_items_are_verified_whole(spark, size):
     assert all((r.score, r.question_overlap, r.answer_overlap) == pytest.approx((1, 1, 1)) for r in got.values())
     kept = dc.drop_leaks(docs(spark, rows), bench_table(spark, [(9, text)]))
     assert {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 7, 8}
+
+
+def test_shards_by_distinct_items_and_bytes(spark, monkeypatch):
+    bench, rows, held = world()
+    copied = bench_table(spark, bench + [bench[0]] * 500)
+    indexes = [x.value for x in dc.indexes(spark, copied, shard_items=100)]
+    assert [len(x.ids) for x in indexes] == [len(bench)]                    # copies are one item
+    monkeypatch.setattr(dc, "SHARD_BYTES", sum(len(t) for _, t in bench) // 3)
+    indexes = [x.value for x in dc.indexes(spark, copied)]
+    assert len(indexes) >= 3 and sorted(i for x in indexes for i in x.ids) == [i for i, _ in bench]
+    assert held <= {(r.doc_id, r.item_id) for r in dc.leaks(docs(spark, rows), copied).collect()}
