@@ -229,6 +229,9 @@ def held_out_rows(docs: DataFrame, id_col="doc_id") -> DataFrame:
     return docs.where(held_out_ids(F.col(id_col))).select(id_col)
 
 
+REJECT = 0.5             # score below which a document is predicted bad and the filter lets it go
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -243,10 +246,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
 
     scored = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out_ids(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-REJECT = 0.2             # score below which the filter lets a document go
+                         (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", least: float = REJECT,

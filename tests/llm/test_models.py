@@ -80,3 +80,11 @@ def test_temperature_and_thresholds():
     grade = np.bincount(doc, feat == 0, minlength=300).astype(int)
     m = toxicity.Ordinal(doc, feat, 6, grade, 3)
     assert (np.diff(m.cuts) > 0).all() and m.w[0] > m.w[1:].max()
+
+
+def test_filter_and_prediction_agree(spark, monkeypatch):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    for score in (0.1, 0.3, 0.49, 0.5, 0.9):
+        monkeypatch.setattr(quality, "fit", lambda *a, score=score, **b: quality.Constant(score))
+        good = sum(r.predicted for r in quality.quality_scores(docs(spark), none).collect())
+        assert quality.keep_good(docs(spark), none).count() == good == (len(HARD) if score >= 0.5 else 0)
