@@ -12,7 +12,7 @@ A document is pooled to three averages over its words: of the vectors, of
 their squares and of the products of adjacent vectors.  The network (tanh
 layer, logistic output) is trained on the driver on at most SAMPLE labelled
 documents, those with the smallest hash of the id, of the rows that ``learn``
-admits; a fifth of them only sets the temperature.  Scores then come from one
+admits, one row of each id; a fifth of them only sets the temperature.  Scores then come from one
 pass over all documents.
 
 Defined cases: null and empty texts pool to zeros and are scored like any
@@ -211,8 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, learn: Column, id_col="doc_
             x = pool(T.as_bytes(b.column(1)), vectors.value).astype(np.float32)
             yield pa.record_batch({"doc_id": b.column(0), "y": b.column(2), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y double, x binary").collect(),
-                 key=lambda r: (r.doc_id, r.x))[:2 * sample]     # documents may repeat an id
+    # documents may repeat an id: one row of each, the least
+    got = (rows.select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y double, x binary")
+           .groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect())
+    got = sorted(got, key=lambda r: r.doc_id)
     y = np.array([r.y >= 0.5 for r in got], float)
     if len(got) < 10 or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 0.5)

@@ -186,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", text
             found = [np.intersect1d(x, wanted.value) for x in distinct_features(T.as_bytes(b.column(1)))]
             yield pa.record_batch({"doc_id": b.column(0), "y": b.column(2), "x": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    got = sorted(rows.mapInArrow(features, "doc_id long, y double, x binary").collect(), key=lambda r: (r.doc_id, r.x))[:2 * sample]
+    # documents may repeat an id: one row of each, the least
+    got = (rows.mapInArrow(features, "doc_id long, y double, x binary")
+           .groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect())
+    got = sorted(got, key=lambda r: r.doc_id)
     return Model([np.frombuffer(r.x, np.int32) for r in got], np.array([float(r.y >= 0.5) for r in got]))
 
 

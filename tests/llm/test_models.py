@@ -88,3 +88,17 @@ def test_filter_and_prediction_agree(spark, monkeypatch):
         monkeypatch.setattr(quality, "fit", lambda *a, score=score, **b: quality.Constant(score))
         good = sum(r.predicted for r in quality.quality_scores(docs(spark), none).collect())
         assert quality.keep_good(docs(spark), none).count() == good == (len(HARD) if score >= 0.5 else 0)
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rows = [(i, f"text {i} " + ("bad words" if i % 2 else "good ones")) for i in range(40)]
+    rows += [(0, f"another text {i}") for i in range(300)]
+    known = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "Network", lambda x, y: seen.append(y.tolist()))
+    monkeypatch.setattr(toxicity, "Model", lambda x, y: seen.append(y.tolist()))
+    vectors = spark.sparkContext.broadcast(np.ones((quality.BUCKETS, quality.DIM), np.float32))
+    quality.fit(docs(spark, rows), known, vectors, F.lit(True), sample=40)
+    toxicity.fit(docs(spark, rows), known, F.lit(True), sample=40)
+    assert seen == [[0.0, 1.0] * 20] * 2                # in order of the id
