@@ -65,7 +65,8 @@ PRESETS = {
                                                         elasticNetParam=0.0), "balanced"),
 }
 COMPARISON = ["gbt_a", "gbt_b", "gbt_c", "random_forest", "gbt_d", "logistic"]
-TRAIN_PARTITIONS = 8       # of the training rows, by a hash of the id; state more for large tables
+TRAIN_PARTITIONS = 8       # of the training rows, by a hash of the id, at least
+PARTITION_ROWS = 250_000   # training rows of a partition in larger tables
 
 
 def make_learner(preset: Preset, n_rows: int, seed: int = 42, weight_col: str | None = None,
@@ -139,6 +140,12 @@ def fit_preset(train: DataFrame, feature_cols: list[str], key: str, seed: int =
     return model, time.time() - t0
 
 
+def train_partitions(n_rows: int) -> int:
+    """By the number of training rows only, so that a table gives the same
+    model on any cluster."""
+    return max(TRAIN_PARTITIONS, -(-n_rows // PARTITION_ROWS))
+
+
 def dealt(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """Training rows dealt by the id over a stated number of partitions:
     learners sample per partition, so the same table gives the same model on

@@ -71,7 +71,8 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fit_scope
     keeps its row, without rank, with the error.  Returns (leaderboard
     DataFrame, bundle path or None, prepared frames)."""
     prep = prepare(RU.mart_from_tables(tables), fit_scope)
-    metrics, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, keys, overrides=overrides)
+    metrics, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, keys, overrides=overrides,
+                                        partitions=MD.train_partitions(prep.n_train))
     ranked = ME.leaderboard(metrics.where(F.col("error").isNull()))
     failed = metrics.where(F.col("error").isNotNull())
     board = materialize(ranked.unionByName(failed, allowMissingColumns=True), "leaderboard")

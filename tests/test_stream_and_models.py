@@ -152,3 +152,22 @@ def test_bundle_queries_use_the_best_of_all_presets(spark, monkeypatch):
     want = score_requests(tables.applicants(), MD.load_model(path)).select("applicant_id", "ml_result.prob_default").collect()
     assert sorted(got) == sorted(want)
     assert seen == [MD.COMPARISON] * 3
+
+
+def test_training_partitions_follow_the_rows(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+    from riskmart.plans import training as TR
+    seen = []
+
+    def stop(*a, partitions=MD.TRAIN_PARTITIONS, **more):
+        seen.append(partitions)
+        raise InterruptedError
+    monkeypatch.setattr(TR.RU, "mart_from_tables", lambda tables: None)
+    monkeypatch.setattr(MD, "compare_models", stop)
+    for n in (0, 40_000, 8 * MD.PARTITION_ROWS, 8 * MD.PARTITION_ROWS + 1, 100 * MD.PARTITION_ROWS):
+        monkeypatch.setattr(TR, "prepare", lambda *a, n=n: SimpleNamespace(train=None, test=None, feature_cols=[], n_train=n))
+        with pytest.raises(InterruptedError):
+            TR.train_and_compare(spark, None)
+    assert seen == [8, 8, 8, 9, 100]
