@@ -29,7 +29,7 @@ from riskmart.llm import text as T
 from riskmart.llm.spark import bounded_batches, public_tokenizer, table
 
 LIMIT = 1024
-BATCH_BYTES = 1 << 16     # code points given to the library at once
+BATCH_BYTES = 1 << 16     # given to the library at once
 KNOWN = 1 << 21           # parts whose counts a worker remembers
 
 #: White space, control bytes, and lead bytes of white space beyond ASCII.
@@ -73,13 +73,15 @@ class Counter:
         the offset of a token tells its part.  The others go alone."""
         out = np.zeros(len(parts), np.int64)
         texts = [p.decode("utf-8", "replace") for p in parts]
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))        # code points, as the offsets count
+        weight = np.fromiter(map(len, parts), np.int64, len(parts))      # bytes
         joint = np.fromiter((len(p) > 1 and p[0] in b" \n" and (p[-1] in _SOLID or 0xC2 < p[-2] < 0xE0) for p in parts), bool, len(parts))
         for own, together in ((np.flatnonzero(joint), True), (np.flatnonzero(~joint), False)):
             total = np.concatenate(([0], np.cumsum(size[own])))
+            load = np.concatenate(([0], np.cumsum(weight[own])))
             i = 0
             while i < len(own):
-                j = max(i + 1, int(np.searchsorted(total, total[i] + BATCH_BYTES, side="right")) - 1)
+                j = max(i + 1, int(np.searchsorted(load, load[i] + BATCH_BYTES, side="right")) - 1)
                 group = [texts[k] for k in own[i:j].tolist()]
                 if together:
                     at = np.array(self.tok.encode("".join(group), add_special_tokens=False).offsets, np.int64)[:, 0]

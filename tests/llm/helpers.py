@@ -33,3 +33,12 @@ def docs(spark, rows=HARD, **more):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
     return df.withColumns({c: F.lit(v) for c, v in more.items()})
+
+
+def regular(n, a="a", b="b"):
+    """Thue and Morse's text of n letters (a power of two) and its complement:
+    equal under every polynomial hash modulo 2^64 from 1,024 letters on."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)

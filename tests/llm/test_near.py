@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from helpers import docs
+from helpers import docs, regular
 from riskmart.llm import near
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,3 +97,10 @@ def test_bounds_never_lose_a_link():
         if len(v) and 100 * len(x & y) >= 75 * len(x | y):
             d = near.differing(near.bitmap(u, len(u)), near.bitmap(v, len(v)))
             assert near.may_link(len(u), len(v), d, 75)
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_regular_texts_are_told_apart(spark, n):
+    x, y = regular(n)
+    rows = [(1, x), (2, x), (3, y), (4, f"{y} a b c d e f"), (5, f"{x} a b c d e f"), (6, f"{x} a b c d e f")]
+    assert run(spark, rows) == brute(rows)

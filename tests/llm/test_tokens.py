@@ -3,7 +3,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from helpers import HARD, docs
+from helpers import HARD, docs, regular
 from riskmart.llm import tokens
 from riskmart.llm.spark import public_tokenizer
 
@@ -40,3 +40,20 @@ def test_bounded_table(monkeypatch, library):
     texts = [f"word{i} and more words{i % 7}" for i in range(500)]
     assert tokens.count_texts([t.encode() for t in texts], PATH).tolist() == [
         len(library.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_regular_texts_are_told_apart(library):
+    """Parts that a polynomial hash would hold for equal."""
+    x, y = regular(1024, "a", "bc")
+    texts = [x, y, f"w {x} w", f"w {y} w"]
+    assert tokens.count_texts([t.encode() for t in texts], PATH).tolist() == [
+        len(library.encode(t, add_special_tokens=False)) for t in texts]
+    x, y = regular(1024)
+    got = tokens.T.span_hash(*_spans(x, y))
+    assert got[0] != got[1]
+
+
+def _spans(x, y):
+    import numpy as np
+    buf = np.frombuffer((x + y).encode(), np.uint8)
+    return buf, np.array([0, len(x)]), np.array([len(x), len(buf)])
