@@ -127,6 +127,27 @@ def _slot(h, level, m):
     return T.mix(h ^ T.mix(np.array([level + 1], U64))) % U64(m)
 
 
+class Level:
+    """A packed bit array and, for each of its words, the bits set before it."""
+
+    def __init__(self, words: np.ndarray, size: int):
+        self.words, self.size = words, size
+        ones = np.bitwise_count(words).astype(np.int64)
+        self.before = (np.cumsum(ones) - ones).astype(np.uint32)
+        self.ones = int(ones.sum())
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Level:
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return cls(np.frombuffer(packed + bytes(-len(packed) % 8), "<u8"), len(bits))
+
+    def probe(self, at: np.ndarray):
+        """Whether each bit is set, and how many set bits stand before it."""
+        word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
+        below = np.bitwise_count(word & ((U64(1) << bit) - U64(1)))
+        return (word >> bit & U64(1)).astype(bool), self.before[at >> 6].astype(np.int64) + below
+
+
 def build_mph(h: np.ndarray) -> list:
     """Bit arrays by level: a key sits at the first level at which no other
     remaining key shares its slot.  Distinct keys only."""
@@ -135,7 +156,7 @@ def build_mph(h: np.ndarray) -> list:
         m = 2 * len(h) + 8
         at = _slot(h, len(levels), m)
         taken = np.bincount(at.astype(np.int64), minlength=m)
-        levels.append(taken == 1)
+        levels.append(Level.of(taken == 1))
         h = h[taken[at] != 1]
     return levels
 
@@ -143,29 +164,27 @@ def build_mph(h: np.ndarray) -> list:
 def rank_of(levels: list, h: np.ndarray) -> np.ndarray:
     """Position of each key in the arrays; -1 for keys surely not in the set."""
     out, left, base = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
-    for k, bits in enumerate(levels):
+    for k, level in enumerate(levels):
         if not len(left):
             break
-        at = _slot(h[left], k, len(bits))
-        hit = bits[at]
-        rank = np.cumsum(bits)
-        out[left[hit]] = base + rank[at[hit]] - 1
-        base, left = base + int(rank[-1]), left[~hit]
+        hit, rank = level.probe(_slot(h[left], k, level.size).astype(np.int64))
+        out[left[hit]] = base + rank[hit]
+        base, left = base + level.ones, left[~hit]
     return out
 
 
 def pack(levels: list) -> bytes:
-    sizes = np.array([len(levels), *map(len, levels)], dtype=np.int64)
-    return sizes.tobytes() + b"".join(np.packbits(x).tobytes() for x in levels)
+    sizes = np.array([len(levels), *(x.size for x in levels)], dtype=np.int64)
+    return sizes.tobytes() + b"".join(x.words.tobytes() for x in levels)
 
 
 def unpack(blob: bytes) -> list:
     k = int(np.frombuffer(blob, np.int64, 1)[0])
     sizes, at, out = np.frombuffer(blob, np.int64, k, 8), 8 + 8 * k, []
     for m in map(int, sizes):
-        n = (m + 7) // 8
-        out.append(np.unpackbits(np.frombuffer(blob, np.uint8, n, at), count=m).astype(bool))
-        at += n
+        n = (m + 63) // 64
+        out.append(Level(np.frombuffer(blob, "<u8", n, at), m))
+        at += 8 * n
     return out
 
 
@@ -199,15 +218,15 @@ def indexer(shards: int, min_docs: int):
         h, fp, n, top = combine(*(np.concatenate(held[k]) for k in held))
         often = n >= min_docs
         h, fp, n, top = h[often], fp[often], n[often], top[often]
-        once = np.concatenate(([True], h[1:] != h[:-1]))[:len(h)]
-        if not once.all():   # 2 of 2^64: one hash, two lines; neither can be told apart by rank
-            h, fp, n, top = h[once], fp[once], n[once], top[once]
+        # lines of equal hash and different fingerprint: the first of them go into
+        # one perfect hash, the second into another of the same shard, and so on
+        at = np.arange(len(h))
+        layer = at - np.maximum.accumulate(np.where(np.concatenate(([True], h[1:] != h[:-1]))[:len(h)], at, 0))
         s = shard_of(h, shards)
-        for k in np.unique(s):
-            own = s == k
+        for k, y in np.unique(np.stack([s, layer], axis=1), axis=0).tolist():
+            own = (s == k) & (layer == y)
             levels = build_mph(h[own])
-            at = rank_of(levels, h[own])
-            put = np.argsort(at)
+            put = np.argsort(rank_of(levels, h[own]))
             yield pa.record_batch({
                 "shard": pa.array([k], pa.int32()), "size": pa.array([int(own.sum())], pa.int64()),
                 "levels": pa.array([pack(levels)], pa.binary()),
@@ -256,7 +275,9 @@ def _output(b, n, gone, kept):
 
 def local_prober(index, shards: int, min_points: int):
     def probe(batches):
-        arrays = {r["shard"]: Shard(r) for r in index.value}
+        arrays: dict = {}
+        for r in index.value:
+            arrays.setdefault(r["shard"], []).append(Shard(r))
         for b in batches:
             ids, texts = ids_of(b.column(0)), T.as_bytes(b.column(1))
             ns, gones, kepts = [], [], []
@@ -267,9 +288,9 @@ def local_prober(index, shards: int, min_points: int):
                 s = shard_of(h, shards)
                 order = np.argsort(s, kind="stable")
                 lo, hi = T.group_bounds(s[order], shards)
-                for k, shard in arrays.items():
+                for k, layers in arrays.items():
                     own = order[lo[k]:hi[k]]
-                    if len(own):
+                    for shard in layers if len(own) else ():
                         drop[keyed[own[shard.drops(h[own], fp[own], ids[i:j][doc[keyed[own]]])]]] = True
                 n, gone, kept = rewrite(texts[i:j], lines, drop)
                 ns.append(n), gones.append(gone), kepts.extend(kept)
@@ -277,14 +298,14 @@ def local_prober(index, shards: int, min_points: int):
     return probe
 
 
-PROBE = "shard int, h binary, fp binary, id binary, levels binary, n binary, top binary, kind int"
+PROBE = "shard int, h binary, fp binary, id binary, row binary, levels binary, n binary, top binary, kind int"
 
 
 def prober_rows(shards: int, min_points: int):
     """The keyed lines of a batch as one probe row a shard."""
     def emit(batches):
         for b in batches:
-            ids, texts = ids_of(b.column(0)), T.as_bytes(b.column(1))
+            ids, texts, keys = ids_of(b.column(0)), T.as_bytes(b.column(1)), b.column(2).to_numpy()
             for i, j in T.pieces(texts):
                 _, doc, _, _, keyed, h, fp = split_lines(texts[i:j], min_points)
                 s = shard_of(h, shards)
@@ -298,37 +319,44 @@ def prober_rows(shards: int, min_points: int):
                     "h": pa.array([h[o].tobytes() for o in own], pa.binary()),
                     "fp": pa.array([fp[o].tobytes() for o in own], pa.binary()),
                     "id": pa.array([ids[i:j][doc[keyed[o]]].tobytes() for o in own], pa.binary()),
+                    "row": pa.array([keys[i:j][doc[keyed[o]]].tobytes() for o in own], pa.binary()),
                     "levels": nul, "n": nul, "top": nul, "kind": pa.array([1] * len(rows), pa.int32())})
     return emit
 
 
 def answer(batches):
-    """Rows sorted by shard, the arrays before the probes: hits by document."""
-    shard, at = None, None
+    """Rows sorted by shard, the arrays before the probes: by row key, the
+    hashes and fingerprints of the lines to drop."""
+    layers, at = [], None
     for b in batches:
         for r in b.to_pylist():
+            if r["shard"] != at:
+                layers, at = [], r["shard"]
             if r["kind"] == 0:
-                shard, at = Shard(r), r["shard"]
-            elif at == r["shard"]:
-                h, ids = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["id"], np.int64)
-                hit = shard.drops(h, np.frombuffer(r["fp"], np.uint32), ids)
-                if hit.any():
-                    order = np.argsort(ids[hit], kind="stable")
-                    d, x = ids[hit][order], h[hit][order]
-                    cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                    yield pa.record_batch({"_id": pa.array(d[cut], pa.int64()),
-                                           "_hits": pa.array([p.tobytes() for p in np.split(x, cut[1:])], pa.binary())})
+                layers.append(Shard(r))
+                continue
+            h, fp = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["fp"], np.uint32)
+            ids, keys = np.frombuffer(r["id"], np.int64), np.frombuffer(r["row"], np.int64)
+            hit = np.zeros(len(h), bool)
+            for shard in layers:
+                hit |= shard.drops(h, fp, ids)
+            if hit.any():
+                order = np.argsort(keys[hit], kind="stable")
+                d, x = keys[hit][order], h[hit][order] ^ T.mix(fp[hit][order].astype(np.uint64))
+                cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+                yield pa.record_batch({"_key": pa.array(d[cut], pa.int64()),
+                                       "_hits": pa.array([p.tobytes() for p in np.split(x, cut[1:])], pa.binary())})
 
 
 def applier(min_points: int):
-    """Rows of (id, text, lists of hit hashes)."""
+    """Rows of (id, text, lists of hits)."""
     def run(batches):
         for b in batches:
             texts, hits = T.as_bytes(b.column(1)), b.column(2).to_pylist()
             ns, gones, kepts = [], [], []
             for i, j in T.pieces(texts):
                 lines = split_lines(texts[i:j], min_points)
-                doc, keyed, h = lines[1], lines[4], lines[5]
+                doc, keyed, h = lines[1], lines[4], lines[5] ^ T.mix(lines[6].astype(np.uint64))
                 drop = np.zeros(len(doc), bool)
                 d = doc[keyed]
                 lo, hi = T.group_bounds(d, j - i)
@@ -374,13 +402,16 @@ def _probed(rows: DataFrame, wide: DataFrame, more: str, min_points, min_docs, b
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])
         return wide.mapInArrow(local_prober(held, shards, min_points), "doc_id long, " + OUT + more)
-    probes = rows.mapInArrow(prober_rows(shards, min_points), PROBE)
+    # a row's key, not its id: rows of a null or repeated id are no group, and
+    # rows alike in id and text are one
+    key = F.xxhash64("doc_id", "text").alias("_key")
+    probes = rows.select("doc_id", "text", key).mapInArrow(prober_rows(shards, min_points), PROBE)
     nothing = F.lit(None).cast("binary")
-    arrays = index.select("shard", nothing.alias("h"), "fp", nothing.alias("id"), "levels", "n", "top",
+    arrays = index.select("shard", nothing.alias("h"), "fp", nothing.alias("id"), nothing.alias("row"), "levels", "n", "top",
                           F.lit(0).alias("kind"))
     hits = (probes.unionByName(arrays).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-            .mapInArrow(answer, "_id long, _hits binary").groupBy("_id").agg(F.collect_list("_hits").alias("_hits")))
-    found = wide.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(hits, "_id", "left")
+            .mapInArrow(answer, "_key long, _hits binary").groupBy("_key").agg(F.collect_set("_hits").alias("_hits")))
+    found = wide.select("*", key).join(hits, "_key", "left")
     return (found.select("doc_id", "text", "_hits", *["_row"] * bool(more))
             .mapInArrow(applier(min_points), "doc_id long, " + OUT + more))
 

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import HARD, docs
+from helpers import HARD, docs, regular
 from riskmart.llm import lines
 
 SPACE = "\t\n\v\f\r "
@@ -54,3 +54,39 @@ def test_minimal_perfect_hash():
     levels = lines.unpack(lines.pack(lines.build_mph(h)))
     assert sorted(lines.rank_of(levels, h)) == list(range(len(h)))
     assert lines.build_mph(h[:0]) == [] and lines.rank_of([], h[:3]).tolist() == [-1, -1, -1]
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+@pytest.mark.parametrize("around", ["{}", "start of a line {} and its end"])
+def test_regular_texts_are_told_apart(spark, n, around):
+    x, y = (around.format(t) for t in regular(n))
+    rows = [(1, x), (2, x), (3, y), (4, "x")]
+    got = lines.dedup_lines(docs(spark, rows))
+    assert sum(r.n_dropped for r in got.collect()) == 0
+    rows.append((5, x + "\n" + y))
+    for limit in (lines.BROADCAST_BYTES, -1):
+        got = lines.dedup_lines(docs(spark, rows), broadcast_bytes=limit)
+        assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept) for r in got.collect()) == brute(rows)
+
+
+def test_lines_of_equal_hash_keep_their_own_counts(spark, monkeypatch):
+    """Every line of a text has the same 64-bit hash here."""
+    real = lines.T.span_hash
+    monkeypatch.setattr(lines.T, "span_hash", lambda buf, s, e, kind=0: real(buf, s, e, 1) if kind else real(buf, s, s, 0))
+    texts = [f"a line of many documents, number {k}" for k in range(4)]
+    held = [(i, "\n".join(texts[:1 + i % 4])) for i in range(8)]
+    parts = list(lines.counter(2, 20)(iter([_batch(held)])))
+    shards = [lines.Shard(r) for b in lines.indexer(2, 3)(iter(parts)) for r in b.to_pylist()]
+    assert sorted(int(x) for s in shards for x in s.n) == [4, 6, 8]
+
+
+def _batch(rows):
+    import pyarrow as pa
+    return pa.record_batch({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+
+
+def test_many_rows_without_an_id(spark):
+    """Beyond the broadcast, rows are probed under a key of their own."""
+    rows = [(None, f"a line that all of them hold\nown line of document {i % 40}") for i in range(200)] + [(3, "a line that all of them hold")]
+    got = lines.dedup_lines(docs(spark, rows), broadcast_bytes=-1)
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept) for r in got.collect()) == brute(rows)
