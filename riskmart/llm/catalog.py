@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskmart.llm import chat, decontaminate, lines, near, pieces, quality, tokens, toxicity, urls, vptree
+from riskmart.llm import chat, decontaminate, infill, lines, near, pieces, quality, resample, tokens, toxicity, urls, vptree
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 SQL = {
     "op1_chat_formatting": chat.SQL1,
     "op7_line_dedup": lines.SQL7,
     "op8_url_filters": urls.SQL8,
+    "op13_fill_in_middle": infill.SQL13,
 }
