@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskmart.llm import chat, decontaminate, infill, lines, near, pieces, quality, resample, tokens, toxicity, urls, vptree
+from riskmart.llm import chat, decontaminate, forest, infill, lines, near, pieces, quality, resample, tokens, toxicity, urls, vptree
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lsh_forest": forest.op11_lsh_forest,
     "op12_importance_resampling": resample.op12_importance_resampling,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
