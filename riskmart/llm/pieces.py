@@ -6,7 +6,8 @@ follows another sign.  Distinct words of the same number of bytes advance
 together: prefix hashes give the hash of every substring, the hashes probe
 the sorted keys of the pieces (behind a table of their low bits), and at each
 end position the best of all piece lengths, with its backpointer, comes from
-one maximum.  Of equal scores the longest last piece wins, as in the unigram
+one maximum over the rows of a length.  A long word is first cut where no
+piece that occurs in it reaches across.  Of equal scores the longest last piece wins, as in the unigram
 model of the library.  Characters without a piece become byte pieces where
 the model has them, else the unknown piece.  Known words of a task are kept
 in a table of fixed size.
@@ -18,6 +19,9 @@ merges inside them (a sequence is the BPE encoding exactly when that holds
 for all its neighbours), and the one piece at each end that may follow is the
 maximum.  Both give the ids of the library.
 
+Substrings are hashed by a polynomial modulo 2^64, which collides for texts
+of a regular build from 1,024 bytes on; no piece is that long.
+
 Defined cases: a null text counts as empty (no pieces); the white-space sign
 U+2581 in a text is a space after decoding, as in the library; repeated rows
 and null ids stay; other columns are not read.
@@ -41,7 +45,8 @@ UNKNOWN_PENALTY = 10.0    # fixed value: what an unknown character scores below
 KNOWN_BITS = 22           # table of known words, as a power of two
 POOL = 1 << 24            # ids kept for known words
 PAIRS_BITS = 20           # table of known neighbours, as a power of two
-CELLS = 1 << 21           # (word, position) cells of a Viterbi batch
+CELLS = 1 << 18           # (word, position) cells of a Viterbi batch
+LONG = 64                 # bytes of a word that is cut at its borders first
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BYTE = T.mix(np.arange(1, 257, dtype=np.uint64))
@@ -105,13 +110,16 @@ class Model:
             self._merges([raw[i] for i in order])
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.keys & U64((1 << 22) - 1)).astype(np.int64)] = True
-        self.out = [b" \xe2\x81\x87 " if lib.is_unknown(i) else b"" if lib.is_control(i) else
+        out = [b" \xe2\x81\x87 " if lib.is_unknown(i) else b"" if lib.is_control(i) else
                     bytes([int(lib.id_to_piece(i)[3:5], 16)]) if lib.is_byte(i) else
                     lib.id_to_piece(i).replace(SIGN, " ").encode() for i in range(n)]
+        self.out_size = np.array([len(x) for x in out], np.int64)
+        self.out_at = np.cumsum(self.out_size) - self.out_size
+        self.out = np.frombuffer(b"".join(out), np.uint8)
         self.at = np.zeros(1 << KNOWN_BITS, np.int64)
         self.size = np.zeros(1 << KNOWN_BITS, np.int32)
         self.name = np.zeros(1 << KNOWN_BITS, np.uint64)
-        self.pool, self.used = np.zeros(POOL, np.int32), 0
+        self.pool, self.half, self.used = np.zeros(POOL, np.int32), 0, 0
 
     @staticmethod
     def _key(raw: bytes):
@@ -200,50 +208,70 @@ class Model:
 
     # -- Viterbi ------------------------------------------------------------
 
-    def viterbi(self, words: np.ndarray):
-        """Rows of equal length (bytes): ids of all rows in a row, and how many."""
+    def matches(self, words: np.ndarray):
+        """All places of pieces in rows of equal length: (row, start, length,
+        place in the sorted keys; -1: a character that has no piece), by
+        (end, row), the longest first."""
         m, n = words.shape
         h = np.zeros((m, n + 1), np.uint64)
         for i in range(n):
             h[:, i + 1] = h[:, i] * _BASE + _BYTE[words[:, i]]
+        size = _LENGTH[words]
+        alone = size + np.arange(n) <= n
+        found = []
+        for x in (x for x in self.lengths if x <= n):
+            key = T.mix(h[:, x:] - h[:, :-x] * U64(pow(int(_BASE), x, 1 << 64)) + U64(x)).ravel()
+            hit = np.flatnonzero(self.maybe[(key & U64((1 << 22) - 1)).astype(np.int64)])
+            at = np.searchsorted(self.keys, key[hit])
+            at[at == len(self.keys)] = 0
+            ok = self.keys[at] == key[hit]
+            row, s = np.divmod(hit[ok], n - x + 1)
+            if x <= 4:
+                whole = size[row, s] == x
+                alone[row[whole], s[whole]] = False
+            at = at[ok]
+            if self.bpe:
+                own = self.real[at]
+                row, s, at = row[own], s[own], at[own]
+            found.append((row, s, np.full(len(row), x), at))
+        row, s = np.nonzero(alone)
+        found.append((row, s, size[row, s].astype(np.int64), np.full(len(row), -1)))
+        row, s, x, at = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((-x, row, s + x))
+        return row[order], s[order], x[order], at[order]
+
+    def viterbi(self, words: np.ndarray, joined: bool = True):
+        """Rows of equal length (bytes): ids of all rows in a row, and how many.
+        ``joined=False`` leaves unknown characters of a model without byte
+        pieces as single ids of -2."""
+        m, n = words.shape
+        row, s, x, at = self.matches(words)
+        end = s + x
+        score = np.where(at < 0, 0.0 if self.bpe else self.unknown_score, 0.0 if self.bpe else self.score[at])
+        name = np.where(at < 0, -2, self.ids[at])
+        cut = np.searchsorted(end, np.arange(n + 2))
         best = np.full((m, n + 1), -np.inf)
         best[:, 0] = 0
         back, piece = np.zeros((m, n + 1), np.int32), np.full((m, n + 1), -1, np.int32)
-        lengths = [x for x in self.lengths if x <= n]
-        power = {}
-        for x in {*lengths, 1, 2, 3, 4}:
-            power[x] = U64(pow(int(_BASE), x, 1 << 64))
-        size = _LENGTH[words]
         last = np.full((m, n + 1), -1)                     # place of the last piece, for BPE
         for e in range(1, n + 1):
-            todo = np.arange(m)
-            for x in sorted({*(y for y in lengths if y <= e), *range(1, min(4, e) + 1)}, reverse=True):
-                s = e - x
-                key = T.mix(h[todo, e] - h[todo, s] * power[x] + U64(x))
-                hit = np.flatnonzero(self.maybe[(key & U64((1 << 22) - 1)).astype(np.int64)])
-                at = np.searchsorted(self.keys, key[hit])
-                at[at == len(self.keys)] = 0
-                ok = self.keys[at] == key[hit]
-                hit, at = hit[ok], at[ok]
-                alone = np.zeros(len(todo), bool)
-                if x <= 4:
-                    alone = (size[todo, s] == x) & np.isfinite(best[todo, s])
-                    alone[hit] = False
-                row = todo[hit]
-                if self.bpe:
-                    ok = self.real[at] & np.isfinite(best[row, s])
-                    old = last[row, s]
-                    ask = np.flatnonzero(ok & (old >= 0))
-                    ok[ask] = self.follows(old[ask], at[ask])
-                    row, at = row[ok], at[ok]
-                    best[row, e], back[row, e], piece[row, e], last[row, e] = 0, x, self.ids[at], at
-                else:
-                    self._offer(row, s, e, x, self.score[at], self.ids[at], best, back, piece)
-                row = todo[alone]
-                self._offer(row, s, e, x, np.full(len(row), 0 if self.bpe else self.unknown_score), np.full(len(row), -2, np.int32),
-                            best, back, piece)
-                if self.bpe:
-                    todo = todo[best[todo, e] < 0]         # one piece only can end here
+            a, z = cut[e], cut[e + 1]
+            if a == z:
+                continue
+            r, b = row[a:z], s[a:z]
+            c = best[r, b] + score[a:z]
+            if self.bpe:
+                old = last[r, b]
+                ask = np.flatnonzero(np.isfinite(c) & (old >= 0) & (at[a:z] >= 0))
+                c[ask[~self.follows(old[ask], at[a + ask])]] = -np.inf
+                c[np.isfinite(c)] = 0                      # one piece only can end here
+            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            top = np.maximum.reduceat(c, first)
+            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, z - a)))
+            is_top = np.flatnonzero((c == top[run]) & np.isfinite(c))
+            pick = is_top[np.concatenate(([True], run[is_top][1:] != run[is_top][:-1]))[:len(is_top)]]      # the longest of them
+            r = r[pick]
+            best[r, e], back[r, e], piece[r, e], last[r, e] = c[pick], x[a + pick], name[a + pick], at[a + pick]
         # a byte that starts no character and ends none (broken text) stands alone
         ends, starts, ids, rows = [], [], [], []
         row, at = np.arange(m), np.full(m, n)
@@ -264,18 +292,24 @@ class Model:
             place = np.repeat(s - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
             row, i = np.repeat(row, copies), np.repeat(i, copies)
             i[lone] = self.bytes[words[row[lone], place[lone]]]
-        else:
-            again = (i == -2) & np.concatenate(([False], (i[1:] == -2) & (i[:-1] == -2) & (row[1:] == row[:-1])))[:len(i)]
-            row, i = row[~again], i[~again]                 # a run of unknown characters is one piece
-            i[i == -2] = self.unknown
+        elif joined:
+            row, i = self._joined(row, i)
         return i.astype(np.int32), np.bincount(row, minlength=m)
 
-    @staticmethod
-    def _offer(row, s, e, x, score, ids, best, back, piece):
-        c = best[row, s] + score
-        up = c > best[row, e]
-        row = row[up]
-        best[row, e], back[row, e], piece[row, e] = c[up], x, ids[up]
+    def _joined(self, row, ids):
+        """A run of unknown characters of a row is one piece."""
+        again = (ids == -2) & np.concatenate(([False], (ids[1:] == -2) & (ids[:-1] == -2) & (row[1:] == row[:-1])))[:len(ids)]
+        row, ids = row[~again], ids[~again]
+        return row, np.where(ids == -2, self.unknown, ids)
+
+    def borders(self, word: np.ndarray) -> np.ndarray:
+        """Places inside a long word that no piece and no character of it
+        spans: what lies on either side is encoded on its own."""
+        _, s, x, _ = self.matches(word[None])
+        step = np.zeros(len(word) + 1, np.int64)
+        np.add.at(step, s + 1, 1)
+        np.add.at(step, s + x, -1)
+        return np.flatnonzero(np.cumsum(step[1:-1]) == 0) + 1
 
     # -- texts --------------------------------------------------------------
 
@@ -300,30 +334,56 @@ class Model:
         h = T.span_hash(buf, starts, ends)
         slot = (h & U64((1 << KNOWN_BITS) - 1)).astype(np.int64)
         at, size = self.at[slot], self.size[slot].astype(np.int64)
-        pool = self.pool
         new = np.flatnonzero((self.name[slot] != h) | (size == 0))
         if len(new):
-            own, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            own_hash, first, back = np.unique(h[new], return_index=True, return_inverse=True)
             ids, count = self._words(buf, starts[new[first]], ends[new[first]])
             begin = np.cumsum(count) - count
-            if self.used + len(ids) > POOL:
-                self.used = 0
-                self.size[:] = 0
-                pool = pool.copy()                        # what this piece still reads
-            if len(ids) <= POOL:
-                self.pool[self.used:self.used + len(ids)] = ids
-                place = (own & U64((1 << KNOWN_BITS) - 1)).astype(np.int64)
-                self.name[place], self.at[place], self.size[place] = own, begin + self.used, count
-                self.used += len(ids)
-            pool = np.concatenate((pool, ids))
-            at[new], size[new] = POOL + begin[back], count[back]
+            size[new] = count[back]
         total = np.cumsum(size)
-        flat = pool[np.repeat(at - (total - size), size) + np.arange(total[-1])]
+        flat = np.empty(total[-1], np.int32)
+        fresh = np.zeros(len(slot), bool)
+        fresh[new] = True
+        for own, start, source in ((~fresh, at, self.pool), (fresh, None, None)):
+            if own.any():
+                if source is None:
+                    start, source = np.zeros(len(slot), np.int64), ids
+                    start[new] = begin[back]
+                step = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+                flat[np.repeat((total - size)[own], size[own]) + step] = source[np.repeat(start[own], size[own]) + step]
+        if len(new):
+            self._keep(own_hash, ids, begin, count)
         per = np.bincount(doc, size, minlength=len(texts)).astype(np.int64)
         return np.split(flat, np.cumsum(per)[:-1])
 
+    def _keep(self, names, ids, begin, count) -> None:
+        """Remember the ids of distinct words.  The pool is filled in two
+        halves: a half that is begun anew forgets its own words only."""
+        half = POOL // 2
+        if len(ids) > half:
+            return
+        if self.used + len(ids) > half:
+            self.used, self.half = 0, half - self.half
+            self.size[(self.at >= self.half) & (self.at < self.half + half)] = 0
+        first = self.half + self.used
+        self.pool[first:first + len(ids)] = ids
+        place = (names & U64((1 << KNOWN_BITS) - 1)).astype(np.int64)
+        self.name[place], self.at[place], self.size[place] = names, begin + first, count
+        self.used += len(ids)
+
     def _words(self, buf, starts, ends):
-        """Ids of distinct words, in their order, and how many each has."""
+        """Ids of distinct words, in their order, and how many each has.  Long
+        words are first cut at their borders."""
+        n_words, owner = len(starts), np.arange(len(starts))
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            more = [starts[w] + self.borders(buf[starts[w]:ends[w]]) for w in long.tolist()]
+            owner = np.concatenate((owner, np.repeat(long, [len(x) for x in more])))
+            starts = np.concatenate((starts, *more))
+            order = np.lexsort((starts, owner))
+            owner, starts, ends = owner[order], starts[order], ends[owner[order]]
+            inside = np.flatnonzero(owner[1:] == owner[:-1])
+            ends[inside] = starts[inside + 1]
         size = ends - starts
         parts, counts, order = [], [], np.argsort(size, kind="stable")
         i = 0
@@ -332,7 +392,7 @@ class Model:
             j = int(np.searchsorted(size[order], n, side="right"))
             j = min(j, i + max(1, CELLS // (n + 1)))
             own = order[i:j]
-            ids, count = self.viterbi(buf[starts[own][:, None] + np.arange(n)])
+            ids, count = self.viterbi(buf[starts[own][:, None] + np.arange(n)], joined=False)
             parts.append(ids), counts.append(count)
             i = j
         count = np.zeros(len(order), np.int64)
@@ -341,12 +401,32 @@ class Model:
         sorted_count = count[order]
         began[order] = np.cumsum(sorted_count) - sorted_count
         total = np.cumsum(count)
-        return flat[np.repeat(began - (total - count), count) + np.arange(total[-1])], count
+        flat, owner = flat[np.repeat(began - (total - count), count) + np.arange(total[-1])], np.repeat(owner, count)
+        if not self.fallback:
+            owner, flat = self._joined(owner, flat)
+        return flat.astype(np.int32), np.bincount(owner, minlength=n_words)
 
     def decode(self, ids) -> bytes:
-        raw = b"".join(map(self.out.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
-        raw = raw[1:] if self.prefix and raw[:1] == b" " else raw
-        return raw.decode("utf-8", "replace").encode()
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
+
+    def decode_all(self, lists: list) -> list:
+        """The text (bytes) of each array of ids: the pieces' bytes, gathered
+        by their places in one array."""
+        out, i = [], 0
+        size = np.array([len(x) for x in lists], np.int64)
+        total = np.concatenate(([0], np.cumsum(size)))
+        while i < len(lists):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + T.PIECE, side="right")) - 1)
+            ids = np.concatenate(lists[i:j]).astype(np.int64)
+            width = self.out_size[ids]
+            stop = np.cumsum(width)
+            raw = self.out[np.repeat(self.out_at[ids] - (stop - width), width) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+            edge = np.concatenate(([0], stop))[total[i:j + 1] - total[i]].tolist()
+            for a, z in zip(edge, edge[1:]):
+                a += self.prefix and raw[a:min(a + 1, z)] == b" "
+                out.append(raw[a:z].decode("utf-8", "replace").encode())
+            i = j
+        return out
 
 
 _models: dict = {}
@@ -360,13 +440,31 @@ def model_of(path: str) -> Model:
 
 # -- Spark -----------------------------------------------------------------
 
+def encoded(batches, model: Model, column: int):
+    """Each batch with its texts and their ids; as many batches as make
+    T.CHUNK bytes are encoded at once, so that many words share a length."""
+    held, size = [], 0
+
+    def flush():
+        ids = iter(model.encode([t for _, texts in held for t in texts]))
+        for b, texts in held:
+            yield b, texts, [next(ids) for _ in texts]
+
+    for b in batches:
+        held.append((b, T.as_bytes(b.column(column))))
+        size += sum(map(len, held[-1][1]))
+        if size >= T.CHUNK:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
+
+
 def encode_texts(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, ids): the piece ids of every row's text."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            ids = model_of(path).encode(T.as_bytes(b.column(1)))
+        for b, _, ids in encoded(batches, model_of(path), 1):
             yield pa.record_batch({"doc_id": b.column(0).cast(pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -379,8 +477,7 @@ def with_ids(docs: DataFrame, path: str, text_col="text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            ids = model_of(path).encode(T.as_bytes(b.column(at)))
+        for b, _, ids in encoded(batches, model_of(path), at):
             yield pa.record_batch([*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                                   names=[*b.schema.names, "n_pieces", "piece_ids"])
     kinds = StructType([*docs.schema.fields, StructField("n_pieces", LongType()), StructField("piece_ids", ArrayType(IntegerType()))])
@@ -393,7 +490,8 @@ def decode_ids(rows: DataFrame, path: str, id_col="doc_id", ids_col="ids") -> Da
 
     def run(batches):
         for b in batches:
-            texts = [model_of(path).decode(x or []).decode() for x in b.column(1).to_pylist()]
+            ids = [np.array(x or [], np.int64) for x in b.column(1).to_pylist()]
+            texts = [x.decode() for x in model_of(path).decode_all(ids)]
             yield pa.record_batch({"doc_id": b.column(0).cast(pa.int64()), "text": pa.array(texts, pa.string())})
     return rows.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(run, "doc_id long, text string")
 
@@ -404,10 +502,9 @@ def round_trips(docs: DataFrame, path: str, id_col="doc_id", text_col="text") ->
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            model, texts = model_of(path), T.as_bytes(b.column(1))
-            ids = model.encode(texts)
-            back = [model.decode(x) for x in ids]
+        model = model_of(path)
+        for b, texts, ids in encoded(batches, model, 1):
+            back = model.decode_all(ids)
             yield pa.record_batch({
                 "doc_id": b.column(0).cast(pa.int64()), "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]),

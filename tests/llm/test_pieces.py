@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from helpers import HARD, docs
+from helpers import HARD, docs, regular
 from riskmart.llm import pieces
 from riskmart.llm.spark import public_tokenizer
 
@@ -29,6 +29,14 @@ def test_ids_and_texts_equal_the_library(model):
     assert [model.decode(x).decode() for x in got] == [model.lib.decode(x.tolist()) for x in got]
 
 
+def test_long_words_without_spaces(model):
+    rnd = random.Random(5)
+    texts = [*regular(2048), "".join(rnd.choice("ABCDabcd0123+/") for _ in range(20000)), "日本語漢字" * 4000 + "the", "x" * 300,
+             "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(1 << 18)) + "a" * 90, "ab" * 500 + "é" * 200]
+    got = model.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == [model.lib.encode(t) for t in texts]
+
+
 def test_pool_and_table_run_over(model, monkeypatch):
     monkeypatch.setattr(pieces, "POOL", 64)
     monkeypatch.setattr(pieces, "KNOWN_BITS", 4)
