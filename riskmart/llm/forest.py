@@ -19,9 +19,13 @@ fingerprint of the set), so copies never meet as pairs.
    partition are sent on, so that runs across partitions are seen whole.
    One bit of each MinHash number travels with the row: pairs that differ in
    more than FAR of them (4.6 standard deviations at the threshold) go.
-4. ``linked``: candidates are confirmed on the full sets (sorted 64-bit hashes
-   of their shingles), first the closest of each node, then the closest of
-   each two components, then all that still lie between two components.
+4. ``linked``: of each row only the closest candidate is told at first, and
+   the closest of each node is confirmed on the full sets (sorted 64-bit
+   hashes of their shingles), which joins most of what belongs together.
+   Nodes with more candidates are sorted once more with their component in
+   the row; now all candidates between different components are told, and
+   confirmed: first the closest of each two components, then the others that
+   still lie between two.
 
 Whether a pair becomes a candidate is a matter of chance, as MinHash is; in a
 region of depth 4 a pair at the threshold is missed with 3 in a million, at
@@ -103,7 +107,8 @@ def profiler(k: int):
 
 # -- sorted orders -----------------------------------------------------------
 
-ROW = 1 + 2 * KEY + VALUES // 8 + 4 + 8      # bytes: order, key, bits, size, node
+ROW = 1 + 2 * KEY + VALUES // 8 + 4 + 8 + 8  # bytes: order, key, bits, size, node, component
+SALTS = 16               # tasks that the nodes of one large component are dealt to
 
 
 def starts() -> list:
@@ -113,12 +118,12 @@ def starts() -> list:
 def orders(batches):
     """A node's rows in all orders, each one binary that sorts as it should."""
     for b in batches:
-        fp, n, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+        fp, n, sig, comp = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3).to_numpy()
         if not len(fp):
             continue
         sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(fp), 2 * VALUES)
         tail = np.concatenate((np.packbits(sig[:, 1::2] & 1, axis=1), n.astype(">u4").view(np.uint8).reshape(-1, 4),
-                               fp.astype(">i8").view(np.uint8).reshape(-1, 8)), axis=1)
+                               *(x.astype(">i8").view(np.uint8).reshape(-1, 8) for x in (fp, comp))), axis=1)
         twice = np.concatenate((sig, sig[:, :2 * KEY]), axis=1)
         rows = np.empty((len(fp), ORDERS, ROW), np.uint8)
         for t, at in enumerate(starts()):
@@ -155,59 +160,78 @@ def regions(common: np.ndarray) -> tuple:
 
 
 def candidates(rows: np.ndarray, percent: int):
-    """Pairs of nodes to confirm among sorted rows: (a < b, differing bits)."""
+    """Pairs of sorted rows to confirm, of different components: places x < y
+    in the rows, differing bits, and the node of each row."""
     m = len(rows)
-    same = np.ascontiguousarray(rows[1:, 1:1 + 2 * KEY]).view(np.uint16) == np.ascontiguousarray(rows[:-1, 1:1 + 2 * KEY]).view(np.uint16)
+    key = np.ascontiguousarray(rows[:, 1:1 + 2 * KEY]).view(np.uint16)
     common = np.zeros(m, np.int64)
-    common[1:] = np.cumprod(same & (rows[1:, :1] == rows[:-1, :1]), axis=1).sum(axis=1)
+    common[1:] = np.cumprod((key[1:] == key[:-1]) & (rows[1:, :1] == rows[:-1, :1]), axis=1).sum(axis=1)
     region, wide = regions(common)
     bits = np.ascontiguousarray(rows[:, 1 + 2 * KEY:1 + 2 * KEY + VALUES // 8]).view(np.uint64)
-    n = np.ascontiguousarray(rows[:, -12:-8]).view(">u4").ravel().astype(np.int64)
-    fp = np.ascontiguousarray(rows[:, -8:]).view(">i8").ravel().astype(np.int64)
+    n = np.ascontiguousarray(rows[:, -20:-16]).view(">u4").ravel().astype(np.int64)
+    fp, comp = (np.ascontiguousarray(rows[:, at:at + 8 or None]).view(">i8").ravel().astype(np.int64) for at in (-16, -8))
     found = []
 
     def offer(x, y):
-        x, y = x[fp[x] != fp[y]], y[fp[x] != fp[y]]
+        x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
         ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
         x, y = x[ok], y[ok]
         far = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
         ok = far <= FAR
-        x, y = fp[x[ok]], fp[y[ok]]
-        found.append((np.minimum(x, y), np.maximum(x, y), far[ok]))
+        found.append((x[ok], y[ok], far[ok]))
 
     least = np.full(m, KEY)
     for step in range(1, min(FEW, m)):
         least = np.minimum(least[:m - step] if step > 1 else least[1:], common[step:])     # of the rows between
-        x = np.arange(m - step)
         ok = (region[:-step] == region[step:]) & (~wide[:-step] | (step <= WIDE))
         if step <= NEAR:
             ok |= least >= FIRST
-        x = x[ok]
+        x = np.flatnonzero(ok)
         offer(x, x + step)
     hub = np.flatnonzero(wide)
     if len(hub):
         _, first, back = np.unique(region[hub], return_index=True, return_inverse=True)
-        offer(hub, hub[first[back]])
-    a, b, far = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    order = np.lexsort((b, a))
-    a, b, far = a[order], b[order], far[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[:len(a)]
-    return a[new], b[new], far[new]
+        offer(hub[first[back]], hub)
+    x, y, far = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return x, y, far, fp
+
+
+def closest(x: np.ndarray, y: np.ndarray, far: np.ndarray, fp: np.ndarray):
+    """The pairs that are the closest of one of their rows (ties: the smaller
+    node), and the rows that have others."""
+    row, other, d = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((far, far))
+    order = np.lexsort((fp[other], d, row))
+    row, other, d = row[order], other[order], d[order]
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))[:len(row)])
+    return row[first], other[first], d[first], np.unique(row[1:][row[1:] == row[:-1]])
 
 
 PAIRS = "a long, b long, far long, span int, row binary"
 
 
-def neighbours(percent: int, ends: bool = True):
-    """Candidate pairs of sorted rows, looked at in overlapping blocks; with
-    ``ends`` also the first and last rows of the partition, for those of the
-    partitions before and after."""
+def neighbours(percent: int, every: bool, ends: bool = True):
+    """Candidate pairs of sorted rows, looked at in overlapping blocks:
+    ``every`` one, or the closest of each row and (as a without b) the nodes
+    that have others.  With ``ends`` also the first and last rows of the
+    partition, for those of the partitions before and after."""
     edge = 2 * FEW
 
     def pairs(rows):
-        a, b, far = candidates(rows, percent)
-        nul = pa.nulls(len(a))
-        return pa.record_batch({"a": pa.array(a), "b": pa.array(b), "far": pa.array(far), "span": nul.cast(pa.int32()), "row": nul.cast(pa.binary())})
+        x, y, far, fp = candidates(rows, percent)
+        more = fp[:0]
+        if not every:
+            x, y, far, more = closest(x, y, far, fp)
+            more = np.unique(fp[more])
+        a, b = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
+        order = np.lexsort((far, b, a))
+        a, b, far = a[order], b[order], far[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[:len(a)]
+        a, b, far = a[new], b[new], far[new]
+        size = len(a) + len(more)
+        none = pa.nulls(len(more), pa.int64())
+        return pa.record_batch({"a": pa.array(np.concatenate((a, more))), "b": pa.concat_arrays([pa.array(b), none]),
+                                "far": pa.concat_arrays([pa.array(far), none]), "span": pa.nulls(size, pa.int32()),
+                                "row": pa.nulls(size, pa.binary())})
 
     def sent(rows, spans):
         nul = pa.nulls(len(rows) * len(spans), pa.int64())
@@ -266,13 +290,15 @@ class Forest:
         self.nodes = written(self.rows.where("n > 0").groupBy("fp").agg(
             F.first("n").alias("n"), F.first("sig", True).alias("sig"), F.min("key").alias("key")), "nodes")
 
-    def pairs(self) -> DataFrame:
-        rows = self.nodes.select("fp", "n", "sig").mapInArrow(orders, "row binary")
+    def pairs(self, nodes: DataFrame, every: bool) -> DataFrame:
+        """(a, b, far) among ``nodes`` (fp, n, sig, comp); without ``every``
+        also (a, null, null) for nodes with further candidates."""
+        rows = nodes.select("fp", "n", "sig", "comp").mapInArrow(orders, "row binary")
         rows = rows.repartitionByRange(partitions(self.spark), "row").sortWithinPartitions("row")
-        got = written(rows.mapInArrow(neighbours(self.percent), PAIRS), "neighbours")
+        got = written(rows.mapInArrow(neighbours(self.percent, every), PAIRS), "neighbours")
         ends = (got.where("span IS NOT NULL").select("span", "row").distinct()
                 .repartition("span").sortWithinPartitions("span", "row").select("row"))
-        more = ends.mapInArrow(neighbours(self.percent, ends=False), PAIRS)
+        more = ends.mapInArrow(neighbours(self.percent, every, ends=False), PAIRS)
         return written(got.where("span IS NULL").union(more).groupBy("a", "b").agg(F.min("far").alias("far")), "pairs")
 
     def sets(self, pairs: DataFrame) -> DataFrame:
@@ -303,21 +329,32 @@ def linked(docs: DataFrame, k: int, percent: int):
     """(rows: doc_id, n, fp of every document; roots: node and root of the
     nodes that link with another)."""
     job = Forest(docs, k, percent)
-    open_ = job.pairs()
-    sets = job.sets(open_)
     best = F.min(F.struct("far", "a", "b")).alias("s")
-    ends = open_.select(F.col("a").alias("node"), "far", "a", "b").union(open_.select(F.col("b"), "far", "a", "b"))
-    tried = written(ends.groupBy("node").agg(best).select("s.a", "s.b").distinct(), "tried")
+    got = job.pairs(job.nodes.withColumn("comp", F.col("fp")), every=False)
+    first = got.where("b IS NOT NULL")
+    sides = first.select(F.col("a").alias("fp"), "far", "a", "b").union(first.select(F.col("b"), "far", "a", "b"))
+    own = written(sides.groupBy("fp").agg(best, F.count("*").alias("c")), "closest")
+    tried = written(own.select("s.a", "s.b").distinct(), "tried")
+    sets = job.sets(tried)
     links = job.confirmed(tried, sets)
     roots = written(components(links), "roots")
+    # a pair not tried yet lies between two nodes that have others besides
+    more = written(own.where("c > 1").select("fp").union(got.where("b IS NULL").select(F.col("a").alias("fp"))).distinct(), "more")
+    if more.isEmpty():
+        return job.rows.select("doc_id", "n", "fp"), roots
+    nodes = (job.nodes.join(more, "fp", "left_semi").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+             .withColumn("comp", F.coalesce("root", "fp")))
+    open_ = job.pairs(nodes, every=True).join(tried, ["a", "b"], "left_anti")
+    sets = job.sets(open_)
     for final in (False, True):
-        open_ = written(_apart(open_.select("a", "b", "far").join(tried, ["a", "b"], "left_anti"), roots), "open")
+        open_ = written(_apart(open_.select("a", "b", "far"), roots), "open")
         n = open_.count()
         if not n:
             break
         tried = open_ if final else open_.groupBy("x", "y").agg(best).select("s.*")
         tried = written(few(tried.select("a", "b"), n), "tried")
         found = job.confirmed(tried, sets)
+        open_ = open_.join(tried, ["a", "b"], "left_anti")
         if not found.isEmpty():
             links = links.union(found)
             roots = written(components(links), "roots")
@@ -328,11 +365,13 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, p
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     bounded_batches(docs.sparkSession)
     rows, roots = linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
-    least = (rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
-             .join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    best = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = least.join(best, "root").select("fp", "component_id")
-    out = rows.join(found, "fp", "left").select(
+    low = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
+    member = low.join(roots.withColumnRenamed("node", "fp"), "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    best = member.groupBy("root").agg(F.min("low").alias("component_id")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    member = member.join(best, ["root", "salt"]).select("fp", "component_id")
+    alone = low.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("low").alias("component_id"))
+    out = rows.join(member.union(alone), "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -114,9 +114,9 @@ def test_recall_at_the_threshold():
     sig = forest.signatures(np.concatenate(sets), np.cumsum(size) - size, np.cumsum(size))
     import pyarrow as pa
     fp = np.arange(len(sets), dtype=np.int64)
-    batch = pa.record_batch({"fp": fp, "n": size.astype(np.int64), "sig": pa.array([s.tobytes() for s in sig], pa.binary())})
+    batch = pa.record_batch({"fp": fp, "n": size.astype(np.int64), "sig": pa.array([s.tobytes() for s in sig], pa.binary()), "comp": fp})
     rows = sorted(r for b in forest.orders(iter([batch])) for r in b.column(0).to_pylist())
-    a, b, _ = forest.candidates(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, forest.ROW), 80)
-    met = {(x, y) for x, y in zip(a.tolist(), b.tolist()) if y == x + 1 and x % 2 == 0}
+    x, y, _, node = forest.candidates(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, forest.ROW), 80)
+    met = {p for p in map(tuple, map(sorted, zip(node[x].tolist(), node[y].tolist()))) if p[1] == p[0] + 1 and p[0] % 2 == 0}
     assert len(met) >= 198
     assert shingle_sets([b"a b c"], 2)[0].shape == (2,)
