@@ -1,34 +1,36 @@
-"""Model training on MLlib (MDL-1..10, PRD-1) and the saved model bundle
-(SNK-1, SRC-7).
+"""Model training (MDL-1..10, PRD-1) and the saved model bundle (SNK-1, SRC-7).
 
-The reference trains three third-party boosters, a forest, a boosting
-learner and a logistic regression on one machine.  Here they are presets of
-MLlib learners, fitted as distributed jobs on the executors; presets differ
-in rounds, depth, sampling and class weighting.
+The reference trains three third-party boosters, a forest, a boosting learner
+and a logistic regression on one machine.  Here the boosters are settings of
+one distributed learner (``boosting``), fitted side by side, the logistic
+regression is solved by Newton steps (``logistic``), and the forest is MLlib's.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import logging
 import time
+import uuid
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskmart.operators import boosting as BO
+from riskmart.operators import logistic as LO
 from riskmart.operators import metrics as M
 from riskmart.operators import prep as PR
 from riskmart.schemas import DEFAULT_THRESHOLD, ID_COL, LABEL_COL
 
 FEATURES_VEC = "features"
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -37,116 +39,104 @@ class Preset:
     learner: str                      # gbt | rf | lr
     params: dict = field(default_factory=dict)
     weighting: str | None = None      # balanced | pos_weight | None
-    early_stopping: bool = False
 
 
-# Learner budgets of the reference, as MLlib parameters.  MLlib trees grow
-# level-wise (no leaf cap) and have no L1/L2 leaf penalties; early stopping
-# uses a held-out validation slice of the training rows with a tolerance.
+# The reference's settings.  What it leaves to its libraries' defaults: the L2
+# penalty of booster B is 1, of booster C 3, of the others 0.
 PRESETS = {
-    "gbt_main": Preset("GBT (main)", "gbt", dict(maxIter=1000, stepSize=0.02, maxDepth=7,
-                                                 minInstancesPerNode=50, subsamplingRate=0.8,
-                                                 featureSubsetStrategy="0.8"),
-                       "balanced", early_stopping=True),
-    "gbt_fallback": Preset("GBT (fallback)", "gbt", dict(maxIter=300, stepSize=0.05, maxDepth=5)),
-    "gbt_a": Preset("GBT A (balanced)", "gbt", dict(maxIter=400, stepSize=0.05, maxDepth=6,
-                                                   minInstancesPerNode=30, subsamplingRate=0.8,
-                                                   featureSubsetStrategy="0.8"), "balanced"),
-    "gbt_b": Preset("GBT B (positive weight)", "gbt", dict(maxIter=400, stepSize=0.05, maxDepth=6,
-                                                          subsamplingRate=0.8,
-                                                          featureSubsetStrategy="0.8"), "pos_weight"),
-    "gbt_c": Preset("GBT C (balanced)", "gbt", dict(maxIter=400, stepSize=0.05, maxDepth=6),
-                    "balanced"),
+    "gbt_main": Preset("GBT (main)", "gbt", dict(rounds=1000, rate=0.02, depth=7, leaves=63, min_child=50, l1=0.1, l2=0.1,
+                                                 rows=0.8, columns=0.8, patience=50), "balanced"),
+    "gbt_fallback": Preset("GBT (fallback)", "gbt", dict(rounds=300, rate=0.05, depth=5)),
+    "gbt_a": Preset("GBT A (balanced)", "gbt", dict(rounds=400, rate=0.05, depth=6, leaves=63, min_child=30, rows=0.8,
+                                                   columns=0.8), "balanced"),
+    "gbt_b": Preset("GBT B (positive weight)", "gbt", dict(rounds=400, rate=0.05, depth=6, l2=1.0, rows=0.8, columns=0.8),
+                    "pos_weight"),
+    "gbt_c": Preset("GBT C (balanced)", "gbt", dict(rounds=400, rate=0.05, depth=6, l2=3.0), "balanced"),
     "random_forest": Preset("Random Forest", "rf", dict(numTrees=300, maxDepth=10,
                                                        featureSubsetStrategy="sqrt"), "balanced"),
-    "gbt_d": Preset("Gradient Boosting", "gbt", dict(maxIter=200, stepSize=0.05, maxDepth=5,
-                                                    subsamplingRate=0.8)),
-    "logistic": Preset("Logistic Regression", "lr", dict(maxIter=1000, standardization=False,
-                                                        elasticNetParam=0.0), "balanced"),
+    "gbt_d": Preset("Gradient Boosting", "gbt", dict(rounds=200, rate=0.05, depth=5, rows=0.8)),
+    "logistic": Preset("Logistic Regression", "lr", dict(max_passes=1000), "balanced"),
 }
 COMPARISON = ["gbt_a", "gbt_b", "gbt_c", "random_forest", "gbt_d", "logistic"]
-TRAIN_PARTITIONS = 8       # of the training rows, by a hash of the id, at least
-PARTITION_ROWS = 250_000   # training rows of a partition in larger tables
+PARTITION_ROWS = 250_000   # training rows of a partition, by a hash of the id
+HELD = "is_validation"
 
 
-def make_learner(preset: Preset, n_rows: int, seed: int = 42, weight_col: str | None = None,
-                 overrides: dict | None = None):
-    """The preset's learner; ``overrides`` replaces single parameters."""
-    p = {**preset.params, **{k: v for k, v in (overrides or {}).items() if k in preset.params}}
-    common = dict(featuresCol=FEATURES_VEC, labelCol=LABEL_COL)
-    if weight_col:
-        common["weightCol"] = weight_col
-    if preset.learner == "gbt":
-        if preset.early_stopping:
-            p.update(validationIndicatorCol="is_validation", validationTol=0.0)
-        return GBTClassifier(seed=seed, cacheNodeIds=True, **common, **p)
-    if preset.learner == "rf":
-        return RandomForestClassifier(seed=seed, cacheNodeIds=True, **common, **p)
-    if preset.learner == "lr":
-        # C = 1 with an L2 penalty on the summed loss  <=>  regParam = 1 / n
-        return LogisticRegression(regParam=1.0 / max(n_rows, 1), **common, **p)
-    raise ValueError(preset.learner)
+def _params(preset: Preset, overrides: dict | None) -> dict:
+    """The preset's parameters; ``overrides`` replaces single ones."""
+    return {**preset.params, **{k: v for k, v in (overrides or {}).items() if k in preset.params}}
 
 
-def pipeline(feature_cols: list[str], learner) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol=FEATURES_VEC,
-                                            handleInvalid="keep"), learner])
+def class_weights(df: DataFrame, weighting: str | None) -> tuple:
+    """Weights of classes 0 and 1."""
+    if not weighting:
+        return 1.0, 1.0
+    col = "balanced_weight" if weighting == "balanced" else "pos_weight"
+    got = {r[LABEL_COL]: r[col] for r in PR.class_weight_table(df, LABEL_COL).collect()}
+    return tuple(float(1.0 if got.get(c) is None else got[c]) for c in (0, 1))
 
 
-def predict_default(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
+def predict_default(model, df: DataFrame, out: str = "p") -> DataFrame:
     """PRD-1: probability of class 1."""
+    if isinstance(model, BO.Boosted):
+        return BO.predict_boosted(model, df, out)
+    if isinstance(model, LO.Logistic):
+        return LO.predict_logistic(model, df, out)
     scored = model.transform(df)
     return scored.withColumn(out, vector_to_array(F.col("probability"))[1]).drop(
         FEATURES_VEC, "rawPrediction", "probability", "prediction")
 
 
-def _weighted(data: DataFrame, weighting: str | None,
-              fit_rows: DataFrame | None = None) -> tuple[DataFrame, str | None]:
-    """Attach class weights computed on ``fit_rows`` (default: ``data``)."""
-    if not weighting:
-        return data, None
-    w = PR.class_weight_table(fit_rows if fit_rows is not None else data, LABEL_COL)
-    col = "balanced_weight" if weighting == "balanced" else "pos_weight"
-    # one row per class: broadcast
-    return data.join(F.broadcast(w.select(LABEL_COL, F.col(col).alias("weight"))), LABEL_COL,
-                     "left"), "weight"
-
-
 def _validation_slice(train: DataFrame, share: float = 0.1) -> DataFrame:
     """Mark a deterministic validation slice of the training rows (hash
     of the id) for early stopping; the test rows are never used for it."""
     h = PR.split_hash("SK_ID_CURR", seed=7)
-    return train.withColumn("is_validation", h < int(share * PR.MOD))
+    return train.withColumn(HELD, h < int(share * PR.MOD))
+
+
+def fit_boosters(train: DataFrame, feature_cols: list[str], keys: list[str], seed: int = 42,
+                 stop_on: DataFrame | None = None, overrides: dict | None = None) -> dict:
+    """Fit the boosting presets of ``keys`` side by side.  Where one stops
+    early, a slice of the training rows measures the loss, for all; ``stop_on``
+    (parity) measures it on the given rows instead, e.g. the test rows as the
+    reference does."""
+    settings = {k: BO.Boosting(**_params(PRESETS[k], overrides), weights=class_weights(train, PRESETS[k].weighting)) for k in keys}
+    held = HELD if any(s.patience for s in settings.values()) else None
+    if held and stop_on is not None:
+        stop_on = stop_on.withColumn(HELD, F.lit(True))
+        train = dealt(train.withColumn(HELD, F.lit(False)).unionByName(stop_on), train.rdd.getNumPartitions())
+    elif held:
+        train = _validation_slice(train)
+    return BO.fit_boosted(train, feature_cols, settings, held, seed)
 
 
 def fit_preset(train: DataFrame, feature_cols: list[str], key: str, seed: int = 42, stop_on: DataFrame | None = None,
-               overrides: dict | None = None) -> tuple[PipelineModel, float]:
-    """Fit one preset.  Early-stopping presets hold out a validation slice of
-    the training rows; ``stop_on`` (parity) uses the given rows, e.g. the
-    test rows as the reference does, as the stopping set instead."""
-    preset = PRESETS[key]
-    if preset.early_stopping and preset.learner == "gbt" and stop_on is not None:
-        data = (train.withColumn("is_validation", F.lit(False))
-                .unionByName(stop_on.withColumn("is_validation", F.lit(True))))
-        data, wcol = _weighted(data, preset.weighting, fit_rows=train)
+               overrides: dict | None = None):
+    """Fit one preset: (model, seconds)."""
+    preset, t0 = PRESETS[key], time.time()
+    if preset.learner == "gbt":
+        model = fit_boosters(train, feature_cols, [key], seed, stop_on, overrides)[key]
+    elif preset.learner == "lr":
+        # C = 1: the L2 penalty is half the squared coefficients beside the summed loss
+        model = LO.fit_logistic(train, feature_cols, class_weights(train, preset.weighting), 1.0, **_params(preset, overrides))
+    elif preset.learner == "rf":
+        w = F.when(F.col(LABEL_COL) == 1, class_weights(train, preset.weighting)[1]).otherwise(class_weights(train, preset.weighting)[0])
+        learner = RandomForestClassifier(seed=seed, cacheNodeIds=True, featuresCol=FEATURES_VEC, labelCol=LABEL_COL,
+                                         weightCol="weight", **_params(preset, overrides))
+        assembler = VectorAssembler(inputCols=feature_cols, outputCol=FEATURES_VEC, handleInvalid="keep")
+        model = Pipeline(stages=[assembler, learner]).fit(train.withColumn("weight", w))
     else:
-        data, wcol = _weighted(train, preset.weighting)
-        if preset.early_stopping and preset.learner == "gbt":
-            data = _validation_slice(data)
-    n = data.count() if preset.learner == "lr" else 0      # only the L2 scaling needs n
-    learner = make_learner(preset, n, seed, wcol, overrides)
-    t0 = time.time()
-    model = pipeline(feature_cols, learner).fit(data)
+        raise ValueError(preset.learner)
     return model, time.time() - t0
 
 
 def train_partitions(n_rows: int) -> int:
     """By the number of training rows only, so that a table gives the same
     model on any cluster."""
-    return max(TRAIN_PARTITIONS, -(-n_rows // PARTITION_ROWS))
+    return max(1, -(-n_rows // PARTITION_ROWS))
 
 
-def dealt(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+def dealt(df: DataFrame, partitions: int = 1) -> DataFrame:
     """Training rows dealt by the id over a stated number of partitions:
     learners sample per partition, so the same table gives the same model on
     any cluster."""
@@ -155,62 +145,151 @@ def dealt(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
 
 def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
                    keys: list[str] = COMPARISON, threshold: float = DEFAULT_THRESHOLD,
-                   overrides: dict | None = None, partitions: int = TRAIN_PARTITIONS, parallelism: int = 6):
-    """MDL-10: fit each preset on the cached training rows, score the test
-    rows, one metrics row per preset; a failing preset gives an error row
-    and the loop goes on.  Returns (metrics DataFrame, {key: model})."""
+                   overrides: dict | None = None, partitions: int = 1):
+    """MDL-10: fit the presets on the cached training rows (all boosters in
+    one pass a tree level, their seconds are the joint ones), score the test
+    rows, one metrics row per preset; a failing preset gives an error row, its
+    trace goes to the log, and the loop goes on.  When all fail, the last
+    failure is raised.  Returns (metrics DataFrame, {key: model})."""
     spark = train.sparkSession
     train, test = dealt(train, partitions).persist(), test.persist()
-    rows, models = [], {}
-
-    def one(key):
-        name = PRESETS[key].name
-        try:
-            model, secs = fit_preset(train, feature_cols, key, overrides=overrides)
-            row = M.metrics_row(predict_default(model, test), name, train_seconds=secs).collect()[0].asDict()
-            return key, model, row | {"error": None}
-        except Exception as e:  # noqa: BLE001 - keep comparing the other presets
-            return key, None, {"model": name, "error": f"{type(e).__name__}: {e}"}
+    rows, models, failure = {}, {}, None
+    boosters = [k for k in keys if PRESETS[k].learner == "gbt"]
+    groups = ([boosters] if boosters else []) + [[k] for k in keys if k not in boosters]
+
+    def failed(group, e):
+        log.exception("fitting %s", ", ".join(group))
+        for k in group:
+            rows[k] = {"model": PRESETS[k].name, "error": f"{type(e).__name__}: {e}"}
     try:
         train.count(), test.count()
-        # boosting rounds are many short jobs: presets side by side fill the gaps
-        with ThreadPool(min(parallelism, len(keys))) as pool:
-            for key, model, row in pool.map(inheritable_thread_target(spark)(one), keys, chunksize=1):
-                rows.append(row)
-                if model is not None:
-                    models[key] = model
+        for group in groups:
+            try:
+                t0 = time.time()
+                if group is boosters:
+                    fitted = fit_boosters(train, feature_cols, group, overrides=overrides)
+                else:
+                    fitted = {group[0]: fit_preset(train, feature_cols, group[0], overrides=overrides)[0]}
+                secs = time.time() - t0
+                for k, model in fitted.items():
+                    row = M.metrics_row(predict_default(model, test), PRESETS[k].name, train_seconds=secs).collect()[0].asDict()
+                    rows[k], models[k] = row | {"error": None}, model
+            except Exception as e:  # noqa: BLE001 - keep comparing the other presets
+                failure = e
+                failed(group, e)
     finally:
         train.unpersist()
         test.unpersist()
+    if failure is not None and not models:
+        raise failure
     schema = ("model string, f1_default double, f1_macro double, f1_weighted double, "
               "roc_auc double, precision double, recall double, true_positives int, "
               "false_negatives int, train_seconds double, error string")
     cols = [c.split()[0] for c in schema.split(", ")]
-    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schema), models
+    return spark.createDataFrame([tuple(rows[k].get(c) for c in cols) for k in keys], schema), models
 
 
 # ----------------------------------------------------------------- bundle
-def save_model(model: PipelineModel, meta: dict, path: str) -> None:
-    """SNK-1: the fitted pipeline plus one metadata row (feature list, code
-    maps, medians, metrics, threshold)."""
-    model.write().overwrite().save(f"{path}/pipeline")
-    spark = SparkSession.getActiveSession()
-    row = {k: (json.dumps(v) if isinstance(v, dict) else v) for k, v in meta.items()}
-    spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+#
+# <path>/versions/<id>/{model,metadata,codes,...}   the parts of one save
+# <path>/manifest/<number>-<id>.json                names them, with their digests
+#
+# A save writes its parts first and its manifest, by one rename, last; a reader
+# takes the newest manifest, so it sees an old bundle or a new one whole.
 
+class Bundle(NamedTuple):
+    """A loaded bundle: the model, one metadata row, and the folder of its parts."""
+    model: object
+    meta: DataFrame
+    root: str
 
-def load_model(path: str):
-    """SRC-7: (pipeline, metadata DataFrame), or None where there is no
-    bundle (the caller then uses the fallback decision).  Any other failure
-    to read raises."""
+
+def _store(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _names(spark: SparkSession, path: str) -> list:
+    fs, folder = _store(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the names and contents of a part's files."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .select("path", F.sha2("content", 256).alias("h")).collect())
+    own = sorted((r.path.rsplit("/", 1)[1], r.h) for r in files)
+    return hashlib.sha256(json.dumps(own).encode()).hexdigest()
+
+
+def write_model(model, path: str) -> str:
+    """Write a model as a folder; returns its kind."""
     spark = SparkSession.getActiveSession()
-    try:
-        meta = spark.read.json(f"{path}/metadata")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return PipelineModel.load(f"{path}/pipeline"), meta
+    if isinstance(model, BO.Boosted):
+        spark.createDataFrame(BO.model_rows(model), BO.NODES).coalesce(1).write.parquet(path)
+        return "boosted"
+    if isinstance(model, LO.Logistic):
+        rows = [(None, model.intercept), *zip(model.columns, model.coefficients)]
+        spark.createDataFrame(rows, "feature string, coefficient double").coalesce(1).write.parquet(path)
+        return "logistic"
+    model.write().save(path)
+    return "pipeline"
+
+
+def read_model(kind: str, path: str, feature_cols: list):
+    spark = SparkSession.getActiveSession()
+    if kind == "boosted":
+        return BO.model_of_rows(spark.read.parquet(path).collect(), feature_cols)
+    if kind == "logistic":
+        got = {r.feature: r.coefficient for r in spark.read.parquet(path).collect()}
+        return LO.Logistic(feature_cols, [got.get(c, 0.0) for c in feature_cols], got[None])
+    return PipelineModel.load(path)
+
+
+def save_model(model, meta: dict, path: str, tables: dict | None = None) -> None:
+    """SNK-1: model, one metadata row (feature list, medians, metrics,
+    threshold) and further ``tables`` by name (e.g. the label codes), visible
+    together or not at all."""
+    spark = SparkSession.getActiveSession()
+    version = uuid.uuid4().hex
+    root = f"{path}/versions/{version}"
+    kind = write_model(model, f"{root}/model")
+    row = {k: (json.dumps(v) if isinstance(v, dict) else v) for k, v in meta.items()}
+    spark.createDataFrame([row]).coalesce(1).write.json(f"{root}/metadata")
+    for name, df in (tables or {}).items():
+        df.write.parquet(f"{root}/{name}")
+    parts = {name: _digest(spark, f"{root}/{name}") for name in ("model", "metadata", *(tables or {}))}
+    body = json.dumps({"version": version, "kind": kind, "parts": parts}, sort_keys=True)
+    number = 1 + max([int(n.split("-")[0]) for n in _names(spark, f"{path}/manifest") if n.endswith(".json")], default=0)
+    fs, folder = _store(spark, f"{path}/manifest")
+    fs.mkdirs(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    draft, final = hadoop(folder, f"_{version}"), hadoop(folder, f"{number:08d}-{version}.json")
+    out = fs.create(draft, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    if not fs.rename(draft, final):
+        raise OSError(f"cannot publish {final}")
+
+
+def load_model(path: str) -> Bundle | None:
+    """SRC-7: the newest whole bundle, or None where none was saved (the
+    caller then uses the fallback decision).  A part that is missing or not
+    what the manifest says is refused."""
+    spark = SparkSession.getActiveSession()
+    published = [n for n in _names(spark, f"{path}/manifest") if n.endswith(".json")]
+    if not published:
+        strange = set(_names(spark, path)) - {"versions", "manifest"}
+        if strange:
+            raise ValueError(f"{path} is no model bundle: {sorted(strange)[0]}")
+        return None
+    manifest = json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest/{published[-1]}", wholetext=True).collect()))
+    root = f"{path}/versions/{manifest['version']}"
+    for name, digest in manifest["parts"].items():
+        if not _names(spark, f"{root}/{name}") or _digest(spark, f"{root}/{name}") != digest:
+            raise ValueError(f"{path}: part {name} is not the one that was saved")
+    meta = spark.read.json(f"{root}/metadata")
+    return Bundle(read_model(manifest["kind"], f"{root}/model", meta.first()["feature_cols"]), meta, root)
 
 
 def model_info(bundle) -> DataFrame:
@@ -220,7 +299,7 @@ def model_info(bundle) -> DataFrame:
         return spark.createDataFrame([(False, 0.0, 0, None, None)],
                                      "loaded boolean, auc_score double, feature_count int, "
                                      "algorithm string, best_model_name string")
-    _, meta = bundle
+    meta = bundle.meta
     cols = set(meta.columns)
     return meta.select(
         F.lit(True).alias("loaded"),

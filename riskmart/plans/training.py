@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +81,6 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fit_scope
         best = best_rows[0]
         key = next(k for k in keys if MD.PRESETS[k].name == best["model"])
         path = save_to or scratch_path(spark, "model-bundle")
-        prep.codes.write.mode("overwrite").parquet(f"{path}/codes")
         MD.save_model(models[key], {
             "feature_cols": prep.feature_cols,
             "medians": prep.medians,
@@ -93,7 +91,7 @@ def train_and_compare(spark: SparkSession, tables, keys=MD.COMPARISON, fit_scope
             "best_model_name": best["model"],
             "algorithm": MD.PRESETS[key].learner,
             "n_train": prep.n_train,
-        }, path)
+        }, path, {"codes": prep.codes})
         write_comparison(board.where(F.col("error").isNull()), f"{path}/comparison")        # SNK-2
     return board, path, prep
 
@@ -106,15 +104,9 @@ def best_model_report(prep: Prepared, path: str) -> DataFrame:
     return ME.classification_report(scored, threshold=meta.get("threshold") or DEFAULT_THRESHOLD)
 
 
-def bundle_path(bundle) -> str:
-    """Folder of a loaded bundle (the metadata was read from <path>/metadata)."""
-    files = bundle[1].inputFiles()
-    return files[0].rsplit("/metadata", 1)[0]
-
-
-def bundle_parts(bundle) -> tuple[PipelineModel, dict]:
+def bundle_parts(bundle) -> tuple:
     import json
-    model, meta_df = bundle
+    model, meta_df = bundle.model, bundle.meta
     meta = meta_df.collect()[0].asDict()          # one metadata row
     if isinstance(meta.get("medians"), str):
         meta["medians"] = json.loads(meta["medians"])
@@ -136,7 +128,7 @@ def score_requests(requests: DataFrame, bundle=None, parity: bool = False,
     # scorecard has consumed them, so they go.
     carded = carded.drop("ext_source_mean", "employment_years", "annuity_income_ratio")
     feats = FE.request_features(carded, parity=parity, keep=carded.columns)
-    codes = feats.sparkSession.read.parquet(f"{bundle_path(bundle)}/codes")
+    codes = feats.sparkSession.read.parquet(f"{bundle.root}/codes")
     enc = PR.apply_label_codes(feats, codes, MART_CATEGORICAL)
     aligned = FE.align_features(enc, meta["feature_cols"], keep=carded.columns)
     imputed = PR.impute(aligned, {c: meta["medians"].get(c) for c in meta["feature_cols"]},

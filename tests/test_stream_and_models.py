@@ -13,7 +13,7 @@ from riskmart.sources.adapter import LendingTables
 from riskmart.streaming.scoring import decide_batch, score_stream, write_requests_json
 
 
-FEW = {"maxIter": 4}        # rounds in tests; the presets have budgets of their own
+FEW = {"rounds": 4}         # in tests; the presets have budgets of their own
 
 
 def _flat(df):
@@ -41,9 +41,8 @@ def test_fit_save_load_predict(spark, tmp_path):
     model, secs = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", overrides=FEW)
     p1 = MD.predict_default(model, prep.test).select("SK_ID_CURR", "p")
     path = str(tmp_path / "bundle")
-    prep.codes.write.parquet(f"{path}/codes")
     MD.save_model(model, {"feature_cols": prep.feature_cols, "medians": prep.medians, "auc_score": 0.5, "threshold": 0.35,
-                          "algorithm": "gbt", "best_model_name": "GBT (main)"}, path)
+                          "algorithm": "gbt", "best_model_name": "GBT (main)"}, path, {"codes": prep.codes})
     bundle = MD.load_model(path)
     assert bundle is not None
     p2 = MD.predict_default(bundle[0], prep.test).select("SK_ID_CURR", F.col("p").alias("p2"))
@@ -161,13 +160,54 @@ def test_training_partitions_follow_the_rows(spark, monkeypatch):
     from riskmart.plans import training as TR
     seen = []
 
-    def stop(*a, partitions=MD.TRAIN_PARTITIONS, **more):
+    def stop(*a, partitions=None, **more):
         seen.append(partitions)
         raise InterruptedError
     monkeypatch.setattr(TR.RU, "mart_from_tables", lambda tables: None)
     monkeypatch.setattr(MD, "compare_models", stop)
-    for n in (0, 40_000, 8 * MD.PARTITION_ROWS, 8 * MD.PARTITION_ROWS + 1, 100 * MD.PARTITION_ROWS):
+    for n in (0, 40_000, MD.PARTITION_ROWS, MD.PARTITION_ROWS + 1, 100 * MD.PARTITION_ROWS):
         monkeypatch.setattr(TR, "prepare", lambda *a, n=n: SimpleNamespace(train=None, test=None, feature_cols=[], n_train=n))
         with pytest.raises(InterruptedError):
             TR.train_and_compare(spark, None)
-    assert seen == [8, 8, 8, 9, 100]
+    assert seen == [1, 1, 1, 2, 100]
+
+
+def test_a_reader_sees_an_old_bundle_or_a_new_one_whole(spark, tmp_path, monkeypatch):
+    import pytest
+    from riskmart.operators.logistic import Logistic
+    path = str(tmp_path / "bundle")
+    codes = lambda n: {"codes": spark.createDataFrame([("c", "v", n)], "column string, value string, code int")}
+    assert MD.load_model(path) is None
+    MD.save_model(Logistic(["x"], [1.0], 0.5), {"feature_cols": ["x"], "auc_score": 0.1}, path, codes(1))
+
+    def seen():
+        b = MD.load_model(path)
+        return b.model.intercept, b.meta.first().auc_score, spark.read.parquet(f"{b.root}/codes").first().code
+    assert seen() == (0.5, 0.1, 1)
+    # a save that fails after each of its parts, before its manifest
+    real = MD._digest
+
+    def fail(spark, part):
+        if part.endswith(stop):
+            raise InterruptedError
+        return real(spark, part)
+    for stop in ("model", "metadata", "codes"):
+        monkeypatch.setattr(MD, "_digest", fail)
+        with pytest.raises(InterruptedError):
+            MD.save_model(Logistic(["x"], [2.0], 0.7), {"feature_cols": ["x"], "auc_score": 0.2}, path, codes(2))
+        monkeypatch.setattr(MD, "_digest", real)
+        assert seen() == (0.5, 0.1, 1)
+    MD.save_model(Logistic(["x"], [2.0], 0.7), {"feature_cols": ["x"], "auc_score": 0.2}, path, codes(2))
+    old = seen()
+    assert old == (0.7, 0.2, 2)
+    spark.createDataFrame([("c", "v", 9)], "column string, value string, code int").write.mode("overwrite").parquet(f"{MD.load_model(path).root}/codes")
+    with pytest.raises(ValueError, match="codes"):
+        MD.load_model(path)
+
+
+def test_all_failing_presets_raise(spark, monkeypatch):
+    import pytest
+    prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
+    monkeypatch.setitem(MD.PRESETS, "gbt_c", MD.Preset("Broken", "none"))
+    with pytest.raises(ValueError):
+        MD.compare_models(prep.train, prep.test, prep.feature_cols, ["gbt_c"], overrides=FEW)
