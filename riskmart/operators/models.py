@@ -14,6 +14,7 @@ import logging
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -170,10 +171,13 @@ def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
                     fitted = fit_boosters(train, feature_cols, group, overrides=overrides)
                 else:
                     fitted = {group[0]: fit_preset(train, feature_cols, group[0], overrides=overrides)[0]}
-                secs = time.time() - t0
+                secs = round(time.time() - t0, 1)
+                # one grouped pass for the metrics of all models of the group
+                scored = [predict_default(model, test).select(LABEL_COL, "p", F.lit(k).alias("model")) for k, model in fitted.items()]
+                got = {r.model: r.asDict() for r in M.metrics_table(reduce(DataFrame.union, scored), threshold=threshold).collect()}
                 for k, model in fitted.items():
-                    row = M.metrics_row(predict_default(model, test), PRESETS[k].name, train_seconds=secs).collect()[0].asDict()
-                    rows[k], models[k] = row | {"error": None}, model
+                    rows[k] = got[k] | {"model": PRESETS[k].name, "train_seconds": secs, "error": None}
+                    models[k] = model
             except Exception as e:  # noqa: BLE001 - keep comparing the other presets
                 failure = e
                 failed(group, e)

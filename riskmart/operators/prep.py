@@ -11,14 +11,17 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmart.schemas import (ID_COL, LABEL_COL, MISSING_CATEGORY_TEXT, SPLIT_SEED, TEST_SHARE)
-from riskmart.session import materialize
+from riskmart.session import materialize, ship_package
 
 PREFIX = 3                  # characters of a label that pick its ranking group
+IN_PLAN = 256               # labels of a column up to which its codes are part of the plan
 
 
 # ----------------------------------------------------------------- SEL-1
@@ -57,13 +60,23 @@ def fit_label_codes(df: DataFrame, cols: list[str],
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: list[str],
                       missing_label: str = MISSING_CATEGORY_TEXT) -> DataFrame:
-    """ENC-2: replace each categorical by its code, one join per column with
-    the code table; an unseen label gets 0 (the code of the first label), as
-    the scoring service does.  ``codes`` should be a written table: the
-    planner then knows its size and broadcasts it where it is small, so the
-    rows are not shuffled; beyond that AQE splits a hot label's partition."""
-    out = df
-    for c in [c for c in cols if c in df.columns]:
+    """ENC-2: replace each categorical by its code; an unseen label gets 0 (the
+    code of the first label), as the scoring service does.
+
+    Columns of at most IN_PLAN labels (counted first) are looked up in maps
+    that are part of the plan: one projection for all of them, no join.  A
+    column with more labels is joined with its part of the code table, which
+    should be a written table: the planner then knows its size and broadcasts
+    it where it is small; beyond that AQE splits a hot label's partition."""
+    cols = [c for c in cols if c in df.columns]
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [c for c in cols if sizes.get(c, 0) <= IN_PLAN]
+    maps: dict = {c: [] for c in small}
+    for r in codes.where(F.col("column").isin(small)).collect() if small else []:     # at most IN_PLAN rows a column
+        maps[r["column"]] += [F.lit(r["value"]), F.lit(r["code"])]
+    code = {c: F.coalesce(F.create_map(*m)[_as_label(c, missing_label)], F.lit(0)) if m else F.lit(0) for c, m in maps.items()}
+    out = df.withColumns({c: e.cast("int") for c, e in code.items()}) if code else df
+    for c in [c for c in cols if c not in maps]:
         m = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"),
                                                     F.col("code").alias(f"_c_{c}"))
         out = (out.withColumn(f"_v_{c}", _as_label(c, missing_label))
@@ -88,7 +101,7 @@ def _numeric(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if isinstance(types[c], num)]
 
 
-ACCURACY = 10_000          # of the approximate quantiles that bracket a median
+ACCURACY = 10_000          # of an approximate median
 
 
 def _value(c: str) -> Column:
@@ -96,52 +109,98 @@ def _value(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def _middle(a: Column, b: Column) -> Column:
+def _middle(a: float, b: float) -> float:
     """Mean of two values, also where their sum is out of range."""
     mean = (a + b) / 2
-    return F.when((F.abs(mean) == float("inf")) & (F.abs(a) < float("inf")) & (F.abs(b) < float("inf")),
-                  a / 2 + b / 2).otherwise(mean)
+    return a / 2 + b / 2 if math.isinf(mean) and not (math.isinf(a) or math.isinf(b)) else mean
+
+
+def _image(x: np.ndarray) -> np.ndarray:
+    """Doubles as 64-bit integers of the same order (-0.0 counts as 0.0)."""
+    i = (x + 0.0).view(np.int64)
+    return i ^ ((i >> 63) & np.int64(2**63 - 1))
+
+
+def _of_image(i: int) -> float:
+    return float(np.array([i ^ (2**63 - 1 if i < 0 else 0)], np.int64).view(np.float64)[0])
+
+
+STEPS = (48, 32, 0)          # low bits left out by the three scans
+
+
+def _counts(df: DataFrame, cols: list[str], level: int, open_: dict | None) -> DataFrame:
+    """(c, base, p, n): how many values of column number c have the image
+    prefix p, of those whose shorter prefix ``base`` is among the open ones."""
+    shift = STEPS[level]
+
+    def merged(held):
+        at, n = (np.concatenate(x) for x in zip(*held))
+        own, back = np.unique(at, return_inverse=True)
+        return own, np.bincount(back, n, len(own)).astype(np.int64)
+
+    def run(batches):
+        held: dict = {c: [] for c in range(len(cols))}
+        for b in batches:
+            for c, rows in held.items():
+                if open_ is not None and c not in open_:
+                    continue
+                x = b.column(c).to_numpy(zero_copy_only=False).astype(float)
+                i = _image(x[~np.isnan(x)])
+                if open_ is not None:
+                    i = i[np.isin(i >> STEPS[level - 1], open_[c])]
+                if len(i):
+                    rows.append(np.unique(i >> shift, return_counts=True))
+                if len(rows) > 64:
+                    held[c] = [merged(rows)]
+        for c, rows in held.items():
+            if rows:
+                at, n = merged(rows)
+                base = at >> (STEPS[level - 1] - shift) if open_ is not None else np.zeros(len(at), np.int64)
+                yield pa.record_batch({"c": pa.array(np.full(len(at), c), pa.int32()), "base": pa.array(base), "p": pa.array(at), "n": pa.array(n)})
+    ship_package(df.sparkSession)
+    return (df.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(run, "c int, base long, p long, n long")
+            .groupBy("c", "base", "p").agg(F.sum("n").alias("n")))
 
 
 def median_table(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """AGG-6: (column, median) for each column; a column with no value gets
     NULL.  The mean of the one or two middle values, as numpy does.
 
-    Three steps, no arithmetic on the values: one wide aggregate brackets
-    every median by approximate quantiles on either side of 0.5 whose error
-    is known; a second counts the values below each bracket; the values
-    inside, about 4 in ACCURACY of all, are counted by value and ranked per
-    column.  A bracket that misses is widened to all values.
-    ``exact=False``: the approximate quantile itself."""
+    A radix search for all columns at once: a double's bits, with the sign
+    folded in, are an integer of the same order.  The first scan counts the
+    values by the first 16 bits of it, the second, of those that share these
+    with a middle value, by the first 32, the third by all 64.  Counts are
+    summed in the tasks, so a value that a third of all rows hold is one row;
+    the driver sees at most two rows a column and scan.  No arithmetic on the
+    values, so infinities and the ends of the double range are no special case.
+    ``exact=False``: an approximate quantile, in one scan."""
     cols = _numeric(df, cols)
     spark = df.sparkSession
     schema = "column string, median double"
     if not cols:
         return spark.createDataFrame([], schema)
-    near = 2 / ACCURACY
-    got = df.agg(*[F.struct(F.count(_value(c)).alias("n"), F.min(_value(c)).alias("lo"), F.max(_value(c)).alias("hi"),
-                            F.percentile_approx(_value(c), [0.5 - near, 0.5, 0.5 + near], ACCURACY).alias("q")).alias(c)
-                   for c in cols]).first()
     if not exact:
-        return spark.createDataFrame([(c, got[c].q[1] if got[c].q else None) for c in cols], schema)
-    spans = {c: (got[c].n, got[c].q[0], got[c].q[2]) for c in cols if got[c].n}
-    found: dict = {}
-    while spans:
-        below = df.agg(*[F.count_if(_value(c) < lo).alias(c) for c, (_, lo, _) in spans.items()]).first()
-        inside = F.array(*[F.struct(F.lit(c).alias("column"),
-                                    F.when((_value(c) >= lo) & (_value(c) <= hi), _value(c)).alias("value"))
-                           for c, (_, lo, hi) in spans.items()])
-        counts = df.select(F.inline(inside)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        need = spark.createDataFrame([(c, (n - 1) // 2 - below[c], n // 2 - below[c]) for c, (n, _, _) in spans.items()],
-                                     "column string, k1 long, k2 long")
-        upto = F.sum("n").over(Window.partitionBy("column").orderBy("value"))
-        hit = lambda k: F.max(F.when((F.col("upto") - F.col("n") <= F.col(k)) & (F.col(k) < F.col("upto")), F.col("value")))
-        rows = (counts.withColumn("upto", upto).join(F.broadcast(need), "column")          # one row a column
-                .groupBy("column").agg(hit("k1").alias("a"), hit("k2").alias("b"))
-                .select("column", "a", "b", _middle(F.col("a"), F.col("b")).alias("median")).collect())
-        found |= {r.column: r.median for r in rows if r.a is not None and r.b is not None}
-        spans = {c: (n, got[c].lo, got[c].hi) for c, (n, _, _) in spans.items() if c not in found}
-    return spark.createDataFrame([(c, found.get(c)) for c in cols], schema)
+        got = df.agg(*[F.percentile_approx(_value(c), 0.5, ACCURACY).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        return spark.createDataFrame([(c, got[i]) for i, c in enumerate(cols)], schema)
+    open_, ranks = None, []                    # ranks: (column, prefix so far, rank below it) of each middle value
+    for level in range(len(STEPS)):
+        group = Window.partitionBy("c", "base")          # at most 2^16 prefixes of a base, or the values that share 32 bits
+        upto = F.sum("n").over(group.orderBy("p"))
+        counts = _counts(df, cols, level, open_).withColumns({"upto": upto, "all": F.sum("n").over(group)})
+        if level == 0:
+            want = counts.withColumn("k", F.explode(F.array_distinct(F.array(F.expr("(all - 1) div 2"), F.expr("all div 2")))))
+        else:
+            need = spark.createDataFrame(ranks, "c int, base long, k long")
+            want = counts.join(F.broadcast(need), ["c", "base"])       # at most two rows a column
+        ranks = [(r.c, r.p, r.k - (r.upto - r.n)) for r in
+                 want.where("upto - n <= k AND k < upto").select("c", "p", "k", "upto", "n").collect()]
+        open_ = {}
+        for c, p, _ in ranks:
+            open_.setdefault(c, []).append(p)
+        if not ranks:
+            break
+    middle = {c: sorted(_of_image(p) for p in own) for c, own in open_.items()}
+    return spark.createDataFrame([(c, _middle(middle[i][0], middle[i][-1]) if i in middle else None) for i, c in enumerate(cols)], schema)
 
 
 def fit_medians(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, float | None]:
