@@ -6,14 +6,15 @@ is a 64-bit fingerprint of the set), so copies never meet as pairs.
 
 1. ``profile``: set size, fingerprint and hashed bitmap of each document, and
    a fixed-size table of counts over hash cells of all n-grams.
-2. ``tiles``: linked sets of size n share one of their first
-   n - ceil(0.75 n) + 1 n-grams in any order common to all sets.  The order
+2. ``tiles``: linked sets of size n share MET of their first
+   n - ceil(0.75 n) + MET n-grams in any order common to all sets.  The order
    puts rare cells first, which keeps widespread passages out of the tiles.
    A tile holds the nodes that share such an n-gram, by size.  Tiles of very
    frequent cells are salted over several tasks.
 3. ``star``: in each band of sizes (largest at most 1 / 0.75 of the smallest)
    of a tile, the smallest member is paired with the others; in a tile of at
-   most FEW members all are.  Hashed bitmaps
+   most FEW members all are, and such a pair counts if it meets in MET tiles
+   (one that links and does not has met in a larger tile).  Hashed bitmaps
    bound the overlap from above (each differing bit is an element that only
    one of the sets has); pairs that may pass are verified on sorted arrays.
 4. ``rest``: in larger tiles whose members are not yet in one component, every
@@ -50,11 +51,12 @@ CELL_BITS = 20
 SLICES = 64
 TILE = 4096          # members of a hot tile that one task takes
 FEW = 8              # members of a tile up to which all its pairs are tried at once
+MET = 3              # tiles that a pair of small tiles shares; two different sets of similarity
+                     # above 2/3 have at least 3 n-grams in common
 FIRST = 16           # one in so many tiles serves the first residual round
 BLOCK = 2048         # members that a probe meets at a time
 WANTED = 1 << 20     # wanted ids (16 bytes each) up to which they go to every task
 FLUSH = 1 << 20      # postings held before they are dealt out
-NO_ID = -(1 << 63)
 U64 = np.uint64
 _STEP = T.mix(np.arange(1, 65, dtype=np.uint64)) | U64(1)
 
@@ -131,15 +133,16 @@ def profiler(k: int):
             for i, j in T.pieces(texts):
                 h, lo, hi = shingle_sets(texts[i:j], k)
                 cells += np.bincount(cell_of(h), minlength=len(cells)).astype(np.uint32)
+                fps = fingerprints(h, lo, hi)
                 yield pa.record_batch({
-                    "doc_id": ids.slice(i, j - i), "n": pa.array(hi - lo, pa.int64()),
-                    "fp": pa.array(fingerprints(h, lo, hi), pa.int64()),
+                    "doc_id": ids.slice(i, j - i), "key": b.column(2).slice(i, j - i), "n": pa.array(hi - lo, pa.int64()),
+                    "fp": pa.array(fps, pa.int64()),
                     "bm": pa.array([bitmap(h[a:z], z - a) if z > a else None for a, z in zip(lo, hi)], pa.binary()),
                     "cells": pa.nulls(j - i, pa.binary()), "slice": pa.nulls(j - i, pa.int32())})
         parts = np.split(cells, SLICES)
         some = [i for i in range(SLICES) if parts[i].any()]
         nul = pa.nulls(len(some), pa.int64())
-        yield pa.record_batch({"doc_id": nul, "n": nul, "fp": nul, "bm": pa.nulls(len(some), pa.binary()),
+        yield pa.record_batch({"doc_id": nul, "key": nul, "n": nul, "fp": nul, "bm": pa.nulls(len(some), pa.binary()),
                                "cells": pa.array([parts[i].tobytes() for i in some], pa.binary()),
                                "slice": pa.array(some, pa.int32())})
     return run
@@ -157,8 +160,12 @@ def add_slices(batches):
 
 # -- tiles -----------------------------------------------------------------
 
+def met(percent: int) -> int:
+    return MET if 3 * percent > 200 else 1
+
+
 def prefix_size(n, percent: int):
-    return n - (percent * n + 99) // 100 + 1
+    return min(n, n - (percent * n + 99) // 100 + met(percent))
 
 
 def salts_of(count: np.ndarray, mean: float) -> np.ndarray:
@@ -247,7 +254,7 @@ def tiler(cells):
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(at, len(key)))
         hot = salts_of(count[cell_of(key[at])], float(count.mean())) > 1
-        out, lists = [], set()
+        out, lists = [], {}
         for a, m, is_hot in zip(at.tolist(), length.tolist(), hot.tolist()):
             if m < 2 and not is_hot:
                 continue
@@ -256,14 +263,15 @@ def tiler(cells):
                 continue
             if not is_hot:
                 if (same := f.tobytes()) in lists:
+                    out[lists[same]][4] += 1
                     continue
-                lists.add(same)
+                lists[same] = len(out)
             s = n[a:a + m][first]
             by = np.lexsort((f, s))
-            out.append((int(key[a].view(np.int64)), is_hot, f[by], s[by]))
+            out.append([int(key[a].view(np.int64)), is_hot, f[by], s[by], 1])
             if len(out) >= 4096:
                 yield _tiles(out)
-                out = []
+                out, lists = [], {}
         if out:
             yield _tiles(out)
     return run
@@ -273,32 +281,35 @@ def _tiles(out):
     return pa.record_batch({"tile": pa.array([x[0] for x in out], pa.int64()),
                             "hot": pa.array([x[1] for x in out], pa.bool_()),
                             "fps": pa.array([x[2] for x in out], pa.list_(pa.int64())),
-                            "ns": pa.array([x[3].astype(np.int64) for x in out], pa.list_(pa.int64()))})
+                            "ns": pa.array([x[3].astype(np.int64) for x in out], pa.list_(pa.int64())),
+                            "times": pa.array([x[4] for x in out], pa.int64())})
 
 
 def starrer(percent: int):
     """Pairs (smallest of the band, member) of each tile, all pairs of small
-    ones; a hot tile also tells its bands' smallest, to be paired with those
-    of its other parts."""
+    ones, and in how many tiles each meets (``met`` for large tiles); a hot
+    tile also tells its bands' smallest, to be paired with those of its other
+    parts."""
     def run(batches):
         for b in batches:
-            a, z, lead, tile = [], [], [], []
-            for t, hot, f, n in zip(*(b.column(c).to_pylist() for c in ("tile", "hot", "fps", "ns"))):
+            a, z, c, lead, tile = [], [], [], [], []
+            for t, hot, f, n, times in zip(*(b.column(x).to_pylist() for x in ("tile", "hot", "fps", "ns", "times"))):
                 f, n, i = np.array(f, np.int64), np.array(n, np.int64), 0
                 every = len(f) <= FEW and not hot
                 while i < len(f):
                     j = int(np.searchsorted(n * percent, n[i] * 100, side="right"))
                     a.append(np.full(j - i - 1, f[i])), z.append(f[i + 1:j])
+                    c.append(np.full(j - i - 1, times if every else met(percent)))
                     if hot:
                         lead.append(f[i]), tile.append(t)
                     i = i + 1 if every else j
-            a, z = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*z, np.zeros(0, np.int64)])
-            pair = np.unique(np.stack([np.minimum(a, z), np.maximum(a, z)], axis=1), axis=0)
+            a, z, c = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (a, z, c))
+            pair, back = np.unique(np.stack([np.minimum(a, z), np.maximum(a, z)], axis=1), axis=0, return_inverse=True)
             yield pa.record_batch({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64()),
-                                   "tile": pa.nulls(len(pair), pa.int64())})
+                                   "c": pa.array(np.bincount(back.ravel(), c, len(pair)).astype(np.int64)), "tile": pa.nulls(len(pair), pa.int64())})
             if lead:
-                yield pa.record_batch({"a": pa.array(lead, pa.int64()), "b": pa.nulls(len(lead), pa.int64()),
-                                       "tile": pa.array(tile, pa.int64())})
+                nul = pa.nulls(len(lead), pa.int64())
+                yield pa.record_batch({"a": pa.array(lead, pa.int64()), "b": nul, "c": nul, "tile": pa.array(tile, pa.int64())})
     return run
 
 
@@ -344,21 +355,23 @@ def verifier(percent: int):
 
 
 def setter(k: int):
-    """The sorted array of each wanted node, from the text of one document."""
+    """The sorted array of each wanted node, from the text of one document,
+    once a task."""
     def run(batches):
+        seen: set = set()
         for b in batches:
             texts, want = T.as_bytes(b.column(0)), b.column(1).to_numpy()
             for i, j in T.pieces(texts):
-                h, lo, hi = shingle_sets(texts[i:j], k)
-                own = np.flatnonzero(fingerprints(h, lo, hi) == want[i:j])
-                yield pa.record_batch({"fp": pa.array(want[i:j][own], pa.int64()),
-                                       "x": pa.array([h[lo[r]:hi[r]].tobytes() for r in own], pa.binary())})
+                own = [r for r in range(i, j) if want[r] not in seen and not seen.add(want[r])]
+                h, lo, hi = shingle_sets([texts[r] for r in own], k)
+                yield pa.record_batch({"fp": pa.array(want[own], pa.int64()),
+                                       "x": pa.array([h[a:z].tobytes() for a, z in zip(lo, hi)], pa.binary())})
     return run
 
 
 def dealer(buckets: int):
     """The n-grams of nodes as postings, by 32 bits of the hash: two that
-    agree in them only make the bound a little weaker."""
+    agree in them only make the bound a little weaker, as both are counted."""
     def run(batches):
         for b in batches:
             sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
@@ -379,11 +392,10 @@ def sharer(batches):
     order = np.lexsort((fp, key))
     key, fp, n = key[order], fp[order], n[order]
     start = np.concatenate(([True], key[1:] != key[:-1]))
-    other = np.concatenate(([False], fp[1:] != fp[:-1])) & ~start                # a node may come twice
+    other = np.concatenate(([False], fp[1:] != fp[:-1])) & ~start
     run = np.cumsum(start) - 1
     shared = np.bincount(run, other, minlength=run[-1] + 1)[run] > 0
-    once = start | other
-    key, fp, n = key[shared & once], fp[shared & once], n[shared & once]
+    key, fp, n = key[shared], fp[shared], n[shared]
     order = np.argsort(fp, kind="stable")
     key, fp, n = key[order], fp[order], n[order]
     bits = (key & (bits_of(2 * n.astype(np.int64)) - 1).astype(np.uint32)).astype(np.uint16)
@@ -477,7 +489,7 @@ def _pairs(out):
 
 # -- the join --------------------------------------------------------------
 
-PROFILE = "doc_id long, n long, fp long, bm binary, cells binary, slice int"
+PROFILE = "doc_id long, key long, n long, fp long, bm binary, cells binary, slice int"
 POSTINGS = "bucket int, key binary, fp binary, n binary, len binary"
 
 
@@ -488,11 +500,12 @@ class Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark = docs.sparkSession
         self.k, self.percent, self.buckets = k, percent, partitions(self.spark)
-        self.docs = docs
-        both = written(docs.mapInArrow(profiler(k), PROFILE), "profile")
-        self.rows = both.where("slice IS NULL").select("doc_id", "n", "fp")
+        # a row's key stands for its text: rows of a null or repeated id are no group
+        self.docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+        both = written(self.docs.select("doc_id", "text", "key").mapInArrow(profiler(k), PROFILE), "profile")
+        self.rows = both.where("slice IS NULL").select("doc_id", "key", "n", "fp")
         self.nodes = written(both.where("slice IS NULL AND n > 0").groupBy("fp").agg(
-            F.first("n").alias("n"), F.first("bm").alias("bm"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "nodes")
+            F.first("n").alias("n"), F.first("bm").alias("bm"), F.min("key").alias("rep")), "nodes")
         parts = (both.where("slice IS NOT NULL").select("slice", "cells").repartition(SLICES, "slice")
                  .mapInArrow(add_slices, "slice int, cells binary").collect())     # 2^CELL_BITS counts in all
         cells = np.zeros(1 << CELL_BITS, np.uint64)
@@ -502,7 +515,7 @@ class Join:
         self.cells = self.spark.sparkContext.broadcast(cells)
         posts = docs.select("text").mapInArrow(poster(self.cells, self.buckets, k, percent), POSTINGS)
         self.tiles = written(posts.repartition(self.buckets, "bucket").mapInArrow(
-            tiler(self.cells), "tile long, hot boolean, fps array<long>, ns array<long>"), "tiles")
+            tiler(self.cells), "tile long, hot boolean, fps array<long>, ns array<long>, times long"), "tiles")
         self.large = self.tiles.where((F.size("fps") > FEW) | F.col("hot"))
         self.sets = self.signed = None
 
@@ -514,15 +527,16 @@ class Join:
         want = written(want.join(self.nodes.select("fp", "rep"), "fp"), "want")
         if want.count() <= WANTED:
             want = F.broadcast(want)
-        texts = self.docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text")
+        texts = self.docs.select(F.col("key").alias("rep"), "text")
         return texts.join(want, "rep").select("text", "fp").mapInArrow(setter(self.k), "fp long, x binary")
 
     def star(self) -> DataFrame:
-        got = written(self.tiles.mapInArrow(starrer(self.percent), "a long, b long, tile long"), "star")
+        got = written(self.tiles.mapInArrow(starrer(self.percent), "a long, b long, c long, tile long"), "star")
         lead = got.where("tile IS NOT NULL").select("tile", F.col("a").alias("fp"))
         first = lead.groupBy("tile").agg(F.min("fp").alias("m"))
         across = lead.join(first, "tile").where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b"))
-        return got.where("tile IS NULL").select("a", "b").union(across).distinct()
+        often = got.where("tile IS NULL").groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= met(self.percent))
+        return often.select("a", "b").union(across).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link: by the bitmaps' bound, then exactly."""
@@ -530,7 +544,7 @@ class Join:
         may = written(pairs.join(node("a"), "a").join(node("b"), "b").select("a", "b", "an", "bn", "abm", "bbm")
                       .mapInArrow(bounder(self.percent), "a long, b long"), "may")
         if self.sets is None:
-            self.sets = written(self._sets(may), "sets")
+            self.sets = written(self._sets(may).groupBy("fp").agg(F.first("x").alias("x")), "sets")
         n = may.count()
         if not n:
             return may
@@ -598,26 +612,46 @@ def linked(docs: DataFrame, k: int, percent: int):
     return job.rows, roots
 
 
-def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
-    bounded_batches(docs.sparkSession)
-    rows, roots = linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+def _found(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, fp, root, component_id) of every row of (doc_id, text);
+    root: the component's name, null for empty sets."""
+    rows, roots = linked(docs, k, percent)
     least = (rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
              .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
              .withColumn("root", F.coalesce("root", "fp")))
     best = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = least.join(best, "root").select("fp", "component_id")
-    return (rows.join(found, "fp", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    found = least.join(best, "root").select("fp", "root", "component_id")
+    return rows.join(found, "fp", "left")
+
+
+def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
+    found = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"),
+                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, without documents of which a linked
-    one has a smaller id; rows with a null id stay."""
-    found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns, of which each component keeps one
+    text: that of its row with the smallest id (null ids last; ties by a hash
+    of id and text).  Rows are told by id and text, so a clean row that shares
+    its id with a linked one stays; rows alike in id and text stay or go
+    together, but where they are what is kept, one of them stays.  Texts
+    without words all stay."""
+    bounded_batches(docs.sparkSession)
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    found = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent).where("n > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")
+    kept = (found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("c")).groupBy("root")
+            .agg(best, F.sum("c").alias("all"), F.min_by("c", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("c"))
+            .select(F.col("s.key").alias("_kept"), "all", "c"))
+    gone = (found.join(kept.select("_kept"), F.col("key") == F.col("_kept"), "left_anti").select(F.col("key").alias("_gone")).distinct())
+    out = docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    # rows alike in id and text: one of them
+    twice = kept.where("c > 1").select("_kept")
+    again = out.join(twice, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"])
+    return out.join(twice, F.col("_key") == F.col("_kept"), "left_anti").union(again).drop("_key")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir) -> DataFrame:

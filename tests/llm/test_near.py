@@ -82,7 +82,7 @@ def test_threshold_is_exact(spark):
 def test_keep_one_and_empty_table(spark):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (9, "q r s t u"), (None, "a b c d e f g"), (7, "")]
     kept = near.keep_one(docs(spark, rows, _gone=4).withColumnRenamed("_gone", "extra"))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "9", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "9"]
     assert "extra" in kept.columns
     assert near.jaccard_components(docs(spark, rows).limit(0)).count() == 0
 
@@ -104,3 +104,37 @@ def test_regular_texts_are_told_apart(spark, n):
     x, y = regular(n)
     rows = [(1, x), (2, x), (3, y), (4, f"{y} a b c d e f"), (5, f"{x} a b c d e f"), (6, f"{x} a b c d e f")]
     assert run(spark, rows) == brute(rows)
+
+
+def test_keep_one_decides_by_row(spark):
+    same, own = "a b c d e f g", "q r s t u v w"
+    rows = [(1, same), (2, same), (2, own), (None, own + " x y z"), (None, "lone words without any id"), (None, "lone words without any id"), (4, None)]
+    kept = near.keep_one(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted(
+        [("1", same), ("2", own), ("None", own + " x y z"), ("None", "lone words without any id"), ("4", "")])
+
+
+def test_shared_counts_with_equal_32_bits():
+    """Two n-grams of a node that agree in 32 bits are two shared ones."""
+    import numpy as np
+    import pyarrow as pa
+    high = [5 << 32, 7 << 32, 9 << 32]
+    x = np.array([high[0] | 1, high[0] | 2, high[1] | 1], np.uint64)
+    y = np.array([high[0] | 1, high[0] | 2, high[2] | 1], np.uint64)
+    sets = pa.record_batch({"fp": pa.array([1, 2], pa.int64()), "x": pa.array([x.tobytes(), y.tobytes()], pa.binary())})
+    got = {}
+    for b in near.sharer(iter(near.dealer(1)(iter([sets])))):
+        for r in b.to_pylist():
+            got[r["fp"]] = len(np.frombuffer(r["own"], np.uint16))
+    assert got == {1: 2, 2: 2}
+
+
+def test_many_near_copies_without_ids(spark):
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        own[rnd.randrange(80)] = f"e{i}"
+        rows.append((None if i else 7, " ".join(own)))
+    assert run(spark, rows) == brute(rows)
