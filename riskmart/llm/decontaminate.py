@@ -19,7 +19,9 @@ are retrieved; nothing is cut to the best few.
 
 Each hit is verified on the words around the window, widened by the length of
 the whole item: of the item's question (all but its last sentence) and of its
-answer (the last sentence) given shares of the word trigrams must occur.
+answer (the last sentence) given shares of the word trigrams must occur.  An
+item of fewer than WHOLE words must occur whole, word after word; one of a
+single word is thus found wherever the word stands.
 
 The index goes to every task; distinct items are dealt by their hash into
 shards of about SHARD_ITEMS items and SHARD_BYTES of text at most, each with
@@ -29,7 +31,7 @@ with the benchmark.
 Defined cases: null or wordless items match nothing, nor do null or wordless
 texts; words are runs of letters, digits and bytes beyond ASCII with A-Z
 lower-cased; items that repeat an id match each by themselves and count as
-one; documents that repeat an id give a row each; other columns are not read.
+one; items without an id are told as null; documents that repeat an id give a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6          # share of the item's score for its own text
 QUESTION = 0.6           # share of the question's trigrams
 ANSWER = 0.6             # share of the answer's trigrams
+WHOLE = 8                # items of fewer words count only where they occur whole
 SEGMENT = 128            # words of an indexed item at most; longer ones in equal segments
 LEAST_STRIDE = 32
 BLOCK = 8                # items of a block
@@ -97,7 +100,10 @@ class Index:
                 q = a = h
             if not len(h):
                 continue
-            whole = (grams(q), min(3, len(q))), (grams(a), min(3, len(a))), len(h)
+            if len(h) < WHOLE:
+                whole = (grams(h, len(h)), len(h)), (grams(h, len(h)), len(h)), len(h)
+            else:
+                whole = (grams(q), min(3, len(q))), (grams(a), min(3, len(a))), len(h)
             for seg in np.array_split(h, -(-len(h) // SEGMENT)):    # for the search only
                 terms, tf = np.unique(seg, return_counts=True)
                 self.ids.append(item), self.parts.append(whole)
@@ -231,8 +237,8 @@ def indexes(spark, items: DataFrame, item_col="item_id", item_text="text", shard
         items = written(items, "items")
     for s in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()    # about SHARD_ITEMS
-        yield spark.sparkContext.broadcast(Index(sorted((-1 if r.item_id is None else r.item_id, (r.text or "").encode())
-                                                        for r in own)))
+        own = sorted(((r.item_id, (r.text or "").encode()) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield spark.sparkContext.broadcast(Index(own))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", item_text="text",

@@ -17,8 +17,8 @@ pass over all documents.
 
 Defined cases: null and empty texts pool to zeros and are scored like any
 other; labels that repeat a doc_id are averaged (0.5 and more counts as 1),
-null labels and ids are left out; without both labels every score is the
-share of label 1 (0.5 without any); an empty table gives no rows; a null
+null labels and ids are left out; with fewer than LEAST labelled rows or
+without both labels every score is the share of label 1 (0.5 without any); an empty table gives no rows; a null
 doc_id is not held out; other columns are not read.
 """
 
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, learn: Column, id_col="doc_
            .groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect())
     got = sorted(got, key=lambda r: r.doc_id)
     y = np.array([r.y >= 0.5 for r in got], float)
-    if len(got) < 10 or y.min() == y.max():
+    if len(got) < LEAST or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 0.5)
     return Network(np.array([np.frombuffer(r.x, np.float32) for r in got], float), y)
 
@@ -231,6 +231,7 @@ def held_out_rows(docs: DataFrame, id_col="doc_id") -> DataFrame:
     return docs.where(held_out_ids(F.col(id_col))).select(id_col)
 
 
+LEAST = 10               # labelled rows, of both classes, below which every score is the share of label 1
 REJECT = 0.5             # score below which a document is predicted bad and the filter lets it go
 
 

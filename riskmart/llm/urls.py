@@ -15,7 +15,8 @@ the planner.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and meets no rule; a url without a fitting rule is allowed, as the list does
-not name it; repeated and null page ids stay as rows (urls are joined back by
+not name it; of a rule listed twice block wins; a host of any number of labels
+is looked up by as many as the longest listed host has; repeated and null page ids stay as rows (urls are joined back by
 a row key made of the url itself); an empty list allows all; other columns of
 the pages are not read.
 """
@@ -54,9 +55,11 @@ def canonical(url: Column) -> tuple[Column, Column]:
     return F.when(known, host).otherwise(""), F.when(known, path).otherwise("")
 
 
-def lookup_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """host suffix + path prefix, for every suffix and every listed length."""
+def lookup_keys(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """host suffix + path prefix, for every suffix of at most ``labels`` labels
+    (no listed host has more) and every listed length."""
     parts = F.split(host, r"\.", -1)
+    parts = F.slice(parts, F.greatest(F.size(parts) - (labels - 1), F.lit(1)), F.lit(labels))
     hosts = F.transform(F.sequence(F.lit(1), F.size(parts)),
                         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
@@ -117,7 +120,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col="page_id", url_col="ur
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     n = listed.count()
     parts = -(-n * bits_per_key // (8 * filter_bytes))
-    keys = lookup_keys(F.col("host"), F.col("path"), lengths)
+    labels = listed.agg(F.max(F.size(F.split(F.substring("key", F.lit(1), F.col("hl")), r"\.", -1)))).first()[0]
+    keys = lookup_keys(F.col("host"), F.col("path"), lengths, labels)
     urls = rows.select("host", "path").distinct().withColumn("keys", keys)
     hits = None
     for i in range(parts):

@@ -112,3 +112,13 @@ def test_shards_by_distinct_items_and_bytes(spark, monkeypatch):
     indexes = [x.value for x in dc.indexes(spark, copied)]
     assert len(indexes) >= 3 and sorted(i for x in indexes for i in x.ids) == [i for i, _ in bench]
     assert held <= {(r.doc_id, r.item_id) for r in dc.leaks(docs(spark, rows), copied).collect()}
+
+
+def test_items_without_id_and_short_items(spark):
+    long = "what is the name of the river that runs through the old town? it is the long green river"
+    items = [(None, long), (-1, "another long question about mountains and lakes in the north? the answer is seven lakes"),
+             (3, "the"), (4, "blue stone bridge at noon")]
+    rows = [(1, f"x y z {long} z y x"), (2, "the weather is fine"), (3, "a blue stone bridge at noon was seen"),
+            (4, "a stone bridge at noon, blue as the sky"), (5, "bridge noon blue")]
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(docs(spark, rows), bench_table(spark, items)).collect()}
+    assert got == {(1, None), (1, 3), (2, 3), (3, 4), (4, 3)}

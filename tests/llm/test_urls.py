@@ -44,3 +44,16 @@ def test_filter_has_no_false_negatives():
     bloom = urls.build_filter(h[:10000])
     assert urls.may_hold(bloom, h[:10000]).all()
     assert urls.may_hold(bloom, h[10000:]).mean() < 0.01
+
+
+def test_hosts_of_many_labels_and_rules_listed_twice(spark):
+    import time
+    long = "a." * 300_000
+    rows = [(1, f"http://{long}example.com/en/x"), (2, f"http://{long}com/"), (3, "http://q.net/"), (4, f"http://{long}org/")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame([("example.com", "/en/", "block"), ("com", "/", "allow"), ("net", "/", "allow"), ("net", "/", "block")],
+                                  "host string, path string, verdict string")
+    begun = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df, rules).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("com/", "allow"), 3: ("net/", "block"), 4: (None, "allow")}
+    assert time.time() - begun < 60
