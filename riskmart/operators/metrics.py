@@ -2,8 +2,8 @@
 
 Input is a scored frame (label, probability).  Counts are one global
 aggregate (partial per task); the exact ROC-AUC groups by distinct score
-first and ranks the distinct scores with distributed prefix sums, so no
-task ever holds more than one bucket of distinct scores.
+first and sums the pairs by prefixes of the scores' bits, so no task
+ever holds more of them than share a prefix of their bits.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmart.operators.ranking import prefix_sums
+from riskmart.operators.ranking import ordered_pairs
 from riskmart.schemas import CLASS_NAMES, DEFAULT_THRESHOLD, LABEL_COL, LEADERBOARD_MARKS
 
 
@@ -52,7 +52,7 @@ def scores_from_counts(c: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = LABEL_COL, prob: str = "p", digits: int | None = None,
-            group_cols: tuple[str, ...] = (), num_partitions: int | None = None) -> DataFrame:
+            group_cols: tuple[str, ...] = ()) -> DataFrame:
     """EVL-2: exact ROC-AUC with ties counted one half, per group:
     sum over distinct scores s of pos(s) * (neg below s + neg(s)/2) / (P*N).
     ``digits`` rounds the score first (to merge scores that differ only in
@@ -61,10 +61,8 @@ def roc_auc(df: DataFrame, label: str = LABEL_COL, prob: str = "p", digits: int
     g = list(group_cols)
     by_score = df.groupBy(*g, s.alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    ranked = prefix_sums(by_score, "_s", {"neg": "_neg"}, tuple(g), num_partitions)
-    return ranked.groupBy(*g).agg(
-        F.try_divide(F.sum(F.col("_pos") * (F.col("neg_before") + F.col("_neg") / 2)),
-                     F.sum("_pos").cast("double") * F.sum("_neg")).alias("roc_auc"))
+    pairs = ordered_pairs(by_score, "_s", "_pos", "_neg", tuple(g))
+    return pairs.select(*g, F.try_divide(F.col("pairs"), F.col("upper").cast("double") * F.col("lower")).alias("roc_auc"))
 
 
 def classification_report(df: DataFrame, label: str = LABEL_COL, prob: str = "p",

@@ -11,7 +11,7 @@ from riskmart.operators import metrics as ME
 from riskmart.operators import prep as PR
 from riskmart.operators import rollups as RU
 from riskmart.operators import scorecard as SC
-from riskmart.operators.ranking import prefix_sums
+from riskmart.operators.ranking import ordered_pairs, prefix_sums
 from riskmart.plans import catalog as C
 from riskmart.sources.adapter import LendingTables
 
@@ -63,13 +63,55 @@ def test_prefix_sums_match_cumsum(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), float(i), rnd.randint(0, 5)) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, k double, w long")
-    out = prefix_sums(df, "k", {"c": "w"}, ("g",), num_partitions=7).toPandas()
+    out = prefix_sums(df, "k", {"c": "w"}, ("g",)).toPandas()
     for g, part in out.groupby("g"):
         part = part.sort_values("k")
         assert (part.c_incl.values == part.w.cumsum().values).all()
         assert (part.c_before.values == part.c_incl.values - part.w.values).all()
 
 
+def _hard_doubles():
+    rnd = np.random.default_rng(8)
+    some = rnd.integers(0, 1 << 64, 4000, dtype=np.uint64).view(np.float64)      # every exponent, subnormals too
+    near = np.concatenate([np.nextafter(2.0 ** e, [0, np.inf]) for e in range(-1021, 1023, 7)])
+    edge = [5e-324, 2.0 ** -1022, np.nextafter(2.0 ** -1022, 0), 1.7976931348623157e308, np.inf, 1.0, 0.5, 0.1]
+    x = np.concatenate((some[~np.isnan(some)], near, edge, rnd.random(2000), 0.5 + rnd.random(500) * 1e-13))
+    return np.unique(np.concatenate((x, -x))) + 0.0
+
+
+def test_double_image_is_the_bits_in_order(spark):
+    from riskmart.operators.ranking import double_image
+    x = _hard_doubles()
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    got = {repr(r.x): r.i for r in df.select("x", double_image(F.col("x")).alias("i")).collect()}
+    bits = np.abs(x).view(np.int64)
+    want = np.where(x < 0, -1 - bits, bits)
+    assert all(got[repr(float(v))] == int(w) for v, w in zip(x, want))
+    assert got["None"] < want.min() and got["nan"] > want.max()
+
+
+def test_prefix_sums_of_hard_values_and_a_fixed_plan(spark):
+    x = _hard_doubles()
+    df = spark.createDataFrame([(float(v), 1) for v in x] + [(None, 1)], "k double, w long")
+    out = prefix_sums(df, "k", {"c": "w"})
+    got = {repr(r.k): (r.c_before, r.c_incl) for r in out.collect()}
+    assert got["None"] == (0, 1) and len(got) == len(x) + 1
+    assert all(got[repr(float(v))] == (i + 1, i + 2) for i, v in enumerate(np.sort(x)))
+    assert prefix_sums(df.limit(0), "k", {"c": "w"}).collect() == []
+    n = len(x) + 1
+    pairs = ordered_pairs(df, "k", "w", "w").first()
+    assert (pairs.pairs, pairs.upper, pairs.lower) == (n * n / 2, n, n)
+
+    def plan():
+        return len(prefix_sums(df, "k", {"c": "w"})._jdf.queryExecution().optimizedPlan().toString())
+    had, few = spark.conf.get("spark.sql.shuffle.partitions"), plan()
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        assert abs(plan() - few) < 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
 def test_median_matches_numpy(spark):
     rnd = np.random.default_rng(5)
     vals = np.concatenate([rnd.integers(0, 30, 301).astype(float), np.full(400, 7.0)])
