@@ -532,8 +532,9 @@ def _run_stream(spark, sf_dir) -> str:
 
 @register("stream_decisions")
 def q_stream_decisions(spark, sf_dir):
+    from riskmart.streaming.scoring import read_scored
     base = _run_stream(spark, sf_dir)
-    out = spark.read.parquet(f"{base}/out")
+    out = read_scored(spark, f"{base}/out")
     return out.select("applicant_id", F.col("ml_result.decision").alias("decision"),
                       F.col("ml_result.confidence").alias("confidence"),
                       F.col("ml_result.prob_default").alias("prob_default"))
@@ -541,6 +542,7 @@ def q_stream_decisions(spark, sf_dir):
 
 @register("stream_rejected")
 def q_stream_rejected(spark, sf_dir):
+    from riskmart.streaming.scoring import read_rejected
     base = _run_stream(spark, sf_dir)
-    rej = spark.read.parquet(f"{base}/rejected")
+    rej = read_rejected(spark, f"{base}/out", f"{base}/rejected")
     return rej.select("applicant_id", F.size(VA.VIOLATIONS).cast("bigint").alias("n_violations"))

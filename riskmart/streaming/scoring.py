@@ -3,12 +3,18 @@ DataFrame code as the batch path.
 
 The stream is stateless (each request is scored on its own), so it needs no
 watermark; ``foreachBatch`` writes the decisions and the rejected requests
-of each micro-batch into folders named by the batch id with overwrite, so a
-re-run of a batch after a failure replaces its own output (idempotent).
+of each micro-batch into folders named by the batch id with overwrite, and
+then one commit record, by one rename.  ``read_scored`` shows the batches that
+have a record, so both outputs of a batch are seen together or not at all.  A
+batch run again after a failure between the writes replaces its own folders;
+one run again after its record is there changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +46,65 @@ def decide_batch(requests: DataFrame, scorer: str = "logit", bundle=None) -> tup
     return decide_valid(valid.drop(VA.VIOLATIONS), scorer, bundle), rejected
 
 
+COMMIT = "batch bigint, query string, n_decisions bigint, n_rejected bigint"
+
+
+def commits_path(out_dir: str) -> str:
+    """The folder of the commit records of a stream that writes to ``out_dir``."""
+    return out_dir.rstrip("/") + ".commits"
+
+
+def _commit(spark: SparkSession, out_dir: str, record: dict) -> None:
+    """Publish a batch's record; one that is there already stays."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(commits_path(out_dir))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    draft, final = hadoop(folder, f"_{uuid.uuid4().hex}"), hadoop(folder, f"{record['batch']:012d}.json")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(record).encode()))
+    out.close()
+    if not fs.rename(draft, final):
+        raise OSError(f"cannot publish {final}")
+
+
+def _committed(spark: SparkSession, out_dir: str, batch_id: int, query: str) -> bool:
+    """Whether the batch has a record; one of another stream is an error, as
+    its batch of that number held other requests."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(commits_path(out_dir), f"{batch_id:012d}.json")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return False
+    record = spark.read.schema(COMMIT).json(path.toString()).first()
+    if record.query != query:
+        raise ValueError(f"{out_dir} holds batch {batch_id} of another stream; its checkpoint is not the one given")
+    return True
+
+
+def read_commits(spark: SparkSession, out_dir: str) -> DataFrame:
+    """One row per committed batch, with the rows its two outputs hold."""
+    return spark.read.schema(COMMIT).json(commits_path(out_dir))
+
+
+def read_scored(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The rows of the committed batches in ``out_dir``, with ``batch``."""
+    return _of_committed(spark, out_dir, out_dir)
+
+
+def read_rejected(spark: SparkSession, out_dir: str, rejected_dir: str) -> DataFrame:
+    """The rejected requests of the batches committed in ``out_dir``."""
+    return _of_committed(spark, rejected_dir, out_dir)
+
+
+def _of_committed(spark: SparkSession, folder: str, out_dir: str) -> DataFrame:
+    rows = spark.read.parquet(folder).withColumn("batch", F.col("batch").cast("bigint"))
+    return rows.join(read_commits(spark, out_dir).select("batch"), "batch", "left_semi")
+
+
 def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                  rejected_dir: str | None = None, scorer: str = "logit", bundle=None,
                  available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the scoring stream; returns the ``StreamingQuery``."""
+    """Start the scoring stream; returns the ``StreamingQuery``.  Read its
+    outputs with ``read_scored`` and ``read_rejected``."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -51,6 +112,9 @@ def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     requests = VA.coerce(parse_requests(reader.load(in_dir)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if _committed(spark, out_dir, batch_id, query):
+            return
         checked = VA.prepare_requests(batch).persist()       # parsed and checked once for both outputs
         try:
             valid, rejected = VA.split_valid(checked)
@@ -58,6 +122,9 @@ def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
             write_decisions(decisions, f"{out_dir}/batch={batch_id}", mode="overwrite")   # SNK-3
             if rejected_dir:
                 rejected.write.mode("overwrite").parquet(f"{rejected_dir}/batch={batch_id}")
+            bad = F.size(VA.VIOLATIONS) > 0
+            n = checked.agg(F.count_if(~bad).alias("n_decisions"), F.count_if(bad).alias("n_rejected")).first()
+            _commit(spark, out_dir, {"batch": batch_id, "query": query, **n.asDict()})
         finally:
             checked.unpersist()
 

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -36,6 +37,51 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len([d for d in os.listdir(f"{base}/out") if d.startswith("batch=")]) >= 2
 
 
+def test_both_outputs_of_a_batch_are_committed_together(spark, tmp_path, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+    from riskmart.streaming import scoring as ST
+    apps = LendingTables(spark, SF_SMALL).applicants()
+    base = str(tmp_path)
+    write_requests_json(apps, f"{base}/in", files=2)
+
+    def run(checkpoint="ck"):
+        q = score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/{checkpoint}", f"{base}/rej", max_files_per_trigger=1)
+        q.awaitTermination()
+
+    def seen():
+        return (_flat(ST.read_scored(spark, f"{base}/out")), ST.read_rejected(spark, f"{base}/out", f"{base}/rej").count())
+
+    whole, n = _flat(decide_batch(apps)[0]), decide_batch(apps)[1].count()
+    # the second batch ends after its decisions, before its record
+    commit, done = ST._commit, []
+
+    def crash(spark, out_dir, record):
+        if done:
+            raise OSError("lost before the record")
+        done.append(record)
+        commit(spark, out_dir, record)
+    monkeypatch.setattr(ST, "_commit", crash)
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert os.path.exists(f"{base}/out/batch=1")
+    first = seen()
+    assert (len(first[0]), first[1]) == (done[0]["n_decisions"], done[0]["n_rejected"]) and len(first[0]) < len(whole)
+    # run again: the batch replaces its own folders and gets its record
+    monkeypatch.setattr(ST, "_commit", commit)
+    run()
+    assert seen() == (whole, n)
+    # a crash after the record, before Spark's own: the batch comes again and changes nothing
+    written = sorted(os.listdir(f"{base}/out/batch=1"))
+    for name in ("1", ".1.crc"):
+        if os.path.exists(f"{base}/ck/commits/{name}"):
+            os.remove(f"{base}/ck/commits/{name}")
+    run()
+    assert seen() == (whole, n) and sorted(os.listdir(f"{base}/out/batch=1")) == written
+    assert [r.batch for r in ST.read_commits(spark, f"{base}/out").orderBy("batch").collect()] == [0, 1]
+    with pytest.raises(StreamingQueryException, match="another stream"):
+        run("other")
+
+
 def test_fit_save_load_predict(spark, tmp_path):
     prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
     model, secs = MD.fit_preset(prep.train, prep.feature_cols, "gbt_main", overrides=FEW)
