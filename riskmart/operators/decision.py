@@ -208,6 +208,20 @@ def decide(df: DataFrame, has_model: bool = True, threshold: float = DEFAULT_THR
     return flat.select(*keys, pre.alias("pre_screening"), ml.alias("ml_result"))
 
 
+def response_rows(responses: DataFrame, keys=("applicant_id",)) -> DataFrame:
+    """Nested responses as one flat row per applicant and criterion: its place
+    in the path, what ``results`` and ``weights`` hold for it, and the scalar
+    fields of both parts with the sizes of the lists."""
+    at = responses.select(*keys, "pre_screening", "ml_result", F.posexplode("pre_screening.path").alias("_pos", "criterion"))
+    result = F.col("pre_screening.results")[F.col("criterion")]
+    lists = ("key_strengths", "key_risks", "conditions")
+    return at.select(
+        *keys, (F.col("_pos") + 1).alias("step"), "criterion", result["earned"].alias("earned"), result["max"].alias("max_points"),
+        result["detail"].alias("detail"), F.col("pre_screening.weights")[F.col("criterion")].alias("weight"), "pre_screening.score",
+        *[F.col(f"ml_result.{f}").alias(f) for f in ML_FIELDS if f not in lists],
+        *[F.size(f"ml_result.{f}").alias(f"n_{f}") for f in lists])
+
+
 # --------------------------------------------------------------------------
 # Display-layer derivations
 # --------------------------------------------------------------------------

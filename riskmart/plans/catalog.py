@@ -24,7 +24,7 @@ from riskmart.operators import rollups as RU
 from riskmart.operators import scorecard as SC
 from riskmart.operators import validation as VA
 from riskmart.operators.profile import profile_tables
-from riskmart.schemas import APPLICATION_SCHEMA, MART_CATEGORICAL
+from riskmart.schemas import APPLICATION_SCHEMA, BUREAU_SCHEMA, MART_CATEGORICAL
 from riskmart.session import scratch_path
 from riskmart.sources import readers as RD
 from riskmart.sources.adapter import LendingTables
@@ -294,6 +294,12 @@ def q_decision_struct(spark, sf_dir):
     return DC.decide(scored, has_model=True)
 
 
+@register("response_rows")
+def q_response_rows(spark, sf_dir):
+    """DEC-17, SCR-7 and SCR-8 as flat rows: the nested response read back."""
+    return DC.response_rows(q_decision_struct(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- prep
 
 MART_COLUMNS = ([f.name for f in APPLICATION_SCHEMA.fields] + RU.ROLLUP_COLS + FE.MART_FEATURES
@@ -490,6 +496,22 @@ def q_csv_rollup_bureau(spark, sf_dir):
     return RU.rollup_bureau(RD.read_bureau(spark, path))
 
 
+@register("csv_rejected_cells")
+def q_csv_rejected_cells(spark, sf_dir):
+    """SRC-2 with quarantine: the bureau view as CSV in which some cells hold
+    no number, read in one scan; the rejected cells."""
+    path = scratch_path(spark, "bureau-spoilt-csv")
+    day = F.col("DAYS_CREDIT").cast("int").cast("string")
+    spoilt = as_exported(_t(spark, sf_dir).bureau()).withColumns({
+        "DAYS_CREDIT": F.when(F.col("SK_ID_BUREAU") % 53 == 0, F.concat(F.lit("day "), day))
+        .otherwise(F.col("DAYS_CREDIT").cast("string")),
+        "AMT_CREDIT_SUM": F.when(F.col("SK_ID_BUREAU") % 97 == 0, F.lit("n/a, unknown"))
+        .otherwise(F.col("AMT_CREDIT_SUM").cast("string"))})
+    spoilt.write.option("header", True).option("nullValue", "NaN").mode("overwrite").csv(path)
+    got = RD.ingest_csv(spark, path, BUREAU_SCHEMA, scratch_path(spark, "bureau-rows"), ("SK_ID_BUREAU",))
+    return got.rejected.drop("line")
+
+
 @register("csv_feature_mart", MART_DIGITS)
 def q_csv_feature_mart(spark, sf_dir):
     """SRC-1..5 end to end: the five lending views written as CSV files

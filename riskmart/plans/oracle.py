@@ -592,3 +592,60 @@ SQL["json_applicant_split"] = SQL["applicant_split"]
 SQL["stream_decisions"] = SQL["decisions"]
 sql("stream_rejected", "SELECT applicant_id, count(*) AS n_violations FROM viol GROUP BY applicant_id",
     REQ_CTES)
+
+sql("csv_rejected_cells", """
+SELECT SK_ID_BUREAU, 'DAYS_CREDIT' AS "column", 'day ' || CAST(DAYS_CREDIT AS VARCHAR) AS text
+FROM bureau WHERE SK_ID_BUREAU % 53 = 0 AND DAYS_CREDIT IS NOT NULL
+UNION ALL SELECT SK_ID_BUREAU, 'AMT_CREDIT_SUM', 'n/a, unknown' FROM bureau WHERE SK_ID_BUREAU % 97 = 0""")
+
+
+# ---------------------------------------------------------------- nested response, flat
+def _band_text(x: str, bands, other: str, cmp: str) -> str:
+    whens = " ".join(f"WHEN {x} {cmp} {dbl(edge)} THEN {lit(name)}" for edge, _, name in bands)
+    return f"CASE {whens} ELSE {lit(other)} END"
+
+
+def _details_sql() -> dict:
+    from riskmart.schemas import (DTI_BANDS, DTI_ELSE, EMPLOYMENT_EMPLOYED, EMPLOYMENT_SELF, EMPLOYMENT_TOP,
+                                  EXT_SOURCE_BANDS, EXT_SOURCE_ELSE, INCOME_STABILITY_BANDS, INCOME_STABILITY_ELSE)
+    mean, months = "coalesce(ext_source_mean, 0.5::DOUBLE)", "coalesce(employment_months, 0)"
+    years, own = "coalesce(CAST(employment_years AS DOUBLE), 0.0::DOUBLE)", "coalesce(own_realty, 'N')"
+    dti, kind = "(coalesce(annuity_income_ratio, 1.0::DOUBLE) * 100)", "lower(coalesce(income_type, ''))"
+
+    def text(x, n):
+        """Half-even on the shortest decimal form, in whole units of the last digit."""
+        units = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 18)) * {10 ** n})"
+        up = f"({units} - floor({units}) > 0.5 OR ({units} - floor({units}) = 0.5 AND floor({units}) % 2 = 1))"
+        return f"printf('%.{n}f', CAST(floor({units}) + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / {10 ** n})"
+
+    held = lambda xs: ", ".join(lit(x) for x in xs)
+    return {
+        "ext_source_score": f"{_band_text(mean, EXT_SOURCE_BANDS, EXT_SOURCE_ELSE, '>=')} || ' (' || {text(mean, 2)} || ')'",
+        "repayment_history": f"{text(years, 1)} || ' yrs employment, realty=' || {own}",
+        "income_stability": f"{_band_text(months, INCOME_STABILITY_BANDS, INCOME_STABILITY_ELSE, '>=')} || ' (' || {months} || ' months)'",
+        "debt_to_income": f"{_band_text(dti, DTI_BANDS, DTI_ELSE, '<=')} || ' (' || {text(dti, 1)} || '%)'",
+        "employment_status": f"CASE WHEN {kind} IN ({held(EMPLOYMENT_TOP)}) THEN 'Stable (' || {kind} || ')' "
+                             f"WHEN {kind} IN ({held(EMPLOYMENT_EMPLOYED)}) THEN 'Employed (' || {kind} || ')' "
+                             f"WHEN {kind} = {lit(EMPLOYMENT_SELF)} THEN 'Self-employed' ELSE 'Other (' || {kind} || ')' END",
+    }
+
+
+_STEPS = "\nUNION ALL ".join(
+    f"SELECT applicant_id, {i + 1} AS step, '{c}' AS criterion, {c} AS earned, {_WEIGHTS[c]} AS max_points, "
+    f"{d} AS detail, {_WEIGHTS[c]} AS weight, score FROM card" for i, (c, d) in enumerate(_details_sql().items()))
+_LISTS = ("SELECT applicant_id, CAST(count_if(kind = 'strength') AS INTEGER) AS n_key_strengths, "
+          "CAST(count_if(kind = 'risk') AS INTEGER) AS n_key_risks, CAST(count_if(kind = 'condition') AS INTEGER) AS n_conditions "
+          f"FROM ({_reason_sql()}) x GROUP BY applicant_id")
+sql("response_rows", """
+SELECT s.*, d.decision,
+ round_even(CASE WHEN d.decision = 'APPROVED' THEN (1 - d.p) * 100 ELSE d.p * 100 END, 1) AS confidence,
+ round_even(d.p * 100, 2) AS prob_default, m.max_eligible_amount, m.suggested_interest_rate, m.estimated_emi,
+ 'Applicant has a ' || printf('%.1f', d.p * 100) || '% estimated default probability. ' ||
+ CASE d.decision WHEN 'APPROVED' THEN 'Application meets lending criteria.'
+   WHEN 'CONDITIONAL' THEN 'Application carries elevated risk.' ELSE 'Does not meet minimum risk thresholds.' END AS officer_note,
+ l.n_key_strengths, l.n_key_risks, l.n_conditions
+FROM steps s JOIN dec d USING (applicant_id) JOIN money m USING (applicant_id) JOIN lists l USING (applicant_id)""",
+    {**PRICE_CTES, **CARD_CTES, "steps": _STEPS, "lists": _LISTS, "money": f"""
+SELECT applicant_id, CAST(round_even(max_loan, 0) AS BIGINT) AS max_eligible_amount,
+ CAST(interest_rate AS VARCHAR) || '%' AS suggested_interest_rate, CAST(round_even({EMI}, 0) AS BIGINT) AS estimated_emi
+FROM priced"""})

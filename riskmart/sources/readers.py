@@ -9,7 +9,9 @@ as text and coerced afterwards (browsers send "2" for ints).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,7 @@ from riskmart.schemas import (APPLICANT_DEFAULTS, APPLICANT_RAW_SCHEMA, APPLICAT
                               INSTALLMENTS_SCHEMA, POS_CASH_SCHEMA, PREVIOUS_SCHEMA)
 
 RAW_TEXT = "_request"
+BAD, LINE = "_bad_cells", "_line"
 
 FILE_NAMES = {
     "application": "application_train",
@@ -51,14 +54,17 @@ def cell(name: str, kind: T.DataType) -> Column:
     return number
 
 
+def _is_bad(f) -> Column:
+    """Whether a text cell is neither a value of the field's type nor missing."""
+    text = F.trim(F.col(f"`{f.name}`"))
+    return (text != "") & (F.lower(text) != "nan") & cell(f.name, f.dataType).isNull()
+
+
 def bad_cells(spark: SparkSession, path: str, schema) -> DataFrame:
     """(column, n): cells of typed columns that hold a text which is neither
     a value of the type nor missing."""
-    def bad(f):
-        text = F.trim(F.col(f"`{f.name}`"))
-        return F.count_if((text != "") & (F.lower(text) != "nan") & cell(f.name, f.dataType).isNull())
     typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    counts = csv_text(spark, path, schema).agg(*[bad(f).alias(f.name) for f in typed])
+    counts = csv_text(spark, path, schema).agg(*[F.count_if(_is_bad(f)).alias(f.name) for f in typed])
     pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("n")) for f in typed])
     return counts.select(F.inline(pairs)).where("n > 0")
 
@@ -78,6 +84,48 @@ def read_csv_table(spark: SparkSession, path: str, schema, further: bool = False
                       *[(cell(c, T.DoubleType()) if numeric[c] else F.col(f"`{c}`")).alias(c) for c in more])
 
 
+class Ingested(NamedTuple):
+    """A file read once: its typed rows, its rejected cells (the schema's
+    ``keys``, column, text, line) and counts (n_rows, n_bad_rows, n_bad_cells)."""
+    rows: DataFrame
+    rejected: DataFrame
+    counts: dict
+
+
+def ingest_csv(spark: SparkSession, path: str, schema, out_dir: str, keys: tuple[str, ...] = (),
+               further: bool = False) -> Ingested:
+    """Read CSV files with quarantine, in one scan of the text: typed rows are
+    written to ``out_dir`` together with the cells that do not parse, and the
+    counts are observed while writing.  A rejected cell is NULL in the rows, as
+    ``read_csv_table`` has it, and a row of ``rejected`` with the cell's text
+    and the row's cells as one CSV line.  ``further`` keeps the file's other
+    columns: they are written as text, and read as numbers where the same scan
+    saw nothing else in them."""
+    raw = csv_text(spark, path, schema)
+    known = [f.name for f in schema.fields]
+    more = [c for c in raw.columns if c not in known] if further else []
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    found = F.array_compact(F.array(*[F.when(_is_bad(f), F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("text")))
+                                      for f in typed]))
+    line = F.when(F.size(found) > 0, F.to_csv(F.struct(*[F.col(f"`{c}`") for c in raw.columns])))
+    rows = raw.select(*[cell(f.name, f.dataType).alias(f.name) for f in schema.fields], *[F.col(f"`{c}`") for c in more],
+                      found.alias(BAD), line.alias(LINE))
+    text = lambda c: F.trim(F.col(f"`{c}`"))
+    seen = Observation()
+    (rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.size(BAD) > 0).alias("n_bad_rows"),
+                  F.coalesce(F.sum(F.size(BAD)), F.lit(0)).alias("n_bad_cells"),
+                  *[F.coalesce(F.bool_and((text(c) == "") | text(c).try_cast("double").isNotNull()), F.lit(True)).alias(f"numeric_{i}")
+                    for i, c in enumerate(more)])
+     .write.mode("overwrite").parquet(out_dir))
+    got = dict(seen.get)
+    numeric = {c: got.pop(f"numeric_{i}") for i, c in enumerate(more)}
+    held = spark.read.parquet(out_dir)
+    clean = held.select(*[F.col(f"`{c}`") for c in known],
+                        *[(cell(c, T.DoubleType()) if numeric[c] else F.col(f"`{c}`")).alias(c) for c in more])
+    rejected = held.where(F.size(BAD) > 0).select(*keys, F.inline(BAD), F.col(LINE).alias("line"))
+    return Ingested(clean, rejected, got)
+
+
 def read_applications(spark: SparkSession, path: str, schema=APPLICATION_SCHEMA) -> DataFrame:
     """SRC-1: every column of the file is kept as a feature."""
     return read_csv_table(spark, path, schema, further=True)

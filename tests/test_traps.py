@@ -160,6 +160,16 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert "NOTE" not in rows[1].asDict()
     bad = RD.bad_cells(spark, path, RD.PREVIOUS_SCHEMA).collect()
     assert [(r.column, r.n) for r in bad] == [("DAYS_DECISION", 1)]
+    got = RD.ingest_csv(spark, path, RD.PREVIOUS_SCHEMA, str(tmp_path / "rows"), ("SK_ID_PREV",), further=True)
+    assert got.counts == {"n_rows": 2, "n_bad_rows": 1, "n_bad_cells": 1}
+    assert [tuple(r) for r in got.rejected.collect()] == [(7, "DAYS_DECISION", "bad", "7,2.0,y,,bad,Refused,100")]
+    assert {r.NOTE for r in got.rows.collect()} == {"x", "y"}
+    plain = RD.read_previous_applications(spark, path)
+    assert sorted(map(str, got.rows.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    with open(str(tmp_path / "none.csv"), "w") as f:
+        f.write("SK_ID_PREV,SK_ID_CURR,NOTE,AMT_ANNUITY,DAYS_DECISION,NAME_CONTRACT_STATUS,AMT_CREDIT\n")
+    none = RD.ingest_csv(spark, str(tmp_path / "none.csv"), RD.PREVIOUS_SCHEMA, str(tmp_path / "no-rows"), further=True)
+    assert none.counts == {"n_rows": 0, "n_bad_rows": 0, "n_bad_cells": 0} and none.rejected.count() == 0
     with open(str(tmp_path / "q.csv"), "w") as f:
         f.write("SK_ID_PREV,SK_ID_CURR\n1,2\n")
     with pytest.raises(ValueError, match="NAME_CONTRACT_STATUS"):
