@@ -35,8 +35,11 @@ have null ids has a null component_id; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ from riskmart.llm.spark import bounded_batches, partitions, table, written
 
 K = 5
 PERCENT = 75
-CELL_BITS = 20
+CELL_BITS = 22       # the count table: 16 MB a task and on the driver
 SLICES = 64
 TILE = 4096          # members of a hot tile that one task takes
 FEW = 8              # members of a tile up to which all its pairs are tried at once
@@ -129,7 +132,7 @@ def profiler(k: int):
             ids, texts = b.column(0).cast(pa.int64()), T.as_bytes(b.column(1))
             for i, j in T.pieces(texts):
                 h, lo, hi = shingle_sets(texts[i:j], k)
-                cells += np.bincount(cell_of(h), minlength=len(cells)).astype(np.uint32)
+                np.add.at(cells, cell_of(h), np.uint32(1))
                 fps = fingerprints(h, lo, hi)
                 yield pa.record_batch({
                     "doc_id": ids.slice(i, j - i), "key": b.column(2).slice(i, j - i), "n": pa.array(hi - lo, pa.int64()),
@@ -140,7 +143,7 @@ def profiler(k: int):
         some = [i for i in range(SLICES) if parts[i].any()]
         nul = pa.nulls(len(some), pa.int64())
         yield pa.record_batch({"doc_id": nul, "key": nul, "n": nul, "fp": nul, "bm": pa.nulls(len(some), pa.binary()),
-                               "cells": pa.array([parts[i].tobytes() for i in some], pa.binary()),
+                               "cells": pa.array([zlib.compress(parts[i], 1) for i in some], pa.binary()),
                                "slice": pa.array(some, pa.int32())})
     return run
 
@@ -149,10 +152,10 @@ def add_slices(batches):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = np.frombuffer(x, np.uint32).astype(np.uint64)
+            own = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64)
             sums[s] = sums[s] + own if s in sums else own
     yield pa.record_batch({"slice": pa.array(list(sums), pa.int32()),
-                           "cells": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+                           "cells": pa.array([np.minimum(x, U64(2**32 - 1)).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())})
 
 
 # -- tiles -----------------------------------------------------------------
@@ -201,7 +204,6 @@ def poster(cells, buckets: int, k: int, percent: int):
     def run(batches):
         count = cells.value
         mean = float(count.mean())
-        rank = (np.minimum(count, U64(2**24 - 1)) << U64(40)).astype(np.uint64)
         seen: set = set()
         held, size = [], 0
 
@@ -216,7 +218,7 @@ def poster(cells, buckets: int, k: int, percent: int):
             for i, j in T.pieces(texts):
                 h, lo, hi = shingle_sets(texts[i:j], k)
                 fps = fingerprints(h, lo, hi)
-                order = rank[cell_of(h)] | (h >> U64(24))
+                order = (np.minimum(count[cell_of(h)], 2**24 - 1).astype(np.uint64) << U64(40)) | (h >> U64(24))
                 keys, own, sizes = [], [], []
                 for f, a, z in zip(fps.tolist(), lo.tolist(), hi.tolist()):
                     if z > a and f not in seen:
@@ -318,13 +320,18 @@ def may_link(n, m, diff, percent: int):
 
 
 def bounder(percent: int):
+    """The pairs that may link, (larger set, smaller set): a star's centre is
+    its smallest set, so one copy of it serves all its pairs."""
     def run(batches):
         for b in batches:
             n, m = (b.column(c).to_numpy() for c in ("an", "bn"))
             diff = np.array([differing(x, y) for x, y in zip(b.column("abm").to_pylist(), b.column("bbm").to_pylist())],
                             np.int64)
             ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & may_link(n, m, diff, percent)
-            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            x, y = (b.column(c).to_numpy() for c in ("a", "b"))
+            turn = (n < m) | ((n == m) & (x < y))
+            yield pa.record_batch({"a": pa.array(np.where(turn, y, x)[ok], pa.int64()),
+                                   "b": pa.array(np.where(turn, x, y)[ok], pa.int64())})
     return run
 
 
@@ -345,16 +352,18 @@ def verifier(percent: int):
 
 def setter(k: int):
     """The sorted array of each wanted node, from the text of one document,
-    once a task."""
+    once a task, and the task's number."""
     def run(batches):
         seen: set = set()
+        task = TaskContext.get().partitionId()
         for b in batches:
             texts, want = T.as_bytes(b.column(0)), b.column(1).to_numpy()
             for i, j in T.pieces(texts):
                 own = [r for r in range(i, j) if want[r] not in seen and not seen.add(want[r])]
                 h, lo, hi = shingle_sets([texts[r] for r in own], k)
                 yield pa.record_batch({"fp": pa.array(want[own], pa.int64()),
-                                       "x": pa.array([h[a:z].tobytes() for a, z in zip(lo, hi)], pa.binary())})
+                                       "x": pa.array([h[a:z].tobytes() for a, z in zip(lo, hi)], pa.binary()),
+                                       "task": pa.array([task] * len(own), pa.int32())})
     return run
 
 
@@ -497,10 +506,10 @@ class Join:
             F.first("n").alias("n"), F.first("bm").alias("bm"), F.min("key").alias("rep")), "nodes")
         parts = (both.where("slice IS NOT NULL").select("slice", "cells").repartition(SLICES, "slice")
                  .mapInArrow(add_slices, "slice int, cells binary").collect())     # 2^CELL_BITS counts in all
-        cells = np.zeros(1 << CELL_BITS, np.uint64)
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
         for r in parts:
             width = len(cells) // SLICES
-            cells[r.slice * width:(r.slice + 1) * width] = np.frombuffer(r.cells, np.uint64)
+            cells[r.slice * width:(r.slice + 1) * width] = np.frombuffer(r.cells, np.uint32)
         self.cells = self.spark.sparkContext.broadcast(cells)
         posts = docs.select("text").mapInArrow(poster(self.cells, self.buckets, k, percent), POSTINGS)
         self.tiles = written(posts.repartition(self.buckets, "bucket").mapInArrow(
@@ -517,7 +526,15 @@ class Join:
         if want.count() <= WANTED:
             want = F.broadcast(want)
         texts = self.docs.select(F.col("key").alias("rep"), "text")
-        return texts.join(want, "rep").select("text", "fp").mapInArrow(setter(self.k), "fp long, x binary")
+        sets = written(texts.join(want, "rep").select("text", "fp").mapInArrow(setter(self.k), "fp long, x binary, task int"), "sets")
+        # rows alike in id and text give a node once a task: that of the first task counts
+        twice = written(sets.groupBy("fp").agg(F.min("task").alias("first"), F.count("*").alias("c")).where("c > 1")
+                        .select("fp", "first"), "twice")
+        n = twice.count()
+        if not n:
+            return sets.select("fp", "x")
+        twice = F.broadcast(few(twice, n)) if n <= WANTED else twice
+        return sets.join(twice, "fp", "left").where("first IS NULL OR task = first").select("fp", "x")
 
     def star(self) -> DataFrame:
         got = written(self.tiles.mapInArrow(starrer(self.percent), "a long, b long, tile long"), "star")
@@ -532,15 +549,16 @@ class Join:
         may = written(pairs.join(node("a"), "a").join(node("b"), "b").select("a", "b", "an", "bn", "abm", "bbm")
                       .mapInArrow(bounder(self.percent), "a long, b long"), "may")
         if self.sets is None:
-            self.sets = written(self._sets(may).groupBy("fp").agg(F.first("x").alias("x")), "sets")
+            self.sets = self._sets(may)
         n = may.count()
         if not n:
             return may
-        ids = may.select(F.col("a").alias("fp")).union(may.select(F.col("b").alias("fp"))).distinct()
-        sets = self.sets.join(F.broadcast(few(ids, 2 * n)) if 2 * n <= WANTED else ids, "fp", "left_semi")
-        full = lambda s: sets.select(F.col("fp").alias(s), F.col("x").alias(s + "x"))
+        ids = may.select("b").distinct()
+        larger = self.sets.select(F.col("fp").alias("a"), F.col("x").alias("ax"))
+        smaller = (self.sets.select(F.col("fp").alias("b"), F.col("x").alias("bx"))
+                   .join(F.broadcast(few(ids, n)) if n <= WANTED else ids, "b", "left_semi"))
         pairs = F.broadcast(may) if n <= WANTED else may
-        return written(pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ax", "bx")
+        return written(pairs.join(larger, "a").join(smaller, "b").select("a", "b", "ax", "bx")
                        .mapInArrow(verifier(self.percent), "a long, b long"), "links")
 
     def rest(self, roots: DataFrame, mode: str, only: DataFrame | None) -> DataFrame:
