@@ -10,8 +10,8 @@ of each node where the sums are.  The driver sees one split a node.
 * Trees are grown level by level to the stated depth and then pruned to what
   best-first growth with the stated number of leaves would have split; as a
   node's gain does not depend on the others this is the same tree.
-* Of two siblings only the one with fewer rows is counted; the other is the
-  parent's histogram less it.
+* Where a worker has the parent's histogram, of two siblings only the one with
+  fewer rows is counted; the other is the parent's less it.
 * Gradients are counted in units of 2^-24, as whole numbers: the sums, and so
   the model, do not depend on the order in which partitions are added.
 * Margins and node numbers of a partition live in the Python worker between
@@ -20,7 +20,8 @@ of each node where the sums are.  The driver sees one split a node.
   the trees, which travel with the job or as broadcasts.
 * A table of one partition (PARTITION_ROWS rows in ``models``) has its sums
   complete in its task, which then goes on to the next level by itself, some
-  rounds a job; the steps and the model are the same.
+  rounds a job and a task for each model; the steps and the model are the same.
+* Rows are counted column by column, from columns that lie in one piece.
 * Rows are drawn by a hash of the id, the model and the round, columns by a
   generator of the same; both are the same on every cluster.
 * Early stopping keeps the mean loss over the evaluation rows by round, ends
@@ -49,8 +50,9 @@ from riskmart.session import materialize, ship_package
 
 BINS = 64
 UNIT = float(1 << 24)      # of counted gradients
-CELLS = 1 << 20            # (row, column) cells counted at a time
+BLOCK = 1 << 16            # rows counted at a time
 RECENT = 16                # rounds whose trees travel with a job
+WHOLE = 64                 # rounds that a task of a small table goes through in one job
 RUN = 8                    # nodes whose histograms are added up in one place
 KEPT = 64                  # partitions whose margins a worker keeps
 
@@ -106,15 +108,20 @@ def binned(x: np.ndarray, edges: list) -> np.ndarray:
     return out
 
 
-def route(tree: Tree, bins: np.ndarray) -> np.ndarray:
-    """The node that each row ends in."""
-    at = np.zeros(len(bins), np.int64)
+def route(tree: Tree, bins: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The node that each row ends in; ``at``: the nodes that the rows are in
+    when only the last level is new."""
+    inner, own = tree.feature >= 0, np.arange(len(tree.feature))
+    depth = np.zeros(len(own), np.int64)
+    for v in np.flatnonzero(inner).tolist():               # a child's number is above its parent's
+        depth[tree.left[v]] = depth[tree.right[v]] = depth[v] + 1
+    feature, cut = np.where(inner, tree.feature, 0), np.where(inner, tree.bin, BINS)
+    left, right = np.where(inner, tree.left, own), np.where(inner, tree.right, own)     # a leaf leads to itself
+    steps = int(depth.max(initial=0))
+    at, steps = (np.zeros(len(bins), np.int64), steps) if at is None else (at, min(1, steps))
     rows = np.arange(len(bins))
-    while len(rows):
-        f = tree.feature[at[rows]]
-        rows, f = rows[f >= 0], f[f >= 0]
-        node = at[rows]
-        at[rows] = np.where(bins[rows, f] <= tree.bin[node], tree.left[node], tree.right[node])
+    for _ in range(steps):
+        at = np.where(bins[rows, feature[at]] <= cut[at], left[at], right[at])
     return at
 
 
@@ -122,21 +129,28 @@ def _shrunk(g, l1: float):
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0)
 
 
-def best_splits(hist: np.ndarray, columns: np.ndarray, p: Boosting) -> list:
-    """For each node of a histogram (nodes x columns x bins x 3) the best split
-    (gain, column, bin, (g, h, n) left, (g, h, n) right), or None.  Ties: the
-    first column and bin."""
-    total = hist[:, 0].sum(axis=1).astype(float)[:, None, None]
-    left = np.cumsum(hist, axis=2)[:, :, :-1].astype(float)
+def best_splits(hist: np.ndarray, columns: np.ndarray, sizes: np.ndarray, p: Boosting) -> list:
+    """For each node of a histogram (nodes x 3 x bins, ``sizes`` bins a column)
+    the best split (gain, column, bin, (g, h, n) left, (g, h, n) right), or
+    None.  Ties: the first column and bin.  All in units of 2^-24; behind a
+    column's last bin there are no rows, so that is no split."""
+    stop = np.cumsum(sizes)
+    left = np.cumsum(hist, axis=2, dtype=float)
+    total = left[:, :, stop[0] - 1][:, :, None]
+    before = np.concatenate((np.zeros((len(hist), 3, 1)), left[:, :, stop[:-1] - 1]), axis=2)
+    left -= np.repeat(before, sizes, axis=2)
     right = total - left
-    value = lambda s: _shrunk(s[..., 0] / UNIT, p.l1) ** 2 / np.maximum(s[..., 1] / UNIT + p.l2, 1e-12)
+
+    def value(s):
+        g = _shrunk(s[:, 0], p.l1 * UNIT) if p.l1 else s[:, 0]
+        return g * g / np.maximum(s[:, 1] + p.l2 * UNIT, 1e-12 * UNIT)
     least = max(1, p.min_child)
-    gain = np.where((left[..., 2] >= least) & (right[..., 2] >= least), value(left) + value(right) - value(total), -np.inf)
-    out, flat = [], gain.reshape(len(hist), -1)
-    for v, at in enumerate(np.argmax(flat, axis=1).tolist()):
-        j, b = divmod(at, gain.shape[2])
-        out.append((float(flat[v, at]), int(columns[j]), b, tuple(left[v, j, b].tolist()), tuple(right[v, j, b].tolist()))
-                   if flat[v, at] > 1e-9 else None)
+    gain = np.where((left[:, 2] >= least) & (right[:, 2] >= least), value(left) + value(right) - value(total), -np.inf) / UNIT
+    out = []
+    for v, at in enumerate(np.argmax(gain, axis=1).tolist()):
+        j = int(np.searchsorted(stop, at, "right"))
+        out.append((float(gain[v, at]), int(columns[j]), int(at - stop[j] + sizes[j]), tuple(left[v, :, at].tolist()),
+                    tuple(right[v, :, at].tolist())) if gain[v, at] > 1e-9 else None)
     return out
 
 
@@ -214,17 +228,18 @@ def _uniform(ids: np.ndarray, seed: int, model: int, rnd: int) -> np.ndarray:
     return (x ^ (x >> u(31))) / 2.0**64
 
 
-def _histograms(bins, nodes, g, h, columns, count):
-    """Sums by (node, column, bin): gradients, second derivatives, rows; whole
-    numbers below 2^53."""
-    out = np.zeros((count, len(columns), BINS, 3))
-    step = max(1, CELLS // max(1, len(nodes)))
-    for a in range(0, len(columns), step):
-        own = columns[a:a + step]
-        k = len(own)
-        at = ((nodes[:, None] * k + np.arange(k)) * BINS + bins[:, own]).ravel()
-        for c, w in enumerate((g, h, None)):
-            out[:, a:a + k, :, c] = np.bincount(at, None if w is None else np.repeat(w, k), count * k * BINS).reshape(count, k, BINS)
+def _histograms(cells, rows, nodes, g, h, columns, sizes, count):
+    """Sums by node and by bin of each column, over ``rows`` of ``cells``
+    (column by column): gradients, second derivatives, rows; whole numbers
+    below 2^53."""
+    out = np.zeros((count, 3, int(sizes.sum())))
+    for a in range(0, len(rows), BLOCK):
+        own, node, to = rows[a:a + BLOCK], nodes[a:a + BLOCK], 0
+        for j, k in zip(columns.tolist(), sizes.tolist()):
+            at = node * k + cells[j].take(own)
+            for c, w in enumerate((g, h, None)):
+                out[:, c, to:to + k] += np.bincount(at, None if w is None else w[a:a + BLOCK], count * k).reshape(count, k)
+            to += k
     return out
 
 
@@ -233,12 +248,14 @@ class Partition:
 
     def __init__(self, row):
         n = len(row["y"])
-        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(n, -1)
+        self.cells = np.ascontiguousarray(np.frombuffer(row["bins"], np.uint8).reshape(n, -1).T)
+        self.bins = self.cells.T
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.y = np.frombuffer(row["y"], np.uint8)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.margin: dict = {}       # model: (trees applied, margins)
         self.grown: dict = {}        # model: (round, rows drawn, g, h)
+        self.at: dict = {}           # model: (round, level, node of each row)
         self.last: dict = {}         # model: (round, level, {node: its place}, histograms)
 
     def margins(self, m: int, base: float, rnd: int, trees):
@@ -267,12 +284,15 @@ class Partition:
         w = np.where(y == 1, p.weights[1], p.weights[0])
         self.grown[m] = rnd, own, np.rint(w * (prob - y) * UNIT), np.rint(w * prob * (1 - prob) * UNIT)
 
-    def level(self, m: int, rnd: int, level: int, tree: Tree, active: list, pairs: list, columns) -> np.ndarray:
+    def level(self, m: int, rnd: int, level: int, tree: Tree, active: list, pairs: list, columns, sizes,
+              keep: bool) -> np.ndarray:
         """Histograms of the active nodes; of each pair of siblings the one
-        with fewer rows is counted, if the parent's is at hand."""
+        with fewer rows is counted, if the parent's is at hand (``keep``: for
+        the next level, which the same worker will see)."""
         _, own, g, h = self.grown[m]
-        bins = self.bins[own]
-        at = route(tree, bins)
+        before = self.at.get(m, (None, None, None))
+        self.at[m] = rnd, level, route(tree, self.bins, before[2] if before[:2] == (rnd, level - 1) else None).astype(np.int32)
+        at = self.at[m][2][own].astype(np.int64)
         size = np.bincount(at, minlength=int(max(active)) + 1)
         old = self.last.get(m, (None, None, {}, None))
         parents = old[2] if old[:2] == (rnd, level - 1) else {}
@@ -285,7 +305,9 @@ class Partition:
         place = np.full(len(size), -1)
         place[counted] = np.arange(len(counted))
         rows = np.flatnonzero(place[at] >= 0)
-        hist = _histograms(bins[rows], place[at[rows]], g[rows], h[rows], columns, len(counted))
+        hist = _histograms(self.cells, own[rows], place[at[rows]], g[rows], h[rows], columns, sizes, len(counted))
+        if not keep:
+            return hist
         index = {v: i for i, v in enumerate(active)}
         out = np.empty((len(active), *hist.shape[1:]))
         out[[index[v] for v in counted]] = hist
@@ -320,7 +342,8 @@ def work(job: dict, rows):
                 yield ("loss", m), part.loss(m, p)
             if todo["active"]:
                 part.start(m, p, todo["round"], job["seed"])
-                hist = part.level(m, todo["round"], todo["level"], todo["tree"], todo["active"], todo["pairs"], todo["columns"])
+                hist = part.level(m, todo["round"], todo["level"], todo["tree"], todo["active"], todo["pairs"], todo["columns"],
+                                  todo["sizes"], job["parts"] == 1)
                 for i in range(0, len(hist), job["run"]):
                     yield (m, i), hist[i:i + job["run"]].astype(np.int64) if job["parts"] > 1 else hist[i:i + job["run"]]
 
@@ -331,7 +354,7 @@ def choose(job: dict, item):
     if key[0] == "loss":
         return key, got
     todo = job["models"][key[0]]
-    return key, dict(zip(todo["active"][key[1]:], best_splits(got, todo["columns"], todo["p"])))
+    return key, dict(zip(todo["active"][key[1]:], best_splits(got, todo["columns"], todo["sizes"], todo["p"])))
 
 
 def _add(a, b):
@@ -424,21 +447,32 @@ class Fit:
         self.round += 1
 
     def _todo(self, m: int, g: Growth) -> dict:
-        active = set(g.active)
-        return {"p": g.p, "base": self.models[self.left[m]].base, "round": self.round, "level": g.level, "tree": g.partial(),
+        active, model = set(g.active), self.models[self.left[m]]
+        sizes = np.array([len(model.edges[j]) + 1 for j in g.columns])
+        return {"p": g.p, "base": model.base, "sizes": sizes, "round": self.round, "level": g.level, "tree": g.partial(),
                 "active": g.active, "columns": g.columns, "pairs": [(v, *c) for v, c in g.child.items() if c[0] in active]}
 
 
 def whole_rounds(fit: Fit, rows):
-    """RECENT rounds on the only partition of a small table: its histograms
+    """WHOLE rounds on the only partition of a small table: its histograms
     are complete where they are made, so no job has to part the levels."""
     for row in rows:
-        for _ in range(RECENT):
+        for _ in range(WHOLE):
             if fit.left:
                 fit.advance(lambda job: dict(choose(job, item) for item in work(job, [row])))
         yield fit
 
 
+def fit_whole(fit: Fit, rows) -> None:
+    """Fit the models on a table of one partition, each in a task of its own."""
+    alone = [Fit(f"{fit.name}-{m}", fit.seed, fit.settings, {name: fit.models[name]}, {m: name}, 1, fit.held) for m, name in fit.left.items()]
+    while alone:
+        got = rows.context.union([rows.mapPartitions(partial(whole_rounds, f)) for f in alone]).collect()
+        for f in got:
+            fit.models.update(f.models)
+        alone = [f for f in got if f.left]
+
+
 def fit_boosted(df: DataFrame, columns: list, settings: dict[str, Boosting], held: str | None = None, seed: int = 42) -> dict[str, Boosted]:
     """Fit all models of ``settings`` on the rows of ``df`` (its partitions
     are the units of work); rows marked by ``held`` only measure the loss."""
@@ -448,7 +482,9 @@ def fit_boosted(df: DataFrame, columns: list, settings: dict[str, Boosting], hel
     edges = column_edges(train, columns)
     table = materialize(binned_rows(df, columns, edges, held).withColumn("part", F.monotonically_increasing_id()), "binned")
     counts = {r[0]: r[1] for r in train.groupBy(LABEL_COL).count().collect()}
-    rows = table.select("part", "ids", "y", "held", "bins").rdd.map(lambda r: r.asDict()).coalesce(max(1, df.rdd.getNumPartitions())).persist()
+    # a task takes some partitions and adds up their sums: as many tasks as can run at once
+    tasks = max(1, min(df.rdd.getNumPartitions(), sc.defaultParallelism))
+    rows = table.select("part", "ids", "y", "held", "bins").rdd.map(lambda r: r.asDict()).repartition(tasks).persist()
     models = {}
     for name, p in settings.items():
         mass = [counts.get(c, 0) * p.weights[c] for c in (0, 1)]
@@ -456,13 +492,13 @@ def fit_boosted(df: DataFrame, columns: list, settings: dict[str, Boosting], hel
     fit = Fit(uuid.uuid4().hex, seed, settings, models, dict(enumerate(settings)), rows.count(), held is not None)
 
     def ask(job):
-        got = rows.mapPartitions(partial(work, job)).reduceByKey(_add, min(fit.parts, 64))
+        runs = sum(max(1, -(-len(todo["active"]) // job["run"])) for todo in job["models"].values())
+        got = rows.mapPartitions(partial(work, job)).reduceByKey(_add, min(runs, fit.parts, 64))
         return dict(got.map(partial(choose, job)).collect())
     try:
-        while fit.left and fit.parts:
-            if fit.parts == 1:
-                fit = rows.mapPartitions(partial(whole_rounds, fit)).collect()[0]
-                continue
+        if fit.parts == 1:
+            fit_whole(fit, rows)
+        while fit.left and fit.parts > 1:
             fit.advance(ask)
             if fit.round % RECENT == 0:
                 fit.older.append(sc.broadcast({k: t for k, t in fit.recent.items() if k[1] // RECENT == len(fit.older)}))

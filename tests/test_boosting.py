@@ -164,3 +164,48 @@ def test_logistic_equals_a_dense_fit(spark, weights):
     assert np.allclose(margin, z @ at, atol=1e-6) and np.allclose(model.coefficients, at[:-1], atol=1e-6)
     got = {r.SK_ID_CURR: r.p for r in LO.predict_logistic(model, df).collect()}
     assert np.allclose([got[i] for i in range(len(y))], 1 / (1 + np.exp(-margin)), atol=1e-9)
+
+
+def test_models_of_a_small_table_have_a_task_each(spark):
+    """One partition: all rounds of a model in one task, all models side by side."""
+    x, y = table(400)
+    df, names = frame(spark, x, y)
+    settings = {k: BO.Boosting(20, 0.3, 3, rows=r) for k, r in (("a", 1.0), ("b", 0.9), ("c", 0.8), ("d", 0.7))}
+    sc, group = spark.sparkContext, "small-table"
+    seen = []
+    sc.setJobGroup(group, group)
+    try:
+        models = BO.fit_boosted(df, names, settings)
+        tracker = sc.statusTracker()
+        for job in tracker.getJobIdsForGroup(group):
+            info = tracker.getJobInfo(job)
+            seen += [tracker.getStageInfo(s).numTasks for s in info.stageIds if tracker.getStageInfo(s)]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(settings) in seen and all(len(m.trees) == 20 for m in models.values())
+    for k, p in settings.items():
+        m = list(settings).index(k)
+        part = {"part": 0, "bins": BO.binned(x, models[k].edges).tobytes(), "ids": np.arange(400).tobytes(),
+                "y": y.astype(np.uint8).tobytes(), "held": np.zeros(400, np.uint8).tobytes()}
+        fit = BO.Fit(f"alone-{k}", 42, {k: p}, {k: BO.Boosted(names, models[k].edges, models[k].base)}, {m: k}, 1, False)
+        while fit.left:
+            fit.advance(lambda job: dict(BO.choose(job, item) for item in BO.work(job, [part])))
+        assert BO.model_rows(fit.models[k]) == BO.model_rows(models[k])
+
+
+def test_packed_histograms_count_every_cell():
+    x, y = table(500)
+    edges = [np.unique(np.quantile(x[:, j], np.arange(1, 8) / 8)) for j in range(x.shape[1])]
+    cells = np.ascontiguousarray(BO.binned(x, edges).T)
+    sizes, columns = np.array([len(e) + 1 for e in edges]), np.arange(x.shape[1])
+    rows, nodes = np.arange(0, 500, 2), np.arange(250) % 3
+    g, h = np.arange(250.0), np.ones(250) * 2
+    got = BO._histograms(cells, rows, nodes, g, h, columns, sizes, 3)
+    to = 0
+    for j, k in enumerate(sizes.tolist()):
+        for v in range(3):
+            for b in range(k):
+                own = (nodes == v) & (cells[j][rows] == b)
+                assert got[v, :, to + b].tolist() == [g[own].sum(), h[own].sum(), own.sum()]
+        to += k
+    assert to == got.shape[2]
