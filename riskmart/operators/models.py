@@ -59,7 +59,7 @@ PRESETS = {
     "logistic": Preset("Logistic Regression", "lr", dict(max_passes=1000), "balanced"),
 }
 COMPARISON = ["gbt_a", "gbt_b", "gbt_c", "random_forest", "gbt_d", "logistic"]
-PARTITION_ROWS = 250_000   # training rows of a partition, by a hash of the id
+PARTITION_ROWS = 40_000   # training rows of a partition, by a hash of the id
 HELD = "is_validation"
 
 
