@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark import InheritableThread
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -148,44 +149,56 @@ def compare_models(train: DataFrame, test: DataFrame, feature_cols: list[str],
                    keys: list[str] = COMPARISON, threshold: float = DEFAULT_THRESHOLD,
                    overrides: dict | None = None, partitions: int = 1):
     """MDL-10: fit the presets on the cached training rows (all boosters in
-    one pass a tree level, their seconds are the joint ones), score the test
+    one pass a tree level, their seconds are the joint ones; the forest beside
+    the others, as neither fills the cluster on a small table), score the test
     rows, one metrics row per preset; a failing preset gives an error row, its
     trace goes to the log, and the loop goes on.  When all fail, the last
     failure is raised.  Returns (metrics DataFrame, {key: model})."""
     spark = train.sparkSession
     train, test = dealt(train, partitions).persist(), test.persist()
-    rows, models, failure = {}, {}, None
+    rows, models, failures = {}, {}, {}
     boosters = [k for k in keys if PRESETS[k].learner == "gbt"]
     groups = ([boosters] if boosters else []) + [[k] for k in keys if k not in boosters]
 
     def failed(group, e):
-        log.exception("fitting %s", ", ".join(group))
+        log.error("fitting %s", ", ".join(group), exc_info=e)
+        failures[groups.index(group)] = e
         for k in group:
             rows[k] = {"model": PRESETS[k].name, "error": f"{type(e).__name__}: {e}"}
-    try:
-        train.count(), test.count()
-        for group in groups:
+
+    def fit(group):
+        t0 = time.time()
+        if group is boosters:
+            fitted = fit_boosters(train, feature_cols, group, overrides=overrides)
+        else:
+            fitted = {group[0]: fit_preset(train, feature_cols, group[0], overrides=overrides)[0]}
+        secs = round(time.time() - t0, 1)
+        # one grouped pass for the metrics of all models of the group
+        scored = [predict_default(model, test).select(LABEL_COL, "p", F.lit(k).alias("model")) for k, model in fitted.items()]
+        got = {r.model: r.asDict() for r in M.metrics_table(reduce(DataFrame.union, scored), threshold=threshold).collect()}
+        for k, model in fitted.items():
+            rows[k] = got[k] | {"model": PRESETS[k].name, "train_seconds": secs, "error": None}
+            models[k] = model
+
+    def one_by_one(some):
+        for group in some:
             try:
-                t0 = time.time()
-                if group is boosters:
-                    fitted = fit_boosters(train, feature_cols, group, overrides=overrides)
-                else:
-                    fitted = {group[0]: fit_preset(train, feature_cols, group[0], overrides=overrides)[0]}
-                secs = round(time.time() - t0, 1)
-                # one grouped pass for the metrics of all models of the group
-                scored = [predict_default(model, test).select(LABEL_COL, "p", F.lit(k).alias("model")) for k, model in fitted.items()]
-                got = {r.model: r.asDict() for r in M.metrics_table(reduce(DataFrame.union, scored), threshold=threshold).collect()}
-                for k, model in fitted.items():
-                    rows[k] = got[k] | {"model": PRESETS[k].name, "train_seconds": secs, "error": None}
-                    models[k] = model
+                fit(group)
             except Exception as e:  # noqa: BLE001 - keep comparing the other presets
-                failure = e
                 failed(group, e)
+    forests = [g for g in groups if PRESETS[g[0]].learner == "rf"]
+    beside = InheritableThread(target=one_by_one, args=(forests,), session=spark)
+    try:
+        train.count(), test.count()
+        beside.start()
+        one_by_one([g for g in groups if g not in forests])
     finally:
+        if beside.ident is not None:
+            beside.join()
         train.unpersist()
         test.unpersist()
-    if failure is not None and not models:
-        raise failure
+    if failures and not models:
+        raise failures[max(failures)]
     schema = ("model string, f1_default double, f1_macro double, f1_weighted double, "
               "roc_auc double, precision double, recall double, true_positives int, "
               "false_negatives int, train_seconds double, error string")

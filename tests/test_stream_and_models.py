@@ -265,3 +265,15 @@ def test_a_forest_task_reads_a_bounded_share():
     row = 62 * 4 + 14 * MD.PRESETS["random_forest"].params["numTrees"]
     for n in (12_000, 720_000, 4_320_000, 100_000_000):
         assert -(-n // MD.train_partitions(n)) * row <= 250e6
+
+
+def test_the_forest_is_fitted_beside_the_boosters(spark, monkeypatch):
+    import threading
+    meet = threading.Barrier(2, timeout=60)               # breaks if one is fitted after the other
+    boosters, preset = MD.fit_boosters, MD.fit_preset
+    monkeypatch.setattr(MD, "fit_boosters", lambda *a, **k: (meet.wait(), boosters(*a, **k))[1])
+    monkeypatch.setattr(MD, "fit_preset", lambda *a, **k: (meet.wait(), preset(*a, **k))[1])
+    prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
+    board, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, ["gbt_d", "random_forest"],
+                                      overrides=FEW | {"numTrees": 4})
+    assert all(r.error is None for r in board.collect()) and set(models) == {"gbt_d", "random_forest"}
