@@ -23,9 +23,10 @@ fingerprint of the set), so copies never meet as pairs.
    the closest of each node is confirmed on the full sets (sorted 64-bit
    hashes of their shingles), which joins most of what belongs together.
    Nodes with more candidates are sorted once more with their component in
-   the row; now all candidates between different components are told, and
-   confirmed: first the closest of each two components, then the others that
-   still lie between two.
+   the row; now all candidates between different components are told with
+   these, and confirmed: first the closest of each two components, then the
+   others of two that are still apart.  That is asked of the two components,
+   not of each candidate.
 
 Whether a pair becomes a candidate is a matter of chance, as MinHash is; in a
 region of depth 4 a pair at the threshold is missed with 3 in a million, at
@@ -143,6 +144,11 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, ROW)
 
 
+def _ids(rows: np.ndarray, at: int) -> np.ndarray:
+    """The node (at -16) or the component (at -8) of each row."""
+    return np.ascontiguousarray(rows[:, at:at + 8 or None]).view(">i8").ravel().astype(np.int64)
+
+
 def regions(common: np.ndarray) -> tuple:
     """For sorted rows of which ``common[i]`` numbers agree between row i and
     the row before it: the region of each row (-1: none) and whether it is a
@@ -169,7 +175,7 @@ def candidates(rows: np.ndarray, percent: int):
     region, wide = regions(common)
     bits = np.ascontiguousarray(rows[:, 1 + 2 * KEY:1 + 2 * KEY + VALUES // 8]).view(np.uint64)
     n = np.ascontiguousarray(rows[:, -20:-16]).view(">u4").ravel().astype(np.int64)
-    fp, comp = (np.ascontiguousarray(rows[:, at:at + 8 or None]).view(">i8").ravel().astype(np.int64) for at in (-16, -8))
+    fp, comp = _ids(rows, -16), _ids(rows, -8)
     found = []
 
     def offer(x, y):
@@ -206,36 +212,37 @@ def closest(x: np.ndarray, y: np.ndarray, far: np.ndarray, fp: np.ndarray):
     return row[first], other[first], d[first], np.unique(row[1:][row[1:] == row[:-1]])
 
 
-PAIRS = "a long, b long, far long, span int, row binary"
+PAIRS = "a long, b long, far long, x long, y long, span int, row binary"
 
 
 def neighbours(percent: int, every: bool, ends: bool = True):
     """Candidate pairs of sorted rows, looked at in overlapping blocks:
-    ``every`` one, or the closest of each row and (as a without b) the nodes
-    that have others.  With ``ends`` also the first and last rows of the
+    ``every`` one with its two components x < y, or the closest of each row
+    and (as a without b) the nodes that have others.  With ``ends`` also the first and last rows of the
     partition, for those of the partitions before and after."""
     edge = 2 * FEW
 
     def pairs(rows):
         x, y, far, fp = candidates(rows, percent)
-        more = fp[:0]
+        comp, more = _ids(rows, -8), fp[:0]
         if not every:
             x, y, far, more = closest(x, y, far, fp)
             more = np.unique(fp[more])
         a, b = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
         order = np.lexsort((far, b, a))
-        a, b, far = a[order], b[order], far[order]
+        a, b, far, x, y = a[order], b[order], far[order], x[order], y[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[:len(a)]
-        a, b, far = a[new], b[new], far[new]
+        a, b, far, x, y = a[new], b[new], far[new], x[new], y[new]
         size = len(a) + len(more)
         none = pa.nulls(len(more), pa.int64())
+        of = [f(comp[x], comp[y]) if every else pa.nulls(size, pa.int64()) for f in (np.minimum, np.maximum)]
         return pa.record_batch({"a": pa.array(np.concatenate((a, more))), "b": pa.concat_arrays([pa.array(b), none]),
-                                "far": pa.concat_arrays([pa.array(far), none]), "span": pa.nulls(size, pa.int32()),
-                                "row": pa.nulls(size, pa.binary())})
+                                "far": pa.concat_arrays([pa.array(far), none]), "x": of[0], "y": of[1],
+                                "span": pa.nulls(size, pa.int32()), "row": pa.nulls(size, pa.binary())})
 
     def sent(rows, spans):
         nul = pa.nulls(len(rows) * len(spans), pa.int64())
-        return pa.record_batch({"a": nul, "b": nul, "far": nul, "span": pa.array(np.repeat(spans, len(rows)), pa.int32()),
+        return pa.record_batch({"a": nul, "b": nul, "far": nul, "x": nul, "y": nul, "span": pa.array(np.repeat(spans, len(rows)), pa.int32()),
                                 "row": _binary(np.concatenate([rows] * len(spans)))})
 
     def run(batches):
@@ -291,15 +298,17 @@ class Forest:
             F.first("n").alias("n"), F.first("sig", True).alias("sig"), F.min("key").alias("key")), "nodes")
 
     def pairs(self, nodes: DataFrame, every: bool) -> DataFrame:
-        """(a, b, far) among ``nodes`` (fp, n, sig, comp); without ``every``
-        also (a, null, null) for nodes with further candidates."""
+        """(a, b, far, x, y) among ``nodes`` (fp, n, sig, comp), of the
+        components x < y; without ``every`` these are null, and nodes with
+        further candidates are there as a alone."""
         rows = nodes.select("fp", "n", "sig", "comp").mapInArrow(orders, "row binary")
         rows = rows.repartitionByRange(partitions(self.spark), "row").sortWithinPartitions("row")
         got = written(rows.mapInArrow(neighbours(self.percent, every), PAIRS), "neighbours")
         ends = (got.where("span IS NOT NULL").select("span", "row").distinct()
                 .repartition("span").sortWithinPartitions("span", "row").select("row"))
         more = ends.mapInArrow(neighbours(self.percent, every, ends=False), PAIRS)
-        return written(got.where("span IS NULL").union(more).groupBy("a", "b").agg(F.min("far").alias("far")), "pairs")
+        return got.where("span IS NULL").union(more).groupBy("a", "b").agg(
+            F.min("far").alias("far"), *(F.first(c).alias(c) for c in "xy"))
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(fp, x): the sets of all nodes of the pairs, each from one document."""
@@ -318,11 +327,10 @@ class Forest:
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs between different components, with these."""
+    """The pairs of former components (x, y) that ``roots`` has not joined."""
     side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias("r" + s))
-    out = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return (out.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
-            .withColumns({"x": F.least("ra", "rb"), "y": F.greatest("ra", "rb")}))
+    out = pairs.select("x", "y").join(side("x"), "x", "left").join(side("y"), "y", "left")
+    return out.where("coalesce(rx, x) <> coalesce(ry, y)").select("x", "y")
 
 
 def linked(docs: DataFrame, k: int, percent: int):
@@ -330,7 +338,7 @@ def linked(docs: DataFrame, k: int, percent: int):
     nodes that link with another)."""
     job = Forest(docs, k, percent)
     best = F.min(F.struct("far", "a", "b")).alias("s")
-    got = job.pairs(job.nodes.withColumn("comp", F.col("fp")), every=False)
+    got = written(job.pairs(job.nodes.withColumn("comp", F.col("fp")), every=False), "pairs")
     first = got.where("b IS NOT NULL")
     sides = first.select(F.col("a").alias("fp"), "far", "a", "b").union(first.select(F.col("b"), "far", "a", "b"))
     own = written(sides.groupBy("fp").agg(best, F.count("*").alias("c")), "closest")
@@ -344,20 +352,23 @@ def linked(docs: DataFrame, k: int, percent: int):
         return job.rows.select("doc_id", "n", "fp"), roots
     nodes = (job.nodes.join(more, "fp", "left_semi").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
              .withColumn("comp", F.coalesce("root", "fp")))
-    open_ = job.pairs(nodes, every=True).join(tried, ["a", "b"], "left_anti")
+    # written first: Spark would move the join below the aggregate, to a pair's every order
+    open_ = written(written(job.pairs(nodes, every=True), "pairs").join(tried, ["a", "b"], "left_anti"), "open")
     sets = job.sets(open_)
     for final in (False, True):
-        open_ = written(_apart(open_.select("a", "b", "far"), roots), "open")
         n = open_.count()
         if not n:
             break
-        tried = open_ if final else open_.groupBy("x", "y").agg(best).select("s.*")
-        tried = written(few(tried.select("a", "b"), n), "tried")
+        two = open_ if final else open_.groupBy("x", "y").agg(best, F.count("*").alias("c")).select("x", "y", "s.a", "s.b", "c")
+        tried = written(few(two, n), "tried")
         found = job.confirmed(tried, sets)
-        open_ = open_.join(tried, ["a", "b"], "left_anti")
         if not found.isEmpty():
             links = links.union(found)
             roots = written(components(links), "roots")
+        if not final:
+            # the others of two components that are still apart
+            apart = written(_apart(tried.where("c > 1"), roots), "apart")
+            open_ = written(open_.join(apart, ["x", "y"], "left_semi").join(tried, ["a", "b"], "left_anti"), "open")
     return job.rows.select("doc_id", "n", "fp"), roots
 
 

@@ -120,3 +120,48 @@ def test_recall_at_the_threshold():
     met = {p for p in map(tuple, map(sorted, zip(node[x].tolist(), node[y].tolist()))) if p[1] == p[0] + 1 and p[0] % 2 == 0}
     assert len(met) >= 198
     assert shingle_sets([b"a b c"], 2)[0].shape == (2,)
+
+def near_group(seed, copies):
+    """Copies of one text with so many edits that about half of the pairs link."""
+    return list(enumerate(family(random.Random(seed), "near", 150, copies, 12)))
+
+
+def test_component_pairs_are_asked_not_candidates(spark, monkeypatch):
+    """What lies between two components is asked once for the two, and only
+    where they have candidates that were not tried yet."""
+    asked, made = [], {}
+    real, written = forest._apart, forest.written
+
+    def apart(pairs, roots):
+        asked.append(pairs.count())
+        return real(pairs, roots)
+
+    def spy(df, name):
+        out = written(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(forest, "_apart", apart)
+    monkeypatch.setattr(forest, "written", spy)
+    rnd = random.Random(5)
+    rows = list(enumerate(t for f in range(40) for t in family(rnd, f"f{f}", 150, 9, 12)))
+    assert run(spark, rows) == brute(rows)
+    first, closest = made["open"][0], made["tried"][1]
+    assert 0 < closest < first
+    assert 0 < sum(asked) <= closest
+
+
+def test_candidates_grow_with_the_nodes_of_a_group():
+    """A group of any size gives each row at most 7.5 pairs of its region (9
+    where the key does not part it) and 3 with the rows next to it."""
+    import pyarrow as pa
+    made = []
+    for copies in (400, 800, 1600):
+        h, lo, hi = shingle_sets([t.encode() for _, t in near_group(6, copies)], 2)
+        fp = np.arange(copies, dtype=np.int64)
+        sig = forest.signatures(h, lo, hi)
+        batch = pa.record_batch({"fp": fp, "n": (hi - lo).astype(np.int64), "sig": pa.array([s.tobytes() for s in sig], pa.binary()), "comp": fp})
+        rows = sorted(r for b in forest.orders(iter([batch])) for r in b.column(0).to_pylist())
+        x, _, _, _ = forest.candidates(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, forest.ROW), 80)
+        made.append(len(x))
+        assert len(x) <= 12 * forest.ORDERS * copies
+    assert made[2] < 2.5 * made[1]
