@@ -27,11 +27,17 @@ fingerprint of the set), so copies never meet as pairs.
    these, and confirmed: first the closest of each two components, then the
    others of two that are still apart.  That is asked of the two components,
    not of each candidate.
-
-Whether a pair becomes a candidate is a matter of chance, as MinHash is; in a
-region of depth 4 a pair at the threshold is missed with 3 in a million, at
-depth 8 with 1 in 80, and a group of near copies has many pairs.  README has
-the recall measured against brute force.  No link is reported unconfirmed.
+5. ``crowds``: a run of depth FIRST with more than FEW rows had only part of
+   its pairs tried.  Where its nodes are not yet in one component, each node
+   outside its largest component meets all of its nodes, in blocks; components
+   with candidates among them are a cluster.  In a cluster every node outside
+   the largest component meets all nodes, with the full sets, in blocks; only
+   links that join two components are told.
+
+So every pair that shares FIRST numbers in one of the orders is tried, or lies
+in one component, whatever the size of its group; a pair at the threshold
+shares none with 3 in a million.  README has the recall measured against all
+pairs.  No link is reported unconfirmed.
 
 Defined cases: null, empty or wordless text: n_shingles 0, its own component,
 kept; one word: that word is the shingle; rows that repeat a doc_id stay rows;
@@ -62,6 +68,9 @@ FIRST = 4                # least depth of a region
 FEW = 16                 # rows of a region whose pairs are all tried
 NEAR = 3                 # rows on either side that are always tried
 WIDE = 8                 # the same among rows with equal keys
+BLOCK = 4096             # nodes of a crowd that meet the others in one block
+SHINGLES = 1 << 18       # elements of the full sets of a block
+CELLS = 1 << 18          # pairs of a crowd compared at once
 FAR = 48                 # differing bits of VALUES up to which a pair is tried
 HELD = 1 << 16           # rows looked at at once
 SPAN = 256               # partitions whose ends are looked at together
@@ -165,13 +174,25 @@ def regions(common: np.ndarray) -> tuple:
     return region, wide
 
 
+def _common(rows: np.ndarray) -> np.ndarray:
+    """How many numbers of its key each row shares with the row before it."""
+    key = np.ascontiguousarray(rows[:, 1:1 + 2 * KEY]).view(np.uint16)
+    common = np.zeros(len(rows), np.int64)
+    common[1:] = np.cumprod((key[1:] == key[:-1]) & (rows[1:, :1] == rows[:-1, :1]), axis=1).sum(axis=1)
+    return common
+
+
+def crowded(rows: np.ndarray) -> np.ndarray:
+    """The rows in runs of depth FIRST that are no region."""
+    run = np.cumsum(_common(rows) < FIRST) - 1
+    return np.flatnonzero(np.bincount(run)[run] > FEW)
+
+
 def candidates(rows: np.ndarray, percent: int):
     """Pairs of sorted rows to confirm, of different components: places x < y
     in the rows, differing bits, and the node of each row."""
     m = len(rows)
-    key = np.ascontiguousarray(rows[:, 1:1 + 2 * KEY]).view(np.uint16)
-    common = np.zeros(m, np.int64)
-    common[1:] = np.cumprod((key[1:] == key[:-1]) & (rows[1:, :1] == rows[:-1, :1]), axis=1).sum(axis=1)
+    common = _common(rows)
     region, wide = regions(common)
     bits = np.ascontiguousarray(rows[:, 1 + 2 * KEY:1 + 2 * KEY + VALUES // 8]).view(np.uint64)
     n = np.ascontiguousarray(rows[:, -20:-16]).view(">u4").ravel().astype(np.int64)
@@ -217,8 +238,9 @@ PAIRS = "a long, b long, far long, x long, y long, span int, row binary"
 
 def neighbours(percent: int, every: bool, ends: bool = True):
     """Candidate pairs of sorted rows, looked at in overlapping blocks:
-    ``every`` one with its two components x < y, or the closest of each row
-    and (as a without b) the nodes that have others.  With ``ends`` also the first and last rows of the
+    ``every`` one with its two components x < y, or the closest of each row,
+    (as a without b) the nodes that have others, and (as row without span) the
+    rows of crowds.  With ``ends`` also the first and last rows of the
     partition, for those of the partitions before and after."""
     edge = 2 * FEW
 
@@ -233,12 +255,13 @@ def neighbours(percent: int, every: bool, ends: bool = True):
         a, b, far, x, y = a[order], b[order], far[order], x[order], y[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[:len(a)]
         a, b, far, x, y = a[new], b[new], far[new], x[new], y[new]
-        size = len(a) + len(more)
-        none = pa.nulls(len(more), pa.int64())
+        crowd = rows[:0] if every else rows[crowded(rows)]
+        size = len(a) + len(more) + len(crowd)
+        none = pa.nulls(size - len(a), pa.int64())
         of = [f(comp[x], comp[y]) if every else pa.nulls(size, pa.int64()) for f in (np.minimum, np.maximum)]
-        return pa.record_batch({"a": pa.array(np.concatenate((a, more))), "b": pa.concat_arrays([pa.array(b), none]),
-                                "far": pa.concat_arrays([pa.array(far), none]), "x": of[0], "y": of[1],
-                                "span": pa.nulls(size, pa.int32()), "row": pa.nulls(size, pa.binary())})
+        return pa.record_batch({"a": pa.array(np.concatenate((a, more, _ids(crowd, -16)))), "b": pa.concat_arrays([pa.array(b), none]),
+                                "far": pa.concat_arrays([pa.array(far), none]), "x": of[0], "y": of[1], "span": pa.nulls(size, pa.int32()),
+                                "row": pa.concat_arrays([pa.nulls(size - len(crowd), pa.binary()), _binary(crowd)])})
 
     def sent(rows, spans):
         nul = pa.nulls(len(rows) * len(spans), pa.int64())
@@ -271,6 +294,129 @@ def neighbours(percent: int, every: bool, ends: bool = True):
     return run
 
 
+# -- crowds ------------------------------------------------------------------
+
+INFO = VALUES // 8 + 4   # bytes: bits, size
+
+
+def _blocks(batches):
+    """The blocks of rows (group, block, kind, fp, comp, info, ...) that are
+    sorted by the first three: members (kind 0), and probes (kind 1) as often
+    as they come, each as lists of (fp, comp, bits, n, ...)."""
+    here, members = None, []
+    for b in batches:
+        if not len(b):
+            continue
+        key = list(zip(*(b.column(c).to_pylist() for c in range(3))))
+        info = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, INFO)
+        own = [b.column(3).to_numpy(), b.column(4).to_numpy(), np.ascontiguousarray(info[:, :-4]).view(np.uint64),
+               np.ascontiguousarray(info[:, -4:]).view(">u4").ravel().astype(np.int64),
+               *(np.array([*c.to_pylist(), None], object)[:-1] for c in b.columns[6:])]
+        new = [i for i in range(len(key)) if not i or key[i] != key[i - 1]]
+        for i, j in zip(new, [*new[1:], len(key)]):
+            if key[i][:2] != here:
+                here, members = key[i][:2], []
+            part = [c[i:j] for c in own]
+            if not key[i][2]:
+                members.append(part)
+            elif members:
+                members = [[np.concatenate(c) for c in zip(*members)]]
+                yield here, members[0], part
+
+
+class Joined:
+    """What a task knows of components that belong together."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def top(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether that is new."""
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _alike(n, m, bits, others, percent: int):
+    """Whether a set of ``n`` elements and others of ``m`` may link."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.bitwise_count(bits ^ others).sum(axis=-1, dtype=np.int64) <= FAR)
+
+
+def prober(percent: int):
+    """(a, b): components with candidates among each other, as many pairs as
+    join them within a block of a crowd."""
+    def run(batches):
+        last, joined = None, None
+        for here, (_, mc, mb, mn), (_, pc, pb, pn) in _blocks(batches):
+            if here != last:
+                last, joined = here, Joined()
+            out, step = [], max(1, CELLS // len(mc))
+            for i in range(0, len(pc), step):
+                c, n = pc[i:i + step], pn[i:i + step]
+                p, m = np.nonzero((c[:, None] != mc) & (100 * np.minimum(n[:, None], mn) >= percent * np.maximum(n[:, None], mn)))
+                ok = _alike(n[p], mn[m], pb[i:i + step][p], mb[m], percent)
+                x, y = c[p[ok]], mc[m[ok]]
+                if len(x):
+                    pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+                    out += [q for q in pairs.tolist() if joined.join(*q)]
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+    return run
+
+
+class Members:
+    """The full sets of a block's members."""
+
+    def __init__(self, fp, comp, bits, n, sets):
+        self.fp, self.comp, self.bits, self.n = fp, comp, bits, n
+        self.all, self.cell = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        self.start, self.held = np.cumsum(n) - n, np.zeros(len(self.all), np.int64)
+
+    def overlap(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Elements that the set ``x`` has in common with each of the members ``of``."""
+        at = np.minimum(np.searchsorted(self.all, x), len(self.all) - 1)
+        at = at[self.all[at] == x]
+        self.held[at] = 1
+        size = self.n[of]
+        stop = np.cumsum(size)
+        cells = self.cell[np.repeat(self.start[of] - (stop - size), size) + np.arange(stop[-1])]
+        both = np.add.reduceat(self.held[cells], stop - size)
+        self.held[at] = 0
+        return both
+
+
+def meeter(percent: int):
+    """(a, b): links between the components of a cluster, as many as join them
+    within a block: each probe's full set against those of all members that
+    are not yet joined with it."""
+    def run(batches):
+        last, known, joined, group = None, None, None, None
+        for here, members, (pf, pc, pb, pn, ps) in _blocks(batches):
+            if here != last:
+                last, known, joined = here, Members(*members), Joined()
+                group = known.comp.copy()
+            out = []
+            for f, c, b, n, s in zip(pf.tolist(), pc.tolist(), pb, pn.tolist(), ps):
+                of = np.flatnonzero(group != joined.top(c))
+                of = of[_alike(n, known.n[of], b, known.bits[of], percent)]
+                if not len(of):
+                    continue
+                both = known.overlap(np.frombuffer(s, np.uint64), of)
+                for m in of[100 * both >= percent * (n + known.n[of] - both)].tolist():
+                    own, other = joined.top(c), joined.top(int(known.comp[m]))
+                    if joined.join(own, other):
+                        out.append((f, int(known.fp[m])))
+                        group[(group == own) | (group == other)] = min(own, other)
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+    return run
+
+
 # -- confirmation ------------------------------------------------------------
 
 def setter(k: int):
@@ -294,6 +440,7 @@ class Forest:
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.docs = docs.withColumn("key", F.xxhash64("doc_id", "text")).select("doc_id", "key", "text")
         self.rows = written(self.docs.mapInArrow(profiler(k), "doc_id long, key long, n long, fp long, sig binary"), "signed")
+        self.crowd = None        # (run, fp, info) of the crowds, by the first pairs()
         self.nodes = written(self.rows.where("n > 0").groupBy("fp").agg(
             F.first("n").alias("n"), F.first("sig", True).alias("sig"), F.min("key").alias("key")), "nodes")
 
@@ -307,9 +454,42 @@ class Forest:
         ends = (got.where("span IS NOT NULL").select("span", "row").distinct()
                 .repartition("span").sortWithinPartitions("span", "row").select("row"))
         more = ends.mapInArrow(neighbours(self.percent, every, ends=False), PAIRS)
-        return got.where("span IS NULL").union(more).groupBy("a", "b").agg(
+        if not every:
+            more = written(more, "ends")
+            start = 1 + 2 * KEY
+            self.crowd = got.where("span IS NULL").union(more).where("row IS NOT NULL").select(
+                F.substring("row", 1, 1 + 2 * FIRST).alias("run"), F.col("a").alias("fp"), F.substring("row", start + 1, INFO).alias("info"))
+        return got.where("span IS NULL").union(more).where("row IS NULL").groupBy("a", "b").agg(
             F.min("far").alias("far"), *(F.first(c).alias(c) for c in "xy"))
 
+    def crowds(self, roots: DataFrame) -> DataFrame:
+        """Links between the components that meet in crowds."""
+        member = (self.crowd.groupBy("run", "fp").agg(F.first("info").alias("info"))
+                  .join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root"))
+        member = written(member.select(F.col("run").alias("group"), "fp", "comp", "info"), "crowd")
+        met = self._met(member, F.lit(1), BLOCK).mapInArrow(prober(self.percent), "a long, b long")
+        cluster = components(written(met, "met")).select(F.col("node").alias("comp"), F.col("root").alias("group"))
+        member = member.drop("group").dropDuplicates(["fp"]).join(cluster, "comp").select("group", "fp", "comp", "info")
+        member = written(member, "cluster")
+        if member.isEmpty():
+            return member.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        sets = self.sets(member.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+        met = self._met(member.join(sets, "fp"), F.length("x") / 8, SHINGLES)
+        return written(met.mapInArrow(meeter(self.percent), "a long, b long"), "links")
+
+    def _met(self, member: DataFrame, weight, most: int) -> DataFrame:
+        """The rows of groups of several components as members of a block, and
+        in each block those outside the group's largest component as probes."""
+        size = member.groupBy("group", "comp").agg(F.count("*").alias("c"), F.sum(weight).alias("w"))
+        mixed = (size.groupBy("group").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("w").alias("w"), F.count("*").alias("k"))
+                 .where("k > 1").select("group", F.col("top.comp").alias("main"), F.ceil(F.col("w") / most).cast("int").alias("s_")))
+        every = member.join(mixed, "group")
+        cols = ["group", "block", "kind", *(c for c in ("fp", "comp", "info", "x") if c in member.columns)]
+        probe = every.where("comp <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("s_") - 1)), "kind": F.lit(1)})
+        here = every.withColumns({"block": F.pmod(F.xxhash64("fp"), F.col("s_")).cast("int"), "kind": F.lit(0)})
+        return (here.select(cols).union(probe.select(cols)).repartition(partitions(self.spark), "group", "block")
+                .sortWithinPartitions("group", "block", "kind"))
+
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(fp, x): the sets of all nodes of the pairs, each from one document."""
         want = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
@@ -348,8 +528,17 @@ def linked(docs: DataFrame, k: int, percent: int):
     roots = written(components(links), "roots")
     # a pair not tried yet lies between two nodes that have others besides
     more = written(own.where("c > 1").select("fp").union(got.where("b IS NULL").select(F.col("a").alias("fp"))).distinct(), "more")
-    if more.isEmpty():
-        return job.rows.select("doc_id", "n", "fp"), roots
+    if not more.isEmpty():
+        links, roots = _between(job, more, links, roots, tried)
+    found = job.crowds(roots)
+    if not found.isEmpty():
+        roots = written(components(links.union(found)), "roots")
+    return job.rows.select("doc_id", "n", "fp"), roots
+
+
+def _between(job: Forest, more: DataFrame, links: DataFrame, roots: DataFrame, tried: DataFrame):
+    """Step 4 for the nodes with further candidates: (links, roots)."""
+    best = F.min(F.struct("far", "a", "b")).alias("s")
     nodes = (job.nodes.join(more, "fp", "left_semi").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
              .withColumn("comp", F.coalesce("root", "fp")))
     # written first: Spark would move the join below the aggregate, to a pair's every order
@@ -369,7 +558,7 @@ def linked(docs: DataFrame, k: int, percent: int):
             # the others of two components that are still apart
             apart = written(_apart(tried.where("c > 1"), roots), "apart")
             open_ = written(open_.join(apart, ["x", "y"], "left_semi").join(tried, ["a", "b"], "left_anti"), "open")
-    return job.rows.select("doc_id", "n", "fp"), roots
+    return links, roots
 
 
 def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -165,3 +165,24 @@ def test_candidates_grow_with_the_nodes_of_a_group():
         made.append(len(x))
         assert len(x) <= 12 * forest.ORDERS * copies
     assert made[2] < 2.5 * made[1]
+
+
+@pytest.mark.parametrize("seed,most,block,shingles,cells", [(5, 12, 4096, 1 << 18, 1 << 18), (5, 8, 4096, 1 << 18, 1 << 18), (5, 12, 40, 5000, 64)])
+def test_dense_groups_are_whole(spark, monkeypatch, seed, most, block, shingles, cells):
+    """Of a large group also the copies that link with few others: every
+    node's closest rows may be taken by others, its links lie further away."""
+    monkeypatch.setattr(forest, "BLOCK", block, raising=False)
+    monkeypatch.setattr(forest, "SHINGLES", shingles, raising=False)
+    monkeypatch.setattr(forest, "CELLS", cells, raising=False)
+    rows = list(enumerate(family(random.Random(seed), "near", 150, 300, most)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_overlaps_of_a_block():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 400, rnd.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
+    n = np.array([len(s) for s in sets])
+    known = forest.Members(np.arange(40), np.arange(40), None, n, [s.tobytes() for s in sets])
+    for x in (*sets, np.array([10**9], np.uint64)):
+        for of in (np.arange(40), np.array([7, 3, 39])):
+            assert known.overlap(x, of).tolist() == [len(np.intersect1d(x, sets[i])) for i in of]
