@@ -18,9 +18,9 @@ of each node where the sums are.  The driver sees one split a node.
   jobs.  They are only a shortcut: a worker that lacks them (lost executor,
   another worker, too many partitions) rebuilds them from the binned rows and
   the trees, which travel with the job or as broadcasts.
-* A table of one partition (PARTITION_ROWS rows in ``models``) has its sums
-  complete in its task, which then goes on to the next level by itself, some
-  rounds a job and a task for each model; the steps and the model are the same.
+* A table of at most TASK_ROWS rows is brought together, a byte a cell, in a
+  task for each model.  There the sums are complete, so the task goes on to the
+  next level and round by itself; the steps and the model are the same.
 * Rows are counted column by column, from columns that lie in one piece.
 * Rows are drawn by a hash of the id, the model and the round, columns by a
   generator of the same; both are the same on every cluster.
@@ -52,7 +52,8 @@ BINS = 64
 UNIT = float(1 << 24)      # of counted gradients
 BLOCK = 1 << 16            # rows counted at a time
 RECENT = 16                # rounds whose trees travel with a job
-WHOLE = 64                 # rounds that a task of a small table goes through in one job
+TASK_ROWS = 1 << 20        # rows that a task can hold and count faster than a job a level adds up their sums
+WHOLE = 256                # rounds that such a task goes through in one job
 RUN = 8                    # nodes whose histograms are added up in one place
 KEPT = 64                  # partitions whose margins a worker keeps
 
@@ -453,10 +454,17 @@ class Fit:
                 "active": g.active, "columns": g.columns, "pairs": [(v, *c) for v, c in g.child.items() if c[0] in active]}
 
 
+def together(rows):
+    """The partitions' rows as those of one partition."""
+    parts = sorted(rows, key=lambda r: r["part"])
+    if parts:
+        yield {"part": 0, **{c: b"".join(bytes(r[c]) for r in parts) for c in ("ids", "y", "held", "bins")}}
+
+
 def whole_rounds(fit: Fit, rows):
-    """WHOLE rounds on the only partition of a small table: its histograms
-    are complete where they are made, so no job has to part the levels."""
-    for row in rows:
+    """WHOLE rounds on all rows of a small table: its histograms are complete
+    where they are made, so no job has to part the levels."""
+    for row in together(rows):
         for _ in range(WHOLE):
             if fit.left:
                 fit.advance(lambda job: dict(choose(job, item) for item in work(job, [row])))
@@ -464,7 +472,7 @@ def whole_rounds(fit: Fit, rows):
 
 
 def fit_whole(fit: Fit, rows) -> None:
-    """Fit the models on a table of one partition, each in a task of its own."""
+    """Fit the models on a table whose rows lie in one task, each in a task of its own."""
     alone = [Fit(f"{fit.name}-{m}", fit.seed, fit.settings, {name: fit.models[name]}, {m: name}, 1, fit.held) for m, name in fit.left.items()]
     while alone:
         got = rows.context.union([rows.mapPartitions(partial(whole_rounds, f)) for f in alone]).collect()
@@ -482,23 +490,25 @@ def fit_boosted(df: DataFrame, columns: list, settings: dict[str, Boosting], hel
     edges = column_edges(train, columns)
     table = materialize(binned_rows(df, columns, edges, held).withColumn("part", F.monotonically_increasing_id()), "binned")
     counts = {r[0]: r[1] for r in train.groupBy(LABEL_COL).count().collect()}
-    # a task takes some partitions and adds up their sums: as many tasks as can run at once
-    tasks = max(1, min(df.rdd.getNumPartitions(), sc.defaultParallelism))
+    sizes = [r[0] for r in table.select(F.length("y")).collect()]          # one row a partition
+    whole = sum(sizes) <= TASK_ROWS
+    # else a task takes some partitions and adds up their sums: as many tasks as can run at once
+    tasks = 1 if whole else max(1, min(len(sizes), sc.defaultParallelism))
     rows = table.select("part", "ids", "y", "held", "bins").rdd.map(lambda r: r.asDict()).repartition(tasks).persist()
     models = {}
     for name, p in settings.items():
         mass = [counts.get(c, 0) * p.weights[c] for c in (0, 1)]
         models[name] = Boosted(columns, edges, math.log(max(mass[1], 1e-12) / max(mass[0], 1e-12)))
-    fit = Fit(uuid.uuid4().hex, seed, settings, models, dict(enumerate(settings)), rows.count(), held is not None)
+    fit = Fit(uuid.uuid4().hex, seed, settings, models, dict(enumerate(settings)), 1 if whole else len(sizes), held is not None)
 
     def ask(job):
         runs = sum(max(1, -(-len(todo["active"]) // job["run"])) for todo in job["models"].values())
         got = rows.mapPartitions(partial(work, job)).reduceByKey(_add, min(runs, fit.parts, 64))
         return dict(got.map(partial(choose, job)).collect())
     try:
-        if fit.parts == 1:
+        if whole:
             fit_whole(fit, rows)
-        while fit.left and fit.parts > 1:
+        while fit.left and not whole:
             fit.advance(ask)
             if fit.round % RECENT == 0:
                 fit.older.append(sc.broadcast({k: t for k, t in fit.recent.items() if k[1] // RECENT == len(fit.older)}))

@@ -209,3 +209,27 @@ def test_packed_histograms_count_every_cell():
                 assert got[v, :, to + b].tolist() == [g[own].sum(), h[own].sum(), own.sum()]
         to += k
     assert to == got.shape[2]
+
+
+def _jobs(spark, name, f):
+    """What f returns and how many jobs it ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        return f(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_table_that_a_task_can_hold_needs_no_job_a_level(spark, monkeypatch):
+    """Also one of several partitions; and the models are those of a job a level."""
+    x, y = table(900)
+    df, names = frame(spark, x, y, 3)
+    settings = {"a": BO.Boosting(12, 0.3, 4, min_child=5, rows=0.8, columns=0.6), "b": BO.Boosting(9, 0.3, 3, weights=(1.0, 3.0))}
+    got = []
+    for rows in (BO.TASK_ROWS if hasattr(BO, "TASK_ROWS") else 0, 0):
+        monkeypatch.setattr(BO, "TASK_ROWS", rows, raising=False)
+        models, jobs = _jobs(spark, f"task-rows-{rows}", lambda: BO.fit_boosted(df, names, settings))
+        got.append(({k: BO.model_rows(m) for k, m in models.items()}, jobs))
+    assert got[0][0] == got[1][0]
+    assert got[0][1] < 12 < got[1][1]
