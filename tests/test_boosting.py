@@ -233,3 +233,23 @@ def test_a_table_that_a_task_can_hold_needs_no_job_a_level(spark, monkeypatch):
         got.append(({k: BO.model_rows(m) for k, m in models.items()}, jobs))
     assert got[0][0] == got[1][0]
     assert got[0][1] < 12 < got[1][1]
+
+
+def test_patience_needs_no_job_a_level_either(spark):
+    """Evaluation rows of several partitions are brought together with the others."""
+    from pyspark.sql import functions as F
+    x, y = table(1500, seed=3)
+    settings = {"m": BO.Boosting(400, 0.5, 5, patience=12)}
+    got = []
+    for k in (1, 3):
+        df, names = frame(spark, x, y, k)
+        df = df.withColumn("held", F.col("SK_ID_CURR") % 5 == 0)
+        own, edges = BO.column_edges, BO.column_edges(frame(spark, x, y, 1)[0].where("SK_ID_CURR % 5 <> 0"), names)
+        BO.column_edges = lambda *a, edges=edges: edges
+        try:
+            models, jobs = _jobs(spark, f"patience-{k}", lambda df=df, names=names: BO.fit_boosted(df, names, settings, "held"))
+        finally:
+            BO.column_edges = own
+        assert jobs < 12
+        got.append((BO.model_rows(models["m"]), np.round(models["m"].losses, 9).tolist()))
+    assert got[0] == got[1]
