@@ -277,3 +277,16 @@ def test_the_forest_is_fitted_beside_the_boosters(spark, monkeypatch):
     board, models = MD.compare_models(prep.train, prep.test, prep.feature_cols, ["gbt_d", "random_forest"],
                                       overrides=FEW | {"numTrees": 4})
     assert all(r.error is None for r in board.collect()) and set(models) == {"gbt_d", "random_forest"}
+
+
+def test_a_comparison_over_several_partitions_needs_no_job_a_level(spark):
+    prep = prepare(RU.mart_from_tables(LendingTables(spark, SF_SMALL)))
+    sc = spark.sparkContext
+    sc.setJobGroup("comparison", "comparison")
+    try:
+        board, _ = MD.compare_models(prep.train, prep.test, prep.feature_cols, ["gbt_a", "gbt_d"], overrides={"rounds": 30, "depth": 4}, partitions=3)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("comparison"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert all(r.error is None for r in board.collect())
+    assert jobs < 60, jobs
